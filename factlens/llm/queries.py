@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlens.llm import exact_dedup, simhash
+from factlens.llm import bpe, exact_dedup, fingerprints, html_blocks, language, licenses, packing, simhash, token_counts
 from factlens.llm.common import ROW, read_table
 
 
@@ -22,6 +22,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": licenses.op2_licenses,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_packing": packing.op5_packing,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_language": language.op7_language,
+    "op8_html": html_blocks.op8_html,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
