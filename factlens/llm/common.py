@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 ROW = "__row"
 
-#: Keys that may be broadcast at most; each takes 8 bytes, so the table stays under 8 MB.
-BROADCAST_KEYS = 1_000_000
+#: Keys that may be broadcast at most; each takes 8 bytes, so the table stays under 32 MB.
+BROADCAST_KEYS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
