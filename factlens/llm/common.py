@@ -4,12 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "__row"
 
+
+class Memo(dict):
+    """What ``make`` gives for a text, remembered for texts of up to ``longest`` characters in two generations of ``most``."""
+
+    def __init__(self, make: Callable[[str], object], most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str) -> object:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 #: Keys that may be broadcast at most; each takes 8 bytes, so the table stays under 32 MB.
 BROADCAST_KEYS = 4_000_000
 

@@ -10,59 +10,84 @@ short list of rank intervals per length; pieces get their rank within their leng
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factlens.llm.common import materialize, read_table
+from factlens.llm.common import Memo, materialize, read_table
 
 WINDOW = 2048
 END_ID = 1
 #: A rank is counted within at most about so many pieces; lengths with more are dealt over several groups.
-RANK_GROUP = 20_000
-#: Words whose ids each worker remembers at most, and the longest word that it remembers.
-CACHE_WORDS, CACHE_LEN = 300_000, 64
+RANK_GROUP = 2_000
+#: Words whose ids a worker remembers (in each of two generations), and the longest word that it remembers.
+CACHE_WORDS, CACHE_LEN = 400_000, 64
 
 #: White space of the Unicode property; str.split() also splits at U+001C to U+001F, which are not in it.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: The tokenizer's own pre-tokens, for words without characters from this one on.
+PRE_TOKEN, SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", "\u0250"
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose pre-tokens never reach over white space, word by word with a cache."""
+    """Ids of whole texts by a tokenizer whose pre-tokens never reach over white space, word by word with a cache.
+
+    A new word of plain Latin text is lower-cased, cut into pre-tokens and given to the merges alone; any other word goes
+    through the whole tokenizer. A worker keeps its encoder, and so the cache, from task to task.
+    """
+
+    kept: ClassVar[dict[str, WordEncoder]] = {}
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, bytes] = {}
-
-    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
-        words = list(words)
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, found, strict=True)}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        seen = self.seen
-        for text in texts:
-            words = [w for w in WHITE.split(text) if w] if text and SEPARATORS.search(text) else (text or "").split()
-            extra: dict[str, bytes] = {}
-            if new := {w for w in words if w not in seen}:
-                if len(seen) + len(new) > CACHE_WORDS:
-                    seen.clear()
-                    new = set(words)
-                ids = self.learn(new)
-                short = {w: x for w, x in ids.items() if len(w) <= CACHE_LEN} if len(ids) <= CACHE_WORDS else {}
-                seen |= short
-                extra = ids if len(short) < len(ids) else {}
-            yield b"".join([extra.get(w) or seen[w] for w in words] if extra else map(seen.__getitem__, words))
+        self.find = regex.compile(PRE_TOKEN).findall
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.pre_tokens = Memo(self.merge, CACHE_WORDS // 2, CACHE_LEN)
+        self.words = Memo(self.word, CACHE_WORDS, CACHE_LEN)
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
+    def merge(self, token: str) -> bytes:
+        text = token if token.isascii() else "".join(map(self.letters.__getitem__, token.encode()))
+        return ids_bytes([t.id for t in self.tokenize(text)])
+
+    def word(self, word: str) -> bytes:
+        if max(word) < SIMPLE:
+            return b"".join(map(self.pre_tokens.__getitem__, self.find(word.lower())))
+        return ids_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit integers."""
+        words = [w for w in WHITE.split(text) if w] if text and SEPARATORS.search(text) else (text or "").split()
+        return b"".join(map(self.words.__getitem__, words))
+
+
+def ids_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def byte_letters() -> list[str]:
+    """The printable letter by which byte-level vocabularies write each byte: itself, or for the others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -70,11 +95,11 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = WordEncoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                ids += end
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = encoder.encode(text.as_py()) + end
                 n = len(ids) // 4
                 rows += [(doc_id, k, min(window, n - k), zlib.crc32(ids[4 * k : 4 * (k + window)]), n) for k in range(0, n, window)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
