@@ -18,7 +18,7 @@ DURATION_FACTS = (
     ("CostOfGoodsSold", "USD", "nk % 7 = 0", "cogs"),
     ("GrossProfit", "USD", "nk % 3 = 0", "revenue - cogs"),
     ("SellingGeneralAndAdministrativeExpense", "USD", "pk % 9 <> 0", "sga"),
-    ("ResearchAndDevelopmentExpense", "USD", "nk % 5 <> 4", "revenue * 0.03"),
+    ("ResearchAndDevelopmentExpense", "USD", "nk % 5 <> 4", "revenue * 0.03 + sga * ((nk + pk) % 3)"),
     ("OperatingIncomeLoss", "USD", "(nk + pk) % 13 <> 0", "revenue - cogs - sga * 12 - tax * (pk % 4)"),
     ("IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest", "USD", "nk % 10 <> 9", "(revenue - cogs - sga * 12 - tax * (pk % 4)) * 0.98"),
     ("IncomeTaxExpenseBenefit", "USD", "1 = 1", "tax * 0.2"),
