@@ -10,7 +10,7 @@ from factlens.registry import CAUSAL, ORDINALS, PREDICTIVE, QUOTE_LEAST
 WORD = r"[A-Za-z]+(?:['-][A-Za-z]+)*"
 SENTENCE_END = r"(?<!\d)[.!?]+(?=\s|$)"
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
-VERSION_LINE = r"^\s*v\d+(\.\d+)*\s*\n"
+VERSION_LINE = r"\Av\d+(?:\.\d+)+[ \t]*\n?"
 # Typographic characters and what they become (quotes, dashes, spaces).
 TYPOGRAPHIC = ("‘’“”–—   ", "''\"\"--   ")
 ZERO_WIDTH = "[​‌‍﻿]"
@@ -32,11 +32,11 @@ def sentence_count(text: Column) -> Column:
 
 
 def syllable_count(word: Column) -> Column:
-    """Vowel groups, less a silent final e (but not of a final consonant and le), at least one."""
-    low = F.lower(word)
-    groups = F.regexp_count(low, F.lit("[aeiouy]+"))
-    silent = low.endswith("e") & ~low.rlike("[^aeiouy]le$") & (groups > 1)
-    return F.greatest(groups - silent.cast("int"), F.lit(1))
+    """Vowel groups of the letters, less a final e, plus one for a final consonant and le; at least one."""
+    letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    groups = F.regexp_count(letters, F.lit("[aeiouy]+"))
+    silent = letters.endswith("e") & (groups > 1)
+    return F.greatest(groups - silent.cast("int") + letters.rlike("[^aeiouy]le$").cast("int"), F.lit(1))
 
 
 def complex_word_count(text: Column) -> Column:
