@@ -121,6 +121,14 @@ VIEWS: dict[str, str] = {
                     WHEN d.doc_id % 3 = 0 THEN concat('units of 27 and 18 and 12 for the third time ', CAST(d.doc_id AS STRING)) ELSE substr(d.text, 101, 60) END AS quote,
                concat(d.text, ' units of 27 and 18 and 12 for the third time ', CAST(d.doc_id AS STRING), '.') AS source_text
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+    "sentences": """
+        SELECT accession_no, accession_no AS brief_id, finding_id AS position,
+               CASE finding_id % 6 WHEN 0 THEN 'restatement' WHEN 1 THEN 'juxtaposition' WHEN 2 THEN 'aggregation' WHEN 3 THEN 'grouping' WHEN 4 THEN 'sourced_causal' ELSE 'opinion' END AS sentence_type,
+               CASE WHEN finding_id % 23 = 0 THEN ' ' WHEN finding_id % 11 = 0 THEN 'Units will rise.' WHEN finding_id % 7 = 0 THEN 'Units rose due to 57 orders.' WHEN finding_id % 5 = 0 THEN concat('Units were ', CAST(finding_id AS STRING), ' and 45.')
+                    ELSE concat('Units were ', CAST(finding_id AS STRING), '.') END AS text,
+               CASE WHEN finding_id % 13 = 0 THEN 'finding:99999999,note:1' WHEN finding_id % 2 = 0 AND finding_id % 6 <> 0 THEN concat('finding:', CAST(finding_id AS STRING), ',finding:', CAST(finding_id AS STRING))
+                    WHEN finding_id % 3 = 0 AND finding_id % 6 <> 0 THEN concat('finding:', CAST(finding_id AS STRING), ',finding:', CAST(finding_id + 20 AS STRING)) ELSE concat('finding:', CAST(finding_id AS STRING)) END AS refs
+        FROM findings""",
     "ledger": """
         SELECT event_id AS call_id, ts AS created_at, concat('model-', CAST(user_id % 3 AS STRING)) AS model, CASE WHEN user_id % 4 = 0 THEN CAST(NULL AS STRING) ELSE concat('p', CAST(user_id % 4 AS STRING)) END AS prompt_name,
                CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'refused' ELSE 'ok' END AS status,
@@ -134,10 +142,10 @@ VIEWS: dict[str, str] = {
         SELECT conv_id, turn, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS response_id,
                CASE WHEN turn % 5 = 0 THEN 'not json' WHEN turn % 7 = 3 THEN '{"material": "yes", "findings": []}' WHEN conv_id % 6 = 0 THEN '{"material": true}'
                     WHEN conv_id % 5 = 0 THEN '{"material": true, "findings": [{"category": "gossip", "severity": "high", "headline": "h", "detail": "d", "quote": "q"}]}'
-                    WHEN conv_id % 4 = 0 THEN '{"material": true, "findings": [{"category": "risk", "severity": "high", "headline": "h", "detail": "d", "quote": " "}]}'
-                    WHEN conv_id % 3 = 0 THEN '{"material": true, "findings": [{"category": "risk", "severity": "huge", "headline": "h", "detail": "d", "quote": "q"}]}'
-                    WHEN conv_id % 7 = 0 THEN '{"material": true, "findings": [{"category": "risk", "severity": "low", "headline": "h"}]}'
-                    ELSE '{"material": true, "findings": [{"category": "risk", "severity": "low", "headline": "h", "detail": "d", "quote": "q"}, {"category": "litigation", "severity": "medium", "headline": "h2", "detail": "d2", "quote": "q2"}]}' END AS body,
+                    WHEN conv_id % 4 = 0 THEN '{"material": true, "findings": [{"category": "liquidity", "severity": "high", "headline": "h", "detail": "d", "quote": " "}]}'
+                    WHEN conv_id % 3 = 0 THEN '{"material": true, "findings": [{"category": "liquidity", "severity": "huge", "headline": "h", "detail": "d", "quote": "q"}]}'
+                    WHEN conv_id % 7 = 0 THEN '{"material": true, "findings": [{"category": "liquidity", "severity": "low", "headline": "h"}]}'
+                    ELSE '{"material": true, "findings": [{"category": "liquidity", "severity": "low", "headline": "h", "detail": "d", "quote": "q"}, {"category": "litigation", "severity": "medium", "headline": "h2", "detail": "d2", "quote": "q2"}]}' END AS body,
                CASE WHEN turn % 11 = 1 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason, length(text) AS n, text
         FROM conversations WHERE role = 'assistant'""",
 }
@@ -148,6 +156,7 @@ NEEDS = {
     "fact_values": ("sales", "flow", "stock"),
     "facts": ("sales", "flow", "stock", "fact_values"),
     "filings": ("sales", "flow"),
+    "sentences": ("findings",),
 }
 
 

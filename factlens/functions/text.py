@@ -88,7 +88,7 @@ def number_in(number: Column, source: Column) -> Column:
     short = F.regexp_replace(number, r"\.0+$", "")
 
     def bounded(n: Column) -> Column:
-        return plain.rlike(F.concat(F.lit(r"(?<![\d.,])"), F.replace(n, F.lit("."), F.lit("\\.")), F.lit(r"(?![\d,]|\.\d)")))
+        return F.rlike(plain, F.concat(F.lit(r"(?<![\d.,])"), F.replace(n, F.lit("."), F.lit("\\.")), F.lit(r"(?![\d,]|\.\d)")))
 
     return bounded(number) | bounded(short)
 

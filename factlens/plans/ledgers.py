@@ -1,3 +1,112 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
-DATED: dict = {}
+"""Queries over the ledger of calls, streams and snapshots."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factlens.bindings import table, view, with_views
+from factlens.operators import ledger as l
+from factlens.plans.common import rounded
+from factlens.streaming import discovery
+
+CAP, MOST_CALLS = 0.25, 40
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l.priced(view(spark, sf_dir, "ledger"), view(spark, sf_dir, "prices"))
+
+
+def price_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(spark, sf_dir).select("call_id", "call_date", "valid_from", rounded("input_price").alias("input_price"))
+
+
+def ledger_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l.expected_cost(priced(spark, sf_dir)).select("call_id", rounded("expected", 9).alias("expected"))
+
+
+def cost_recomputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check 25."""
+    return l.cost_differences(priced(spark, sf_dir)).select("call_id", rounded("expected", 6).alias("expected"), rounded("cost_usd", 6).alias("cost_usd"))
+
+
+def stale_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check 18."""
+    return l.on_stale_prices(priced(spark, sf_dir)).groupBy("model").agg(F.count("*").alias("n"))
+
+
+def price_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check 26."""
+    return l.past_review(priced(spark, sf_dir)).groupBy("model").agg(F.count("*").alias("n"))
+
+
+def spend_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return l.spend_breakdown(view(spark, sf_dir, "ledger")).select("prompt_name", "model", "status", "calls", rounded("cost", 4).alias("cost"))
+
+
+def ledger_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check 19."""
+    return l.reconcile(view(spark, sf_dir, "ledger")).select(rounded("direct", 4).alias("total"), "ok")
+
+
+def budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of each day admitted while they stay within a day's budget and number; costs in whole micro units, so that sums are exact."""
+    calls = view(spark, sf_dir, "ledger").withColumns({"run": F.to_date("created_at").cast("string"), "micro": F.round(F.col("cost_usd") * 1e6).cast("long")})
+    return l.admit(calls, "run", ["created_at", "call_id"], "micro", CAP * 1e6, MOST_CALLS).select("call_id", "run", "admitted")
+
+
+def cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by whether their input was answered before (turns of even conversations were)."""
+    turns = table(spark, sf_dir, "conversations").withColumn("input_hash", F.sha2(F.concat_ws("|", F.lit("model-a"), F.lit("v1"), "text"), 256))
+    found = l.split_cached(turns, turns.filter("conv_id % 2 = 0"))
+    return found.groupBy("role", "hit").agg(F.count("*").alias("n"))
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "filings").groupBy("cik", "form_type", "status").agg(F.count("*").alias("n"))
+
+
+def pending_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factlens.operators.sinks import pending
+
+    return pending(view(spark, sf_dir, "filings"), ["discovered", "failed"]).select("accession_no", "status", "filing_date")
+
+
+def stream_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as a stream with replayed rows: each filing comes once."""
+    return discovery.discover_once(spark, view(spark, sf_dir, "feed")).select("accession_no", "form_type", "filing_date")
+
+
+def stream_restatements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filed versions arriving as a stream, appended once each: the latest wins at read."""
+    return discovery.restate_once(spark, view(spark, sf_dir, "facts")).select("cik", "concept", "unit", "period_start", "period_end", rounded("value").alias("value"))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (price_as_of, ledger_cost, cost_recomputation, stale_prices, price_reviews, spend_breakdown, ledger_reconciliation, budget_admission, cache_split, status_counts, pending_filings, stream_discovery, stream_restatements)
+}
+
+from factlens.plans import sql  # noqa: E402
+
+L = f"""{with_views('ledger', 'prices')}, p AS (SELECT *, lead(valid_from) OVER (PARTITION BY model ORDER BY valid_from) AS valid_to FROM prices),
+c AS (SELECT l.*, CAST(created_at AS DATE) AS call_date, p.input_price, p.output_price, p.valid_from, p.review_date FROM ledger l LEFT JOIN p ON p.model = l.model AND CAST(created_at AS DATE) >= p.valid_from AND (p.valid_to IS NULL OR CAST(created_at AS DATE) < p.valid_to)),
+e AS (SELECT *, input_tokens / 1e6 * input_price + output_tokens / 1e6 * output_price AS expected FROM c)"""
+ORACLE = {
+    "price_as_of": f"{L} SELECT call_id, call_date, valid_from, round(CAST(input_price AS DOUBLE), 6) + 0.0 AS input_price FROM c",
+    "ledger_cost": f"{L} SELECT call_id, round(CAST(expected AS DOUBLE), 9) + 0.0 AS expected FROM e",
+    "cost_recomputation": f"{L} SELECT call_id, round(CAST(expected AS DOUBLE), 6) + 0.0 AS expected, round(CAST(cost_usd AS DOUBLE), 6) + 0.0 AS cost_usd FROM e WHERE status IN ('ok', 'error') AND abs(expected - cost_usd) > 1e-6",
+    "stale_prices": f"{L} SELECT model, count(*) AS n FROM c WHERE call_date - valid_from > 60 GROUP BY 1",
+    "price_reviews": f"{L} SELECT model, count(*) AS n FROM c WHERE call_date >= review_date AND valid_from < review_date GROUP BY 1",
+    "spend_breakdown": f"{with_views('ledger')} SELECT prompt_name, model, status, count(*) AS calls, round(CAST(sum(cost_usd) AS DOUBLE), 4) + 0.0 AS cost FROM ledger GROUP BY ALL",
+    "ledger_reconciliation": f"{with_views('ledger')} SELECT round(CAST(sum(cost_usd) AS DOUBLE), 4) + 0.0 AS total, true AS ok FROM ledger",
+    "budget_admission": f"""{with_views('ledger')}, r AS (SELECT call_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS run, row_number() OVER w AS place, sum(CAST(round(cost_usd * 1e6) AS BIGINT)) OVER (w ROWS UNBOUNDED PRECEDING) AS running FROM ledger WINDOW w AS (PARTITION BY CAST(created_at AS DATE) ORDER BY created_at, call_id)),
+        f AS (SELECT run, min(place) AS first FROM r WHERE running > {CAP * 1e6} OR place > {MOST_CALLS} GROUP BY run)
+        SELECT call_id, run, coalesce(place < first, true) AS admitted FROM r LEFT JOIN f USING (run)""",
+    "cache_split": "SELECT role, text IN (SELECT text FROM conversations WHERE conv_id % 2 = 0) AS hit, count(*) AS n FROM conversations GROUP BY ALL",
+    "status_counts": f"{with_views('filings')} SELECT cik, form_type, status, count(*) AS n FROM filings GROUP BY ALL",
+    "pending_filings": f"{with_views('filings')} SELECT accession_no, status, filing_date FROM filings WHERE status IN ('discovered', 'failed')",
+    "stream_discovery": f"{with_views('feed')} SELECT DISTINCT accession_no, form_type, filing_date FROM feed WHERE form_type IN ('10-K', '10-Q', '8-K')",
+    "stream_restatements": f"{sql.LATEST} SELECT cik, concept, unit, period_start, period_end, round(value, 6) + 0.0 AS value FROM latest",
+}
+DATED = {"price_as_of": "call_date valid_from", "pending_filings": "filing_date", "stream_discovery": "filing_date", "stream_restatements": "period_start period_end"}

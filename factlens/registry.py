@@ -215,6 +215,10 @@ ORDINALS = (
     "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth",
 )
 
+# What a finding may be.
+FINDING_CATEGORIES = ("red_flag", "accounting_change", "litigation", "concentration", "liquidity", "note_item")
+SEVERITIES = ("high", "medium", "low")
+
 TRACKED_FORMS = ("10-K", "10-Q", "8-K")
 REQUIRED_ITEM = "2.02"
 SECTION_CATEGORIES = ("Statements", "Notes", "Policies")
