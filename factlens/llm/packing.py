@@ -65,7 +65,7 @@ class WordEncoder:
         return cls.kept[path]
 
     def merge(self, token: str) -> bytes:
-        text = token if token.isascii() else "".join(map(self.letters.__getitem__, token.encode()))
+        text = token if token.isascii() and token.isprintable() else "".join(map(self.letters.__getitem__, token.encode()))
         return ids_bytes([t.id for t in self.tokenize(text)])
 
     def word(self, word: str) -> bytes:
