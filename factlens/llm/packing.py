@@ -28,7 +28,7 @@ END_ID = 1
 #: A rank is counted within at most about so many pieces; lengths with more are dealt over several groups.
 RANK_GROUP = 2_000
 #: Words whose ids a worker remembers (in each of two generations), and the longest word that it remembers.
-CACHE_WORDS, CACHE_LEN = 400_000, 64
+CACHE_WORDS, CACHE_LEN = 120_000, 64
 
 #: White space of the Unicode property; str.split() also splits at U+001C to U+001F, which are not in it.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -55,7 +55,7 @@ class WordEncoder:
         self.find = regex.compile(PRE_TOKEN).findall
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
-        self.pre_tokens = Memo(self.merge, CACHE_WORDS // 2, CACHE_LEN)
+        self.pre_tokens = Memo(self.merge, CACHE_WORDS, CACHE_LEN)
         self.words = Memo(self.word, CACHE_WORDS, CACHE_LEN)
 
     @classmethod
