@@ -1,14 +1,14 @@
-"""Shared helpers: the shared scratch folder, written intermediate tables and row ids."""
+"""Shared helpers: remembered values, tables and row numbers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlens.storage import materialize, scratch_path
+
 ROW = "__row"
 
 
@@ -35,33 +35,6 @@ class Memo(dict):
 BROADCAST_KEYS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="factlens-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; the session removes it at its end."""
-    path = f"{shared_dir(spark).rstrip('/')}/factlens-{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,3 +53,6 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
     return with_row(docs).join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+__all__ = ["BROADCAST_KEYS", "ROW", "Memo", "materialize", "read_table", "scratch_path", "with_row", "without_rows"]
