@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 import struct
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,24 +33,44 @@ MOST_BITS = 20
 #: Code points of a piece of a paragraph at most.
 PIECE = 128
 
-UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+[^\S\n]*|\n+|$)")
+UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+[^\S\n]*|\n+|\Z)")
+UNIT_END = re.compile(r"(?:[.!?]\s*|\n)\Z")
 WORD64 = (1 << 64) - 1
 
 
 def check(key: int) -> int:
-    return (key * 0x9E3779B97F4A7C15 & WORD64) >> 40
+    return (key * 0x9E3779B97F4A7C15 & WORD64) >> 32
+
+
+class Pieces:
+    """The pieces of a text in order with where they end, and their distinct 64-bit digests (the n-th occurrence has its own)."""
+
+    def __init__(self, text: str, before: Pieces | None = None, kept: int = 0):
+        """The pieces of ``text``, after the first ``kept`` ones of ``before``."""
+        self.pieces = before.pieces[:kept] if before else []
+        self.ends = before.ends[:kept] if before else []
+        self.digests = before.digests[:kept] if before else []
+        seen = Counter(self.pieces)
+        at = self.ends[-1] if self.ends else 0
+        for unit in UNIT.findall(text, at):
+            for k in range(0, len(unit), PIECE):
+                piece = unit[k : k + PIECE]
+                at += len(piece)
+                self.pieces.append(piece)
+                self.ends.append(at)
+                self.digests.append(xxhash.xxh64_intdigest(piece.encode(), seen[piece]))
+                seen[piece] += 1
+
+    def edited(self, text: str, cut: int) -> tuple[Pieces, int]:
+        """The pieces of a text that is the same up to ``cut``, and how many are shared: those of all units that end before it."""
+        kept = bisect_left(self.ends, cut)
+        while kept and (len(self.pieces[kept - 1]) == PIECE or not UNIT_END.search(self.pieces[kept - 1])):
+            kept -= 1  # a unit that goes on is cut into pieces anew
+        return Pieces(text, self, kept), kept
 
 
 def digests(text: str | None) -> list[int]:
-    """Distinct 64-bit digests of the text's pieces; the n-th occurrence of a piece has a digest of its own."""
-    seen: Counter[str] = Counter()
-    out = []
-    for unit in UNIT.findall(text or ""):
-        for k in range(0, len(unit), PIECE):
-            piece = unit[k : k + PIECE]
-            out.append(xxhash.xxh64_intdigest(piece.encode(), seen[piece]))
-            seen[piece] += 1
-    return out
+    return Pieces(text or "").digests
 
 
 class Sketch:
@@ -69,6 +90,11 @@ class Sketch:
                 total[at] ^= c
         return self
 
+    def copy(self) -> Sketch:
+        out = Sketch(0)
+        out.bits, out.count, out.key, out.sum = self.bits, self.count[:], self.key[:], self.sum[:]
+        return out
+
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(self.bits)
         out.count = [a - b for a, b in zip(self.count, other.count, strict=True)]
@@ -77,15 +103,23 @@ class Sketch:
         return out
 
     def peel(self) -> tuple[list[int], list[int]] | None:
-        """Digests only on the left and only on the right; None if peeling gets stuck. Uses the sketch up."""
+        """Digests only on the left and only on the right; None if peeling gets stuck. Uses the sketch up.
+
+        A cell of several digests whose check sums happen to agree passes for a single one; what it gives comes back as the
+        opposite, so a digest that turns up twice means that the sketch failed.
+        """
         left: list[int] = []
         right: list[int] = []
+        done: set[int] = set()
         todo = [at for at, c in enumerate(self.count) if c in (1, -1)]
         while todo:
             at = todo.pop()
             c, k = self.count[at], self.key[at]
             if c not in (1, -1) or self.sum[at] != check(k):
                 continue
+            if k in done:
+                return None
+            done.add(k)
             (left if c == 1 else right).append(k)
             self.add([k], -c)
             mask = (1 << self.bits) - 1
@@ -105,15 +139,19 @@ def difference(a: list[int], b: list[int], bits: int = BASE_BITS, sketches: tupl
         found = x.minus(y).peel() if abs(len(a) - len(b)) <= TABLES << bits else None
         if found is not None:
             return found
-        bits, sketches = bits + RETRY_BITS, None
+        need = (3 * (len(a) + len(b)) // (2 * TABLES)).bit_length()  # enough cells for all digests to differ
+        bits, sketches = max(bits + RETRY_BITS, need), None
     return sorted({*a} - {*b}), sorted({*b} - {*a})
 
 
-def likeness(a: list[int], b: list[int], sketches: tuple[Sketch, Sketch] | None = None) -> float:
-    """Shared digests over all digests; 1 for two empty texts."""
+def likeness(a: list[int], b: list[int], sketches: tuple[Sketch, Sketch] | None = None, shared: int = 0) -> float:
+    """Shared digests over all digests; 1 for two empty texts. The first ``shared`` digests are known to be the same.
+
+    Sketches are linear, so what both sides share cancels: larger sketches are made of the rest alone.
+    """
     if not a and not b:
         return 1.0
-    left, right = difference(a, b, BASE_BITS, sketches)
+    left, right = difference(a[shared:], b[shared:], BASE_BITS, sketches)
     apart = len(left) + len(right)
     return (len(a) + len(b) - apart) / (len(a) + len(b) + apart)
 
@@ -154,15 +192,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def row(doc_id: int | None, text: str, own: list[int], sketch: Sketch, following: str, next_digests: list[int], next_sketch: Sketch) -> tuple:
+    def row(doc_id: int | None, text: str, own: Pieces, sketch: Sketch, following: str, after: Pieces, next_sketch: Sketch) -> tuple:
         other = edited(text, following)
         if other == text:
-            others, other_sketch, near = own, sketch, 1.0
+            other_sketch, near = sketch, 1.0
         else:
-            others = digests(other)
-            other_sketch = Sketch(BASE_BITS).add(others)
-            near = likeness(own, others, (sketch, other_sketch))
-        near_next = 1.0 if text == following else likeness(own, next_digests, (sketch, next_sketch))
+            others, shared = own.edited(other, len(text) - len(text) // 4)
+            other_sketch = sketch.copy().add(own.digests[shared:], -1).add(others.digests[shared:])
+            near = likeness(own.digests, others.digests, (sketch, other_sketch), shared)
+        near_next = 1.0 if text == following else likeness(own.digests, after.digests, (sketch, next_sketch))
         return doc_id, len(text), hashlib.sha256(other.encode()).hexdigest(), sketch.text(), other_sketch.text(), near, near_next
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +211,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 doc_id, text, bucket = doc_id.as_py(), text.as_py(), bucket.as_py()
                 if held is not None and held[0] != bucket:
                     held = None  # the rows of a range end with its head
-                own = digests(text)
-                sketch = Sketch(BASE_BITS).add(own)
+                own = Pieces(text)
+                sketch = Sketch(BASE_BITS).add(own.digests)
                 if held is not None:
                     out.append(row(*held[1:], text, own, sketch))
                 held = None if head.as_py() else (bucket, doc_id, text, own, sketch)

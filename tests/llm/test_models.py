@@ -51,6 +51,20 @@ def test_fingerprints(docs, empty):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_edited_pieces_are_those_of_the_whole_text():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        text = "".join(rng.choice(["ab", " ", ". ", "\n", "!", "c" * 60, "é"], rng.integers(0, 40)))
+        cut = int(rng.integers(0, len(text) + 1))
+        other = text[:cut] + "".join(rng.choice(["xy", ". ", "\n", " "], rng.integers(0, 6)))
+        own = fingerprints.Pieces(text)
+        found, shared = own.edited(other, cut)
+        assert (found.pieces, found.ends, found.digests) == (lambda p: (p.pieces, p.ends, p.digests))(fingerprints.Pieces(other))
+        a, b = (fingerprints.Sketch(3).add(x.digests) for x in (own, found))
+        again = fingerprints.Sketch(3).add(own.digests).add(own.digests[shared:], -1).add(found.digests[shared:])
+        assert again.text() == b.text() and (a.text() == b.text()) == (sorted(own.digests) == sorted(found.digests))
+
+
 def test_sketches_recover_differences():
     rng = np.random.default_rng(1)
     for n, d in ((0, 0), (5, 1), (40, 12), (500, 400)):
@@ -60,6 +74,15 @@ def test_sketches_recover_differences():
     assert fingerprints.likeness([], []) == 1.0
 
 
+def test_peeling_ends_where_check_sums_collide(monkeypatch):
+    monkeypatch.setattr(fingerprints, "check", lambda key: key & 1)
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (rng.integers(0, 1 << 62, 30).tolist() for _ in range(2))
+        found = fingerprints.Sketch(3).add(a).minus(fingerprints.Sketch(3).add(b)).peel()
+        assert found is None or len(found[0]) + len(found[1]) <= 1000
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site name</header><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies to make this site better for all readers today.</div><!-- <p>no</p> --><div class="ad">Buy this now.</div>
 <article><h1>One &amp; two</h1><p>First   line<br>goes&nbsp;on.<p>Second <b>bold</b> line.<ul><li>item one<li>item two</ul><script>var t="</p>";</script>
