@@ -17,16 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, with_row, without_rows
 from factlens.llm.components import components
+from factlens.llm.jaccard import digests, similar
 
 SHINGLE = 4
 THRESHOLD = 4
-SEED = 42
 #: Offset and width in bits of the parts A, B (threshold one each) and C (threshold zero).
 PARTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 CODE_BITS = 15
@@ -38,14 +37,9 @@ SMALL = 4096
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> bytes:
     """The SimHash of a whole text as eight bytes, the highest first; zero if it has no words."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z alone, and white space of ASCII alone
-    if not words:
+    hashed = digests(text, size)
+    if not hashed:
         return bytes(8)
-    hashed, join, digest = [], b" ".join, xxhash.xxh64_digest
-    if len(words) < size:
-        hashed = [digest(join(words), SEED)]
-    else:
-        hashed = [digest(join(x), SEED) for x in zip(*(words[k:] for k in range(size)), strict=False)]
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashed), 1 << 16):
         part = np.frombuffer(b"".join(hashed[k : k + (1 << 16)]), np.uint8).reshape(-1, 8)
@@ -223,7 +217,10 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHI
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (a plain scan) with one document of each near-duplicate group: the smallest doc_id, of repeated rows one."""
-    found = materialize(near_duplicates(docs), "near")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    """``docs`` (a plain scan) with one document of each group of similar texts: the smallest doc_id, of repeated rows one.
+
+    Similar are five-word shingles with a Jaccard similarity of at least 0.8, directly or over others; see ``jaccard``.
+    """
+    found = materialize(similar(docs), "near")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
     return without_rows(docs, found.join(first, ROW, "left_anti"))

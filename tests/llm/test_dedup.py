@@ -1,10 +1,11 @@
 import hashlib
+import random
 import re
 
 import numpy as np
 import xxhash
 
-from factlens.llm import exact_dedup, simhash
+from factlens.llm import exact_dedup, jaccard, simhash
 from factlens.llm.common import scratch_path
 
 
@@ -122,3 +123,48 @@ def test_pipeline_stages_keep_one_of_each(docs):
     once = simhash.keep_one(docs)
     found = simhash.near_duplicates(docs)
     assert once.count() == found.select("component_id").distinct().count()
+
+
+def slow_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_keep_one_against_brute_force_jaccard(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [None, "", " \n", "one two", "ONE  two", "one two three"]
+    for k in range(40):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 25, 120, 400]))]
+        texts.append(" ".join([*words, *"all rights reserved by the same owner of this long notice".split()]))
+        for edits in (1, 2, 3, 5, 9):  # copies on both sides of the threshold
+            copy = list(words)
+            for _ in range(max(1, len(words) * edits // 200)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(9999)}"
+            texts.append(" ".join(copy + words[: edits * 2 if k % 2 else 0]))
+    rows = [(k * 7 % 1009, x) for k, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    sets = [slow_shingles(x) for _, x in rows]
+    alike = [[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets]
+    label = [i for i, _ in rows]
+    while (new := [min(m for m, near in zip(label, line, strict=True) if near) for line in alike]) != label:
+        label = new
+    far = [(simhash.fingerprint(a), simhash.fingerprint(b)) for i, (_, a) in enumerate(rows) for j, (_, b) in enumerate(rows) if i < j and alike[i][j]]
+    assert sum((int.from_bytes(a) ^ int.from_bytes(b)).bit_count() > 4 for a, b in far) > 20
+    found = simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted(r.doc_id for r in found) == sorted(set(label)) and len(set(label)) < len(rows)
+
+
+def test_large_group_of_near_copies_is_joined_by_leaders(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    rows.append((300, " ".join([*base[:100], *(f"y{k}" for k in range(100))])))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    compared, alike = [], jaccard.alike
+    monkeypatch.setattr(jaccard, "alike", lambda pairs, sets: compared.append(pairs.count()) or alike(pairs, sets))
+    found = simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted(r.doc_id for r in found) == [0, 300] and sum(compared) < 300 * 299 / 4
