@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from factlens.llm.common import read_table
 
 TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z", re.S)
-NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+NAMING = frozenset("class id role".split())
 HIDDEN = re.compile(r"""\shidden(?:[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -39,12 +40,14 @@ CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 #: Words in a class, id or role that mark what isn't the article.
 BOILER_NAMES = frozenset(
     "ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs byline comment commentlist comments consent contentinfo cookie "
-    "cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion "
-    "related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter popup promo promotion "
+    "sidebar signup skip sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Words there that name parts of articles as well.
+UNSURE_NAMES = frozenset("header login notice notices related replies reply respond search share sharing social".split())
 
 #: Small labelled table: words, link density, words and link density before, the same after, stands under a tag or a name that
-#: marks boilerplate, stands in the article (1), beside one (0) or on a page without one (0.5), is a heading; then the label.
+#: marks boilerplate (1), stands in the article (1), beside one (0) or on a page without one (0.5), is a heading; then the label.
 LABELLED = [
     # articles
     (120, 0.00, 80, 0.00, 95, 0.00, 0, 1.0, 0, 1), (60, 0.02, 9, 0.00, 70, 0.00, 0, 1.0, 0, 1), (9, 0.00, 8, 0.00, 60, 0.00, 0, 1.0, 1, 1),
@@ -71,6 +74,25 @@ LABELLED = [
 ]
 
 
+#: The same without the seventh column for blocks under names that may mark boilerplate: in articles, on pages without one, beside one.
+LABELLED_UNSURE = [
+    (2, 1.00, 2, 1.00, 24, 0.00, 1.0, 0, 0), (1, 1.00, 1, 1.00, 90, 0.00, 1.0, 0, 0), (3, 1.00, 40, 0.00, 50, 0.00, 1.0, 0, 0), (2, 1.00, 30, 0.00, 60, 0.00, 1.0, 1, 0),
+    (2, 0.00, 60, 0.00, 5, 1.00, 1.0, 1, 0), (3, 0.00, 1, 1.00, 8, 1.00, 1.0, 1, 0), (2, 0.00, 40, 0.00, 30, 0.90, 1.0, 1, 0), (4, 0.00, 70, 0.00, 6, 1.00, 1.0, 1, 0),
+    (4, 0.00, 1, 1.00, 24, 0.00, 1.0, 1, 1), (4, 0.00, 30, 0.00, 40, 0.00, 1.0, 0, 1), (4, 0.00, 2, 1.00, 90, 0.00, 1.0, 1, 1), (3, 0.00, 1, 1.00, 60, 0.00, 1.0, 1, 1),
+    (2, 0.00, 1, 1.00, 40, 0.00, 0.0, 0, 0), (3, 0.00, 50, 0.00, 30, 0.00, 0.0, 1, 0), (1, 0.00, 20, 0.00, 60, 0.00, 0.0, 0, 0), (4, 0.00, 9, 0.00, 50, 0.00, 0.5, 1, 1),
+    (5, 0.00, 1, 1.00, 60, 0.00, 1.0, 1, 1), (9, 0.00, 2, 1.00, 30, 0.00, 1.0, 1, 1), (20, 0.00, 3, 1.00, 25, 0.00, 1.0, 0, 1), (90, 0.00, 4, 1.00, 70, 0.00, 1.0, 0, 1),
+    (60, 0.00, 20, 0.00, 2, 1.00, 1.0, 0, 1), (24, 0.00, 2, 0.00, 2, 1.00, 1.0, 0, 1), (110, 0.10, 70, 0.00, 6, 1.00, 1.0, 0, 1), (45, 0.00, 1, 1.00, 3, 1.00, 1.0, 0, 1),
+    (60, 0.00, 50, 0.00, 40, 0.00, 1.0, 0, 1), (9, 0.00, 70, 0.00, 80, 0.00, 1.0, 0, 1), (25, 0.05, 4, 0.00, 30, 0.00, 1.0, 0, 1),
+    (12, 0.00, 3, 0.00, 9, 0.00, 1.0, 0, 1), (140, 0.03, 30, 0.00, 2, 0.00, 1.0, 0, 1), (3, 0.00, 40, 0.00, 50, 0.00, 1.0, 0, 1),
+    (5, 0.00, 0, 0.00, 60, 0.00, 1.0, 1, 1), (2, 0.00, 45, 0.00, 12, 0.00, 1.0, 1, 1), (8, 0.00, 2, 1.00, 3, 0.00, 1.0, 1, 1),
+    (1, 1.00, 60, 0.00, 1, 1.00, 1.0, 0, 0), (2, 0.00, 50, 0.00, 1, 1.00, 1.0, 1, 0), (12, 0.90, 2, 0.00, 10, 0.90, 1.0, 0, 0),
+    (7, 1.00, 8, 1.00, 6, 1.00, 1.0, 0, 0), (2, 0.00, 1, 1.00, 1, 1.00, 1.0, 0, 0), (30, 0.70, 20, 0.60, 25, 0.80, 1.0, 0, 0),
+    (70, 0.00, 40, 0.00, 60, 0.00, 0.5, 0, 1), (40, 0.05, 5, 0.00, 30, 0.00, 0.5, 0, 1), (5, 0.00, 40, 0.00, 60, 0.00, 0.5, 1, 1),
+    (4, 0.00, 0, 0.00, 2, 1.00, 0.5, 1, 0), (3, 1.00, 2, 1.00, 90, 0.00, 0.5, 0, 0), (12, 0.00, 2, 1.00, 8, 0.00, 0.5, 0, 0),
+    (2, 0.00, 60, 0.00, 1, 1.00, 0.5, 0, 0), (45, 0.00, 50, 0.00, 30, 0.00, 0.0, 0, 0), (4, 0.00, 1, 1.00, 20, 0.00, 0.0, 1, 0),
+]
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
     """A decision tree by Gini impurity: (share,) at a leaf, else (feature, threshold, left, right)."""
     if depth == 0 or y.min() == y.max():
@@ -95,13 +117,23 @@ def decide(tree: tuple, row: tuple) -> bool:
     return tree[0] >= 0.5
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """Flat text blocks in page order: text, link density, under boilerplate, in the article, heading."""
-    out: list[tuple[str, float, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, boilerplate, article, skipped
+def marked(attributes: str) -> float:
+    """Whether a class, id or role marks boilerplate (1), may mark it (0.5) or doesn't (0)."""
+    found = 0.0
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in NAMING:
+            words = PART.findall("".join(values).lower())
+            found = max(found, 0.0 if BOILER_NAMES.isdisjoint(words) else 1.0, 0.0 if UNSURE_NAMES.isdisjoint(words) else 0.5)
+    return found
+
+
+def blocks(page: str) -> list[tuple[str, float, float, bool, bool]]:
+    """Flat text blocks in page order: text, link density, under boilerplate (1, or 0.5 if unsure), in the article, heading."""
+    out: list[tuple[str, float, float, bool, bool]] = []
+    stack: list[tuple[str, float, bool, bool]] = []  # element, boilerplate, article, skipped
     parts: list[str] = []
     linked, links, heading = 0, 0, False
-    boiler = main = skip = False
+    boiler, main, skip = 0.0, False, False
 
     def flush() -> None:
         nonlocal parts, linked, heading
@@ -123,7 +155,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     def pop_to(depth: int) -> None:
         nonlocal boiler, main, skip, links
         del stack[depth:]
-        boiler, main, skip = stack[-1][1:] if stack else (False, False, False)
+        boiler, main, skip = stack[-1][1:] if stack else (0.0, False, False)
         links = sum(s[0] == "a" for s in stack)
 
     at, end = 0, len(page)
@@ -169,12 +201,10 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        named = False
         if attributes and tag not in ("html", "body") and tag not in MAIN_TAGS:
-            for found in NAMES.findall(attributes):
-                named |= not BOILER_NAMES.isdisjoint(PART.findall("".join(found).lower()))
-            named |= bool(HIDDEN.search(attributes))
-        boiler = boiler or named or tag in BOILER_TAGS or (tag == "header" and not main)
+            boiler = max(boiler, 1.0 if HIDDEN.search(attributes) else marked(attributes))
+        if tag in BOILER_TAGS or (tag == "header" and not main):
+            boiler = 1.0
         main = main or tag in MAIN_TAGS
         skip = skip or tag in SKIP
         stack.append((tag, boiler, main, skip))
@@ -185,14 +215,21 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     return out
 
 
-def main_text(page: str | None, tree: tuple) -> str:
+def trees(labelled: list[tuple] | None = None) -> tuple[tuple, tuple]:
+    """The decision tree of ordinary blocks and that of blocks under unsure names."""
+    tables = (np.array(t, float) for t in (labelled or LABELLED, LABELLED_UNSURE))
+    return tuple(grow(t[:, :-1], t[:, -1]) for t in tables)
+
+
+def main_text(page: str | None, tree: tuple, unsure: tuple) -> str:
     found = blocks(page or "")
-    has_main = any(b[3] and not b[2] for b in found)
+    has_main = any(b[3] and b[2] < 1 for b in found)
     sizes = [(0, 0.0), *((b[0].count(" ") + 1, b[1]) for b in found), (0, 0.0)]
     kept = []
     for k, (text, _, boiler, main, heading) in enumerate(found):
         where = (1.0 if main else 0.0) if has_main else 0.5
-        if decide(tree, (*sizes[k + 1], *sizes[k], *sizes[k + 2], int(boiler), where, int(heading))):
+        around = (*sizes[k + 1], *sizes[k], *sizes[k + 2])
+        if decide(unsure, (*around, where, int(heading))) if boiler == 0.5 else decide(tree, (*around, int(boiler), where, int(heading))):
             kept.append(text)
     return "\n".join(kept)
 
@@ -203,12 +240,11 @@ def extract(pages: DataFrame, labelled: list[tuple] | None = None) -> DataFrame:
     A null or empty page, or one without an article, has an empty text. Null ids and urls are carried along, repeated
     rows come back as often as they are there, and an empty table gives an empty result. Other columns are not looked at.
     """
-    table = np.array(labelled or LABELLED, float)
-    tree = grow(table[:, :-1], table[:, -1])
+    tree, unsure = trees(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py(), tree) for x in batch.column("html")]
+            texts = [main_text(x.as_py(), tree, unsure) for x in batch.column("html")]
             arrays = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 

@@ -177,3 +177,18 @@ def test_quality_separates(spark):
     found = quality.judge(docs, labels).join(labels, "doc_id").groupBy("quality").agg(quality.F.avg(quality.F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r.quality: r.kept for r in found}
     assert kept[1] >= 0.97 and kept[0] <= 0.6
+
+
+def test_article_parts_with_names_of_boilerplate():
+    long = "Sorting a long list of numbers takes more steps than looking one of them up in a table that is already sorted, as a rule."
+    share = '<div class="social share"><ul><li><a href="#">Share this</a></li><li><a href="#">Post it</a></li></ul></div>'
+    body = (
+        f'<div class="entry-header"><h1>How lists are sorted</h1></div><p>{long}</p><section id="search-algorithms"><h2>Looking things up</h2>'
+        f'<p>{long}</p><p>It depends.</p><p>{long}</p></section><h2 id="related-work">Other work</h2><p data-id="share-3">{long}</p>'
+        f'<p title="a class=ad of its own">Short one.</p><section id="social-policy"><p>{long}</p></section>{share}'
+        f'<div class="ad">{long}</div><div class="related"><h3>Read more</h3><ul><li><a href="#">All about trees and heaps</a></li><li><a href="#">What hashing is for</a></li></ul></div>'
+    )
+    want = ["How lists are sorted", long, "Looking things up", long, "It depends.", long, "Other work", long, "Short one.", long]
+    assert html_blocks.main_text(f"<body><nav><a href='#'>Home</a></nav><article>{body}</article><footer>{long}</footer></body>", *html_blocks.trees()).split("\n") == want
+    assert html_blocks.marked(' data-id="share-3" data-class=ad x:role="menu"') == 0
+    assert [html_blocks.marked(x) for x in (' CLASS="a ad"', " id=search", "role = 'navigation'")] == [1.0, 0.5, 1.0]
