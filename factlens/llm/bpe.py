@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import ROW, read_table, with_row
+from factlens.llm.common import ROW, numbered, read_table
 
 #: Code points of a chunk without its overlap, and of the overlap with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -161,7 +161,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
                 of_bytes.update(codec.decode(ids))
             yield result([(doc_id, n, of_ids.hexdigest(), of_bytes.hexdigest())])
 
-    rows = with_row(docs.select(F.col("doc_id").cast("long"), "text"))
+    rows = numbered(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = f"{ROW} long, doc_id long, k int, text string"

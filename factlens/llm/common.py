@@ -1,58 +1,58 @@
-"""Shared helpers: remembered values, tables and row numbers."""
+"""Shared helpers: tables, stable row numbers and the removal of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.storage import materialize, scratch_path
 
 ROW = "__row"
-
-
-class Memo(dict):
-    """What ``make`` gives for a text, remembered for texts of up to ``longest`` characters in two generations of ``most``."""
-
-    def __init__(self, make: Callable[[str], object], most: int, longest: int):
-        super().__init__()
-        self.make, self.most, self.longest, self.old = make, most, longest, {}
-
-    def __missing__(self, key: str) -> object:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
+FILE = "__file"
+#: Bits of a row number for the place within the file.
+PLACE_BITS = 36
 #: Keys that may be broadcast at most; each takes 8 bytes, so the table stays under 32 MB.
 BROADCAST_KEYS = 4_000_000
+#: File names that may be broadcast at most.
+BROADCAST_FILES = 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """Number rows; stable between evaluations as long as ``docs`` is a plain scan of files."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row number that stays the same however often, and however split, the rows are read.
 
-
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` (a plain scan) minus the rows whose number is in ``gone``.
+    For a scan of files it is the number of the file (in order of their paths) and the row's place within the file. Rows
+    that come from anything else are written with their numbers first, and rows with numbers are left alone.
+    """
+    if ROW in docs.columns:
+        return docs
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+    except AnalysisException:
+        return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    paths = docs.select(F.col("_metadata.file_path").alias(FILE)).distinct().toPandas()[FILE].sort_values()  # names of files only
+    spark = docs.sparkSession
+    if len(paths) == 1:
+        return rows.drop(FILE)
+    files = spark.createDataFrame([(p, k << PLACE_BITS) for k, p in enumerate(paths)], f"{FILE} string, __base long")
+    if len(paths) <= BROADCAST_FILES:
+        files = F.broadcast(files)
+    return rows.join(files, FILE).withColumn(ROW, F.col(ROW) + F.col("__base")).drop(FILE, "__base")
+
+
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The ``numbered`` rows minus those whose number is in ``gone``, without their numbers.
 
     The list of numbers is counted first: up to BROADCAST_KEYS it is broadcast, beyond it both sides are shuffled.
     """
     gone = materialize(gone.select(ROW), "gone")
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return with_row(docs).join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
-__all__ = ["BROADCAST_KEYS", "ROW", "Memo", "materialize", "read_table", "scratch_path", "with_row", "without_rows"]
+__all__ = ["BROADCAST_KEYS", "ROW", "materialize", "numbered", "read_table", "scratch_path", "without_rows"]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, with_row
+from factlens.llm.common import BROADCAST_KEYS, ROW, materialize
 from factlens.llm.components import components
 
 SEED = 42
@@ -87,7 +87,7 @@ def prefixes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             arrays = [batch.column(ROW), batch.column("doc_id"), pa.array(marks, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "doc_id", "digest", "n", "prefix"])
 
-    rows = with_row(docs.select(F.col("doc_id").cast("long"), "text")).select(ROW, "doc_id", "text")
+    rows = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, f"{ROW} long, doc_id long, digest binary, n long, prefix array<long>")
 
 
@@ -101,7 +101,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     if rows.count() <= BROADCAST_KEYS:
         rows = F.broadcast(rows)
-    return with_row(docs.select("text")).join(rows, ROW, "left_semi").select(ROW, "text").mapInArrow(run, f"{ROW} long, shingles array<long>")
+    return docs.select(ROW, "text").join(rows, ROW, "left_semi").select(ROW, "text").mapInArrow(run, f"{ROW} long, shingles array<long>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def links(docs: DataFrame, found: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def similar(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Row number, doc_id and group of every document of ``docs`` (a plain scan): the texts linked, directly or over others.
+    """Row number, doc_id and group of every document of ``docs`` (numbered rows): the texts linked, directly or over others.
 
     Texts without a word are alike. Repeated rows come back as often as they are there.
     """

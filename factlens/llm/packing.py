@@ -9,54 +9,93 @@ short list of rank intervals per length; pieces get their rank within their leng
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
-import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factlens.llm.common import Memo, materialize, read_table
+from factlens.llm.common import ROW, materialize, numbered, read_table
 
 WINDOW = 2048
 END_ID = 1
 #: A rank is counted within at most about so many pieces; lengths with more are dealt over several groups.
 RANK_GROUP = 2_000
-#: Words whose ids a worker remembers (in each of two generations), and the longest word that it remembers.
-CACHE_WORDS, CACHE_LEN = 120_000, 64
+#: Bytes of pre-tokens and ids that a worker remembers, and bytes of text that are tokenized at once.
+CACHE_BYTES, STRETCH = 48_000_000, 4_000_000
 
-#: White space of the Unicode property; str.split() also splits at U+001C to U+001F, which are not in it.
+#: White space of the Unicode property; splitting words otherwise also cuts at U+001C to U+001F, which are not in it.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
-#: The tokenizer's own pre-tokens, for words without characters from this one on.
-PRE_TOKEN, SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", "\u0250"
+SEPARATORS = "[\x1c-\x1f]"
+#: The tokenizer's own pre-tokens, and characters beyond plain Latin, whose words go through the whole tokenizer.
+PRE_TOKEN, BEYOND = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", r"[^\x{0}-\x{24f}]|\x{130}"
+
+
+class Remembered:
+    """Ids of strings met before, in arrays (no object for each string); all are forgotten beyond ``most`` bytes."""
+
+    def __init__(self, make: Callable[[list[str]], list[list[int]]], most: int):
+        self.make, self.most = make, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.table, self.lengths = pa.array([], pa.large_string()), np.empty(0, np.uint32), np.empty(0, np.int32)
+
+    def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where those of each of ``distinct`` start and how many they are."""
+        if self.known.nbytes + self.table.nbytes + self.lengths.nbytes > self.most:
+            self.forget()
+        at = pc.index_in(distinct, value_set=self.known)
+        if at.null_count:
+            new = distinct.filter(at.is_null())
+            made = self.make(new.to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
+            self.table = np.concatenate([self.table, np.array(list(itertools.chain.from_iterable(made)), np.uint32)])
+            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, made), np.int32, len(made))])
+            at = pc.index_in(distinct, value_set=self.known)
+        place = at.to_numpy(zero_copy_only=False)
+        starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        return self.table, starts[place], self.lengths[place].astype(np.int64)
+
+
+def gather(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``table`` numbered ``at``, one after the other, and where each ends."""
+    n = lengths[at]
+    ends = np.cumsum(n)
+    return table[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)], ends
+
+
+def list_ends(lists: pa.Array) -> np.ndarray:
+    """Zero, and where each list ends among the values of all."""
+    return np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose pre-tokens never reach over white space, word by word with a cache.
+    """Ids of whole texts by a tokenizer whose pre-tokens never reach over white space, each distinct string once.
 
-    A new word of plain Latin text is lower-cased, cut into pre-tokens and given to the merges alone; any other word goes
-    through the whole tokenizer. A worker keeps its encoder, and so the cache, from task to task.
+    Texts are taken in stretches. The distinct words of a stretch are lower-cased and cut into pre-tokens, and the distinct
+    pre-tokens that aren't remembered go through the merges; ids are put together by index, without a loop over words.
+    Words beyond plain Latin go through the whole tokenizer, as do texts with one of its special tokens, which are found
+    before words are. A worker keeps its encoder, and so what it remembers, from task to task.
     """
 
     kept: ClassVar[dict[str, WordEncoder]] = {}
 
-    def __init__(self, path: str):
-        import regex
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.find = regex.compile(PRE_TOKEN).findall
-        self.tokenize = self.tokenizer.model.tokenize
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
-        self.pre_tokens = Memo(self.merge, CACHE_WORDS, CACHE_LEN)
-        self.words = Memo(self.word, CACHE_WORDS, CACHE_LEN)
+        self.pre_tokens, self.words = Remembered(self.merge, most), Remembered(self.whole, most)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -64,23 +103,55 @@ class WordEncoder:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def merge(self, token: str) -> bytes:
-        text = token if token.isascii() and token.isprintable() else "".join(map(self.letters.__getitem__, token.encode()))
-        return ids_bytes([t.id for t in self.tokenize(text)])
-
-    def word(self, word: str) -> bytes:
-        if max(word) < SIMPLE:
-            return b"".join(map(self.pre_tokens.__getitem__, self.find(word.lower())))
-        return ids_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        words = [w for w in WHITE.split(text) if w] if text and SEPARATORS.search(text) else (text or "").split()
-        return b"".join(map(self.words.__getitem__, words))
-
-
-def ids_bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    def merge(self, tokens: list[str]) -> list[list[int]]:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        texts = (t if t.isascii() and t.isprintable() else "".join(map(letters.__getitem__, t.encode())) for t in tokens)
+        return [[x.id for x in tokenize(t)] if t else [] for t in texts]
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of distinct words, and where those of each start and how many they are."""
+        beyond = pc.match_substring_regex(words, BEYOND)
+        plain = pc.utf8_lower(words.filter(pc.invert(beyond)))
+        cut = pc.split_pattern(pc.replace_substring_regex(plain, PRE_TOKEN, "\\0 "), " ")  # the last of each is empty
+        tokens = cut.flatten().dictionary_encode()
+        ids, ends = gather(*self.pre_tokens.ids(tokens.dictionary), tokens.indices.to_numpy(zero_copy_only=False))
+        bounds = np.r_[0, ends][list_ends(cut)]
+        rare, rare_starts, rare_lengths = self.words.ids(words.filter(beyond))
+        beyond = beyond.to_numpy(zero_copy_only=False)
+        starts, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[~beyond], lengths[~beyond] = bounds[:-1], np.diff(bounds)
+        starts[beyond], lengths[beyond] = rare_starts + len(ids), rare_lengths
+        return np.concatenate([ids, rare]) if len(rare_starts) else ids, starts, lengths
+
+    def together(self, words: pa.Array) -> list[bytes]:
+        """The ids of texts given as lists of words."""
+        coded = words.flatten().dictionary_encode()
+        ids, ends = gather(*self.of_words(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
+        bounds = np.r_[0, ends][list_ends(words)].tolist()
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of whole texts (null: empty) as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        out: list[bytes] = [b""] * len(texts)
+        special = functools.reduce(pc.or_, (pc.match_substring(texts, s) for s in self.special), pa.array(np.zeros(len(texts), bool)))
+        split = pc.and_not(pc.match_substring_regex(texts, SEPARATORS), special)
+        for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.array(self.whole([texts[k].as_py()])[0], "<u4").tobytes()
+        for k in np.flatnonzero(split.to_numpy(zero_copy_only=False)).tolist():
+            words = [w for w in WHITE.split(texts[k].as_py()) if w]
+            out[k] = self.together(pa.array([words], pa.large_list(pa.large_string())))[0]
+        rest = np.flatnonzero(pc.invert(pc.or_(special, split)).to_numpy(zero_copy_only=False))
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)[rest]
+        for at in np.split(rest, np.flatnonzero(np.diff(np.cumsum(sizes) // STRETCH)) + 1):
+            if len(at):
+                found = self.together(pc.utf8_split_whitespace(texts.take(pa.array(at))))
+                for k, ids in zip(at.tolist(), found, strict=True):
+                    out[k] = ids
+        return out
 
 
 def byte_letters() -> list[str]:
@@ -92,27 +163,27 @@ def byte_letters() -> list[str]:
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Tokenize whole texts and cut each at multiples of ``window``: doc_id, start, length, ids_crc32, doc_tokens."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encoder.encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                ids += end
                 n = len(ids) // 4
                 rows += [(doc_id, k, min(window, n - k), zlib.crc32(ids[4 * k : 4 * (k + window)]), n) for k in range(0, n, window)]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def combinations(counts: dict[int, int], window: int, most: int = 20_000) -> np.ndarray:
     """Rows of up to three lengths (zero for none) that occur and add up to ``window`` exactly.
 
-    Singles and pairs are all there; triples are taken from a grid over their two larger lengths, as many as ``most``.
+    Singles and pairs are all there. Triples are thinned to about ``most`` (a grid over their larger lengths): they only
+    shape the plan, and whatever it leaves over is packed all the same.
     """
     have = np.zeros(window + 1, bool)
     have[[k for k in counts if k <= window]] = True
@@ -205,16 +276,18 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def ranked(found: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """``found`` with the rank of each piece within its length, counted in groups of about RANK_GROUP."""
+    """``found`` (written, see ``numbered``) with the rank of each piece within its length, counted in groups of about RANK_GROUP.
+
+    Groups are dealt by row number, so that pieces repeated in full do not meet in one of them.
+    """
     spark = found.sparkSession
     groups = spark.createDataFrame([(k, max(1, -(-n // RANK_GROUP))) for k, n in counts.items()], "length long, groups long")
-    order = ["doc_id", "start", "ids_crc32"]
-    dealt = found.join(F.broadcast(groups), "length").withColumn("group", F.pmod(F.xxhash64(*order), "groups")).drop("groups")
+    dealt = numbered(found).join(F.broadcast(groups), "length").withColumn("group", F.pmod(F.xxhash64(ROW), "groups")).drop("groups")
     sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("size"))
     w = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("length", "group", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("length", "group").orderBy(*order)) - 1
-    return dealt.withColumn("place", place).join(before, ["length", "group"]).withColumn("rank", F.col("place") + F.col("before")).drop("place", "before", "group")
+    place = F.row_number().over(Window.partitionBy("length", "group").orderBy(ROW)) - 1
+    return dealt.withColumn("place", place).join(before, ["length", "group"]).withColumn("rank", F.col("place") + F.col("before")).drop("place", "before", "group", ROW)
 
 
 def pack(found: DataFrame, window: int = WINDOW) -> DataFrame:

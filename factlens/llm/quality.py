@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, read_table, with_row, without_rows
+from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, numbered, read_table, without_rows
 
 #: Known words at most; ids take 16 bits, 0 is the start of a text and 1 the unknown word.
 VOCABULARY = 65_534
@@ -293,7 +293,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
 
     Returns row number, doc_id, lang, n_words, perplexity, threshold and kept.
     """
-    rows = with_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    rows = numbered(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     trusted = trusted_ids(labels)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))
@@ -321,8 +321,9 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (a plain scan) without those that are rejected."""
-    return without_rows(docs, judge(docs, labels).filter(~F.col("kept")))
+    """``docs`` without those that are rejected; all columns stay."""
+    rows = numbered(docs)
+    return without_rows(rows, judge(rows, labels).filter(~F.col("kept")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, with_row, without_rows
+from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, numbered, without_rows
 from factlens.llm.components import components
 from factlens.llm.jaccard import digests, similar
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             fps = np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(fps)], names=[ROW, "doc_id", "fp"])
 
-    rows = with_row(docs.select(F.col("doc_id").cast("long"), "text")).select(ROW, "doc_id", "text")
+    rows = numbered(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, f"{ROW} long, doc_id long, fp long")
 
 
@@ -217,10 +217,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHI
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` (a plain scan) with one document of each group of similar texts: the smallest doc_id, of repeated rows one.
+    """``docs`` with one document of each group of similar texts: the smallest doc_id, of repeated rows one.
 
     Similar are five-word shingles with a Jaccard similarity of at least 0.8, directly or over others; see ``jaccard``.
     """
-    found = materialize(similar(docs), "near")
+    rows = numbered(docs)
+    found = materialize(similar(rows), "near")
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return without_rows(docs, found.join(first, ROW, "left_anti"))
+    return without_rows(rows, found.join(first, ROW, "left_anti"))

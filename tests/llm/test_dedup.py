@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from factlens.llm import exact_dedup, jaccard, simhash
-from factlens.llm.common import scratch_path
+from factlens.llm.common import ROW, numbered, scratch_path, without_rows
 
 
 def normal(text):
@@ -27,6 +27,37 @@ def test_exact_dedup_against_brute_force(docs):
     assert sum(r.kept for r in found) == len(groups)
 
 
+def test_row_numbers_do_not_depend_on_the_split(spark, docs):
+    """Numbers made while the scan was split in one way find their rows when it is split in another."""
+    key, seen = "spark.sql.files.minPartitionNum", []
+    try:
+        for n in ("1", "40"):
+            spark.conf.set(key, n)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1" if n == "40" else "4194304")
+            seen.append({r[ROW]: (r.doc_id, r.text) for r in numbered(docs).collect()})
+            if n == "1":
+                gone = spark.createDataFrame([(k,) for k, (i, _) in seen[0].items() if i is not None and i % 2 == 0], f"{ROW} long")
+        assert seen[0] == seen[1] and len(seen[0]) == docs.count()
+        left = without_rows(numbered(docs), gone).collect()
+        assert sorted(str(r.doc_id) for r in left) == sorted(str(i) for i, _ in seen[0].values() if i is None or i % 2) and left[0].__fields__ == docs.columns
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    made = numbered(spark.range(20).selectExpr("id AS doc_id", "rand() AS text"))
+    assert made.orderBy(ROW).collect() == made.orderBy(ROW).collect()
+
+
+def test_index_decides_across_batches(spark):
+    """The first batch's texts are found in the index by the second one, and only new ones are appended."""
+    rows = [spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "a b"), (2, "ab"), (3, "c")], [(0, "a  b "), (4, "d"), (5, "d")], [])]
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index"), 3)
+    got = [{r.doc_id: (r.keep_id, r.kept, r.group_size) for r in exact_dedup.dedupe(x, index, str(k)).collect()} for k, x in enumerate(rows)]
+    assert got == [{1: (1, True, 2), 2: (1, False, 2), 3: (3, True, 1)}, {0: (1, False, 1), 4: (4, True, 2), 5: (4, False, 2)}, {}]
+    held = index.read().collect()
+    assert sorted(r.keep_id for r in held) == [1, 3, 4] and len({r.batch for r in held}) == 2
+    index.close()
+
+
 def test_index_persists_between_batches(spark, docs):
     path = scratch_path(spark, "index")
     index = exact_dedup.DigestIndex(spark, path, 4)

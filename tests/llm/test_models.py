@@ -109,7 +109,7 @@ def test_licenses(spark, docs, empty):
         (None, "Released under the MIT License."),
         ("/q/z.py", ""),
     ]
-    rows = spark.createDataFrame(files, "path string, text string").withColumn("license", quality.F.lit("clash"))
+    rows = spark.createDataFrame(files, "path string, text string").withColumn("license", quality.F.lit("clash")).withColumn("doc_id", quality.F.lit(7).cast("long"))
     found = {r.path: r for r in licenses.inherit(licenses.scan(rows)).collect()}
     assert found["/a/LICENSE"].license == "MIT" and found["/a/b/y.py"].license == "Apache-2.0" and found["/a/b/y.py"].origin == "own"
     assert (found["/a/b/c/x.py"].license, found["/a/b/c/x.py"].license_dir) == ("GPL-3.0", "/a/b")

@@ -42,7 +42,6 @@ def test_stitching_random_texts():
 
 def test_packing(docs):
     own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    own.encode_special_tokens = True
     texts = [(r.doc_id, np.array([*own.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")) for r in docs.collect()]
     found = packing.pack_documents(docs).collect()
     want = sorted((str(d), k, min(2048, len(x) - k), zlib.crc32(x[k : k + 2048].tobytes()), len(x)) for d, x in texts for k in range(0, len(x), 2048))
@@ -58,6 +57,17 @@ def test_packing(docs):
         assert at <= 2048
 
 
+def test_words_encode_as_the_tokenizer_does():
+    own, rng = Tokenizer.from_file(P.path("word_bpe_49k.json")), random.Random(3)
+    texts = [None, "", "   ", "end <|endoftext|> of <|startoftext|> x", "a\x1cb <|endoftext|>c", "<|EndOfText|>", "İstanbul ǅx ΑΣ 北京 💡", "x²³ ª 12'345 don''t 'll'll y\x85z", "ŉ ß ẞ", "a\u0301e"]
+    for letters in ("aAzZéÉßİıǅ'’.,19²\t \n \x1c\x0b<|>stl", "".join(map(chr, range(0x250)))):
+        texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    encoder = packing.WordEncoder(P.path("word_bpe_49k.json"), 10_000)
+    for k in range(0, len(texts), 300):
+        found = encoder.encode(packing.pa.array(texts[k : k + 300], packing.pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [own.encode(t or "", add_special_tokens=False).ids for t in texts[k : k + 300]]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_uses_every_piece_and_wastes_little(seed):
     rng = np.random.default_rng(seed)
