@@ -1,8 +1,11 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into flat blocks at block-level tags. A block's features are its word count and link density, those of the
-blocks before and after it, and where it stands; a decision tree, grown from a small labelled table, tells article blocks
-from the rest. Pages are independent rows: there is no shuffle.
+blocks before and after it, what its surroundings' tags and names say, and word count and link density of the element that
+says so. A decision tree tells article blocks from the rest; it is grown from the blocks of a small table of labelled pages.
+Names only weigh in: an element that holds the title or the article and most of the page's words is the page's frame,
+whatever it is called, and blocks under a telling name are kept or dropped by counts and densities like all others.
+Pages are independent rows: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,7 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"
 NAMING = frozenset("class id role".split())
 HIDDEN = re.compile(r"""\shidden(?:[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PART = re.compile(r"[a-z]+")
+MAIN_ROLE = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.I)
 
 # HTML elements by role.
 BLOCK = frozenset(
@@ -37,60 +42,67 @@ MAIN_TAGS = frozenset("article main".split())
 SECTION = BOILER_TAGS | MAIN_TAGS | {"header", "body"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in a class, id or role that mark what isn't the article.
-BOILER_NAMES = frozenset(
-    "ad ads advert advertisement adverts banner banners breadcrumb breadcrumbs byline comment commentlist comments consent contentinfo cookie "
-    "cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter popup promo promotion "
-    "sidebar signup skip sponsor sponsored subscribe subscription toolbar widget widgets".split()
-)
-#: Words there that name parts of articles as well.
-UNSURE_NAMES = frozenset("header login notice notices related replies reply respond search share sharing social".split())
-
-#: Small labelled table: words, link density, words and link density before, the same after, stands under a tag or a name that
-#: marks boilerplate (1), stands in the article (1), beside one (0) or on a page without one (0.5), is a heading; then the label.
-LABELLED = [
-    # articles
-    (120, 0.00, 80, 0.00, 95, 0.00, 0, 1.0, 0, 1), (60, 0.02, 9, 0.00, 70, 0.00, 0, 1.0, 0, 1), (9, 0.00, 8, 0.00, 60, 0.00, 0, 1.0, 1, 1),
-    (1, 0.00, 40, 0.00, 55, 0.00, 0, 1.0, 0, 1), (2, 0.00, 1, 0.00, 3, 0.00, 0, 1.0, 0, 1), (35, 0.00, 6, 1.00, 12, 0.00, 0, 1.0, 0, 1),
-    (14, 0.40, 50, 0.00, 50, 0.10, 0, 1.0, 0, 1), (6, 1.00, 70, 0.00, 80, 0.00, 0, 1.0, 0, 1), (4, 0.00, 1, 1.00, 0, 0.00, 0, 1.0, 1, 1),
-    (300, 0.01, 2, 0.00, 9, 0.00, 0, 1.0, 0, 1), (22, 0.00, 30, 0.00, 11, 0.00, 0, 1.0, 0, 1), (5, 0.00, 6, 0.00, 90, 0.00, 0, 1.0, 1, 1),
-    (3, 0.00, 25, 0.00, 14, 0.00, 0, 1.0, 0, 1), (1, 0.00, 0, 0.00, 0, 0.00, 0, 1.0, 0, 1), (10, 0.30, 1, 0.00, 2, 0.00, 0, 1.0, 0, 1),
-    # beside an article
-    (8, 0.00, 1, 1.00, 9, 0.00, 0, 0.0, 0, 0), (15, 0.00, 1, 1.00, 5, 0.00, 0, 0.0, 0, 0), (40, 0.00, 90, 0.00, 0, 0.00, 0, 0.0, 0, 0),
-    (3, 1.00, 2, 1.00, 2, 1.00, 0, 0.0, 0, 0), (25, 0.10, 60, 0.00, 0, 0.00, 0, 0.0, 0, 0), (2, 0.00, 0, 0.00, 1, 1.00, 0, 0.0, 1, 0),
-    (110, 0.00, 30, 0.00, 20, 0.00, 0, 0.0, 0, 0), (12, 0.50, 3, 0.00, 3, 0.00, 0, 0.0, 0, 0), (1, 0.00, 70, 0.00, 60, 0.00, 0, 0.0, 0, 0),
-    # under navigation, footers, asides, forms, adverts, notices or comments
-    (1, 1.00, 1, 1.00, 1, 1.00, 1, 0.0, 0, 0), (10, 0.00, 60, 0.00, 0, 0.00, 1, 0.0, 0, 0), (45, 0.00, 50, 0.00, 40, 0.00, 1, 1.0, 0, 0),
-    (9, 0.00, 70, 0.00, 80, 0.00, 1, 1.0, 0, 0), (80, 0.00, 3, 0.00, 4, 0.00, 1, 0.5, 0, 0), (4, 0.00, 5, 0.00, 8, 0.00, 1, 0.5, 1, 0),
-    (30, 0.05, 20, 0.00, 25, 0.00, 1, 0.0, 0, 0), (150, 0.00, 90, 0.00, 2, 0.50, 1, 1.0, 0, 0), (2, 0.00, 1, 0.00, 12, 0.00, 1, 1.0, 1, 0),
-    (3, 1.00, 3, 1.00, 90, 0.00, 1, 0.5, 0, 0), (18, 0.00, 2, 1.00, 95, 0.00, 1, 0.5, 0, 0), (5, 0.00, 110, 0.00, 1, 1.00, 1, 1.0, 0, 0),
-    # pages without an article element
-    (70, 0.00, 40, 0.00, 60, 0.00, 0, 0.5, 0, 1), (25, 0.05, 60, 0.00, 9, 0.00, 0, 0.5, 0, 1), (12, 0.00, 55, 0.00, 40, 0.00, 0, 0.5, 0, 1),
-    (7, 0.00, 2, 1.00, 80, 0.00, 0, 0.5, 1, 1), (4, 0.00, 60, 0.00, 70, 0.00, 0, 0.5, 1, 1), (6, 0.00, 45, 0.00, 30, 0.00, 0, 0.5, 0, 1),
-    (18, 0.20, 30, 0.00, 40, 0.00, 0, 0.5, 0, 1), (140, 0.03, 3, 1.00, 5, 0.50, 0, 0.5, 0, 1), (30, 0.00, 5, 0.00, 2, 1.00, 0, 0.5, 0, 1),
-    (2, 1.00, 2, 1.00, 3, 1.00, 0, 0.5, 0, 0), (1, 0.00, 1, 1.00, 2, 1.00, 0, 0.5, 0, 0), (20, 0.80, 4, 1.00, 6, 0.90, 0, 0.5, 0, 0),
-    (4, 0.00, 2, 1.00, 1, 1.00, 0, 0.5, 0, 0), (6, 0.00, 3, 0.00, 4, 0.00, 0, 0.5, 0, 0), (9, 0.60, 80, 0.00, 3, 1.00, 0, 0.5, 0, 0),
-    (35, 0.70, 40, 0.60, 30, 0.80, 0, 0.5, 0, 0), (3, 0.00, 4, 0.00, 2, 1.00, 0, 0.5, 1, 0), (5, 0.00, 90, 0.00, 0, 0.00, 0, 0.5, 0, 0),
-]
-
-
-#: The same without the seventh column for blocks under names that may mark boilerplate: in articles, on pages without one, beside one.
-LABELLED_UNSURE = [
-    (2, 1.00, 2, 1.00, 24, 0.00, 1.0, 0, 0), (1, 1.00, 1, 1.00, 90, 0.00, 1.0, 0, 0), (3, 1.00, 40, 0.00, 50, 0.00, 1.0, 0, 0), (2, 1.00, 30, 0.00, 60, 0.00, 1.0, 1, 0),
-    (2, 0.00, 60, 0.00, 5, 1.00, 1.0, 1, 0), (3, 0.00, 1, 1.00, 8, 1.00, 1.0, 1, 0), (2, 0.00, 40, 0.00, 30, 0.90, 1.0, 1, 0), (4, 0.00, 70, 0.00, 6, 1.00, 1.0, 1, 0),
-    (4, 0.00, 1, 1.00, 24, 0.00, 1.0, 1, 1), (4, 0.00, 30, 0.00, 40, 0.00, 1.0, 0, 1), (4, 0.00, 2, 1.00, 90, 0.00, 1.0, 1, 1), (3, 0.00, 1, 1.00, 60, 0.00, 1.0, 1, 1),
-    (2, 0.00, 1, 1.00, 40, 0.00, 0.0, 0, 0), (3, 0.00, 50, 0.00, 30, 0.00, 0.0, 1, 0), (1, 0.00, 20, 0.00, 60, 0.00, 0.0, 0, 0), (4, 0.00, 9, 0.00, 50, 0.00, 0.5, 1, 1),
-    (5, 0.00, 1, 1.00, 60, 0.00, 1.0, 1, 1), (9, 0.00, 2, 1.00, 30, 0.00, 1.0, 1, 1), (20, 0.00, 3, 1.00, 25, 0.00, 1.0, 0, 1), (90, 0.00, 4, 1.00, 70, 0.00, 1.0, 0, 1),
-    (60, 0.00, 20, 0.00, 2, 1.00, 1.0, 0, 1), (24, 0.00, 2, 0.00, 2, 1.00, 1.0, 0, 1), (110, 0.10, 70, 0.00, 6, 1.00, 1.0, 0, 1), (45, 0.00, 1, 1.00, 3, 1.00, 1.0, 0, 1),
-    (60, 0.00, 50, 0.00, 40, 0.00, 1.0, 0, 1), (9, 0.00, 70, 0.00, 80, 0.00, 1.0, 0, 1), (25, 0.05, 4, 0.00, 30, 0.00, 1.0, 0, 1),
-    (12, 0.00, 3, 0.00, 9, 0.00, 1.0, 0, 1), (140, 0.03, 30, 0.00, 2, 0.00, 1.0, 0, 1), (3, 0.00, 40, 0.00, 50, 0.00, 1.0, 0, 1),
-    (5, 0.00, 0, 0.00, 60, 0.00, 1.0, 1, 1), (2, 0.00, 45, 0.00, 12, 0.00, 1.0, 1, 1), (8, 0.00, 2, 1.00, 3, 0.00, 1.0, 1, 1),
-    (1, 1.00, 60, 0.00, 1, 1.00, 1.0, 0, 0), (2, 0.00, 50, 0.00, 1, 1.00, 1.0, 1, 0), (12, 0.90, 2, 0.00, 10, 0.90, 1.0, 0, 0),
-    (7, 1.00, 8, 1.00, 6, 1.00, 1.0, 0, 0), (2, 0.00, 1, 1.00, 1, 1.00, 1.0, 0, 0), (30, 0.70, 20, 0.60, 25, 0.80, 1.0, 0, 0),
-    (70, 0.00, 40, 0.00, 60, 0.00, 0.5, 0, 1), (40, 0.05, 5, 0.00, 30, 0.00, 0.5, 0, 1), (5, 0.00, 40, 0.00, 60, 0.00, 0.5, 1, 1),
-    (4, 0.00, 0, 0.00, 2, 1.00, 0.5, 1, 0), (3, 1.00, 2, 1.00, 90, 0.00, 0.5, 0, 0), (12, 0.00, 2, 1.00, 8, 0.00, 0.5, 0, 0),
-    (2, 0.00, 60, 0.00, 1, 1.00, 0.5, 0, 0), (45, 0.00, 50, 0.00, 30, 0.00, 0.0, 0, 0), (4, 0.00, 1, 1.00, 20, 0.00, 0.0, 1, 0),
-]
+#: Words in a class, id or role that mark what isn't the article, by how telling they are: those of the second kind also name
+#: what a long section of an article may be about, those of the third are names of parts of articles as well.
+TELLING = {
+    1.0: frozenset(
+        "ad ads advert advertisement adverts breadcrumb breadcrumbs byline comment commentlist comments contentinfo "
+        "disclaimer disqus footer gdpr masthead modal nav navbar newsletter popup promo sidebar signup skip sponsored toolbar".split()
+    ),
+    0.75: frozenset("banner banners consent cookie cookies menu navigation promotion sponsor subscribe subscription widget widgets".split()),
+    0.5: frozenset("header login notice notices related replies reply respond search share sharing social".split()),
+}
+
+#: An element that holds the title or the article and this share of the page's words is its frame.
+FRAME_SHARE = 0.5
+#: Small labelled table: pages whose {n} stands for n words of the article and [n] for n words of anything else.
+LABELLED = (
+    # article elements between menus, adverts and footers
+    "<nav><ul><li><a>[1]</a><li><a>[1]</a><li><a>[2]</a></ul></nav><div class=ad>[9]</div><article><h1>{9}</h1><p>{60}<p>{120}<p>{1}<p>{35}</article><footer>[12]</footer>",
+    "<header>[3]<nav><a>[1]</a> <a>[1]</a></nav></header><article><h1>{1}</h1><p>{300}</p></article><div>[15]</div><footer>[2] <a>[2]</a></footer>",
+    "<nav><a>[1]</a></nav><div class=ad>[4]</div><article><h1>{12}</h1><p>{14}<p>{1}</p></article><footer>[9]</footer>",
+    "<nav><a>[1]</a></nav><div class=ad>[30]</div><article><h1>{3}</h1><p>{2}</p></article><footer>[30]</footer>",
+    "<nav><a>[1]</a><a>[1]</a></nav><div class=advert>[110]</div><article><h1>{4}</h1><p>{8}<p>{25}<p>{5}</article><footer>[6]</footer>",
+    "<article><h1>{5}</h1><p>{30}<p>{4}<p>{1}<p>{60}<p>{3}<p>{2}<p>{1}<p>{4}</article>", "<article><h1>{2}</h1><p>{1}<p>{2}<p>{3}<p>{1}<p>{1}</article>",
+    "<article><h1>{8}</h1><p>{2}<p>{5}<p>{2}<p>{1}<p>{18}<p>{4}<p>{2}<p>{9}<p>{3}<p>{1}<p>{400}<p>{1}<p>{2}<p>{70}<p>{4}<p>{25}<p>{2}</article><footer>[40]</footer>",
+    "<article><h1>{20}</h1><p>{3}<p>{1}<p>{4}<p>{4}<p>{2}<p>{14}<p>{1}<p>{12}<p>{4}<p>{1}</article>", "<main><h1>{1}</h1><p>{4}<h2>{1}</h2><p>{2}<h2>{2}</h2><p>{1}<p>{4}</main><footer>[1]</footer>",
+    "<article><p>{1}</p></article>", "<div class=ad>[12]</div><article><p>{6}</p></article>",
+    # lists, quotes and links within articles; lists of links at their ends
+    "<main><h1>{6}</h1><p>{50}<ul><li>{2}<li>{3}<li>{10}</ul><p>{14} <a>{9}</a> {20}<h2>{3}</h2><p>{40}<ul><li><a>{7}</a><li><a>{6}</a><li><a>{9}</a></ul><p>{30}</main>",
+    "<article><h1>{7}</h1><p>{90}<blockquote>{12}</blockquote><p>{70}<p><a>{6}</a><p>{80}<ul><li><a>[1]</a><li><a>[2]</a><li><a>[2]</a><li><a>[1]</a></ul></article>",
+    "<article><ul><li><a>[1]</a><li><a>[2]</a><li><a>[2]</a></ul><h1>{8}</h1><p>{45}<p>{60}<p><a>[2]</a><p><a>[2]</a><p><a>[1]</a></article>",
+    # notices and titles beside an article
+    "<div>[18]</div><article><h1>{6}</h1><p>{60}<p>{30}</article><div>[25]</div>", "<div>[40]</div><div>[9]</div><article><p>{90}<p>{30}</article>",
+    "<div>[18]</div><article><p>{26}<p>{50}</article><div>[110]</div><div>[3]</div>", "<p>[12]</p><article><p>{45}</article>", "<div><p>[70]</p></div><article><h1>{5}</h1><p>{200}</article>",
+    "<nav><a>[1]</a><a>[1]</a></nav><h1>{7}</h1><article><p>{60}<p>{30}</article><h2>[2]</h2><p>[25]</p>", "<h1>{9}</h1><article><p>{90}<p>{45}</article><h3>[3]</h3><div><a>[6]</a></div>",
+    # boilerplate within articles
+    "<article><h1>{5}</h1><p>{70}<div class=ad>[20]</div><p>{80}<div class=newsletter><h3>[3]</h3><p>[12]</p></div><p>{40}<div class=comments><h2>[1]</h2><p>[9]<p>[45]<p>[30]<p>[12]</div></article>",
+    "<article><h1>{9}</h1><p>{55}<p>{45}<aside>[18]</aside><p>{60}<form>[4]</form><div class=cookie>[25]</div><div class=comment>[60]</div><div class=comment>[4]</div></article>",
+    "<article><h1>{5}</h1><p>{45}<div class=share><a>[2]</a> <a>[2]</a></div><p>{70}<div class=related><h3>[2]</h3><ul><li><a>[6]</a><li><a>[7]</a></ul></div></article>",
+    "<article><div class=header><a>[1]</a> <a>[1]</a></div><h1>{5}</h1><p>{24}<p>{45}<div class=related><h3>[3]</h3><ul><li><a>[4]</a></ul></div></article>",
+    "<article><h1>{5}</h1><div class=share><ul><li><a>[1]</a><li><a>[1]</a></ul></div><p>{80}<p>{45}<div class=search>[1]</div><div class=notice>[2]</div></article>",
+    "<article><h1>{6}</h1><p>{60}<p>{90}<div class=comments><h3>[2]</h3><p>[60]<p>[12]<p>[80]<p>[45]<p>[150]<p>[9]<p>[30]<p>[110]<p>[4]<p>[22]<p>[70]<p>[18]</div></article>",
+    "<article><h1>{6}</h1><p>{120}</article><section class=comments><p>[90]<p>[140]<p>[25]<p>[100]<p>[8]</section><aside><p>[180]<p>[60]</aside><div class=cookies>[300]</div><footer>[200]</footer>",
+    "<h1>{6}</h1><p>{120}<p>{60}<div id=disqus><p>[90]<p>[16]<p>[25]<p>[100]<p>[8]<p>[60]</div><div class=newsletter>[160]</div><div class=promo><p>[100]<p>[90]</div>",
+    "<article><h1>{6}</h1><p>{60}<p>{90}<div class=comments><p>[95]<p>[120]</div></article>", "<article><h1>{4}</h1><p>{90}<div class=promo>[100]</div><p>{70}<div class=banner>[15]</div><p>{70}</article>",
+    # parts of articles under such names
+    "<article><div class=header><h1>{4}</h1></div><p>{24}<section id=search><h2>{3}</h2><p>{24}<p>{2}<p>{26}</section><h2 id=related>{2}</h2><p>{25}<section id=social><p>{30}</section></article>",
+    "<article><h1>{4}</h1><p>{25}<p>{20}<section id=social><p>{24}</p></section><div class=share><a>[1]</a> <a>[2]</a></div></article>", "<article><p>{50}<p class=notice>{20}<div class=reply>{16}</div></article>",
+    "<article><h1>{6}</h1><p>{90}<p class=share>{9}<p class=notice>{30}<h2 id=search>{4}</h2><p>{60}<div class=related><p>{45}<p>{60}</div></article>",
+    "<article><h1>{6}</h1><section id=widgets><h2>{3}</h2><p>{90}<p>{120}<p>{75}</section><section id=navigation><h2>{3}</h2><p>{85}<p>{110}</section></article>",
+    "<article><h1>{6}</h1><section id=cookies><h2>{2}</h2><p>{100}<p>{80}</section><p>{60}<p class=share>{14}<p>{40}</article>",
+    # frames
+    "<div class=sidebar><article><h1>{5}</h1><p>{60}<p>{12}</article><aside>[20]</aside></div>", "<form><nav><a>[1]</a></nav><article><h1>{6}</h1><p>{70}<p>{9}</article></form>",
+    "<div class=comments><nav><a>[1]</a><a>[1]</a></nav><h1>{6}</h1><p>{70}<p>{60}<p>{50}<div class=footer>[9]</div></div>",
+    # no article element
+    "<div class=menu><a>[1]</a> <a>[1]</a></div><h1>{6}</h1><p>{70}<p>{25}<p>{12}<p>{6}<p>{40}<p>{3}<p>{60}<div class=footer>[10]</div>",
+    "<ul><li><a>[1]</a><li><a>[1]</a><li><a>[2]</a></ul><h1>{7}</h1><p>{55}<p>{12}<p>{140} <a>{4}</a><h2>{4}</h2><p>{70}<ul><li><a>[3]</a><li><a>[2]</a><li><a>[3]</a></ul><p>[6]</p>",
+    "<header><a>[2]</a></header><div><h1>{5}</h1><div>{90}</div><div>{18} <a>{4}</a></div><div>{40}</div></div><div><a>[7]</a> [2] <a>[8]</a></div><div><a>[9]</a></div><footer>[5]</footer>",
+    "<div><a>[1]</a></div><div><a>[2]</a></div><p>{30}</p><div><a>[1]</a></div>", "<p>{20}</p>", "<div>{15}</div><div>{9}</div><div>{22}</div>", "<h1>{4}</h1><p>{5}</p><p>{9}</p>",
+    "<div><a>[2]</a></div><div><a>[9]</a> [4]</div><div><a>[6]</a> [1]</div><div><a>[3]</a></div>", "<h3>[3]</h3><div><a>[2]</a></div><div><a>[4]</a></div><div>[4]</div><div><a>[1]</a></div>",
+    "<div class=header><h1>{6}</h1></div><p>{60}<p>{9}<div class=search>[1]</div><div class=related><h3>[2]</h3><a>[7]</a></div><div class=comments><p>[40]<p>[12]</div>",
+    "<h1>{5}</h1><p>{45}<p>{60}<div class=sidebar><h3>[2]</h3><p>[25]</p><p>[9]</p></div><div class=sponsored>[30]</div><aside><p>[60]</p></aside>",
+)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
@@ -118,31 +130,55 @@ def decide(tree: tuple, row: tuple) -> bool:
 
 
 def marked(attributes: str) -> float:
-    """Whether a class, id or role marks boilerplate (1), may mark it (0.5) or doesn't (0)."""
+    """How tellingly a class, id or role marks boilerplate (0: not at all)."""
     found = 0.0
     for name, *values in ATTRIBUTE.findall(attributes):
         if name.lower() in NAMING:
             words = PART.findall("".join(values).lower())
-            found = max(found, 0.0 if BOILER_NAMES.isdisjoint(words) else 1.0, 0.0 if UNSURE_NAMES.isdisjoint(words) else 0.5)
+            found = max(found, *(0.0 if names.isdisjoint(words) else telling for telling, names in TELLING.items()))
     return found
 
 
-def blocks(page: str) -> list[tuple[str, float, float, bool, bool]]:
-    """Flat text blocks in page order: text, link density, under boilerplate (1, or 0.5 if unsure), in the article, heading."""
-    out: list[tuple[str, float, float, bool, bool]] = []
-    stack: list[tuple[str, float, bool, bool]] = []  # element, boilerplate, article, skipped
+@dataclass
+class Mark:
+    """An element whose tag or name may say what it is: how telling that is, and what it holds."""
+
+    telling: float
+    above: int
+    words: int = 0
+    linked: int = 0
+    holds: bool = False
+
+
+@dataclass
+class Block:
+    text: str
+    words: int
+    linked: int
+    mark: int
+    main: bool
+    level: int
+
+
+def blocks(page: str) -> tuple[list[Block], list[Mark]]:
+    """Flat text blocks in page order, with the innermost mark that each stands under (0: none), and the marks."""
+    out: list[Block] = []
+    marks = [Mark(0.0, 0)]
+    stack: list[tuple[str, int, bool, bool]] = []  # element, mark, in the article, skipped
     parts: list[str] = []
-    linked, links, heading = 0, 0, False
-    boiler, main, skip = 0.0, False, False
+    linked, links, level = 0, 0, 0
+    mark, main, skip = 0, False, False
 
     def flush() -> None:
-        nonlocal parts, linked, heading
+        nonlocal parts, linked, level
         if parts:
             words = "".join(parts).split()
             if words:
-                text = " ".join(words)
-                out.append((text, min(1.0, linked / len(words)), boiler, main, heading))
-        parts, linked, heading = [], 0, False
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), mark, main, level))
+                marks[mark].words += len(words)
+                marks[mark].linked += out[-1].linked
+                marks[mark].holds |= level == 1
+        parts, linked, level = [], 0, 0
 
     def add(text: str) -> None:
         nonlocal linked
@@ -153,10 +189,10 @@ def blocks(page: str) -> list[tuple[str, float, float, bool, bool]]:
                 linked += len(text.split())
 
     def pop_to(depth: int) -> None:
-        nonlocal boiler, main, skip, links
+        nonlocal mark, main, skip, links
+        links -= sum(s[0] == "a" for s in stack[depth:])
         del stack[depth:]
-        boiler, main, skip = stack[-1][1:] if stack else (0.0, False, False)
-        links = sum(s[0] == "a" for s in stack)
+        mark, main, skip = stack[-1][1:] if stack else (0, False, False)
 
     at, end = 0, len(page)
     while at < end:
@@ -201,50 +237,81 @@ def blocks(page: str) -> list[tuple[str, float, float, bool, bool]]:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if attributes and tag not in ("html", "body") and tag not in MAIN_TAGS:
-            boiler = max(boiler, 1.0 if HIDDEN.search(attributes) else marked(attributes))
-        if tag in BOILER_TAGS or (tag == "header" and not main):
-            boiler = 1.0
-        main = main or tag in MAIN_TAGS
+        article = tag in MAIN_TAGS or bool(attributes and MAIN_ROLE.search(attributes))
+        telling = 1.0 if tag in BOILER_TAGS or (tag == "header" and not main) else 0.0
+        if attributes and tag not in ("html", "body") and not article:
+            telling = max(telling, 1.0 if HIDDEN.search(attributes) else marked(attributes))
+        if telling:
+            marks.append(Mark(telling, mark))
+            mark = len(marks) - 1
+        if article:
+            marks[mark].holds = True
+        main = main or article
         skip = skip or tag in SKIP
-        stack.append((tag, boiler, main, skip))
+        stack.append((tag, mark, main, skip))
         links += tag == "a"
         if tag in HEADINGS:
-            heading = True
+            level = int(tag[1])
     flush()
+    for m in reversed(marks[1:]):  # an element comes after those around it
+        above = marks[m.above]
+        above.words, above.linked, above.holds = above.words + m.words, above.linked + m.linked, above.holds or m.holds
+    return out, marks
+
+
+def features(found: list[Block], marks: list[Mark]) -> list[tuple[float, ...]]:
+    """Words and link density of each block, of the one before and the one after; what the most telling element around it
+    that isn't the page's frame says, its words and link density; whether it stands in the article (a half if the page
+    has none); whether it is the title (a half: another heading)."""
+    total = marks[0].words
+    telling = list(range(len(marks)))  # by mark, the most telling one that it stands under
+    for k, m in enumerate(marks[1:], 1):
+        frame = m.holds and m.words >= FRAME_SHARE * total
+        telling[k] = telling[m.above] if frame or marks[telling[m.above]].telling >= m.telling else k
+    has_main = any(b.main and marks[telling[b.mark]].telling < 1 for b in found)
+    sizes = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
+    out = []
+    for k, b in enumerate(found):
+        m = marks[telling[b.mark]]
+        around = (m.telling, m.words if m.telling else 0, m.linked / m.words if m.telling and m.words else 0.0)
+        place = (1.0 if b.main else 0.0) if has_main else 0.5
+        out.append((*sizes[k + 1], *sizes[k], *sizes[k + 2], *around, place, 1.0 if b.level == 1 else 0.5 if b.level else 0.0))
     return out
 
 
-def trees(labelled: list[tuple] | None = None) -> tuple[tuple, tuple]:
-    """The decision tree of ordinary blocks and that of blocks under unsure names."""
-    tables = (np.array(t, float) for t in (labelled or LABELLED, LABELLED_UNSURE))
-    return tuple(grow(t[:, :-1], t[:, -1]) for t in tables)
+def labelled_rows(pages: tuple[str, ...] = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of labelled pages."""
+    x, y = [], []
+    for page in pages:
+        for sign, word in (("{}", "yes "), ("[]", "no ")):
+            page = re.sub(rf"\{sign[0]}(\d+)\{sign[1]}", lambda m, word=word: word * int(m[1]), page)
+        found, marks = blocks(page)
+        x += features(found, marks)
+        y += [b.text.startswith("yes") for b in found]
+    return np.array(x, float), np.array(y, float)
+
+
+def trained(pages: tuple[str, ...] = LABELLED) -> tuple:
+    """The decision tree."""
+    return grow(*labelled_rows(pages), depth=12)
 
 
-def main_text(page: str | None, tree: tuple, unsure: tuple) -> str:
-    found = blocks(page or "")
-    has_main = any(b[3] and b[2] < 1 for b in found)
-    sizes = [(0, 0.0), *((b[0].count(" ") + 1, b[1]) for b in found), (0, 0.0)]
-    kept = []
-    for k, (text, _, boiler, main, heading) in enumerate(found):
-        where = (1.0 if main else 0.0) if has_main else 0.5
-        around = (*sizes[k + 1], *sizes[k], *sizes[k + 2])
-        if decide(unsure, (*around, where, int(heading))) if boiler == 0.5 else decide(tree, (*around, int(boiler), where, int(heading))):
-            kept.append(text)
-    return "\n".join(kept)
+def main_text(page: str | None, tree: tuple) -> str:
+    found, marks = blocks(page or "")
+    return "\n".join(b.text for b, row in zip(found, features(found, marks), strict=True) if decide(tree, row))
 
 
-def extract(pages: DataFrame, labelled: list[tuple] | None = None) -> DataFrame:
+def extract(pages: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars.
 
     A null or empty page, or one without an article, has an empty text. Null ids and urls are carried along, repeated
     rows come back as often as they are there, and an empty table gives an empty result. Other columns are not looked at.
     """
-    tree, unsure = trees(labelled)
+    tree = trained(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py(), tree, unsure) for x in batch.column("html")]
+            texts = [main_text(x.as_py(), tree) for x in batch.column("html")]
             arrays = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 

@@ -1,10 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a word bigram model over a closed vocabulary: the VOCABULARY most frequent words of the trusted text, all
-others one unknown word whose probability is shared out over as many types as were left out. What belongs to single words
-(continuation probability, back-off weight) is bounded by the vocabulary and goes to every task. What belongs to pairs
-grows with the corpus and stays sharded: a block of documents sends each shard its distinct pairs with their postings,
-compressed; the shard looks its counts up and answers with a partial sum for each document; blocks add the sums up.
+The model is a word bigram model over a closed vocabulary: the VOCABULARY most frequent words of the trusted text (a
+parameter; ids grow from 16 to 32 bits with it), all others one unknown word whose probability is shared out over as many
+types as were left out. What belongs to single words (continuation probability, back-off weight) is bounded by the
+vocabulary and goes to every task, and so do the COMMON_PAIRS most frequent pairs, so that no shard is asked for them by
+every document. All other pairs grow with the corpus and stay sharded: a block of documents sends each shard its distinct
+pairs with their postings, compressed; the shard looks its counts up and answers with a partial sum for each document;
+blocks add the sums up.
 
 The logarithm of a pair's probability is split so that sums suffice: backing off costs gamma(u) + p(w), and a pair that
 was seen adds the difference between its interpolated probability and that.
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 
 from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, numbered, read_table, without_rows
 
-#: Known words at most; ids take 16 bits, 0 is the start of a text and 1 the unknown word.
+#: Known words at most; 0 is the start of a text and 1 the unknown word. Up to this many, ids take 16 bits, else 32.
 VOCABULARY = 65_534
 START, UNKNOWN, FIRST = 0, 1, 2
+#: Pairs whose gains every task holds (12 bytes each); which pairs these are doesn't change results.
+COMMON_PAIRS = 65_536
 #: A block ends at so many words or documents.
 BLOCK_WORDS, BLOCK_DOCS = 2_000_000, 65_000
 #: Characters of text for each shard.
@@ -44,12 +48,17 @@ SLACK = 0.25
 
 def mix(codes: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each pair."""
-    return ((codes.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(13)) % np.uint32(shards)
+    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
+
+
+def id_bits(words: int) -> int:
+    """Bits of a word's id in a pair."""
+    return 16 if words <= VOCABULARY else 32
 
 
 def packed(values: np.ndarray) -> bytes:
     """Compressed integers, the bytes of equal weight together."""
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def unpacked(blob: bytes, kind: type) -> np.ndarray:
@@ -71,17 +80,11 @@ class Unigrams:
     discounts: tuple[float, float, float]
     totals: np.ndarray
     unknown_types: int
+    bits: int
 
-    def ids(self, known: dict[str, int], text: str) -> np.ndarray:
-        words = text.split()
-        return np.fromiter(map(known.get, words, repeat(UNKNOWN)), np.int64, len(words))
-
-    def known(self) -> dict[str, int]:
-        return {w: k + FIRST for k, w in enumerate(self.words)}
 
-
-def pairs(ids: np.ndarray) -> np.ndarray:
-    return np.r_[START, ids[:-1]] << 16 | ids
+def pairs(ids: np.ndarray, bits: int) -> np.ndarray:
+    return np.r_[START, ids[:-1]] << bits | ids
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -113,8 +116,8 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def count_pairs(texts: DataFrame, words: list[str]) -> DataFrame:
-    """(code, n) of word pairs over all texts; a code is the first id times 65,536 plus the second."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+    """(code, n) of word pairs over all texts; a code is the first id, shifted, and the second."""
+    shared, bits = texts.sparkSession.sparkContext.broadcast(words), id_bits(len(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {w: k + FIRST for k, w in enumerate(shared.value)}
@@ -128,7 +131,7 @@ def count_pairs(texts: DataFrame, words: list[str]) -> DataFrame:
             for x in batch.column("text"):
                 split = (x.as_py() or "").split()
                 if split:
-                    held.append(pairs(np.fromiter(map(known.get, split, repeat(UNKNOWN)), np.int64, len(split))))
+                    held.append(pairs(np.fromiter(map(known.get, split, repeat(UNKNOWN)), np.int64, len(split)), bits))
                     size += len(split)
                 if size > BLOCK_WORDS:
                     yield rows()
@@ -145,10 +148,10 @@ def train(texts: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Unigrams, Dat
     if not types:
         return None
     words = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()]  # bounded by the vocabulary
-    found = materialize(count_pairs(texts, words), "pairs")
+    found, bits = materialize(count_pairs(texts, words), "pairs"), id_bits(len(words))
     of = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    first = found.groupBy(F.shiftright("code", 16).alias("id")).agg(F.sum("n").alias("total"), F.count("*").alias("types"), *of).toPandas()  # a row a word
-    second = found.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("id")).agg(F.count("*").alias("types")).toPandas()  # a row a word
+    first = found.groupBy(F.shiftright("code", bits).alias("id")).agg(F.sum("n").alias("total"), F.count("*").alias("types"), *of).toPandas()  # a row a word
+    second = found.groupBy(F.col("code").bitwiseAND(F.lit((1 << bits) - 1)).alias("id")).agg(F.count("*").alias("types")).toPandas()  # a row a word
     size = len(words) + FIRST
     d1, d2, d3 = discounts(*(float(first[f"n{k}"].sum()) for k in (1, 2, 3, 4)))
     totals, gamma = np.zeros(size), np.zeros(size)
@@ -162,48 +165,68 @@ def train(texts: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Unigrams, Dat
     alone = np.maximum(before - off, 0) / before.sum() + off.sum() / before.sum() / (size - 1)
     unknown_types = max(types - len(words), once, 1)
     alone = np.log(alone)
-    return Unigrams(words, alone, gamma, (d1, d2, d3), totals, int(unknown_types)), found
+    return Unigrams(words, alone, gamma, (d1, d2, d3), totals, int(unknown_types), bits), found
+
+
+def gain(code: np.ndarray, n: np.ndarray, alone: np.ndarray, gamma: np.ndarray, totals: np.ndarray, cuts: tuple, bits: int) -> np.ndarray:
+    """What the log probability of pairs seen n times has over backing off."""
+    u, w = code >> bits, code & ((1 << bits) - 1)
+    back = gamma[u] + alone[w]
+    p = (n - np.where(n >= 3, cuts[2], np.where(n == 2, cuts[1], cuts[0]))) / totals[u] + np.exp(back)
+    return np.log(p) - back
 
 
 def gains(found: DataFrame, model: Unigrams, shards: int) -> DataFrame:
-    """(shard, code, gain): what a seen pair's log probability has over backing off."""
-    shared = found.sparkSession.sparkContext.broadcast((model.alone, model.gamma, model.totals, model.discounts))
+    """(shard, code, gain) of every pair seen."""
+    shared = found.sparkSession.sparkContext.broadcast((model.alone, model.gamma, model.totals, model.discounts, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone, gamma, totals, (d1, d2, d3) = shared.value
         for batch in batches:
             code, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("code", "n"))
-            u, w = code >> 16, code & 0xFFFF
-            back = gamma[u] + alone[w]
-            p = (n - np.where(n >= 3, d3, np.where(n == 2, d2, d1))) / totals[u] + np.exp(back)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(code, shards).astype(np.int32)), batch.column("code"), pa.array(np.log(p) - back)], names=["shard", "code", "gain"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix(code, shards).astype(np.int32)), batch.column("code"), pa.array(gain(code, n, *shared.value))], names=["shard", "code", "gain"])
 
     return found.select("code", "n").mapInArrow(run, "shard int, code long, gain double")
 
 
+def common_gains(found: DataFrame, model: Unigrams, most: int = COMMON_PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, in order, and gains of the most frequent pairs."""
+    rows = sorted((r.code, r.n) for r in found.orderBy(F.desc("n"), "code").limit(most).collect())
+    code, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+    return code, gain(code, n, model.alone, model.gamma, model.totals, model.discounts, model.bits)
+
+
 REQUEST = "shard int, block long, pairs binary, runs binary, docs binary, header binary"
 
 
-def requests(rows: DataFrame, model: Unigrams, shards: int) -> DataFrame:
+def requests(rows: DataFrame, model: Unigrams, common: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
     """For each block of documents and shard: distinct pairs, how often each occurs, and in which of the block's documents.
 
     One shard of each block also carries the header: row numbers, words and the sums that need no pair counts.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((model.words, model.alone, model.gamma, model.unknown_types))
+    shared = rows.sparkSession.sparkContext.broadcast((model.words, model.alone, model.gamma, model.unknown_types, model.bits, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, alone, gamma, unknown_types = shared.value
+        words, alone, gamma, unknown_types, bits, (often, often_gain) = shared.value
         known = {w: k + FIRST for k, w in enumerate(words)}
+        kind = np.uint32 if bits == 16 else np.uint64
+        often = often.astype(kind)
         alone = alone.copy()
         alone[UNKNOWN] -= np.log(unknown_types)
         numbers, sizes, sums, codes, total = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            code = np.concatenate([np.empty(0, np.uint32), *codes])
-            order = np.argsort(mix(code, shards).astype(np.uint64) << np.uint64(32) | code, kind="stable")
-            code = code[order]
-            doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)[order]
-            edges = np.searchsorted(mix(code, shards), np.arange(shards + 1))
+            code = np.concatenate([np.empty(0, kind), *codes])
+            doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            value = np.array(sums, np.float64)
+            if len(often):
+                at = np.minimum(np.searchsorted(often, code), len(often) - 1)
+                hit = often[at] == code
+                value += np.bincount(doc[hit], weights=often_gain[at[hit]], minlength=len(sizes))
+                code, doc = code[~hit], doc[~hit]
+            shard = mix(code, shards)
+            order = np.argsort(shard << np.uint64(32) | code, kind="stable") if bits == 16 else np.lexsort((code, shard))
+            code, doc, shard = code[order], doc[order], shard[order]
+            edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
             home = numbers[0] % shards
             out = []
             for s in range(shards):
@@ -212,8 +235,8 @@ def requests(rows: DataFrame, model: Unigrams, shards: int) -> DataFrame:
                     continue
                 starts = np.flatnonzero(np.r_[True, code[own][1:] != code[own][:-1]]) if edges[s] < edges[s + 1] else np.empty(0, np.int64)
                 runs = np.diff(np.r_[starts, edges[s + 1] - edges[s]]).astype(np.uint32)
-                keys = np.diff(code[own][starts], prepend=np.uint32(0)).astype(np.uint32)
-                header = zstandard.compress(np.array(numbers, np.int64).tobytes() + np.array(sizes, np.int64).tobytes() + np.array(sums, np.float64).tobytes()) if s == home else None
+                keys = np.diff(code[own][starts], prepend=kind(0)).astype(kind)
+                header = zstandard.compress(np.array(numbers, np.int64).tobytes() + np.array(sizes, np.int64).tobytes() + value.tobytes()) if s == home else None
                 out.append((s, numbers[0], packed(keys), packed(runs), packed(doc[own]), header))
             kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "block", "pairs", "runs", "docs", "header"])
@@ -226,7 +249,7 @@ def requests(rows: DataFrame, model: Unigrams, shards: int) -> DataFrame:
                 sizes.append(len(ids))
                 if len(ids):
                     sums.append(float(alone[ids].sum() + gamma[ids[:-1]].sum() + gamma[START]))
-                    codes.append(pairs(ids).astype(np.uint32))
+                    codes.append(pairs(ids, bits).astype(kind))
                 else:
                     sums.append(0.0)
                 total += len(ids)
@@ -239,16 +262,17 @@ def requests(rows: DataFrame, model: Unigrams, shards: int) -> DataFrame:
     return rows.select(ROW, "text").mapInArrow(run, REQUEST)
 
 
-def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+def answer(left: pa.Table, right: pa.Table, kind: type) -> pa.Table:
     """Partial sums of one shard for each block."""
     code = right.column("code").to_numpy()
     order = np.argsort(code)
-    code, gain = code[order], right.column("gain").to_numpy()[order]
+    code, value_of = code[order], right.column("gain").to_numpy()[order]
     out = []
-    for r in left.to_pylist():
-        keys = np.cumsum(unpacked(r["pairs"], np.uint32).astype(np.int64))
+    for k in range(left.num_rows):
+        r = {c: left.column(c)[k].as_py() for c in ("block", "pairs", "runs", "docs", "header")}
+        keys = np.cumsum(unpacked(r["pairs"], kind), dtype=np.uint64).view(np.int64)
         at = np.minimum(np.searchsorted(code, keys), max(0, len(code) - 1))
-        value = np.where(code[at] == keys, gain[at], 0.0) if len(code) else np.zeros(len(keys))
+        value = np.where(code[at] == keys, value_of[at], 0.0) if len(code) else np.zeros(len(keys))
         weights = np.repeat(value, unpacked(r["runs"], np.uint32))
         docs = unpacked(r["docs"], np.uint16)
         out.append((r["block"], np.bincount(docs, weights=weights).astype(np.float64).tobytes(), r["header"]))
@@ -272,8 +296,13 @@ def add_up(block: pa.Table) -> pa.Table:
 
 def score(rows: DataFrame, model: Unigrams, found: DataFrame, shards: int) -> DataFrame:
     """(row number, n_words, log_p) of whole texts."""
-    asked, table = requests(rows, model, shards), gains(found, model, shards)
-    parts = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answer, "block long, sums binary, header binary")
+    asked, table = requests(rows, model, common_gains(found, model), shards), gains(found, model, shards)
+    kind = np.uint32 if model.bits == 16 else np.uint64
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        return answer(left, right, kind)
+
+    parts = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answered, "block long, sums binary, header binary")
     return parts.groupBy("block").applyInArrow(add_up, f"{ROW} long, n_words long, log_p double")
 
 
@@ -283,13 +312,20 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def small(table: DataFrame, name: str) -> DataFrame:
+    """``table`` written once, to be broadcast if it has few enough rows."""
+    table = materialize(table, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS // 8 else table
+
+
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, vocabulary: int = VOCABULARY) -> DataFrame:
     """Perplexity of every document, and whether it stays.
 
     A document is rejected if its perplexity is beyond the threshold of its language and band of lengths (powers of four
     words), or if it has no words (null or empty text; perplexity is null then). A band without enough trusted documents
-    takes its language's threshold; a language without enough, and a null one, that over all languages. Without any trusted text everything with words stays. A null doc_id is never trusted. Repeated rows are
-    judged alike; an empty table gives an empty result; other columns are not looked at.
+    takes its language's threshold; a language without enough, and a null one, that over all languages. Without any
+    trusted text everything with words stays. A null doc_id is never trusted. Repeated rows are judged alike; an empty
+    table gives an empty result; other columns are not looked at.
 
     Returns row number, doc_id, lang, n_words, perplexity, threshold and kept.
     """
@@ -298,7 +334,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_CHARS))
     texts = rows.filter(is_training(F.col("doc_id"))).join(trusted, "doc_id", "left_semi").select("text")
-    trained = train(texts)
+    trained = train(texts, vocabulary)
     if trained is None:
         n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
         return rows.select(ROW, "doc_id", "lang", n.alias("n_words"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (n > 0).alias("kept"))
@@ -311,7 +347,9 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     enough = F.col("n") >= LEAST_TRUSTED
     known = held.filter(F.col("lang").isNotNull())
     by_band = known.groupBy("lang", "band").agg(cut.alias("own"), F.count("*").alias("n")).filter(enough).drop("n")
+    by_band = small(by_band, "by-band")
     by_lang = known.groupBy("lang").agg(cut.alias("whole"), F.count("*").alias("n")).filter(enough).drop("n")
+    by_lang = small(by_lang, "by-lang")
     most = held.agg(cut).first()[0]
     limit = F.coalesce("own", "whole", F.lit(most).cast("double")) + SLACK
     inside = F.coalesce(F.col("nats") <= limit, F.col("nats").isNotNull())
