@@ -9,25 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on this machine alone gets a new local folder; on a cluster that is an error, as its
+    executors would not see one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="factlens-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; the session removes it at its end."""
     path = f"{shared_dir(spark).rstrip('/')}/factlens-{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    files, where = _place(spark, path)
+    files.deleteOnExit(where)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove what was written to a scratch path and isn't needed any more."""
+    files, where = _place(spark, path)
+    files.delete(where, True)
+
+
+def written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """Write ``df`` to ``path`` and read it back."""
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: what is used several times is computed once, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, scratch_path(df.sparkSession, name), **options)
+
+
+def modified(spark: SparkSession, folder: str) -> int:
+    """When the latest file of a folder of tables was written, in milliseconds."""
+    files, where = _place(spark, folder)
+    found, latest = files.listFiles(where, True), 0
+    while found.hasNext():
+        latest = max(latest, found.next().getModificationTime())
+    return latest
