@@ -19,6 +19,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,6 @@ from factlens.llm.common import read_table
 TABLES = 3
 #: Cells in each table of a sketch that is stored, as a power of two, and how many powers each retry adds.
 BASE_BITS, RETRY_BITS = 3, 2
-MOST_BITS = 20
 #: Code points of a piece of a paragraph at most.
 PIECE = 128
 
@@ -133,15 +133,14 @@ class Sketch:
 
 
 def difference(a: list[int], b: list[int], bits: int = BASE_BITS, sketches: tuple[Sketch, Sketch] | None = None) -> tuple[list[int], list[int]]:
-    """Digests only in ``a`` and only in ``b``, from sketches of growing size; past MOST_BITS from the lists themselves."""
-    while bits <= MOST_BITS:
+    """Digests only in ``a`` and only in ``b``, from sketches that grow until peeling recovers them."""
+    while True:
         x, y = sketches if sketches else (Sketch(bits).add(a), Sketch(bits).add(b))
         found = x.minus(y).peel() if abs(len(a) - len(b)) <= TABLES << bits else None
         if found is not None:
             return found
         need = (3 * (len(a) + len(b)) // (2 * TABLES)).bit_length()  # enough cells for all digests to differ
         bits, sketches = max(bits + RETRY_BITS, need), None
-    return sorted({*a} - {*b}), sorted({*b} - {*a})
 
 
 def likeness(a: list[int], b: list[int], sketches: tuple[Sketch, Sketch] | None = None, shared: int = 0) -> float:
@@ -162,22 +161,45 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def ranges(rows: DataFrame, n: int) -> tuple[list[int], dict[int, int]]:
+    """Lower bounds of about ``n`` ranges of doc_id, and in how many parts each range of a single frequent doc_id is cut."""
+    found = [int(x) for x in rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if x is not None]
+    often = Counter(found)
+    bounds = sorted({*found, *(x + 1 for x, k in often.items() if k > 1)})
+    return bounds, {bounds.index(x) + 1: 1 << (2 * k - 1).bit_length() for x, k in often.items() if k > 1}
+
+
 def with_heads(docs: DataFrame) -> DataFrame:
-    """Rows dealt into ranges of doc_id, plus for each range a copy of the row that follows it (head = true)."""
+    """Rows dealt into ranges of doc_id, plus for each range a copy of the row that follows it (head = true).
+
+    Rows of a doc_id that is repeated very often are dealt into ranges of their texts' hashes, in the same order.
+    """
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if x is not None})
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    bucket = F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))), F.lit(-1)) if bounds else F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    rows = rows.withColumn("bucket", bucket)
-    starts = sorted((r[0], r[1]) for r in rows.groupBy("bucket").agg(F.min("doc_id")).collect())  # one row a range
-    after = [(starts[(k + 1) % len(starts)][1], starts[k][0]) for k in range(len(starts))]
-    heads = spark.createDataFrame(after, "head_id long, bucket int")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = found.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id"))).select("doc_id", "text", "bucket")
-    order = F.xxhash64("text")
-    return rows.withColumn("head", F.lit(False)).unionByName(found.withColumn("head", F.lit(True))).withColumn("tie", order)
+    bounds, parts = ranges(rows, n)
+    edges = np.array(bounds, np.int64)
+    cuts = np.ones(len(bounds) + 1, np.int64)
+    cuts[list(parts)] = list(parts.values())
+    most = int(cuts.max())
+
+    @F.arrow_udf("long")
+    def bucket_of(doc_id: pa.Array, tie: pa.Array) -> pa.Array:
+        missing = doc_id.is_null().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(edges, doc_id.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        part = (tie.to_numpy(zero_copy_only=False).astype(np.float64) / 2.0**64 + 0.5) * cuts[at]
+        return pa.array(np.where(missing, -1, at * most + np.minimum(part.astype(np.int64), cuts[at] - 1)))
+
+    tie = F.xxhash64("text")
+    rows = rows.withColumn("tie", tie).withColumn("bucket", bucket_of("doc_id", "tie"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("first")
+    starts = sorted((r.bucket, r.first) for r in rows.groupBy("bucket").agg(first).collect())  # one row a range
+    after = [(*starts[(k + 1) % len(starts)][1][1:], starts[k][0]) for k in range(len(starts))]
+    heads = F.broadcast(spark.createDataFrame(after, "head_id long, head_tie long, head_of long"))
+    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
+    found = rows.drop("bucket").join(heads, same).groupBy("doc_id", "tie", "head_of").agg(F.first("text").alias("text"))
+    found = found.select("doc_id", "text", "tie", F.col("head_of").alias("bucket"), F.lit(True).alias("head"))
+    return rows.withColumn("head", F.lit(False)).unionByName(found)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:

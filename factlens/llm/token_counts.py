@@ -1,22 +1,24 @@
 """Token counts that follow edits.
 
 A document's pre-tokens are grouped into leaves; a segment tree over the leaves keeps code points and tokens of every
-subtree. An edit changes the leaves that it touches and, as the pattern looks ahead, may change the one just before; from
-that leaf's start pre-tokens are matched anew until a boundary past the edit coincides with an old leaf boundary. Only that
-stretch is encoded, and the sums above its leaves are updated.
+subtree. Trees are written with the texts and read again when a new version comes: building them and applying edits are two
+steps, and only the first one encodes whole texts. An edit changes the leaves that it touches and, as the pattern looks
+ahead, may change the one just before; from that leaf's start pre-tokens are matched anew until a boundary past the edit
+coincides with an old leaf boundary. Only that stretch is encoded, grouped into leaves again, and the sums above are updated.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import read_table
+from factlens.llm.common import materialize, read_table
 
 #: Pre-tokens of a leaf.
 LEAF = 16
@@ -28,7 +30,15 @@ EDITS = "array<struct<start:int,length:int,text:string>>"
 
 
 class Counter:
-    """Tokens of pre-tokens, with a cache."""
+    """Tokens of pre-tokens, with a cache; a worker keeps its counter from task to task."""
+
+    kept: ClassVar[dict[tuple[str, str], Counter]] = {}
+
+    @classmethod
+    def of(cls, ranks: str, pattern: str) -> Counter:
+        if (ranks, pattern) not in cls.kept:
+            cls.kept[ranks, pattern] = cls(ranks, pattern)
+        return cls.kept[ranks, pattern]
 
     def __init__(self, ranks: str, pattern: str):
         import regex
@@ -59,8 +69,11 @@ class Counter:
         return out
 
     def leaves(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Code points and tokens of each leaf."""
-        tokens = self.find.findall(text)
+        """Code points and tokens of each leaf of a whole text."""
+        return self.grouped(self.find.findall(text))
+
+    def grouped(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points and tokens of each leaf of pre-tokens; one empty leaf if there are none."""
         if not tokens:
             return np.zeros(1, np.int64), np.zeros(1, np.int64)
         starts = np.arange(0, len(tokens), LEAF)
@@ -99,8 +112,19 @@ def leaf_at(chars: np.ndarray, position: int) -> tuple[int, int]:
     return k - len(chars) // 2, before
 
 
-def apply(text: str, chars: np.ndarray, tokens: np.ndarray, start: int, length: int, new: str, counter: Counter) -> tuple[str, int]:
-    """Replace ``length`` code points at ``start``; brings both trees up to date. Returns the text and what was matched anew."""
+def with_leaves(sums: np.ndarray, n: int, first: int, last: int, new: np.ndarray) -> np.ndarray:
+    """The tree of ``n`` leaves with ``new`` in place of leaves ``first`` to ``last``; sums alone change where as many replace them."""
+    if len(new) == last - first + 1:
+        for k, value in enumerate(new.tolist()):
+            set_leaf(sums, first + k, value)
+        return sums
+    width = len(sums) // 2
+    return tree(np.concatenate([sums[width : width + first], new, sums[width + last + 1 : width + n]]))
+
+
+def apply(text: str, trees: tuple[np.ndarray, np.ndarray], n: int, start: int, length: int, new: str, counter: Counter) -> tuple[str, tuple[np.ndarray, np.ndarray], int, int]:
+    """Replace ``length`` code points at ``start``. Returns the text, both trees, their number of leaves and what was matched anew."""
+    chars, tokens = trees
     start = min(max(start, 0), len(text))
     length = min(max(length, 0), len(text) - start)
     first, at = leaf_at(chars, max(0, start - CONTEXT)) if len(text) else (0, 0)
@@ -108,12 +132,12 @@ def apply(text: str, chars: np.ndarray, tokens: np.ndarray, start: int, length:
     shift = len(new) - length
     width = len(chars) // 2
     last, end = first, at + int(chars[width + first])  # an old leaf and its end
-    while end < start + length and last + 1 < width:
+    while end < start + length and last + 1 < n:
         last += 1
         end += int(chars[width + last])
     matched, position = [], at
     for m in counter.find.finditer(whole, at):
-        while end + shift < position and last + 1 < width:
+        while end + shift < position and last + 1 < n:
             last += 1
             end += int(chars[width + last])
         if position >= start + len(new) and position == end + shift and position > at:
@@ -121,66 +145,72 @@ def apply(text: str, chars: np.ndarray, tokens: np.ndarray, start: int, length:
         matched.append(m[0])
         position = m.end()
     else:
-        last, position = width - 1, len(whole)
-    set_leaf(chars, first, position - at)
-    set_leaf(tokens, first, sum(counter.counts(matched)))
-    for leaf in range(first + 1, last + 1):
-        set_leaf(chars, leaf, 0)
-        set_leaf(tokens, leaf, 0)
-    return whole, position - at
+        last, position = n - 1, len(whole)
+    fresh = counter.grouped(matched)
+    trees = with_leaves(chars, n, first, last, fresh[0]), with_leaves(tokens, n, first, last, fresh[1])
+    return whole, trees, n - (last - first + 1) + len(fresh[0]), position - at
+
+
+TREES = "char_tree array<long>, token_tree array<long>, leaves int"
 
 
 def build_trees(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """``docs`` (doc_id, text, edits) with the segment trees over code points and tokens of its whole texts."""
+    """``docs`` (doc_id, text) with the segment trees over code points and tokens of its whole texts, and how many leaves they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(ranks, pattern)
+        counter = Counter.of(ranks, pattern)
         for batch in batches:
-            pairs = [tuple(tree(x) for x in counter.leaves(t.as_py() or "")) for t in batch.column("text")]
-            arrays = [pa.array([p[k] for p in pairs], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["doc_id", "text", "edits", "char_tree", "token_tree"])
+            leaves = [counter.leaves(t.as_py() or "") for t in batch.column("text")]
+            arrays = [pa.array([tree(x[k]) for x in leaves], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays, pa.array([len(x[0]) for x in leaves], pa.int32())], names=["doc_id", "text", "char_tree", "token_tree", "leaves"])
 
-    fields = f"doc_id long, text string, edits {EDITS}, char_tree array<long>, token_tree array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("edits").cast(EDITS)).mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, text string, {TREES}")
 
 
-def apply_edits(trees: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Apply each document's edits, from the last to the first so that positions hold, and bring its trees up to date.
+def apply_edits(stored: DataFrame, edits: Column, ranks: str, pattern: str) -> DataFrame:
+    """Apply ``edits`` to each stored document, from the last to the first so that positions hold, and bring its trees up to date.
 
-    Returns doc_id, n_chars, n_tokens, edited_chars, edited_tokens and rematched_chars (code points encoded anew).
+    ``stored`` has doc_id, text and the trees, as ``build_trees`` gives them and as they were written. Returns doc_id, the new
+    text and trees (to be stored in turn), n_chars, n_tokens, edited_chars, edited_tokens and rematched_chars (code points
+    encoded anew).
     """
-    names = ["doc_id", "n_chars", "n_tokens", "edited_chars", "edited_tokens", "rematched_chars"]
+    names = ["doc_id", "text", "char_tree", "token_tree", "leaves", "n_chars", "n_tokens", "edited_chars", "edited_tokens", "rematched_chars"]
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(ranks, pattern)
+        counter = Counter.of(ranks, pattern)
         for batch in batches:
             rows = []
-            for doc_id, text, edits, chars, tokens in zip(*batch.columns, strict=True):
-                text = text.as_py() or ""
-                chars, tokens = (np.array(x.values) for x in (chars, tokens))
-                before, anew = (int(chars[1]) if len(chars) > 1 else 0, int(tokens[1]) if len(tokens) > 1 else 0), 0
-                usable = [e for e in edits.as_py() or [] if e and e["start"] is not None]
+            for doc_id, text, chars, tokens, n, changes in zip(*batch.columns, strict=True):
+                text, n, anew = text.as_py() or "", n.as_py(), 0
+                trees = tuple(x.values.to_numpy(zero_copy_only=False).copy() for x in (chars, tokens))
+                before = [int(x[1]) for x in trees]
+                usable = [e for e in changes.as_py() or [] if e and e["start"] is not None]
                 for e in sorted(usable, key=lambda e: -e["start"]):
-                    text, n = apply(text, chars, tokens, e["start"], e["length"] or 0, e["text"] or "", counter)
-                    anew += n
-                rows.append((doc_id.as_py(), *before, int(chars[1]), int(tokens[1]), anew))
+                    text, trees, n, matched = apply(text, trees, n, e["start"], e["length"] or 0, e["text"] or "", counter)
+                    anew += matched
+                rows.append((doc_id.as_py(), text, *trees, n, *before, int(trees[0][1]), int(trees[1][1]), anew))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
-    return trees.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    fields = f"doc_id long, text string, {TREES}, " + ", ".join(f"{c} long" for c in names[5:])
+    return stored.select("doc_id", "text", "char_tree", "token_tree", "leaves", edits.cast(EDITS).alias("edits")).mapInArrow(run, fields)
 
 
 def count_edited(docs: DataFrame, edits: Column, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """Count the tokens of whole texts, and again after ``edits`` (start, length, text; positions in the text, not overlapping).
 
-    A null text is an empty one; null edits change nothing; positions past the end count as the end. A null doc_id is
-    carried along, repeated rows come back as often as they are there, and an empty table gives an empty result.
+    The trees of the first count are written; the second one reads them. ``edits`` is a column over doc_id and text. A null
+    text is an empty one; null edits change nothing; positions past the end count as the end. A null doc_id is carried
+    along, repeated rows come back as often as they are there, and an empty table gives an empty result.
+
+    Returns doc_id, n_chars, n_tokens, edited_chars, edited_tokens and rematched_chars.
     """
     import public_tokenizers
 
     ranks, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    rows = docs.select("doc_id", "text", edits.alias("edits"))
-    return apply_edits(build_trees(rows, ranks, pattern), ranks, pattern)
+    stored = materialize(build_trees(docs, ranks, pattern), "token-trees", compression="zstd")
+    return apply_edits(stored, edits, ranks, pattern).drop("text", "char_tree", "token_tree", "leaves")
 
 
 def sample_edits() -> Column:

@@ -53,6 +53,25 @@ def test_fingerprints(docs, empty):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_likeness_against_sets_of_pieces(docs, monkeypatch):
+    """Every row against the next one in order, the last against the first, by sets of digests; with and without cut ranges."""
+    text = fingerprints.F.coalesce("text", fingerprints.F.lit(""))
+    order = docs.select("doc_id", text.alias("text"), fingerprints.F.xxhash64(text).alias("tie")).orderBy(fingerprints.F.col("doc_id").asc_nulls_first(), "tie").collect()
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = []
+    for k, r in enumerate(order):
+        following = order[(k + 1) % len(order)].text
+        n = len(r.text) // 4
+        other = r.text[: len(r.text) - n] + following[:n]
+        sets = [set(fingerprints.digests(x)) for x in (r.text, other, following)]
+        want.append((str(r.doc_id), len(r.text), hashlib.sha256(other.encode()).hexdigest(), round(like(sets[0], sets[1]), 9), round(like(sets[0], sets[2]), 9)))
+    for cut in (False, True):
+        if cut:  # as if doc_id 1, which is there three times, and 3 were very frequent
+            monkeypatch.setattr(fingerprints, "ranges", lambda rows, n: ([1, 2, 3, 4, 60], {1: 4, 3: 2}))
+        found = fingerprints.fingerprint_documents(docs).collect()
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == sorted(want)
+
+
 def test_edited_pieces_are_those_of_the_whole_text():
     rng = np.random.default_rng(6)
     for _ in range(400):

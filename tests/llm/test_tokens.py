@@ -102,15 +102,51 @@ def test_edits_against_a_full_recount():
     counter = token_counts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for _ in range(300):
         text = "".join(rng.choice(["ab", " cd", " ", "\n", "'s", "42", "?!", "ö"]) for _ in range(rng.randrange(0, 400)))
-        chars, tokens = (token_counts.tree(x) for x in counter.leaves(text))
+        leaves = counter.leaves(text)
+        trees, n = tuple(map(token_counts.tree, leaves)), len(leaves[0])
         for start, length, new in reversed(edits_of(text, rng)):
-            text, _ = token_counts.apply(text, chars, tokens, start, length, new, counter)
-            assert (chars[1], tokens[1]) == (len(text), len(own.encode_ordinary(text)))
+            text, trees, n, _ = token_counts.apply(text, trees, n, start, length, new, counter)
+            assert (trees[0][1], trees[1][1]) == (len(text), len(own.encode_ordinary(text)))
+            assert all(len(x) == 2 << max(0, (n - 1).bit_length()) for x in trees)
+            assert (trees[0] == token_counts.tree(trees[0][len(trees[0]) // 2 :][:n])).all()
+
+
+def test_a_large_insertion_is_split_into_leaves():
+    counter = token_counts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    text = "a few words here " * 50
+    leaves = counter.leaves(text)
+    text, trees, n, anew = token_counts.apply(text, tuple(map(token_counts.tree, leaves)), len(leaves[0]), 100, 0, "some more of them " * 5000, counter)
+    assert anew >= 90_000
+    text, trees, n, anew = token_counts.apply(text, trees, n, 50_000, 3, "x", counter)
+    assert anew < 400 and trees[0][1] == len(text) and trees[1][1] == len(counter.encoding.encode_ordinary(text))
+
+
+def test_stored_trees_are_read_and_only_touched_leaves_change(spark, docs, tmp_path):
+    """What a stored tree says of leaves that no edit touches goes into the new count, right or wrong."""
+    ranks, whole = P.path("byte_bpe_50k.tiktoken"), docs.filter("doc_id = 100")
+    token_counts.build_trees(whole, ranks, P.PATTERN).write.parquet(str(tmp_path / "trees"))
+    stored = spark.read.parquet(str(tmp_path / "trees"))
+    edits = token_counts.F.expr("array(struct(5 AS start, 2 AS length, 'zz' AS text))")
+    right = token_counts.apply_edits(stored, edits, ranks, P.PATTERN).first()
+    own = encoding("byte_bpe_50k.tiktoken")
+    assert right.edited_tokens == len(own.encode_ordinary(right.text)) and right.rematched_chars < 300
+    last = token_counts.F.expr("transform(token_tree, (x, k) -> x + IF(k IN (1, 3, size(token_tree) - 1), 1000, 0))")
+    wrong = token_counts.apply_edits(stored.withColumn("token_tree", last), edits, ranks, P.PATTERN).first()
+    assert wrong.edited_tokens == right.edited_tokens + 1000
+    again = token_counts.apply_edits(token_counts.apply_edits(stored, edits, ranks, P.PATTERN), edits, ranks, P.PATTERN).first()
+    assert (again.n_tokens, again.edited_tokens) == (right.edited_tokens, len(own.encode_ordinary(again.text)))
 
 
 def test_edited_counts(docs, empty):
     own = encoding("byte_bpe_50k.tiktoken")
     found = token_counts.count_edited(docs, token_counts.sample_edits()).collect()
     assert sorted((str(r.doc_id), r.n_chars, r.n_tokens) for r in found) == sorted((str(r.doc_id), len(r.text or ""), len(own.encode_ordinary(r.text or ""))) for r in docs.collect())
+    want = []
+    for r in docs.select("doc_id", "text", token_counts.sample_edits().alias("edits")).collect():
+        text = r.text or ""
+        for e in sorted(r.edits, key=lambda e: -e.start):
+            text = text[: e.start] + e.text + text[e.start + e.length :]
+        want.append((str(r.doc_id), len(text), len(own.encode_ordinary(text))))
+    assert sorted((str(r.doc_id), r.edited_chars, r.edited_tokens) for r in found) == sorted(want)
     assert token_counts.count_edited(empty, token_counts.sample_edits()).count() == 0
     assert bpe.encode_documents(empty).count() == 0 and packing.pack_documents(empty).count() == 0
