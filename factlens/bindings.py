@@ -63,9 +63,9 @@ def _facts(source: str, facts: list[tuple[str, str, str, str]], start: str) -> s
 
 CIK = "lpad(CAST({} AS STRING), 10, '0')"
 VIEWS: dict[str, str] = {
-    "companies": f"SELECT {CIK.format('n_nationkey')} AS cik, n_name AS ticker, n_name AS name FROM nation",
+    "companies": f"SELECT {CIK.format('s_suppkey')} AS cik, s_name AS ticker, s_name AS name FROM supplier",
     "sales": """
-        SELECT s_nationkey AS nk, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period_start,
+        SELECT s_suppkey AS nk, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS period_start,
                ROUND(SUM(l_extendedprice * (1 - l_discount)), 4) AS revenue, ROUND(SUM(l_extendedprice) * 0.6, 4) AS cogs,
                ROUND(SUM(l_extendedprice * l_tax), 4) AS tax, ROUND(SUM(l_quantity) * 10, 4) AS sga, ROUND(SUM(p_retailprice) * 0.5, 4) AS dep
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
@@ -80,7 +80,7 @@ VIEWS: dict[str, str] = {
     "stock": """
         SELECT nk, CAST(q + INTERVAL '3' MONTH - INTERVAL '1' DAY AS DATE) AS period_end, year(q) * 4 + quarter(q) AS pk,
                CASE WHEN quarter(q) = 4 THEN '10-K' ELSE '10-Q' END AS form_type, total, paid, pending, owed
-        FROM (SELECT c_nationkey AS nk, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q, ROUND(SUM(o_totalprice), 4) AS total,
+        FROM (SELECT CAST(FLOOR(c_custkey / 15) AS BIGINT) AS nk, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS q, ROUND(SUM(o_totalprice), 4) AS total,
                      ROUND(SUM(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0.0 END), 4) AS paid,
                      ROUND(SUM(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE 0.0 END), 4) AS pending,
                      ROUND(SUM(CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE 0.0 END), 4) AS owed
@@ -100,16 +100,16 @@ VIEWS: dict[str, str] = {
                CASE WHEN (nk + pk) % 5 = 0 THEN 'failed' WHEN (nk + pk) % 5 = 1 THEN 'discovered' ELSE 'sectioned' END AS status
         FROM flow WHERE form_type <> 'none'""",
     "feed": """
-        SELECT CAST(o_orderkey AS STRING) AS accession_no, CAST(c_nationkey AS STRING) AS cik,
+        SELECT CAST(o_orderkey AS STRING) AS accession_no, CAST(CAST(FLOOR(c_custkey / 15) AS BIGINT) AS STRING) AS cik,
                CASE WHEN o_orderstatus = 'F' THEN '10-K' WHEN o_orderstatus = 'O' THEN '8-K' WHEN o_orderkey % 2 = 0 THEN '10-Q' ELSE 'DEF 14A' END AS form_type,
                CAST(o_orderdate AS DATE) AS filing_date, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS report_date,
                CASE WHEN o_orderpriority = '1-URGENT' THEN '2.02,9.01' WHEN o_orderpriority = '2-HIGH' THEN '9.01, 2.02' WHEN o_orderpriority = '3-MEDIUM' THEN '5.02' ELSE '  ' END AS items,
                CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('doc', CAST(o_orderkey AS STRING), '.htm') END AS primary_doc
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "sections": """
-        SELECT concat(CAST(doc_id AS STRING), '-', CAST(fiscal_year AS STRING)) AS section_id, source AS company, '10-K' AS form_type, 'FY' AS fiscal_period, fiscal_year,
-               concat(source, '-', CAST(fiscal_year AS STRING)) AS accession_no, CASE WHEN doc_id % 5 = 0 THEN 'Policies' ELSE 'Notes' END AS category,
-               concat(CASE WHEN doc_id % 13 = 0 AND fiscal_year >= 2022 THEN 'Renamed ' ELSE 'Note ' END, CAST(doc_id AS STRING)) AS short_name, doc_id,
+        SELECT concat(CAST(doc_id AS STRING), '-', CAST(fiscal_year AS STRING)) AS section_id, concat(source, '-', CAST(CAST(FLOOR(doc_id / 500) AS BIGINT) AS STRING)) AS company, '10-K' AS form_type, 'FY' AS fiscal_period, fiscal_year,
+               concat(source, '-', CAST(CAST(FLOOR(doc_id / 500) AS BIGINT) AS STRING), '-', CAST(fiscal_year AS STRING)) AS accession_no, CASE WHEN doc_id % 5 = 0 THEN 'Policies' ELSE 'Notes' END AS category,
+               concat(CASE WHEN doc_id % 13 = 0 AND fiscal_year >= 2022 THEN 'Renamed ' ELSE 'Note ' END, CAST(doc_id % 500 AS STRING)) AS short_name, doc_id,
                CASE (doc_id + fiscal_year) % 4 WHEN 0 THEN text WHEN 1 THEN concat(text, ' In all 1,234.5 units.') ELSE substr(text, 1, CAST(FLOOR(length(text) / 2) AS INT)) END AS text
         FROM documents CROSS JOIN (SELECT 2020 AS fiscal_year UNION ALL SELECT 2021 AS fiscal_year UNION ALL SELECT 2022 AS fiscal_year UNION ALL SELECT 2023 AS fiscal_year) y
         WHERE (doc_id + fiscal_year) % 4 <> 3""",

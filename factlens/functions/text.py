@@ -40,8 +40,14 @@ def syllable_count(word: Column) -> Column:
 
 
 def complex_word_count(text: Column) -> Column:
-    """Words of three syllables or more."""
-    return F.size(F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: syllable_count(w) >= 3))
+    """Words of three syllables or more, by one pattern over the whole text.
+
+    Four vowel groups always give three syllables; three do unless the last letter is an e that isn't after a consonant and l.
+    """
+    letters = F.regexp_replace(F.lower(text), "(?<=[a-z])['’-](?=[a-z])" if "’" in WORD else "(?<=[a-z])['-](?=[a-z])", "")
+    consonant, vowels = "[b-df-hj-np-tv-xz]", "[aeiouy]++"
+    group = f"{consonant}*+{vowels}"
+    return F.regexp_count(letters, F.lit(f"(?<![a-z])(?:(?:{group}){{4}}[a-z]*+|(?:{group}){{3}}{consonant}*+(?:(?<!e)|(?<={consonant}le)))"))
 
 
 def fog_index(words: Column, sentences: Column, hard: Column) -> Column:
@@ -83,9 +89,9 @@ def ordinals_as_digits(text: Column) -> Column:
 
 
 def number_in(number: Column, source: Column) -> Column:
-    """Whether a number stands in the source on its own, also without a decimal part of zeros."""
+    """Whether a number stands in the source on its own, also without zeros that end its decimal part."""
     plain = F.replace(source, F.lit(","), F.lit(""))
-    short = F.regexp_replace(number, r"\.0+$", "")
+    short = F.when(F.contains(number, F.lit(".")), F.regexp_replace(number, r"\.?0+$", "")).otherwise(number)
 
     def bounded(n: Column) -> Column:
         return F.rlike(plain, F.concat(F.lit(r"(?<![\d.,])"), F.replace(n, F.lit("."), F.lit("\\.")), F.lit(r"(?![\d,]|\.\d)")))
@@ -94,11 +100,11 @@ def number_in(number: Column, source: Column) -> Column:
 
 
 def numbers_with_units(text: Column) -> Column:
-    """Values with the currency before or the percent sign after them."""
-    found = F.regexp_extract_all(text, F.lit(r"[$€£]?\s?\d[\d,]*(?:\.\d+)?\s?%?"), F.lit(0))
+    """Values with the currency sign right before them, else the percent sign right after them, else no unit."""
+    found = F.regexp_extract_all(text, F.lit(rf"[$€£]?{NUMBER}%?"), F.lit(0))
 
     def one(x: Column) -> Column:
-        unit = F.when(x.rlike("%$"), "%").otherwise(F.regexp_extract(x, "^([$€£])", 1))
+        unit = F.when(x.rlike("^[$€£]"), F.left(x, F.lit(1))).when(x.rlike("%$"), "%").otherwise("")
         return F.struct(F.regexp_replace(x, r"[^\d.]", "").cast("double").alias("value"), unit.alias("unit"))
 
     return F.transform(found, one)

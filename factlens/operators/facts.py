@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from factlens.registry import CONCEPTS, DURATION_CLASSES, INSTANT, OTHER, RELATIVE_TOLERANCE, alias_table
 
 PERIOD = ["cik", "period_start", "period_end"]
+#: Days since 1970 that stand for no date: below every date there is.
+NO_DATE = -1_000_000_000
 
 
 def duration_class(start: Column, end: Column) -> Column:
@@ -24,7 +26,7 @@ def latest_filed(facts: DataFrame, order: str = "version") -> DataFrame:
 
     One long carries date and order, so that the aggregation keeps a fixed-width buffer and stays a hash aggregation.
     """
-    rank = F.coalesce(F.unix_date("filed_date"), F.lit(-1)).cast("long") * (1 << 32) + F.coalesce(F.col(order), F.lit(0)).cast("long")
+    rank = F.coalesce(F.unix_date("filed_date"), F.lit(NO_DATE)).cast("long") * (1 << 32) + F.coalesce(F.col(order), F.lit(0)).cast("long")
     return facts.groupBy("cik", "concept", "unit", "period_start", "period_end").agg(F.max_by("value", rank).alias("value"))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +18,21 @@ RESPONSE = "struct<material:string,findings:array<struct<category:string,severit
 
 
 def adds_up(target: float, values: list[float], tolerance: float = 1e-6) -> bool:
-    """Whether two or more of at most MOST_ADDENDS values add up to the target."""
-    sums: dict[float, int] = {0.0: 0}  # a sum and the most values it takes, two counting as enough
-    for v in values[:MOST_ADDENDS] if len(values) <= MOST_ADDENDS else []:
-        for s, n in list(sums.items()):
-            key = round(s + v, 6)
-            sums[key] = max(sums.get(key, 0), min(2, n + 1))
-    return any(n >= 2 and abs(s - target) <= tolerance for s, n in sums.items())
+    """Whether two or more of at most MOST_ADDENDS values add up to the target; sums of one half meet those of the other."""
+    if not 2 <= len(values) <= MOST_ADDENDS:
+        return False
+    halves = []
+    for part in (values[::2], values[1::2]):
+        sums, counts = np.zeros(1), np.zeros(1, int)
+        for v in part:
+            sums, counts = np.r_[sums, sums + v], np.r_[counts, counts + 1]
+        halves.append((sums, np.minimum(counts, 2)))
+    (left, taken), (right, given) = halves
+    for n in range(3):
+        own, other = target - left[taken == n], np.sort(right[given >= 2 - n])
+        if (np.searchsorted(other, own + tolerance, "right") > np.searchsorted(other, own - tolerance, "left")).any():
+            return True
+    return False
 
 
 @F.pandas_udf(T.BooleanType())
@@ -102,8 +111,6 @@ def assemble(verified: DataFrame, verdicts: DataFrame | None = None) -> DataFram
     kept = verified.filter("drop_reason is null")
     if verdicts is not None:
         kept = kept.join(verdicts.select("brief_id", "position", "verdict"), ["brief_id", "position"], "left").filter(F.coalesce("verdict", F.lit("unsupported")) == "supported")
-    from pyspark.sql import Window
-
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("brief_id").orderBy("position")) - 1)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.functions.text import four_digits
-from factlens.operators.periods import has_peer
+from factlens.operators.periods import with_peer
 from factlens.registry import (
     DIVERGENCES,
     EXTREME_LEAST,
@@ -173,8 +173,9 @@ def eligible_counts(rows: DataFrame) -> DataFrame:
 def override_severities(observations: DataFrame, boilerplate: DataFrame, days: int = PEER_DAYS) -> DataFrame:
     """Boilerplate subjects are low; else section rules with a peer company in a year are low and say so; metric rules stay."""
     names = F.broadcast(boilerplate.select("subject").distinct().withColumn("plain", F.lit(True)))
-    out = observations.join(names, "subject", "left")
-    out = out.withColumn("peer", F.col("rule_name").isin(*SECTION_RULES) & has_peer("cik", ["rule_name", "subject"], F.unix_date("period_end"), days))
+    of_sections = F.col("rule_name").isin(*SECTION_RULES)
+    sections = with_peer(observations.filter(of_sections), "cik", ["rule_name", "subject"], "period_end", days)
+    out = sections.unionByName(observations.filter(~of_sections).withColumn("peer", F.lit(False))).join(names, "subject", "left")
     plain = F.coalesce("plain", F.lit(False))
     severity = F.when(plain | F.col("peer"), "low").otherwise(F.col("severity"))
     statement = F.when(~plain & F.col("peer"), F.concat(F.col("statement"), F.lit(" Other companies show the same within a year."))).otherwise(F.col("statement"))

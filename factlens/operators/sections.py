@@ -6,6 +6,7 @@ A section is (section_id, company, form_type, fiscal_period, fiscal_year, access
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,13 +36,32 @@ def text_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series([None if x is None or y is None else similarity(x, y, -1.0) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def similarity_beyond(threshold: float):
+    """The similarity of two columns of texts; zero where it stays at the threshold."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            yield pd.Series([None if x is None or y is None else similarity(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio
+
+
 def measured(sections: DataFrame) -> DataFrame:
-    """Sections with wording hash and counts, names canonical, of one identity and year the last id."""
+    """Sections with wording hash and counts, of one identity and year the last id.
+
+    Texts end here: only counts and hashes are shuffled. Rules that compare wordings get them by id, from ``worded``.
+    """
     text = F.coalesce("text", F.lit(""))
-    out = sections.withColumns({"wording": wording(text), "words": word_count(text), "sentences": sentence_count(text), "hard": complex_word_count(text)})
-    out = out.withColumns({"wording_hash": F.sha2("wording", 256), "period_end": F.make_date("fiscal_year", F.lit(12), F.lit(31))})
+    out = sections.withColumns({"wording_hash": F.sha2(wording(text), 256), "words": word_count(text), "sentences": sentence_count(text), "hard": complex_word_count(text)})
+    out = out.withColumn("period_end", F.make_date("fiscal_year", F.lit(12), F.lit(31))).drop("text")
     last = Window.partitionBy(*IDENTITY, "fiscal_year").orderBy(F.desc("section_id"))
-    return out.withColumn("k", F.row_number().over(last)).filter("k = 1").drop("k", "text")
+    return out.withColumn("k", F.row_number().over(last)).filter("k = 1").drop("k")
+
+
+def worded(sections: DataFrame) -> DataFrame:
+    """(section_id, wording) of sections with their texts."""
+    return sections.select("section_id", wording(F.coalesce("text", F.lit(""))).alias("wording"))
 
 
 def canonical_names(sections: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -84,18 +104,24 @@ def readability_change(rows: DataFrame) -> DataFrame:
 
 def changed_pairs(rows: DataFrame) -> DataFrame:
     """Pairs a year apart whose wording hashes differ: what similarity is computed for."""
-    return with_year_before(rows, ["section_id", "wording_hash", "wording"]).filter("wording_hash <> prior_wording_hash")
+    return with_year_before(rows, ["section_id", "wording_hash"]).filter("wording_hash <> prior_wording_hash")
+
+
+def with_wordings(pairs: DataFrame, words: DataFrame, now: str = "section_id", before: str = "prior_section_id") -> DataFrame:
+    """Pairs with both wordings, by shuffles on the ids; only the texts of pairs move."""
+    a, b = words.select(F.col("section_id").alias(now), "wording"), words.select(F.col("section_id").alias(before), F.col("wording").alias("prior_wording"))
+    return pairs.join(a, now).join(b, before)
 
 
-def wording_changed(rows: DataFrame, threshold: float = WORDING_SIMILARITY) -> DataFrame:
-    pairs = changed_pairs(rows).withColumn("ratio", text_similarity("wording", "prior_wording")).filter(F.col("ratio") < threshold)
+def wording_changed(rows: DataFrame, words: DataFrame, threshold: float = WORDING_SIMILARITY) -> DataFrame:
+    pairs = with_wordings(changed_pairs(rows), words).withColumn("ratio", text_similarity("wording", "prior_wording")).filter(F.col("ratio") < threshold)
     statement = F.concat(F.lit("The "), F.col("short_name"), F.lit(" note was reworded ("), F.round(F.col("ratio") * 100).cast("int").cast("string"), F.lit(" percent alike)."))
     return pairs.select(*_observation("section_wording_changed", statement, _refs()))
 
 
 def presence_changes(rows: DataFrame, category: str = "Notes") -> DataFrame:
     """Names that appeared (kind a) or disappeared (kind d) against the year before, where both years have any."""
-    notes = rows.filter(F.col("category") == category).select(*FILING, "short_name", "section_id", "accession_no", "period_end", "wording")
+    notes = rows.filter(F.col("category") == category).select(*FILING, "short_name", "section_id", "accession_no", "period_end")
     years = notes.select(*FILING).distinct()
     shifted = notes.withColumn("fiscal_year", F.col("fiscal_year") + 1)
     appeared = notes.join(years.withColumn("fiscal_year", F.col("fiscal_year") + 1), FILING, "left_semi").join(shifted.select(*FILING, "short_name"), [*FILING, "short_name"], "left_anti")
@@ -104,29 +130,46 @@ def presence_changes(rows: DataFrame, category: str = "Notes") -> DataFrame:
     return appeared.withColumn("kind", F.lit("a")).unionByName(gone.withColumn("kind", F.lit("d")))
 
 
-def renames(changes: DataFrame, boilerplate: tuple[str, ...] = (), threshold: float = RENAME_SIMILARITY) -> DataFrame:
-    """Disappeared names paired greedily, in order of name, with the most similar appeared one beyond the threshold.
+def scored_renames(changes: DataFrame, words: DataFrame, boilerplate: tuple[str, ...] = (), threshold: float = RENAME_SIMILARITY) -> DataFrame:
+    """Disappeared and appeared notes of the same filing whose texts are alike beyond the threshold, with their ratio.
 
-    A group holds the notes of one filing that came or went, so it stays small; each pick takes a candidate away, which is
-    why the walk runs inside the group.
+    The ratio stays below the threshold where the lengths are too far apart, so only notes of the same or a neighbouring
+    band of lengths meet; pairs are scored as rows, in whichever task they are.
     """
+    step = math.log(2 / threshold - 1)  # of the longest over the shortest length that can reach the threshold
+    rows = with_texts(changes.filter(~F.col("short_name").isin(*boilerplate)), words)
+    rows = rows.withColumns({"n": F.length("wording"), "band": F.floor(F.log(F.length("wording") + 1.0) / step).cast("int")})
+    new = rows.filter("kind = 'a'").select(*FILING, "accession_no", "period_end", "section_id", F.col("short_name").alias("new_name"), "wording", "n", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    old = rows.filter("kind = 'd'").select(*FILING, "band", F.col("section_id").alias("prior_section_id"), F.col("short_name").alias("old_name"), F.col("wording").alias("prior_wording"), F.col("n").alias("prior_n"))
+    close = F.least("n", "prior_n") * 2 > threshold * (F.col("n") + F.col("prior_n"))
+    pairs = new.join(old, [*FILING, "band"]).filter(close)
+    ratio = similarity_beyond(threshold)(F.col("prior_wording"), F.col("wording"))
+    return pairs.withColumn("ratio", ratio).filter(F.col("ratio") > threshold).select(*FILING, "accession_no", "period_end", "old_name", "new_name", "section_id", "prior_section_id", "ratio")
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("short_name")
-        old, new = group[group.kind == "d"], group[group.kind == "a"]
-        free, out = dict(zip(new.short_name, zip(new.section_id, new.wording, strict=True), strict=True)), []
-        for name, section, text in zip(old.short_name, old.section_id, old.wording, strict=True):
-            best, ratio = None, threshold
-            for other, (_, other_text) in free.items():
-                r = similarity(text, other_text, ratio)
-                if r > ratio:
-                    best, ratio = other, r
-            if best is not None:
-                out.append((*group.iloc[0][FILING + ["accession_no", "period_end"]], name, best, free.pop(best)[0], section, ratio))
-        return pd.DataFrame(out, columns=[*FILING, "accession_no", "period_end", "old_name", "new_name", "section_id", "prior_section_id", "ratio"])
 
+def with_texts(changes: DataFrame, words: DataFrame) -> DataFrame:
+    return changes.join(words, "section_id")
+
+
+def renames(changes: DataFrame, words: DataFrame, boilerplate: tuple[str, ...] = (), threshold: float = RENAME_SIMILARITY) -> DataFrame:
+    """Disappeared names paired greedily, in order of name, with the most similar appeared one beyond the threshold.
+
+    Each pick takes a candidate away, which is why the walk runs inside a group: that of a filing's scored pairs, which holds
+    names, ids and ratios but no texts.
+    """
     schema = "company string, form_type string, fiscal_period string, fiscal_year int, accession_no string, period_end date, old_name string, new_name string, section_id string, prior_section_id string, ratio double"
-    return changes.filter(~F.col("short_name").isin(*boilerplate)).groupBy(*FILING).applyInPandas(walk, schema)
+    scored = scored_renames(changes, words, boilerplate, threshold)
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        taken, keep = set(), []
+        for _, rows in group.sort_values(["old_name", "ratio", "new_name"], ascending=[True, False, True]).groupby("old_name", sort=True):
+            free = rows[~rows.new_name.isin(taken)]
+            if len(free):
+                keep.append(free.index[0])
+                taken.add(free.new_name.iloc[0])
+        return group.loc[keep]
+
+    return scored.groupBy(*FILING).applyInPandas(walk, schema)
 
 
 def renamed(found: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Tables that several queries of one session share: computed once per folder of tables, in the shared folder."""
+"""Tables that several queries of one session share: computed once per folder of tables, in the shared folder.
+
+They are computed again when a table of the folder was written since, and after ``forget``.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +11,23 @@ from pyspark.sql import functions as F
 from factlens.bindings import view
 from factlens.operators.facts import latest_filed
 from factlens.operators.metrics import compute_metrics
-from factlens.storage import materialize
+from factlens.storage import materialize, modified
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, int, str], DataFrame] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, modified(spark, sf_dir), name)
     if key not in _KEPT:
         _KEPT[key] = materialize(make(), name)
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Let every query compute from the given tables again."""
+    _KEPT.clear()
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "facts", lambda: view(spark, sf_dir, "facts"))
 

