@@ -13,13 +13,14 @@ import base64
 import hashlib
 import itertools
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import ROW, numbered, read_table
+from factlens.llm.common import ROW, numbered, read_table, sliced
 
 #: Code points of a chunk without its overlap, and of the overlap with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -31,7 +32,15 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Codec:
-    """Ids of pre-tokens by a rank file, with a cache, and the bytes of ids."""
+    """Ids of pre-tokens by a rank file, with a cache, and the bytes of ids; a worker keeps its codec from task to task."""
+
+    kept: ClassVar[dict[tuple[str, str], Codec]] = {}
+
+    @classmethod
+    def of(cls, ranks: str, pattern: str) -> Codec:
+        if (ranks, pattern) not in cls.kept:
+            cls.kept[ranks, pattern] = cls(ranks, pattern)
+        return cls.kept[ranks, pattern]
 
     def __init__(self, ranks: str, pattern: str):
         import regex
@@ -122,8 +131,8 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks, pattern)
-        for batch in batches:
+        codec = Codec.of(ranks, pattern)
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = codec.ids(codec.find.findall(text.as_py() or ""))
@@ -139,13 +148,13 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
                 yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "doc_id", "k", "text"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks, pattern)
-        for batch in batches:
+        codec = Codec.of(ranks, pattern)
+        for batch in sliced(batches, 64):
             ends = [np.fromiter(codec.ends(x.as_py()), np.int32).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.binary())], names=[*batch.schema.names, "ends"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks, pattern)
+        codec = Codec.of(ranks, pattern)
 
         def rows() -> Iterator[tuple]:
             for batch in batches:

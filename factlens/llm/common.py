@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +17,19 @@ FILE = "__file"
 PLACE_BITS = 36
 #: Keys that may be broadcast at most; each takes 8 bytes, so the table stays under 32 MB.
 BROADCAST_KEYS = 4_000_000
+#: Rows of texts that are worked on at once.
+SLICE = 512
 #: File names that may be broadcast at most.
 BROADCAST_FILES = 200_000
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of few rows, so that what is derived from one part stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,4 +67,4 @@ def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
-__all__ = ["BROADCAST_KEYS", "ROW", "materialize", "numbered", "read_table", "scratch_path", "without_rows"]
+__all__ = ["BROADCAST_KEYS", "ROW", "materialize", "numbered", "read_table", "scratch_path", "sliced", "without_rows"]

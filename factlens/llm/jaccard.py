@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlens.llm.common import BROADCAST_KEYS, ROW, materialize
+from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, sliced
 from factlens.llm.components import components
 
 SEED = 42
@@ -58,9 +58,9 @@ def common(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     """Shingles that several documents of a sample share, sorted, and how many documents they are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), size))], names=["key"])
+        for batch in sliced(batches, 64):
+            sets = [shingles(x.as_py(), size) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["key"])
 
     share = min(1.0, SAMPLE / max(1, docs.count()))
     counts = docs.select("text").sample(share, SEED).mapInArrow(run, "key long").groupBy("key").count()
@@ -73,7 +73,7 @@ def prefixes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     keys, counts = common(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(x.as_py(), size) for x in batch.column("text")]
             first = []
             for s in sets:
@@ -95,7 +95,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(row number, shingles) of the rows of ``docs`` whose number is in ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = pa.array([shingles(x.as_py(), size) for x in batch.column("text")], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(ROW), sets], names=[ROW, "shingles"])
 

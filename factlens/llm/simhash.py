@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, numbered, without_rows
+from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, numbered, sliced, without_rows
 from factlens.llm.components import components
 from factlens.llm.jaccard import digests, similar
 
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(row number, doc_id, fp) of every whole text; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             prints = b"".join(fingerprint(x.as_py(), size) for x in batch.column("text"))
             fps = np.frombuffer(prints, ">u8").astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(fps)], names=[ROW, "doc_id", "fp"])
@@ -174,7 +174,8 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fps(fp)``, enough to connect all that lie within ``threshold`` bits."""
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors reach {THRESHOLD} bits")
-    rows = replicate(fps)
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = replicate(fps.repartition(parts, "fp"))  # a fingerprint becomes some 30 rows, so they are dealt out first
     crowd = (
         rows.groupBy("anchor")
         .agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("replicas"))

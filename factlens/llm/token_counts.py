@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import materialize, read_table
+from factlens.llm.common import materialize, read_table, sliced
 
 #: Pre-tokens of a leaf.
 LEAF = 16
@@ -159,7 +159,7 @@ def build_trees(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(ranks, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             leaves = [counter.leaves(t.as_py() or "") for t in batch.column("text")]
             arrays = [pa.array([tree(x[k]) for x in leaves], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays, pa.array([len(x[0]) for x in leaves], pa.int32())], names=["doc_id", "text", "char_tree", "token_tree", "leaves"])
@@ -179,7 +179,7 @@ def apply_edits(stored: DataFrame, edits: Column, ranks: str, pattern: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter.of(ranks, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text, chars, tokens, n, changes in zip(*batch.columns, strict=True):
                 text, n, anew = text.as_py() or "", n.as_py(), 0
