@@ -148,6 +148,18 @@ VIEWS: dict[str, str] = {
                     ELSE '{"material": true, "findings": [{"category": "liquidity", "severity": "low", "headline": "h", "detail": "d", "quote": "q"}, {"category": "litigation", "severity": "medium", "headline": "h2", "detail": "d2", "quote": "q2"}]}' END AS body,
                CASE WHEN turn % 11 = 1 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason, length(text) AS n, text
         FROM conversations WHERE role = 'assistant'""",
+    "generated": """
+        SELECT conv_id, turn, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS response_id,
+               CASE WHEN turn % 5 = 0 THEN 'nope' WHEN conv_id % 7 = 3 THEN '[1]' WHEN conv_id % 6 = 0 THEN '{"material": 1, "sentences": []}' WHEN conv_id % 5 = 0 THEN '{"material": false}'
+                    WHEN conv_id % 4 = 0 THEN '{"material": true, "sentences": [{"type": "grouping", "text": "t"}]}' WHEN conv_id % 3 = 0 THEN '{"material": true, "sentences": ["x"]}'
+                    ELSE '{"material": true, "sentences": [{"type": "grouping", "text": "t", "refs": ["finding:1"]}, {"type": "opinion", "text": null, "refs": []}]}' END AS body,
+               CASE WHEN turn % 5 = 1 THEN 'nope' WHEN conv_id % 7 = 2 THEN '"x"' WHEN conv_id % 6 = 1 THEN '{"verifications": {}}' WHEN conv_id % 5 = 1 THEN '{"verifications": [{"position": "0", "verdict": "supported"}]}'
+                    WHEN conv_id % 4 = 1 THEN '{"verifications": [{"position": 1}]}' WHEN conv_id % 3 = 1 THEN '{"verifications": [3]}' ELSE '{"verifications": [{"position": 0, "verdict": "supported"}, {"position": 2, "verdict": null}]}' END AS verification
+        FROM conversations WHERE role = 'assistant'""",
+    "verifications": """
+        SELECT accession_no AS brief_id, CASE WHEN ascii(substr(accession_no, length(accession_no), 1)) % 4 = 0 THEN 'none'
+            ELSE '{"verifications": [{"position": 0, "verdict": "supported"}, {"position": 1, "verdict": "supported"}, {"position": 2, "verdict": "unsupported"}, {"position": 4, "verdict": "supported"}]}' END AS body
+        FROM (SELECT DISTINCT source AS accession_no FROM documents WHERE source IS NOT NULL) x""",
 }
 
 #: Views that a view is made of.

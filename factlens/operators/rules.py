@@ -6,11 +6,14 @@ structs of kind, id and period_end.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.functions.text import four_digits
 from factlens.operators.periods import with_peer
+from factlens.operators.sinks import upsert_changed
 from factlens.registry import (
     DIVERGENCES,
     EXTREME_LEAST,
@@ -182,6 +185,21 @@ def override_severities(observations: DataFrame, boilerplate: DataFrame, days: i
     return out.withColumns({"severity": severity, "statement": statement}).select(*[F.col(c) for c in COLUMNS])
 
 
+def engine(found: list[DataFrame], boilerplate: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """The observations of all rules and companies in one batch: severities overridden once over all of them, the guard against
+    references to later periods, then what changes against those ``written`` before (_change: insert, update or same).
+
+    A batch with a reference to a later period is an error, and nothing of it is to be written.
+    """
+    raw = functools.reduce(DataFrame.unionByName, [f.select(*COLUMNS) for f in found])
+    out = override_severities(raw, boilerplate)
+    if not lookahead(out).isEmpty():
+        raise ValueError("an observation refers to a later period")
+    keys = ["cik", "accession_no", "period_end", "rule_name", "subject"]
+    old = out.limit(0) if written is None else written
+    return upsert_changed(old, out, keys, ["rule_version", "severity", "statement", "refs"])
+
+
 def lookahead(observations: DataFrame) -> DataFrame:
     """Observations with a reference later than their own period: there must be none."""
     return observations.filter(F.exists("refs", lambda r: r["period_end"] > F.col("period_end")))

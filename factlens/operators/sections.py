@@ -172,6 +172,25 @@ def renames(changes: DataFrame, words: DataFrame, boilerplate: tuple[str, ...] =
     return scored.groupBy(*FILING).applyInPandas(walk, schema)
 
 
+def eligible_sections(rows: DataFrame, category: str = "Notes") -> DataFrame:
+    """How often each section rule could have fired, by company: pairs a year apart with what the rule needs, and for notes that
+    came or went every name of either year where both years have any."""
+    pairs = with_year_before(rows, ["words"])
+    long_enough = (F.col("words") >= READABILITY_LEAST_WORDS) & (F.col("prior_words") >= READABILITY_LEAST_WORDS)
+    counts = pairs.groupBy("company").agg(
+        F.count("*").alias("section_wording_changed"),
+        F.count_if((F.col("words") > 0) & (F.col("prior_words") > 0)).alias("section_length_change"),
+        F.count_if(long_enough).alias("readability_change"),
+    )
+    notes = rows.filter(F.col("category") == category).select(*FILING, "short_name").distinct()
+    shifted = notes.withColumn("fiscal_year", F.col("fiscal_year") + 1)
+    both = notes.select(*FILING).distinct().join(shifted.select(*FILING).distinct(), FILING, "left_semi")
+    names = notes.unionByName(shifted).distinct().join(both, FILING, "left_semi").groupBy("company").agg(F.count("*").alias("section_appeared"))
+    out = counts.join(names, "company", "full_outer").withColumn("section_disappeared", F.col("section_appeared"))
+    rules = ["section_wording_changed", "section_length_change", "readability_change", "section_appeared", "section_disappeared"]
+    return out.withColumnRenamed("company", "cik").na.fill(0, rules).unpivot("cik", rules, "rule_name", "eligible")
+
+
 def renamed(found: DataFrame) -> DataFrame:
     statement = F.concat(F.lit("The "), F.col("old_name"), F.lit(" note seems to be "), F.col("new_name"), F.lit(" now."))
     return found.select(*_observation("section_renamed", statement, _refs(), F.concat_ws(" -> ", "old_name", "new_name")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factlens.bindings import view, with_views
+from factlens.bindings import table, view, with_views
 from factlens.functions.text import numbers_with_units as with_units
 from factlens.functions.text import parse_ref
 from factlens.operators import grounding as g
@@ -13,7 +13,7 @@ from factlens.operators import ledger, selection
 from factlens.plans import rules as plan_rules
 from factlens.plans.common import once, rounded
 from factlens.plans.rules import M
-from factlens.registry import METRICS
+from factlens.registry import METRICS, ORDINALS
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,13 @@ def numbers_with_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("finding_id", F.posexplode(with_units(F.col("t"))).alias("k", "x")).select("finding_id", "k", rounded("x.value").alias("value"), "x.unit")
 
 
+def number_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unit of each number of a text that starts with signs in all places: apart, on both sides, before and after."""
+    t = F.concat(F.lit("$5% $ 5 of €1,234.50 or 7 % and 8%. "), "text")
+    units = F.transform(with_units(t), lambda x: F.when(x["unit"] == "", "-").otherwise(x["unit"]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(units, "").alias("units"))
+
+
 def select_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_observations(numbered(spark, sf_dir)).select("accession_no", "id", "rule_name", "subject", "severity")
 
@@ -110,7 +117,7 @@ def discard_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (quote_check, numeric_support, numeric_support_by_severity, numbers_with_units, select_observations, select_findings, verify_sentences, sentence_reasons, brief_drop_rates, brief_assembly, orphan_refs, cross_filing_refs, sentence_types, parse_responses, discard_rate)
+    for q in (quote_check, numeric_support, numeric_support_by_severity, numbers_with_units, number_units, select_observations, select_findings, verify_sentences, sentence_reasons, brief_drop_rates, brief_assembly, orphan_refs, cross_filing_refs, sentence_types, parse_responses, discard_rate)
 }
 
 F_ = with_views("findings")
@@ -120,24 +127,66 @@ QUOTE_OK = f"coalesce(length(trim(quote)) >= 40 AND contains({COLLAPSE.format('s
 CATEGORY = " ".join(f"WHEN '{m.name}' THEN '{m.category}'" for m in METRICS)
 RANK = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 CAUSE = "(?i)\\b(?:because|due to|driven by|as a result of|caused by|owing to|reflecting|attributable to|stemming from)\\b"
+NUMBERS = "list_transform(regexp_extract_all({}, '\\d[\\d,]*(?:\\.\\d+)?'), lambda v: CAST(replace(v, ',', '') AS DOUBLE))"
+
+
+def adds_up_sql(target: str, values: str) -> str:
+    """Whether two or more of at most 20 values add up to the target: all sums, and of how many values each is, side by side."""
+    sums = f"list_reduce(list_prepend([0.0::DOUBLE], list_transform({values}, lambda p: [p::DOUBLE])), lambda a1, b1: list_concat(a1, list_transform(a1, lambda c1: c1 + b1[1])))"
+    sizes = f"list_reduce(list_prepend([0.0::DOUBLE], list_transform({values}, lambda p: [1.0::DOUBLE])), lambda a2, b2: list_concat(a2, list_transform(a2, lambda c2: c2 + b2[1])))"
+    return f"(len({values}) BETWEEN 2 AND 20 AND len(list_filter(list_zip({sums}, {sizes}), lambda z: z[2] >= 2 AND abs(z[1] - ({target})) <= 1e-6)) > 0)"
+
+
+UNIT = "CASE WHEN substr(x, 1, 1) IN ('$', '€', '£') THEN substr(x, 1, 1) WHEN x LIKE '%\\%' ESCAPE '\\' THEN '%' ELSE '' END"
+VERIFIED = f"""{FS}, e AS (SELECT accession_no, 'finding:' || finding_id AS ref, headline || ' ' || detail || ' ' || coalesce(quote, '') AS source FROM findings),
+    r AS (SELECT accession_no, position, unnest(string_split(refs, ',')) AS ref FROM sentences), n AS (SELECT r.accession_no, r.position, count(*) AS n, bool_or(regexp_matches(source, '{CAUSE}')) AS why, list(source) AS sources FROM r JOIN e USING (accession_no, ref) GROUP BY ALL),
+    v AS (SELECT s.*, coalesce(n, 0) AS n, coalesce(why, false) AS why, regexp_matches(text, '{CAUSE}') AS cause, coalesce(array_to_string(sources, ' | '), '') AS given,
+          list_distinct(list_filter({NUMBERS.format('text')}, lambda q: NOT list_contains({NUMBERS.format("coalesce(array_to_string(sources, ' | '), '')")}, q))) AS missing FROM sentences s LEFT JOIN n USING (accession_no, position)),
+    todo AS (SELECT accession_no, position, given, unnest(missing) AS target FROM v WHERE sentence_type = 'aggregation'),
+    addend AS (SELECT accession_no, position, target, {UNIT} AS unit, CAST(regexp_replace(x, '[^0-9.]', '', 'g') AS DOUBLE) AS value FROM (SELECT accession_no, position, target, unnest(regexp_extract_all(given, '[$€£]?\\d[\\d,]*(?:\\.\\d+)?%?')) AS x FROM todo)),
+    sums AS (SELECT accession_no, position, target, {adds_up_sql('target', 'list(value)')} AS ok FROM addend GROUP BY accession_no, position, target, unit),
+    proven AS (SELECT accession_no, position, target, bool_or(ok) AS ok FROM sums GROUP BY ALL),
+    unproven AS (SELECT t.accession_no, t.position, count(*) FILTER (NOT coalesce(ok, false)) AS bad FROM todo t LEFT JOIN proven p USING (accession_no, position, target) GROUP BY ALL),
+    verified AS (SELECT v.accession_no, v.brief_id, v.position, sentence_type, text, refs, CASE WHEN sentence_type NOT IN ('restatement', 'juxtaposition', 'aggregation', 'grouping', 'sourced_causal') THEN 'unrecognised type' WHEN trim(text) = '' THEN 'missing or empty text' WHEN n = 0 THEN 'zero resolving references'
+        WHEN regexp_matches(text, '(?i)\\b(?:will|expects|likely|suggests|indicates|points to|implies)\\b') THEN 'predictive language' WHEN sentence_type = 'restatement' AND n <> 1 THEN 'not exactly one reference'
+        WHEN sentence_type IN ('juxtaposition', 'grouping') AND n < 2 THEN 'fewer than two references' WHEN sentence_type IN ('restatement', 'juxtaposition', 'grouping') AND cause THEN 'states a cause'
+        WHEN sentence_type = 'aggregation' AND coalesce(bad, 0) > 0 THEN 'number does not verify' WHEN sentence_type = 'grouping' AND len(missing) > 0 THEN 'number not in sources' WHEN sentence_type = 'sourced_causal' AND NOT why THEN 'no source states a cause' END AS drop_reason
+        FROM v LEFT JOIN unproven USING (accession_no, position))"""
+ORDINAL = "replace({}, ',', '')"
+for _k, _word in enumerate(ORDINALS, 1):
+    ORDINAL = f"regexp_replace({ORDINAL}, '(?i)\\b{_word}\\b', '{_k}', 'g')"
+
+
+def _stands(number: str, text: str) -> str:
+    return f"regexp_matches({text}, '(^|[^0-9.,])' || replace({number}, '.', '\\.') || '($|[^0-9,.]|\\.($|[^0-9]))')"
+
+
+def _found(text: str) -> str:
+    return f"({_stands('number', text)} OR {_stands('short', text)})"
+
+
+SUPPORT = f"""{F_}, t AS (SELECT finding_id, severity, {ORDINAL.format("coalesce(quote, '')")} AS q, {ORDINAL.format('source_text')} AS s, quote, unnest(list_distinct(list_transform(regexp_extract_all(headline || ' ' || detail, '\\d[\\d,]*(?:\\.\\d+)?'), lambda v: replace(v, ',', '')))) AS number FROM findings),
+    u AS (SELECT *, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\\.?0+$', '') ELSE number END AS short FROM t),
+    support AS (SELECT finding_id, severity, number, CASE WHEN {_found('q')} THEN 'in_quote' WHEN {_found('s')} THEN 'in_note_only' WHEN {adds_up_sql('CAST(number AS DOUBLE)', NUMBERS.format("coalesce(quote, '')"))} THEN 'derived_verified' ELSE 'unsupported' END AS tier FROM u)"""
 ORACLE = {
     "quote_check": f"{F_} SELECT finding_id, {QUOTE_OK} AS quote_ok FROM findings",
-    "numbers_with_units": f"""{F_}, t AS (SELECT finding_id, unnest(regexp_extract_all('$' || detail || ' and 5%', '[$€£]?\\s?\\d[\\d,]*(?:\\.\\d+)?\\s?%?')) AS x, generate_subscripts(regexp_extract_all('$' || detail || ' and 5%', '[$€£]?\\s?\\d[\\d,]*(?:\\.\\d+)?\\s?%?'), 1) - 1 AS k FROM findings)
-        SELECT finding_id, k, CAST(regexp_replace(x, '[^\\d.]', '', 'g') AS DOUBLE) AS value, CASE WHEN x LIKE '%\\%' ESCAPE '\\' THEN '%' ELSE regexp_extract(x, '^([$€£])', 1) END AS unit FROM t""",
+    "numbers_with_units": f"""{F_}, t AS (SELECT finding_id, '$' || detail || ' and 5%' AS t FROM findings), p AS (SELECT finding_id, t, regexp_extract_all(t, '[0-9][0-9,]*(?:\\.[0-9]+)?') AS x, string_split_regex(t, '[0-9][0-9,]*(?:\\.[0-9]+)?') AS around FROM t),
+        u AS (SELECT finding_id, unnest(range(len(x))) AS k, x, around FROM p)
+        SELECT finding_id, k, CAST(replace(x[k + 1], ',', '') AS DOUBLE) AS value, CASE WHEN right(around[k + 1], 1) IN ('$', '€', '£') THEN right(around[k + 1], 1) WHEN left(around[k + 2], 1) = '%' THEN '%' ELSE '' END AS unit FROM u""",
     "select_observations": f"""{M}, o AS (SELECT *, row_number() OVER (PARTITION BY accession_no ORDER BY rule_name, subject, period_end, cik) AS id, CASE subject {CATEGORY} END AS slot FROM observed WHERE accession_no IS NOT NULL),
         a AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY accession_no, rule_name, slot ORDER BY {RANK}, id) <= 2), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY accession_no, rule_name ORDER BY {RANK}, id) <= 4)
         SELECT accession_no, id, rule_name, subject, severity FROM b QUALIFY row_number() OVER (PARTITION BY accession_no ORDER BY {RANK}, id) <= 8""",
     "select_findings": f"""{F_}, a AS (SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY accession_no, category ORDER BY {RANK}, finding_id) <= 2)
         SELECT accession_no, finding_id, category, severity FROM a QUALIFY row_number() OVER (PARTITION BY accession_no ORDER BY {RANK}, finding_id) <= 8""",
-    "sentence_reasons": f"""{FS}, e AS (SELECT accession_no, 'finding:' || finding_id AS ref, headline || ' ' || detail || ' ' || coalesce(quote, '') AS source FROM findings),
-        r AS (SELECT accession_no, position, unnest(string_split(refs, ',')) AS ref FROM sentences), n AS (SELECT r.accession_no, r.position, count(*) AS n, bool_or(regexp_matches(source, '{CAUSE}')) AS why, list(source) AS sources FROM r JOIN e USING (accession_no, ref) GROUP BY ALL),
-        v AS (SELECT s.*, coalesce(n, 0) AS n, coalesce(why, false) AS why, regexp_matches(text, '{CAUSE}') AS cause,
-              len(list_filter(list_transform(regexp_extract_all(text, '\\d[\\d,]*(?:\\.\\d+)?'), lambda x: CAST(replace(x, ',', '') AS DOUBLE)), lambda x: NOT list_contains(list_transform(regexp_extract_all(array_to_string(sources, ' | '), '\\d[\\d,]*(?:\\.\\d+)?'), lambda y: CAST(replace(y, ',', '') AS DOUBLE)), x))) AS missing
-              FROM sentences s LEFT JOIN n USING (accession_no, position))
-        SELECT sentence_type, CASE WHEN sentence_type NOT IN ('restatement', 'juxtaposition', 'aggregation', 'grouping', 'sourced_causal') THEN 'unrecognised type' WHEN trim(text) = '' THEN 'missing or empty text' WHEN n = 0 THEN 'zero resolving references'
-            WHEN regexp_matches(text, '(?i)\\b(?:will|expects|likely|suggests|indicates|points to|implies)\\b') THEN 'predictive language' WHEN sentence_type = 'restatement' AND n <> 1 THEN 'not exactly one reference'
-            WHEN sentence_type IN ('juxtaposition', 'grouping') AND n < 2 THEN 'fewer than two references' WHEN sentence_type IN ('restatement', 'juxtaposition', 'grouping') AND cause THEN 'states a cause'
-            WHEN sentence_type = 'grouping' AND missing > 0 THEN 'number not in sources' WHEN sentence_type = 'sourced_causal' AND NOT why THEN 'no source states a cause' END AS reason, count(*) AS n FROM v GROUP BY ALL""",
+    "sentence_reasons": f"""{VERIFIED} SELECT sentence_type, CASE WHEN drop_reason <> 'number does not verify' THEN drop_reason END AS reason, count(*) AS n FROM verified GROUP BY ALL""",
+    "verify_sentences": f"{VERIFIED} SELECT accession_no, position, sentence_type, drop_reason FROM verified",
+    "brief_drop_rates": f"{VERIFIED} SELECT brief_id, count(*) AS sentences, count(drop_reason) AS dropped, round(count(drop_reason) / count(*), 6) + 0.0 AS rate FROM verified GROUP BY 1",
+    "brief_assembly": f"{VERIFIED} SELECT brief_id, position, row_number() OVER (PARTITION BY brief_id ORDER BY position) - 1 AS place FROM verified WHERE drop_reason IS NULL",
+    "numeric_support": f"{SUPPORT} SELECT finding_id, number, tier FROM support",
+    "numeric_support_by_severity": f"""{SUPPORT} SELECT severity, count(*) AS numbers, count(*) FILTER (tier = 'in_quote') AS in_quote, count(*) FILTER (tier = 'in_note_only') AS in_note, count(*) FILTER (tier IN ('derived_verified', 'unsupported')) AS others
+        FROM support GROUP BY 1""",
+    "number_units": r"""SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(t, '([$€£]?)[0-9][0-9,]*(\.[0-9]+)?(%?)'), lambda x: CASE WHEN substr(x, 1, 1) IN ('$', '€', '£') THEN substr(x, 1, 1) WHEN right(x, 1) = '%' THEN '%' ELSE '-' END), ''), '') AS units
+        FROM (SELECT doc_id, '$5% $ 5 of €1,234.50 or 7 % and 8%. ' || text AS t FROM documents)""",
     "orphan_refs": f"""{FS}, r AS (SELECT brief_id, position, unnest(string_split(refs, ',')) AS ref FROM sentences)
         SELECT brief_id, position, ref, CASE WHEN regexp_matches(ref, '^(obs|finding):\\d+$') THEN 'unresolved' ELSE 'malformed' END AS problem FROM r WHERE ref NOT IN (SELECT 'finding:' || finding_id FROM findings)""",
     "cross_filing_refs": f"""{FS}, r AS (SELECT accession_no, position, unnest(string_split(refs, ',')) AS ref FROM sentences)
