@@ -34,7 +34,7 @@ class Quantity:
 
     def because(self, name: str) -> Column:
         """The reason, as one of a quantity that needs this one."""
-        return F.concat(F.lit(f"{name} unavailable: "), self.reason)
+        return F.concat(F.lit(f"{name} cannot be taken: "), self.reason)
 
 
 @dataclass
@@ -103,19 +103,19 @@ class Period:
     def gross_profit(self) -> Quantity:
         revenue, cogs = self.concept("revenue"), self.concept("cogs")
         difference = Quantity(revenue.value - cogs.value, revenue.reason, F.concat(revenue.inputs, cogs.inputs), F.concat(F.lit("("), revenue.formula, F.lit(" - "), cogs.formula, F.lit(")")))
-        return self.once("gross", self.either(self.concept("gross_profit"), difference, "gross_profit unresolved and revenue/cogs fallback unavailable"))
+        return self.once("gross", self.either(self.concept("gross_profit"), difference, "no gross_profit, and revenue less cogs cannot be taken"))
 
     def ppe(self) -> Quantity:
-        return self.once("ppe", self.either(self.concept("ppe_net"), self.concept("ppe_and_lease_net"), "ppe_net and ppe_and_lease_net both missing"))
+        return self.once("ppe", self.either(self.concept("ppe_net"), self.concept("ppe_and_lease_net"), "no ppe_net and no ppe_and_lease_net"))
 
     def depreciation(self) -> Quantity:
-        return self.once("wear", self.either(self.concept("depreciation"), self.concept("dep_amort"), "depreciation and dep_amort both missing"))
+        return self.once("wear", self.either(self.concept("depreciation"), self.concept("dep_amort"), "no depreciation and no dep_amort"))
 
     def debt(self) -> Quantity:
         """Borrowings (combined, else both components) plus finance leases, which count as zero where absent."""
         long, short = self.concept("debt_noncurrent"), self.concept("debt_current")
         parts = Quantity(long.value + short.value, long.reason, F.concat(long.inputs, short.inputs), F.concat(F.lit("("), long.formula, F.lit(" + "), short.formula, F.lit(")")))
-        out = self.either(self.concept("total_debt"), parts, "total_debt unresolved (no combined tag and components incomplete)")
+        out = self.either(self.concept("total_debt"), parts, "no total_debt, and its parts are not all there")
         for name in ("finance_lease_liability_noncurrent", "finance_lease_liability_current"):
             lease = self.concept(name)
             formula = F.concat(out.formula, F.lit(" + "), F.when(lease.value.isNotNull(), lease.formula).otherwise(F.lit(f"{name}=0 [assumed]")))
@@ -145,27 +145,27 @@ def build(layers: Layers) -> dict[str, Quantity]:
     now, year = Period(layers), Period(layers, "y_")
     at, before, before_q = Period(layers, "", "_t"), Period(layers, "y_", "_t-1"), Period(layers, "q_", "_t-1")
     c = now.concept
-    no_prior, no_prior_q = fails(F.col("prior_end").isNull(), "prior period not found"), fails(F.col("prior_q_end").isNull(), "prior period not found")
+    no_prior, no_prior_q = fails(F.col("prior_end").isNull(), "no earlier period to compare with"), fails(F.col("prior_q_end").isNull(), "no earlier period to compare with")
 
     def simple(a: str, b: str, *guards: Column) -> Quantity:
         return ratio(c(a), c(b), f"{b} is zero", list(guards))
 
     def growth(name: str, missing: Column, prior: Period, *guards: Column) -> Quantity:
         a, b = at.concept(name), prior.concept(name)
-        reasons = [missing, fails(a.value.isNull(), f"{name} missing (current period)"), fails(b.value.isNull(), f"{name} missing (prior period)")]
-        return derived(divide(a.value, b.value) - 1, [*reasons, *guards, fails(b.value == 0, "prior value is zero")], [a, b], [a.formula, " / ", b.formula, " - 1"])
+        reasons = [missing, fails(a.value.isNull(), f"{name} missing (this period)"), fails(b.value.isNull(), f"{name} missing (earlier period)")]
+        return derived(divide(a.value, b.value) - 1, [*reasons, *guards, fails(b.value == 0, "the earlier value is zero")], [a, b], [a.formula, " / ", b.formula, " - 1"])
 
     def index(num: str, den: str) -> Quantity:
         a, b, x, y = at.concept(num), at.concept(den), before.concept(num), before.concept(den)
         gone = a.value.isNull() | b.value.isNull() | x.value.isNull() | y.value.isNull()
-        reasons = [no_prior, fails(gone, f"{num} or {den} missing in t or t-1"), fails((b.value == 0) | (y.value == 0), f"{den} is zero in t or t-1"), fails(x.value == 0, "prior-period ratio is zero")]
+        reasons = [no_prior, fails(gone, f"{num} or {den} missing in one of the periods"), fails((b.value == 0) | (y.value == 0), f"{den} is zero in one of the periods"), fails(x.value == 0, "the earlier ratio is zero")]
         return derived(divide(divide(a.value, b.value), divide(x.value, y.value)), reasons, [a, b, x, y], ["(", a.formula, "/", b.formula, ") / (", x.formula, "/", y.formula, ")"])
 
     def needs(*parts: tuple[str, Quantity]) -> list[Column]:
         return [q.because(n) for n, q in parts]
 
     out = Named(layers)
-    positive = lambda name: fails(year.concept(name).value <= 0, "prior period <= 0")
+    positive = lambda name: fails(year.concept(name).value <= 0, "the earlier value is not positive")
     out["revenue_yoy"] = growth("revenue", no_prior, before)
     out["revenue_qoq"] = growth("revenue", no_prior_q, before_q)
     out["operating_income_yoy"] = growth("operating_income", no_prior, before, positive("operating_income"))
@@ -190,13 +190,13 @@ def build(layers: Layers) -> dict[str, Quantity]:
     too_small = fails((r1.value != 0) & (F.abs(change) < LEAST_REVENUE_CHANGE * F.abs(r1.value)), f"|delta revenue| < {LEAST_REVENUE_CHANGE:.0%} of revenue")
     out["incremental_gross_margin"] = derived(
         divide(g1.value - g0.value, change),
-        [no_prior, fails(gone, "gross_profit or revenue missing in t or t-1"), too_small, fails(change == 0, "delta revenue is zero")],
+        [no_prior, fails(gone, "gross_profit or revenue missing in one of the periods"), too_small, fails(change == 0, "revenue did not change")],
         [g1, g0, r1, r0],
         ["(", g1.formula, " - ", g0.formula, ") / (", r1.formula, " - ", r0.formula, ")"],
     )
     out["effective_tax_rate"] = simple("tax_expense", "pretax_income")
     tax, pretax = c("tax_expense"), c("pretax_income")
-    no_rate = fails(tax.value.isNull() | pretax.value.isNull(), "effective_tax_rate unavailable (tax_expense or pretax_income missing)")
+    no_rate = fails(tax.value.isNull() | pretax.value.isNull(), "no effective_tax_rate: tax_expense or pretax_income missing")
     out["nopat"] = derived(
         oi.value * (1 - divide(tax.value, pretax.value)),
         [oi.reason, no_rate, fails(pretax.value == 0, "pretax_income is zero")],
@@ -219,10 +219,10 @@ def build(layers: Layers) -> dict[str, Quantity]:
     out["free_cash_flow"] = derived(cfo.value - capex.value, [cfo.reason, capex.reason], [cfo, capex], [cfo.formula, " - ", capex.formula])
     free = out["free_cash_flow"]
     out["fcf_margin"] = over_revenue("free_cash_flow", free)
-    out["fcf_conversion"] = derived(divide(free.value, income.value), [*needs(("free_cash_flow", free)), income.reason, fails(income.value <= 0, "net_income <= 0")], [free, income], ["(", free.formula, ") / ", income.formula])
+    out["fcf_conversion"] = derived(divide(free.value, income.value), [*needs(("free_cash_flow", free)), income.reason, fails(income.value <= 0, "net_income is not positive")], [free, income], ["(", free.formula, ") / ", income.formula])
     out["sbc_to_revenue"] = simple("sbc", "revenue")
-    base = now.either(c("ppe_gross"), now.ppe(), "ppe_gross, ppe_net, and ppe_and_lease_net all missing")
-    out["depreciation_rate"] = ratio(now.depreciation(), base, "denominator is zero")
+    base = now.either(c("ppe_gross"), now.ppe(), "no ppe_gross, ppe_net or ppe_and_lease_net")
+    out["depreciation_rate"] = ratio(now.depreciation(), base, "the property is zero")
     days = {}
     for name, a, b in (("days_inventory", "inventory", "cogs"), ("days_receivables", "receivables", "revenue"), ("days_payables", "payables", "cogs")):
         out[name] = ratio(c(a), c(b), f"{b} is zero", times=365)
@@ -233,13 +233,13 @@ def build(layers: Layers) -> dict[str, Quantity]:
     out["inventory_growth_less_revenue_growth"] = derived(inv.value - rev.value, needs(("inventory_yoy", inv), ("revenue_yoy", rev)), [inv, rev], ["(", inv.formula, ") - (", rev.formula, ")"])
     out["net_debt"] = derived(debt.value - cash.value - short.value, [debt.reason, cash.reason, short.reason], [debt, cash, short], [debt.formula, " - ", cash.formula, " - ", short.formula])
     net = out["net_debt"]
-    out["net_debt_to_ebitda"] = derived(divide(net.value, ebitda.value), [*needs(("net_debt", net), ("ebitda", ebitda)), fails(ebitda.value <= 0, "ebitda <= 0")], [net, ebitda], ["(", net.formula, ") / (", ebitda.formula, ")"])
+    out["net_debt_to_ebitda"] = derived(divide(net.value, ebitda.value), [*needs(("net_debt", net), ("ebitda", ebitda)), fails(ebitda.value <= 0, "ebitda is not positive")], [net, ebitda], ["(", net.formula, ") / (", ebitda.formula, ")"])
     out["interest_coverage"] = simple("operating_income", "interest_expense")
     out["current_ratio"] = simple("current_assets", "current_liabilities")
     out["beneish_dsri"], out["beneish_sgai"] = index("receivables", "revenue"), index("sga_expense", "revenue")
     m1, m0 = divide(g1.value, r1.value), divide(g0.value, r0.value)
-    zero_revenue = fails((r1.value == 0) | (r0.value == 0), "revenue is zero in t or t-1")
-    out["beneish_gmi"] = derived(divide(m0, m1), [no_prior, fails(gone, "gross_profit or revenue missing in t or t-1"), zero_revenue, fails(m1 == 0, "current gross margin is zero")], [g1, g0, r1, r0], ["(", g0.formula, "/", r0.formula, ") / (", g1.formula, "/", r1.formula, ")"])
+    zero_revenue = fails((r1.value == 0) | (r0.value == 0), "revenue is zero in one of the periods")
+    out["beneish_gmi"] = derived(divide(m0, m1), [no_prior, fails(gone, "gross_profit or revenue missing in one of the periods"), zero_revenue, fails(m1 == 0, "the gross margin of this period is zero")], [g1, g0, r1, r0], ["(", g0.formula, "/", r0.formula, ") / (", g1.formula, "/", r1.formula, ")"])
 
     def soft(at_: Period) -> tuple[Column, list[Quantity], Column]:
         ca, ppe, ta = at_.concept("current_assets"), at_.ppe(), at_.concept("total_assets")
@@ -250,20 +250,20 @@ def build(layers: Layers) -> dict[str, Quantity]:
         top, low, ft, fl = (v0, v1, f0, f1) if swap else (v1, v0, f1, f0)
         return derived(divide(top, low), [no_prior, fails(v1.isNull() | v0.isNull(), missing), fails(low == 0, zero)], [*parts1, *parts0], [ft, " / ", fl])
 
-    out["beneish_aqi"] = two(soft, "current_assets, ppe_net, or total_assets missing/zero in t or t-1", "prior-period term is zero")
-    out["beneish_sgi"] = derived(divide(r1.value, r0.value), [no_prior, fails(r1.value.isNull() | r0.value.isNull(), "revenue missing in t or t-1"), fails(r0.value == 0, "prior revenue is zero")], [r1, r0], [r1.formula, " / ", r0.formula])
+    out["beneish_aqi"] = two(soft, "current_assets, ppe_net, or total_assets missing or zero in one of the periods", "the earlier term is zero")
+    out["beneish_sgi"] = derived(divide(r1.value, r0.value), [no_prior, fails(r1.value.isNull() | r0.value.isNull(), "revenue missing in one of the periods"), fails(r0.value == 0, "the earlier revenue is zero")], [r1, r0], [r1.formula, " / ", r0.formula])
 
     def wear(at_: Period) -> tuple[Column, list[Quantity], Column]:
         dep, ppe = at_.depreciation(), at_.ppe()
         return divide(dep.value, dep.value + ppe.value), [dep, ppe], F.concat(F.lit("("), dep.formula, F.lit(" / ("), dep.formula, F.lit(" + "), ppe.formula, F.lit("))"))
 
-    out["beneish_depi"] = two(wear, "depreciation or ppe_net missing/zero in t or t-1", "current-period rate is zero", swap=True)
+    out["beneish_depi"] = two(wear, "depreciation or ppe_net missing or zero in one of the periods", "the rate of this period is zero", swap=True)
 
     def leverage(at_: Period) -> tuple[Column, list[Quantity], Column]:
         owed, cl, ta = at_.debt(), at_.concept("current_liabilities"), at_.concept("total_assets")
         return divide(owed.value + cl.value, ta.value), [owed, cl, ta], F.concat(F.lit("(("), owed.formula, F.lit(" + "), cl.formula, F.lit(") / "), ta.formula, F.lit(")"))
 
-    out["beneish_lvgi"] = two(leverage, "total_debt, current_liabilities, or total_assets missing/zero in t or t-1", "prior-period leverage is zero")
+    out["beneish_lvgi"] = two(leverage, "total_debt, current_liabilities, or total_assets missing or zero in one of the periods", "the earlier leverage is zero")
     ta = c("total_assets")
     out["beneish_tata"] = derived(divide(income.value - cfo.value, ta.value), [income.reason, cfo.reason, ta.reason, fails(ta.value == 0, "total_assets is zero")], [income, cfo, ta], ["(", income.formula, " - ", cfo.formula, ") / ", ta.formula])
     return out
@@ -276,7 +276,7 @@ def m_score(built: dict[str, Quantity]) -> Quantity:
     value = F.lit(M_SCORE_INTERCEPT)
     for name, weight in M_SCORE_WEIGHTS.items():
         value = value + weight * built[name].value
-    reason = F.when(F.size(gone) > 0, F.concat(F.lit("missing components: "), F.array_join(gone, ", ")))
+    reason = F.when(F.size(gone) > 0, F.concat(F.lit("without: "), F.array_join(gone, ", ")))
     terms = [x for name, weight in M_SCORE_WEIGHTS.items() for x in (f" {weight:+g} * ", built[name].formula)]
     return derived(value, [reason], parts, [f"{M_SCORE_INTERCEPT:g}", *terms])
 
@@ -295,6 +295,14 @@ def with_priors(rows: DataFrame) -> DataFrame:
     return out
 
 
+def inputs_json(inputs: Column, null_reason: Column) -> Column:
+    """The inputs as JSON with sorted keys; a null metric's reason is one of them, as _null_reason."""
+    numbers = F.transform(F.array_sort(F.map_entries(inputs)), lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit(":"), F.coalesce(e["value"].cast("string"), F.lit("null"))))
+    pairs = F.transform(numbers, lambda x: F.regexp_replace(x, r'^\[(".*")\]:', "$1:"))
+    reason = F.when(null_reason.isNotNull(), F.array(F.concat(F.lit('"_null_reason":'), F.regexp_replace(F.to_json(F.array(null_reason)), r"^\[|\]$", "")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("{"), F.array_join(F.array_sort(F.concat(F.coalesce(pairs, F.array().cast("array<string>")), reason)), ","), F.lit("}"))
+
+
 def compute_metrics(facts: DataFrame, filings: DataFrame, names: list[str] | None = None, entities: list[str] | None = None, provenance: bool = True) -> DataFrame:
     """Every registered metric for every period of its classes, null ones with their reason.
 
@@ -323,4 +331,4 @@ def compute_metrics(facts: DataFrame, filings: DataFrame, names: list[str] | Non
     return long.filter(F.array_contains("classes", F.col("cls"))).drop("classes").withColumn("calc_version", F.lit(CALC_VERSION))
 
 
-__all__ = ["PERIOD", "compute_metrics", "with_priors"]
+__all__ = ["PERIOD", "compute_metrics", "inputs_json", "with_priors"]

@@ -29,7 +29,10 @@ def debt_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def period_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.mixed_periods(metrics(spark, sf_dir), latest(spark, sf_dir)).select("cik", "name", "period_end", "key")
+    """Check 5, with the inputs of two metrics one too high; without that there are none."""
+    off = F.col("name").isin("net_margin", "revenue_yoy")
+    rows = metrics(spark, sf_dir).withColumn("inputs", F.when(off, F.transform_values("inputs", lambda k, v: v + 1)).otherwise(F.col("inputs")))
+    return q.mixed_periods(rows, latest(spark, sf_dir)).select("cik", "cls", "name", "period_end", "key")
 
 
 def unverified_yoy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,14 +48,17 @@ def lease_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Check 15: observations computed again; there is no difference."""
+    """Check 15: observations computed again, where the stored statements of one rule were changed; without that there is no difference."""
     again = rules.r.metric_observations(metrics(spark, sf_dir), filings(spark, sf_dir))
     keys = ["cik", "rule_name", "subject", "period_end", "accession_no"]
-    return q.snapshot_differences(rules.observations(spark, sf_dir).filter("accession_no is not null"), again, keys, ["statement"]).select("cik", "rule_name")
+    stored = rules.observations(spark, sf_dir).filter("accession_no is not null")
+    stored = stored.withColumn("statement", F.when(F.col("rule_name") == "metric_sigma_move", F.lower("rule_name")).otherwise(F.col("statement")))
+    return q.snapshot_differences(stored, again, keys, ["statement"]).select("cik", "rule_name", "subject")
 
 
 def observation_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.orphan_references(rules.observations(spark, sf_dir), metrics(spark, sf_dir)).select("cik", "rule_name")
+    """Check 16, against metrics of which one is gone; without that there are none."""
+    return q.orphan_references(rules.observations(spark, sf_dir), metrics(spark, sf_dir).filter("name <> 'roe'")).select("cik", "rule_name", "subject")
 
 
 def orphan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,16 +117,23 @@ QUERIES = {
 
 GROSS = "SELECT cik, period_start, period_end, gross_profit AS tagged, revenue - cogs AS derived FROM base WHERE cls <> 'other' AND abs(gross_profit - (revenue - cogs)) / CASE WHEN gross_profit <> 0 THEN abs(gross_profit) ELSE 1e-9 END > 0.01"
 DEBT = """SELECT cik, period_end, total_debt AS combined, debt_noncurrent + debt_current AS parts FROM instants WHERE abs(total_debt - (debt_noncurrent + debt_current)) / CASE WHEN total_debt <> 0 THEN abs(total_debt) ELSE 1e-9 END > 0.01"""
-NONE = "SELECT 'x' AS cik, 'x' AS rule_name WHERE false"
 ORACLE = {
     "gross_profit_crosscheck": f"{sql.SPINE} SELECT * REPLACE (round(tagged, 6) + 0.0 AS tagged, round(derived, 6) + 0.0 AS derived) FROM ({GROSS})",
     "debt_reconciliation": f"{sql.SPINE} SELECT cik, period_end, round(combined, 6) + 0.0 AS combined, round(parts, 6) + 0.0 AS parts, cik <> '0000000001' AS hard FROM ({DEBT})",
-    "period_mixing": "SELECT 'x' AS cik, 'x' AS name, 'x' AS period_end, 'x' AS key WHERE false",
+    "period_mixing": f"""{sql.PAIRED}, p AS (SELECT t.cik AS cik, t.cls AS cls, t.period_start AS period_start, t.period_end AS period_end, y.period_start AS ys, y.period_end AS ye FROM paired WHERE t.cls IN ('annual', 'quarterly')),
+        tag AS (SELECT cik, canonical, period_start, period_end, concept, value FROM resolved WHERE period_start IS NOT NULL),
+        m AS (SELECT p.cik, p.cls, p.period_end, a.concept AS a, b.concept AS b FROM p JOIN tag a ON a.canonical = 'net_income' AND (a.cik, a.period_start, a.period_end) = (p.cik, p.period_start, p.period_end)
+            JOIN tag b ON b.canonical = 'revenue' AND (b.cik, b.period_start, b.period_end) = (p.cik, p.period_start, p.period_end) WHERE b.value <> 0),
+        r AS (SELECT p.cik, p.cls, p.period_end, a.concept AS a, b.concept AS b FROM p JOIN tag a ON a.canonical = 'revenue' AND (a.cik, a.period_start, a.period_end) = (p.cik, p.period_start, p.period_end)
+            JOIN tag b ON b.canonical = 'revenue' AND (b.cik, b.period_start, b.period_end) = (p.cik, p.ys, p.ye) WHERE b.value <> 0)
+        SELECT cik, cls, 'net_margin' AS name, CAST(period_end AS VARCHAR) AS period_end, unnest([a, b]) AS key FROM m
+        UNION ALL SELECT cik, cls, 'revenue_yoy', CAST(period_end AS VARCHAR), unnest([a || '_t', b || '_t-1']) FROM r""",
     "unresolved_concepts": f"{sql.LATEST} SELECT DISTINCT canonical FROM aliases WHERE canonical NOT IN (SELECT canonical FROM tagged)",
     "lease_assumptions": f"""{sql.SPINE}, i AS (SELECT *, COALESCE(total_debt, debt_noncurrent + debt_current) IS NOT NULL AS b FROM instants WHERE total_debt IS NOT NULL OR debt_noncurrent IS NOT NULL OR debt_current IS NOT NULL OR finance_lease_liability_noncurrent IS NOT NULL OR finance_lease_liability_current IS NOT NULL)
         SELECT cik, count(*) FILTER (b AND (finance_lease_liability_noncurrent IS NULL OR finance_lease_liability_current IS NULL)) AS assumed, count(*) FILTER (b) AS periods FROM i GROUP BY cik""",
-    "determinism": NONE,
-    "observation_orphans": NONE,
+    "determinism": f"{rules.M} SELECT cik, rule_name, subject FROM observed WHERE rule_name = 'metric_sigma_move' AND accession_no IS NOT NULL",
+    "observation_orphans": f"{rules.M} SELECT cik, rule_name, subject FROM (SELECT cik, rule_name, subject, unnest(range(n_refs)) AS k FROM observed WHERE subject = 'roe')",
+    "empty_briefs": f"""{evidence.VERIFIED} SELECT brief_id || '-' || (position % 100) AS brief_id, 'all dropped' AS reason FROM verified GROUP BY 1 HAVING count(*) FILTER (drop_reason IS NULL) = 0""",
     "orphan_findings": f"{with_views('findings')} SELECT finding_id FROM findings WHERE severity = 'high'",
     "budget_headroom": f"{with_views('ledger')} SELECT round(CAST(sum(cost_usd) AS DOUBLE), 4) + 0.0 AS spent, round(CAST(8.5 - sum(cost_usd) AS DOUBLE), 4) + 0.0 AS remaining, sum(cost_usd) > 8.5 AS over FROM ledger",
     "manifests": f"""{with_views('feed')}, a AS (SELECT accession_no, primary_doc AS filename, CASE form_type WHEN '8-K' THEN 'EX-99.1' WHEN 'DEF 14A' THEN '' ELSE form_type END AS type, CASE form_type WHEN 'DEF 14A' THEN '' ELSE 'd' END AS description, form_type = '8-K' AS archived FROM feed WHERE primary_doc <> '')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlens.bindings import view, with_views
 from factlens.operators import facts as f
+from factlens.operators.metrics import inputs_json
 from factlens.operators.periods import nearest_prior
 from factlens.plans import sql
 from factlens.plans.common import facts, filings, latest, metrics, rounded
@@ -88,10 +89,14 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_null_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null reasons of the metrics that need a prior period, a denominator or a component, counted."""
+    """Null reasons of all metrics, counted."""
+    return metrics(spark, sf_dir).filter("null_reason is not null").groupBy("name", "null_reason").agg(F.count("*").alias("n"))
+
+
+def null_reasons_of_seven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for metrics that need a prior period, a denominator or a component, as SQL says them."""
     names = ["revenue_yoy", "gross_margin", "roe", "net_debt", "fcf_conversion", "days_inventory", "beneish_dsri"]
-    found = metrics(spark, sf_dir).filter(F.col("null_reason").isNotNull() & F.col("name").isin(names))
-    return found.groupBy("name", "null_reason").agg(F.count("*").alias("n"))
+    return metric_null_reasons(spark, sf_dir).filter(F.col("name").isin(names))
 
 
 def metric_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +104,12 @@ def metric_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formula and inputs of operating margins and yearly growth, inputs as JSON with sorted keys."""
+    """Formula, inputs and null reason of every metric row, inputs as JSON with sorted keys."""
+    return metrics(spark, sf_dir).select("cik", "cls", "period_start", "period_end", "name", "formula", inputs_json(F.col("inputs"), F.col("null_reason")).alias("inputs"))
+
+
+def provenance_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags and summed inputs of operating margins and yearly growth, as SQL says them."""
     found = metrics(spark, sf_dir).filter(F.col("name").isin("operating_margin", "revenue_yoy") & F.col("value").isNotNull())
     tags = F.array_join(F.array_sort(F.map_keys("inputs")), "+")
     return found.select("cik", "cls", "period_start", "period_end", "name", tags.alias("tags"), rounded(F.aggregate(F.map_values("inputs"), F.lit(0.0), lambda a, x: a + x), 3).alias("sum_inputs"))
@@ -115,7 +125,7 @@ def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {n: category(c) for n, c in CATEGORIES.items()} | {
     q.__name__: q
-    for q in (feed_new_filings, facts_from_json, latest_facts, resolved_facts, fact_wide, concept_drift, alias_disagreement, prior_period_match, fiscal_labels, ingest_report, metric_null_reasons, metric_coverage, metric_provenance, range_violations)
+    for q in (feed_new_filings, facts_from_json, latest_facts, resolved_facts, fact_wide, concept_drift, alias_disagreement, prior_period_match, fiscal_labels, ingest_report, metric_null_reasons, null_reasons_of_seven, metric_coverage, metric_provenance, provenance_of_two, range_violations)
 }
 
 ORACLE = {n: sql.rows_of(c) for n, c in CATEGORIES.items()} | {
@@ -145,18 +155,18 @@ ORACLE = {n: sql.rows_of(c) for n, c in CATEGORIES.items()} | {
         FROM facts WHERE form_type IN ('10-K', '10-Q') AND accession_no IS NOT NULL GROUP BY accession_no""",
     "ingest_report": f"""{sql.LATEST}, companies AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik FROM supplier), counts AS (SELECT cik, canonical, count(*) AS n FROM facts JOIN aliases USING (concept, unit) GROUP BY ALL)
         SELECT c.cik, a.canonical, coalesce(n, 0) AS n FROM companies c CROSS JOIN (SELECT DISTINCT canonical FROM aliases) a LEFT JOIN counts USING (cik, canonical)""",
-    "metric_null_reasons": f"""{sql.PAIRED}, r AS (
-        SELECT 'revenue_yoy' AS name, CASE WHEN y.cik IS NULL THEN 'prior period not found' WHEN t.revenue IS NULL THEN 'revenue missing (current period)' WHEN y.revenue IS NULL THEN 'revenue missing (prior period)' WHEN y.revenue = 0 THEN 'prior value is zero' END AS null_reason FROM paired WHERE t.cls IN ('annual', 'quarterly')
-        UNION ALL SELECT 'gross_margin', CASE WHEN t.gross IS NULL THEN 'gross_profit unresolved and revenue/cogs fallback unavailable' WHEN t.revenue IS NULL THEN 'revenue missing' WHEN t.revenue = 0 THEN 'revenue is zero' END FROM paired WHERE t.cls IN ('annual', 'quarterly')
+    "null_reasons_of_seven": f"""{sql.PAIRED}, r AS (
+        SELECT 'revenue_yoy' AS name, CASE WHEN y.cik IS NULL THEN 'no earlier period to compare with' WHEN t.revenue IS NULL THEN 'revenue missing (this period)' WHEN y.revenue IS NULL THEN 'revenue missing (earlier period)' WHEN y.revenue = 0 THEN 'the earlier value is zero' END AS null_reason FROM paired WHERE t.cls IN ('annual', 'quarterly')
+        UNION ALL SELECT 'gross_margin', CASE WHEN t.gross IS NULL THEN 'no gross_profit, and revenue less cogs cannot be taken' WHEN t.revenue IS NULL THEN 'revenue missing' WHEN t.revenue = 0 THEN 'revenue is zero' END FROM paired WHERE t.cls IN ('annual', 'quarterly')
         UNION ALL SELECT 'roe', CASE WHEN t.net_income IS NULL THEN 'net_income missing' WHEN t.equity IS NULL THEN 'equity missing' WHEN t.equity = 0 THEN 'equity is zero' WHEN t.equity < 0 THEN 'equity is negative' END FROM paired WHERE t.cls IN ('annual', 'quarterly')
-        UNION ALL SELECT 'net_debt', CASE WHEN t.debt IS NULL THEN 'total_debt unresolved (no combined tag and components incomplete)' WHEN t.cash IS NULL THEN 'cash missing' WHEN t.short_term_investments IS NULL THEN 'short_term_investments missing' END FROM paired WHERE t.cls IN ('annual', 'quarterly')
-        UNION ALL SELECT 'fcf_conversion', CASE WHEN t.cfo IS NULL THEN 'free_cash_flow unavailable: cfo missing' WHEN t.capex IS NULL THEN 'free_cash_flow unavailable: capex missing' WHEN t.net_income IS NULL THEN 'net_income missing' WHEN t.net_income <= 0 THEN 'net_income <= 0' END FROM paired WHERE t.cls IN ('annual', 'quarterly')
+        UNION ALL SELECT 'net_debt', CASE WHEN t.debt IS NULL THEN 'no total_debt, and its parts are not all there' WHEN t.cash IS NULL THEN 'cash missing' WHEN t.short_term_investments IS NULL THEN 'short_term_investments missing' END FROM paired WHERE t.cls IN ('annual', 'quarterly')
+        UNION ALL SELECT 'fcf_conversion', CASE WHEN t.cfo IS NULL THEN 'free_cash_flow cannot be taken: cfo missing' WHEN t.capex IS NULL THEN 'free_cash_flow cannot be taken: capex missing' WHEN t.net_income IS NULL THEN 'net_income missing' WHEN t.net_income <= 0 THEN 'net_income is not positive' END FROM paired WHERE t.cls IN ('annual', 'quarterly')
         UNION ALL SELECT 'days_inventory', CASE WHEN t.inventory IS NULL THEN 'inventory missing' WHEN t.cogs IS NULL THEN 'cogs missing' WHEN t.cogs = 0 THEN 'cogs is zero' END FROM paired WHERE t.cls = 'annual'
-        UNION ALL SELECT 'beneish_dsri', CASE WHEN y.cik IS NULL THEN 'prior period not found' WHEN t.receivables IS NULL OR t.revenue IS NULL OR y.receivables IS NULL OR y.revenue IS NULL THEN 'receivables or revenue missing in t or t-1'
-            WHEN t.revenue = 0 OR y.revenue = 0 THEN 'revenue is zero in t or t-1' WHEN y.receivables = 0 THEN 'prior-period ratio is zero' END FROM paired WHERE t.cls = 'annual')
+        UNION ALL SELECT 'beneish_dsri', CASE WHEN y.cik IS NULL THEN 'no earlier period to compare with' WHEN t.receivables IS NULL OR t.revenue IS NULL OR y.receivables IS NULL OR y.revenue IS NULL THEN 'receivables or revenue missing in one of the periods'
+            WHEN t.revenue = 0 OR y.revenue = 0 THEN 'revenue is zero in one of the periods' WHEN y.receivables = 0 THEN 'the earlier ratio is zero' END FROM paired WHERE t.cls = 'annual')
         SELECT name, null_reason, count(*) AS n FROM r WHERE null_reason IS NOT NULL GROUP BY ALL""",
     "metric_coverage": f"{sql.METRIC_ROWS} SELECT cik, name, count(value) AS computed, count(*) AS total, round(count(value) / count(*), 6) + 0.0 AS coverage FROM metrics GROUP BY ALL",
-    "metric_provenance": f"""{sql.PAIRED}, p AS (SELECT t.cik AS cik, t.cls AS cls, t.period_start AS period_start, t.period_end AS period_end, y.period_start AS ys, y.period_end AS ye FROM paired WHERE t.cls IN ('annual', 'quarterly')),
+    "provenance_of_two": f"""{sql.PAIRED}, p AS (SELECT t.cik AS cik, t.cls AS cls, t.period_start AS period_start, t.period_end AS period_end, y.period_start AS ys, y.period_end AS ye FROM paired WHERE t.cls IN ('annual', 'quarterly')),
         tag AS (SELECT cik, canonical, period_start, period_end, concept, value FROM resolved)
         SELECT p.cik, p.cls, p.period_start, p.period_end, 'operating_margin' AS name, array_to_string(list_sort([a.concept, b.concept]), '+') AS tags, round(a.value + b.value, 3) + 0.0 AS sum_inputs
         FROM p JOIN tag a ON a.canonical = 'operating_income' AND (a.cik, a.period_start, a.period_end) = (p.cik, p.period_start, p.period_end)
@@ -170,7 +180,7 @@ ORACLE = {n: sql.rows_of(c) for n, c in CATEGORIES.items()} | {
 }
 
 #: Date columns of results.
-DATED = dict.fromkeys([*CATEGORIES, "latest_facts", "resolved_facts", "fact_wide", "concept_drift", "alias_disagreement", "metric_provenance"], "period_start period_end") | {
+DATED = dict.fromkeys([*CATEGORIES, "latest_facts", "resolved_facts", "fact_wide", "concept_drift", "alias_disagreement", "provenance_of_two"], "period_start period_end") | {
     "feed_new_filings": "filing_date report_date",
     "facts_from_json": "period_start period_end filed_date",
     "prior_period_match": "period_start period_end yoy_end qoq_end",

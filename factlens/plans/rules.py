@@ -32,9 +32,10 @@ def rule_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dead_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Check 13: metric rules that never fired though they could."""
+    """Check 13: metric rules that never fired though they could, as if one's observations were lost."""
     could = r.eligible_counts(rows(spark, sf_dir)).groupBy("rule_name").agg(F.sum("eligible").alias("eligible"))
-    return could.join(observations(spark, sf_dir).select("rule_name").distinct(), "rule_name", "left_anti")
+    fired_ = observations(spark, sf_dir).filter("rule_name <> 'metric_sigma_move'").select("rule_name").distinct()
+    return could.join(fired_, "rule_name", "left_anti")
 
 
 def severity_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +46,10 @@ def severity_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observation_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Check 14: there are none."""
-    return r.lookahead(observations(spark, sf_dir)).select("cik", "rule_name", "subject")
+    """Check 14, with references of one subject moved to later periods; without that there are none."""
+    later = F.transform("refs", lambda x: F.struct(x["kind"].alias("kind"), x["id"].alias("id"), F.date_add(x["period_end"], 4000).alias("period_end")))
+    rows_ = observations(spark, sf_dir).withColumn("refs", F.when(F.col("subject") == "roe", later).otherwise(F.col("refs")))
+    return r.lookahead(rows_).select("cik", "rule_name", "subject")
 
 
 def observation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +63,11 @@ def filing_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dupont(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Check 2: margin times turnover times multiplier against return on equity, more than one percent apart."""
+    """Check 2: margin times turnover times multiplier against return on equity, more than one percent apart; every second
+    company's return is given five percent too high."""
     names = ["net_margin", "asset_turnover", "equity_multiplier", "roe"]
     wide = metrics(spark, sf_dir).filter(F.col("name").isin(names)).groupBy("cik", "period_start", "period_end").pivot("name", names).agg(F.first("value"))
+    wide = wide.withColumn("roe", F.when(F.col("cik").cast("long") % 2 == 0, F.col("roe") * 1.05).otherwise(F.col("roe")))
     product = F.col("net_margin") * F.col("asset_turnover") * F.col("equity_multiplier")
     off = F.abs(product - F.col("roe")) / F.when(F.col("roe") != 0, F.abs("roe")).otherwise(1e-9)
     return wide.filter(off > 0.01).select("cik", "period_start", "period_end", rounded(product).alias("product"), rounded("roe").alias("roe"))
@@ -110,12 +115,12 @@ ELIGIBLE = """
 VERSIONS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, (v, _) in RULES.items())
 ORACLE = {k: f"{M} SELECT cik, accession_no, period_end, rule_name, CASE rule_name {VERSIONS} END AS rule_version, subject, severity, n_refs FROM observed WHERE rule_name = '{v}'" for k, v in NAMES.items()} | {
     "rule_eligibility": f"{M} {ELIGIBLE}",
-    "dead_rules": f"{M}, e AS ({ELIGIBLE}) SELECT rule_name, sum(eligible) AS eligible FROM e WHERE rule_name NOT IN (SELECT rule_name FROM observed) GROUP BY 1",
+    "dead_rules": f"{M}, e AS ({ELIGIBLE}) SELECT rule_name, sum(eligible) AS eligible FROM e WHERE rule_name NOT IN (SELECT rule_name FROM observed WHERE rule_name <> 'metric_sigma_move') GROUP BY 1",
     "severity_overrides": f"{M} SELECT rule_name, subject, CASE WHEN subject IN ('gross_margin', 'roe') THEN 'low' ELSE severity END AS severity, count(*) AS n FROM observed GROUP BY ALL",
-    "observation_lookahead": "SELECT 'x' AS cik, 'x' AS rule_name, 'x' AS subject WHERE false",
+    "observation_lookahead": f"{M} SELECT cik, rule_name, subject FROM observed WHERE subject = 'roe'",
     "observation_counts": f"{M} SELECT rule_name, cik, count(*) AS n FROM observed GROUP BY ALL",
     "filing_contribution": f"{M} SELECT rule_name, round(avg(n), 6) + 0.0 AS mean, max(n) AS most, count(*) AS filings FROM (SELECT rule_name, accession_no, count(*) AS n FROM observed WHERE accession_no IS NOT NULL GROUP BY ALL) GROUP BY 1",
-    "dupont": f"""{sql.METRIC_ROWS}, w AS (SELECT cik, period_start, period_end, max(value) FILTER (name = 'net_margin') AS a, max(value) FILTER (name = 'asset_turnover') AS b, max(value) FILTER (name = 'equity_multiplier') AS c, max(value) FILTER (name = 'roe') AS r FROM metrics GROUP BY ALL)
+    "dupont": f"""{sql.METRIC_ROWS}, w AS (SELECT cik, period_start, period_end, max(value) FILTER (name = 'net_margin') AS a, max(value) FILTER (name = 'asset_turnover') AS b, max(value) FILTER (name = 'equity_multiplier') AS c, max(CASE WHEN CAST(cik AS BIGINT) % 2 = 0 THEN value * 1.05 ELSE value END) FILTER (name = 'roe') AS r FROM metrics GROUP BY ALL)
         SELECT cik, period_start, period_end, round(a * b * c, 6) + 0.0 AS product, round(r, 6) + 0.0 AS roe FROM w WHERE abs(a * b * c - r) / CASE WHEN r <> 0 THEN abs(r) ELSE 1e-9 END > 0.01""",
 }
 DATED = dict.fromkeys(NAMES, "period_end") | {"dupont": "period_start period_end"}

@@ -2,18 +2,22 @@
 
 import datetime as dt
 import difflib
+import itertools
+import json
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from factlens import storage
 from factlens.functions import text as t
+from factlens.operators import briefs
 from factlens.operators import facts as f
 from factlens.operators import grounding as g
 from factlens.operators import ledger, quality, rules, sections, selection, sinks
-from factlens.operators.metrics import compute_metrics
-from factlens.operators.periods import nearest_prior
+from factlens.operators.metrics import compute_metrics, inputs_json
+from factlens.operators.periods import nearest_prior, with_peer
 from factlens.registry import CONCEPTS, check_registry
 from factlens.sources import feeds, pages
 
@@ -50,11 +54,11 @@ def test_metrics_and_reasons(year_facts, year_filings):
     found = {(r.name, str(r.period_end)): r for r in compute_metrics(year_facts, year_filings).collect() if r.cls == "annual"}
     now = "2024-12-31"
     assert found["revenue_yoy", now].value == pytest.approx(1.0) and dict(found["revenue_yoy", now].inputs) == {"Revenues_t": 200.0, "Revenues_t-1": 100.0}
-    assert found["revenue_yoy", "2023-12-31"].null_reason == "prior period not found"
+    assert found["revenue_yoy", "2023-12-31"].null_reason == "no earlier period to compare with"
     assert found["gross_margin", now].value == pytest.approx(0.6)
     assert (found["roe", now].value, found["roe", now].null_reason) == (None, "equity is negative")
     assert found["net_debt", now].value == pytest.approx(25.0) and "finance_lease_liability_current=0 [assumed]" in found["net_debt", now].formula
-    assert found["ebitda_margin", now].null_reason == "ebitda unavailable: operating_income missing"
+    assert found["ebitda_margin", now].null_reason == "ebitda cannot be taken: operating_income missing"
     assert all((r.value is None) == (r.null_reason is not None) for r in found.values())
     only = compute_metrics(year_facts, year_filings, names=["net_margin"], entities=["2"]).collect()
     assert only == []
@@ -170,7 +174,9 @@ def test_section_rules(spark):
     df = spark.createDataFrame(rows, "section_id string, company string, form_type string, fiscal_period string, fiscal_year int, accession_no string, category string, short_name string, text string")
     measured = sections.measured(df)
     changes = sections.presence_changes(measured)
-    found = sections.renames(changes)
+    words = sections.worded(df)
+    found = sections.renames(changes, words)
+    assert sections.renames(changes, words, ("Old name",)).count() == 0
     assert [(r.old_name, r.new_name) for r in found.collect()] == [("Old name", "New name")]
     assert [r.subject for r in sections.appeared_or_gone(changes, found, "a").collect()] == ["Fresh"] and [r.subject for r in sections.appeared_or_gone(changes, found, "d").collect()] == ["Gone"]
     assert [r.subject for r in sections.length_change(measured).collect()] == ["Leases"]
@@ -231,3 +237,180 @@ def test_sources(spark, tmp_path):
 def test_native_operators_have_no_python_worker(year_facts, year_filings):
     plan = compute_metrics(year_facts, year_filings)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
+
+
+def test_numbers_stand_on_their_own(spark):
+    """16 isn't in 1160; zeros that end a decimal part don't count; 16.50 is 16.5."""
+    cases = [("16", "of 1160", False), ("16", "of 1,16", False), ("16", "it was 16.", True), ("16", "16.5", False), ("16.50", "it was 16.5 units", True), ("16.0", "16 units", True), ("16.05", "16.0", False), ("100", "in 1 of", False), ("1160", "1,160 in all", True), ("4", "4%", True)]
+    df = spark.createDataFrame([(n, s) for n, s, _ in cases], "n string, s string")
+    assert [r[0] for r in df.select(t.number_in(F.col("n"), F.col("s"))).collect()] == [w for _, _, w in cases]
+
+
+def slow_units(text):
+    out = []
+    for m in re.finditer(r"\d[\d,]*(?:\.\d+)?", text):
+        before, after = text[: m.start()][-1:], text[m.end() :][:1]
+        out.append((float(m[0].replace(",", "")), before if before in ("$", "€", "£") and before else "%" if after == "%" else ""))
+    return out
+
+
+def test_numbers_with_units_against_plain_python(spark):
+    rng = random.Random(2)
+    texts = ["$ 5 and $5% and 5 % or 5%", "€1,234.50", "7.", "", "$$3"] + ["".join(rng.choice("$€£%., 01 29a") for _ in range(20)) for _ in range(300)]
+    found = spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.numbers_with_units(F.col("x")).alias("n")).collect()
+    for r in found:
+        assert [(n.value, n.unit) for n in r.n] == slow_units(r.x), r.x
+
+
+def slow_complex(text):
+    n = 0
+    for w in re.findall(r"[A-Za-z]+(?:['-][A-Za-z]+)*", text):
+        w = re.sub("[^a-z]", "", w.lower())
+        groups = len(re.findall("[aeiouy]+", w))
+        n += groups - (w.endswith("e") and groups > 1) + bool(re.search("[^aeiouy]le$", w)) >= 3
+    return n
+
+
+def test_complex_words_against_plain_python(spark):
+    rng = random.Random(3)
+    texts = ["Reusable tables are incapable; tomate re-use can't-be", "", "idea'able", "a-e-i-o", "x'--y"] + ["".join(rng.choice("aeioule tbcrsy'-E1.") for _ in range(60)) for _ in range(400)]
+    found = spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.complex_word_count(F.col("x")).alias("n")).collect()
+    assert [(r.x, r.n) for r in found] == [(x, slow_complex(x)) for x in texts]
+
+
+def test_no_date_is_below_every_date(spark):
+    rows = [fact("Revenues", "1968-01-01", "1968-12-31", 1.0, "1969-03-01"), fact("Revenues", "1968-01-01", "1968-12-31", 2.0, None, version=5)]
+    assert [r.value for r in f.latest_filed(spark.createDataFrame(rows, FACTS)).collect()] == [1.0]
+
+
+def test_sums_against_all_subsets():
+    rng = random.Random(4)
+    for _ in range(300):
+        values = [float(rng.choice([0, 1, 2, 5, 12, 18, 27, 0.5])) for _ in range(rng.randrange(0, 9))]
+        target = float(rng.choice([0, 3, 5, 57, 30, 45.5, 1]))
+        want = any(abs(sum(x) - target) <= 1e-6 for n in range(2, len(values) + 1) for x in itertools.combinations(values, n))
+        assert g.adds_up(target, values) == want, (target, values)
+    assert not g.adds_up(21.0, [1.0] * 21) and g.adds_up(20.0, [1.0] * 20) and not g.adds_up(1.0, [1.0])
+
+
+METRIC = "cik string, cls string, name string, period_start date, period_end date, value double, inputs map<string,double>"
+
+
+def test_inputs_of_other_periods_are_found(spark):
+    latest = spark.createDataFrame(
+        [("1", "Revenues", D("2024-01-01"), D("2024-12-31"), 200.0), ("1", "Revenues", D("2023-01-01"), D("2023-12-31"), 150.0), ("1", "Revenues", D("2024-10-01"), D("2024-12-31"), 60.0), ("1", "Assets", None, D("2024-12-31"), 900.0), ("1", "Assets", None, D("2023-12-31"), 800.0)],
+        "cik string, concept string, period_start date, period_end date, value double",
+    )
+    year = ("1", "annual", "m", D("2024-01-01"), D("2024-12-31"), 1.0)
+    cases = [({"Revenues_t": 200.0, "Revenues_t-1": 150.0}, []), ({"Revenues": 60.0}, ["Revenues"]), ({"Revenues_t-1": 60.0, "Revenues_t": 200.0}, ["Revenues_t-1"]), ({"Assets": 800.0}, ["Assets"]), ({"Assets_t-1": 800.0, "Assets_t": 900.0}, []), ({"Assets_t-1": 1.0}, ["Assets_t-1"]), ({"beneish_dsri": 5.0}, [])]
+    for inputs, bad in cases:
+        assert [r.key for r in quality.mixed_periods(spark.createDataFrame([(*year, inputs)], METRIC), latest).collect()] == bad, inputs
+
+
+def test_drift_between_tags_that_never_met(spark):
+    other = "RevenueFromContractWithCustomerExcludingAssessedTax"
+    days = lambda y: (D(f"{y}-01-01"), D(f"{y}-12-31"))
+    facts = [("1", "Revenues", *days(2023), 1.0), ("1", other, *days(2024), 2.0), ("2", "Revenues", *days(2023), 1.0), ("2", other, *days(2024), 2.0), ("2", other, *days(2020), 2.0), ("2", "Revenues", *days(2020), 2.0)]
+    latest = spark.createDataFrame(facts, "cik string, concept string, period_start date, period_end date, value double")
+    inputs = {f"{other}_t": 2.0, "Revenues_t-1": 1.0, "Assets_t": 3.0}
+    rows = [(c, "annual", "incremental_gross_margin", *days(2024), 1.0, inputs) for c in "12"] + [("1", "annual", "m", *days(2024), None, inputs), ("1", "annual", "gross_margin", *days(2024), 1.0, {other: 2.0, "Revenues": 1.0})]
+    found = quality.unverified_drift(spark.createDataFrame(rows, METRIC), latest).collect()
+    assert [(r.cik, r.name, r.canonical, r.tag_now, r.tag_before) for r in found] == [("1", "incremental_gross_margin", "revenue", other, "Revenues")]
+
+
+def test_peers_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), f"c{rng.randrange(4)}", D("2020-01-01") + dt.timedelta(rng.randrange(3000))) for _ in range(400)]
+    found = with_peer(spark.createDataFrame(rows, "k string, cik string, day date"), "cik", ["k"], "day", 60).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.peer == any(k == r.k and c != r.cik and abs((d - r.day).days) <= 60 for k, c, d in rows)
+
+
+def test_renames_against_a_plain_walk(spark):
+    """Greedy by name over all pairs of a filing, without bands."""
+    rng = random.Random(6)
+    base = ["We sell goods to many people. " * n for n in (3, 4, 5)]
+    rows, want = [], []
+    for c in range(6):
+        texts = {y: {f"{'old' if y == 2022 else 'new'} {k}": "".join(x if rng.random() > 0.1 else rng.choice("xyz ") for x in rng.choice(base)) for k in range(5)} for y in (2022, 2023)}
+        rows += [(f"{c}-{n}-{y}", str(c), "10-K", "FY", y, f"{c}-{y}", "Notes", n, x) for y, names in texts.items() for n, x in names.items()]
+        free = dict(texts[2023])
+        for old in sorted(texts[2022]):
+            ratios = sorted((-difflib.SequenceMatcher(None, texts[2022][old], x).ratio(), n) for n, x in free.items())
+            if ratios and -ratios[0][0] > 0.7:
+                want.append((str(c), old, ratios[0][1]))
+                del free[ratios[0][1]]
+    df = spark.createDataFrame(rows, "section_id string, company string, form_type string, fiscal_period string, fiscal_year int, accession_no string, category string, short_name string, text string")
+    found = sections.renames(sections.presence_changes(sections.measured(df)), sections.worded(df)).collect()
+    assert sorted((r.company, r.old_name, r.new_name) for r in found) == sorted(want) and want
+    pairs = sections.wording_changed(sections.measured(df.withColumn("short_name", F.substring("short_name", 5, 1))), sections.worded(df)).collect()
+    text_of = {r[0]: r[8] for r in rows}
+    slow = sum(difflib.SequenceMatcher(None, text_of[f"{c}-new {k}-2023"], text_of[f"{c}-old {k}-2022"]).ratio() < 0.6 for c in range(6) for k in range(5))
+    assert len(pairs) == slow
+
+
+def test_page_text_as_rendered():
+    page = "<DOCUMENT><body><div><p>One</p></div>\n <p>“two” – 1<b>2</b>​3<br>three<table><tr><td> 1 </td><td> (2)</td></tr><tr><td></td></tr><tr><td>x</td></tr></table><script>no</script><ul><li>a\n b<li>c</ul></body>"
+    assert pages.page_text(page) == 'One\n\n"two" - 123\nthree\n1  (2)\nx\na b\nc'
+    assert pages.page_text(None) == "" and pages.page_text("plain") == "plain"
+
+
+def test_briefs_fail_closed(spark):
+    verified = spark.createDataFrame([("b", 1, "x", None), ("b", 2, "y", "bad"), ("b", 3, "z", None), ("b", 5, "w", None), ("c", 1, "v", None)], "brief_id string, position int, text string, drop_reason string")
+    body = '{"verifications": [{"position": 0, "verdict": "unsupported"}, {"position": 0, "verdict": "supported"}, {"position": 1, "verdict": "maybe"}]}'
+    responses = spark.createDataFrame([("b", body), ("c", "not json"), ("c", '{"verifications": [{"position": "0", "verdict": "supported"}]}')], "brief_id string, body string")
+    rows = briefs.merged(verified, briefs.verdicts(responses))
+    assert {(r.brief_id, r.position): r.outcome for r in rows.collect()} == {("b", 1): "kept", ("b", 2): "generator", ("b", 3): "verifier", ("b", 5): "verifier", ("c", 1): "verifier"}
+    assert [(r.brief_id, r.place, r.text) for r in briefs.assembled(rows).collect()] == [("b", 0, "x")]
+    counted = briefs.brief_rows(spark.createDataFrame([("b",), ("c",), ("empty",)], "brief_id string"), rows).collect()
+    assert {r.brief_id: (r.sentences, r.generator_dropped, r.verifier_dropped, r.kept) for r in counted} == {"b": (4, 1, 2, 1), "c": (1, 0, 1, 0), "empty": (0, 0, 0, 0)}
+
+
+def test_rule_engine_guards_and_upserts(spark):
+    ref = [("metrics", "x", D("2024-06-30"))]
+    schema = "cik string, accession_no string, period_end date, rule_name string, rule_version string, subject string, severity string, statement string, refs array<struct<kind:string,id:string,period_end:date>>"
+    one = spark.createDataFrame([("1", "a", D("2024-12-31"), "section_appeared", "v4", "Note", "high", "s", ref)], schema)
+    two = spark.createDataFrame([("2", "b", D("2025-06-30"), "section_appeared", "v4", "Note", "high", "s", ref), ("2", "b", D("2025-06-30"), "metric_sigma_move", "v1", "roe", "medium", "s", ref)], schema)
+    plain = spark.createDataFrame([("Plain",)], "subject string")
+    first = rules.engine([one, two], plain)
+    assert {(r.cik, r.rule_name): (r.severity, r._change) for r in first.collect()} == {("1", "section_appeared"): ("low", "insert"), ("2", "section_appeared"): ("low", "insert"), ("2", "metric_sigma_move"): ("medium", "insert")}
+    assert {r._change for r in rules.engine([one, two], plain, first.drop("_change")).collect()} == {"same"}
+    late = two.withColumn("refs", F.array(F.struct(F.lit("metrics").alias("kind"), F.lit("x").alias("id"), F.lit(D("2026-01-01")).alias("period_end"))))
+    with pytest.raises(ValueError, match="later period"):
+        rules.engine([one, late], plain)
+
+
+def test_admission_of_runs(spark):
+    rows = [("a", 1, False, 5), ("a", 2, False, 5), ("a", 3, False, 5), ("a", 4, False, 1), ("b", 1, True, 5), ("b", 2, True, 1), ("c", 1, False, 3), ("c", 2, False, 3), ("c", 3, False, 3), ("d", 1, False, 1)]
+    found = ledger.admit_all(spark.createDataFrame(rows, "run string, place int, scheduled boolean, cost long"), 0, 20, 12, 3, 4).collect()
+    got = {(r.run, r.place): r.refusal for r in found}
+    assert got == {("a", 1): None, ("a", 2): None, ("a", 3): "run cost", ("a", 4): "calls", ("b", 1): "run cost", ("b", 2): "run cost", ("c", 1): None, ("c", 2): None, ("c", 3): None, ("d", 1): None}
+    refused = ledger.refusal_rows(ledger.admit_all(spark.createDataFrame(rows, "run string, place int, scheduled boolean, cost long"), 15, 20, 12, 3, 4))
+    assert {r.note for r in refused.collect()} == {"run cost", "calls", "lifetime budget"} and all(r.cost == 0 and r.status == "refused" for r in refused.collect())
+
+
+def test_every_null_has_a_reason_and_inputs_give_the_value(spark, year_facts):
+    rows = year_facts.withColumn("x", F.lit(1)).drop("x")
+    filings = rows.select("cik", "period_end", "form_type").distinct()
+    for r in compute_metrics(rows, filings).collect():
+        assert (r.value is None) == (r.null_reason is not None) and r.formula
+        if r.value is not None and r.name in ("net_margin", "operating_margin"):
+            assert any(abs(a / b - r.value) < 1e-9 for a, b in itertools.permutations(r.inputs.values()) if b)
+
+
+def test_inputs_as_json(spark):
+    row = spark.sql("SELECT map('b_t-1', 2.5D, 'a\"x', 1.0D) AS i, CAST(NULL AS STRING) AS n, map() AS e, 'no \"x\"' AS why").select(inputs_json(F.col("i"), F.col("n")), inputs_json(F.col("e").cast("map<string,double>"), F.col("why"))).first()
+    assert [json.loads(x) for x in row] == [{'a"x': 1.0, "b_t-1": 2.5}, {"_null_reason": 'no "x"'}]
+    assert row[0].index("a") < row[0].index("b_t")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", lambda self: None
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": lambda self, key, default: default})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Session())
