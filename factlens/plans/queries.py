@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from factlens.plans import briefs, checks, evidence, filings, ledgers, rules, runs, texts
+from factlens.plans import briefs, checks, evidence, filings, ledgers, report, rules, runs, texts
 
 
 def texted(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,6 +27,6 @@ def texted_sql(query: str, dates: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (filings, rules, texts, evidence, briefs, ledgers, runs, checks):
+for _module in (filings, rules, texts, evidence, briefs, ledgers, runs, checks, report):
     QUERIES |= {name: texted(query) for name, query in _module.QUERIES.items()}
     ORACLE |= {name: texted_sql(query, _module.DATED.get(name, "")) for name, query in _module.ORACLE.items()}
