@@ -43,6 +43,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     if ROW in docs.columns:
         return docs
     try:
+        if "_metadata" in docs.columns:
+            raise AnalysisException("a column hides what is known of files")
         rows = docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
     except AnalysisException:
         return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
