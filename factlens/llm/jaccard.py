@@ -4,7 +4,9 @@ Prefix filter: under one order of all shingles, two sets of n and m shingles tha
 first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1. So only these prefixes are shuffled, pairs that meet there are kept if
 the shingles shared can still suffice, and what is left is compared in full. Any order gives the same pairs; shingles
 that are common in a sample come last, so that few texts meet at them. Equal sets are merged before that. Where many texts
-meet all the same, they are compared with leaders first, and then only those that aren't connected by that.
+meet all the same, they are compared with leaders first, and then only those that aren't connected by that. Leaders are the
+texts with the fewest shingles of their own: in a large group of near copies those are close to what all are copies of, so
+one of them reaches the whole group, and a copy too far from it has so many shingles of its own that its prefix has no others.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ SHINGLE = 5
 #: Documents and shingles that set the order; results don't depend on them.
 SAMPLE, COMMON, LEAST = 50_000, 200_000, 4
 #: Texts at a prefix shingle beyond which leaders are compared first, and how often; results don't depend on them.
-CROWD, ROUNDS = 32, 3
+CROWD, ROUNDS = 32, 2
 
 
 def digests(text: str | None, size: int) -> list[bytes]:
@@ -69,26 +71,27 @@ def common(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
 
 
 def prefixes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(row number, doc_id, digest of the set, its size n, its prefix) of every text."""
+    """(row number, doc_id, digest of the set, its size n, how many of them no other text of the sample has, its prefix) of every text."""
     keys, counts = common(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = [shingles(x.as_py(), size) for x in batch.column("text")]
-            first = []
+            first, own = [], []
             for s in sets:
                 seen = np.zeros(len(s), np.int64)
                 if len(keys) and len(s):
                     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
                     seen = np.where(keys[at] == s, counts[at], 0)
                 n = len(s)
+                own.append(int((seen == 0).sum()))
                 first.append(s[np.argsort(seen, kind="stable")[: n - (4 * n + 4) // 5 + 1]])
             marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            arrays = [batch.column(ROW), batch.column("doc_id"), pa.array(marks, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "doc_id", "digest", "n", "prefix"])
+            arrays = [batch.column(ROW), batch.column("doc_id"), pa.array(marks, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "doc_id", "digest", "n", "own", "prefix"])
 
     rows = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, f"{ROW} long, doc_id long, digest binary, n long, prefix array<long>")
+    return rows.mapInArrow(run, f"{ROW} long, doc_id long, digest binary, n long, own long, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -114,15 +117,16 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def grouped(at: DataFrame, edges: DataFrame | None) -> DataFrame:
     """``at`` with the group of each row number under the links found so far."""
     if edges is None:
-        return at.withColumn("group", F.col("a"))
+        return at.withColumns({"group": F.col("a"), "alone": F.lit(True)})
     nodes = components(edges).withColumnRenamed("node", "a")
-    return at.join(nodes, "a", "left").withColumn("group", F.coalesce("component", "a")).drop("component")
+    return at.join(nodes, "a", "left").withColumns({"group": F.coalesce("component", "a"), "alone": F.col("component").isNull()}).drop("component")
 
 
 def led(docs: DataFrame, at: DataFrame, size: int) -> DataFrame | None:
     """Links of the members of crowded prefix shingles to leaders, so that large groups are joined by few comparisons.
 
-    Every round takes one leader of each shingle and size band; what leaders miss is left to the pairs.
+    Every round takes as leader of each shingle and size band the text with the fewest shingles of its own, from the second
+    round on among those that nothing is linked to yet; what leaders miss is left to the pairs.
     """
     crowd = at.groupBy("key").count().filter(F.col("count") > CROWD).select("key")
     many = materialize(at.join(crowd, "key", "left_semi").withColumn("band", F.floor(F.log("na") / F.log(F.lit(1.25)))), "crowd")
@@ -132,8 +136,12 @@ def led(docs: DataFrame, at: DataFrame, size: int) -> DataFrame | None:
     edges = None
     for k in range(ROUNDS):
         now = materialize(grouped(many, edges), "crowd")
-        lead = now.groupBy("key", "band").agg(F.min_by(F.struct("a", "na", "group"), F.xxhash64("a", F.lit(k))).alias("lead"))
+        free = F.struct("own", F.xxhash64("a").alias("tie"))
+        if k:
+            free = F.when(F.col("alone"), free)
+        lead = now.groupBy("key", "band").agg(F.min_by(F.struct("a", "na", "group"), free).alias("lead")).filter("lead is not null")
         pairs = now.join(lead, ["key", "band"]).filter(F.col("group") != F.col("lead.group"))
+        pairs = pairs.filter(5 * F.least("na", "lead.na") >= 4 * F.greatest("na", "lead.na"))
         pairs = materialize(pairs.select("a", F.col("lead.a").alias("b"), "na", F.col("lead.na").alias("nb")).distinct(), "pairs")
         new = materialize(alike(pairs, sets), "links")
         edges = new if edges is None else edges.union(new)
@@ -141,17 +149,28 @@ def led(docs: DataFrame, at: DataFrame, size: int) -> DataFrame | None:
 
 
 def links(docs: DataFrame, found: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) of row numbers in ``found(row number, n, prefix)``, enough to connect all whose texts are alike."""
-    at = materialize(found.select(F.explode("prefix").alias("key"), F.col(ROW).alias("a"), F.col("n").alias("na")), "at")
+    """Links (a, b) of row numbers in ``found(row number, n, own, prefix)``, enough to connect all whose texts are alike.
+
+    The first shingle that two alike sets share, in the order of prefixes, has so few before it in either that what follows
+    can still be enough; of the smaller set it is among the first ninth. So only those rows meet that pass both. Then the
+    shingles that the two prefixes share are counted, and what can still be alike is compared in full.
+    """
+    place = F.posexplode("prefix").alias("i", "key")
+    at = materialize(found.select(F.col(ROW).alias("a"), F.col("n").alias("na"), "own", place), "at")
     edges = led(docs, at, size)
     at = grouped(at, edges)
     apart = at.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("key")
-    at = materialize(at.join(apart, "key", "left_semi"), "apart")
-    other = at.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("group").alias("other"))
-    na, nb = F.col("na"), F.col("nb")
-    met = at.join(other.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (F.col("group") != F.col("other")) & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)))
-    shared = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    pairs = materialize(shared.filter(enough(F.col("shared") + F.greatest(rest(na), rest(nb)), na, nb)).select("a", "b", "na", "nb"), "pairs")
+    at = materialize(at.join(apart, "key", "left_semi").select("key", "a", "na", "i", "group"), "apart")
+    other = at.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("i").alias("j"), F.col("group").alias("other"))
+    na, nb, i, j = (F.col(c) for c in ("na", "nb", "i", "j"))
+    small = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
+    close = (5 * na >= 4 * nb) & enough(F.least(na - i, nb - j), na, nb)
+    met = at.filter(9 * (na - i) >= 8 * na).join(other.hint("merge"), "key").filter(small & close & (F.col("group") != F.col("other")))
+    met = materialize(met.select("a", "b", "na", "nb").distinct(), "met")
+    left, right = found.select(F.col(ROW).alias("a"), F.col("prefix").alias("p")), found.select(F.col(ROW).alias("b"), F.col("prefix").alias("q"))
+    shared = F.size(F.array_intersect("p", "q"))
+    pairs = met.join(left, "a").join(right, "b").filter(enough(shared + F.greatest(rest(na), rest(nb)), na, nb)).select("a", "b", "na", "nb")
+    pairs = materialize(pairs, "pairs")
     rows = materialize(pairs.select(F.col("a").alias(ROW)).union(pairs.select("b")).distinct(), "rows")
     rest_links = alike(pairs, materialize(sets_of(docs, rows, size), "sets"))
     return rest_links if edges is None else edges.union(rest_links)
