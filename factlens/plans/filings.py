@@ -112,7 +112,7 @@ def provenance_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags and summed inputs of operating margins and yearly growth, as SQL says them."""
     found = metrics(spark, sf_dir).filter(F.col("name").isin("operating_margin", "revenue_yoy") & F.col("value").isNotNull())
     tags = F.array_join(F.array_sort(F.map_keys("inputs")), "+")
-    return found.select("cik", "cls", "period_start", "period_end", "name", tags.alias("tags"), rounded(F.aggregate(F.map_values("inputs"), F.lit(0.0), lambda a, x: a + x), 3).alias("sum_inputs"))
+    return found.select("cik", "cls", "period_start", "period_end", "name", tags.alias("tags"), rounded(F.aggregate(F.map_values("inputs"), F.lit(0.0), lambda a, x: a + x), 6).alias("sum_inputs"))
 
 
 def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +168,10 @@ ORACLE = {n: sql.rows_of(c) for n, c in CATEGORIES.items()} | {
     "metric_coverage": f"{sql.METRIC_ROWS} SELECT cik, name, count(value) AS computed, count(*) AS total, round(count(value) / count(*), 6) + 0.0 AS coverage FROM metrics GROUP BY ALL",
     "provenance_of_two": f"""{sql.PAIRED}, p AS (SELECT t.cik AS cik, t.cls AS cls, t.period_start AS period_start, t.period_end AS period_end, y.period_start AS ys, y.period_end AS ye FROM paired WHERE t.cls IN ('annual', 'quarterly')),
         tag AS (SELECT cik, canonical, period_start, period_end, concept, value FROM resolved)
-        SELECT p.cik, p.cls, p.period_start, p.period_end, 'operating_margin' AS name, array_to_string(list_sort([a.concept, b.concept]), '+') AS tags, round(a.value + b.value, 3) + 0.0 AS sum_inputs
+        SELECT p.cik, p.cls, p.period_start, p.period_end, 'operating_margin' AS name, array_to_string(list_sort([a.concept, b.concept]), '+') AS tags, round(a.value + b.value, 6) + 0.0 AS sum_inputs
         FROM p JOIN tag a ON a.canonical = 'operating_income' AND (a.cik, a.period_start, a.period_end) = (p.cik, p.period_start, p.period_end)
                JOIN tag b ON b.canonical = 'revenue' AND (b.cik, b.period_start, b.period_end) = (p.cik, p.period_start, p.period_end)
-        UNION ALL SELECT p.cik, p.cls, p.period_start, p.period_end, 'revenue_yoy', array_to_string(list_sort([a.concept || '_t', b.concept || '_t-1']), '+'), round(a.value + b.value, 3) + 0.0
+        UNION ALL SELECT p.cik, p.cls, p.period_start, p.period_end, 'revenue_yoy', array_to_string(list_sort([a.concept || '_t', b.concept || '_t-1']), '+'), round(a.value + b.value, 6) + 0.0
         FROM p JOIN tag a ON a.canonical = 'revenue' AND (a.cik, a.period_start, a.period_end) = (p.cik, p.period_start, p.period_end)
                JOIN tag b ON b.canonical = 'revenue' AND (b.cik, b.period_start, b.period_end) = (p.cik, p.ys, p.ye)""",
     "range_violations": f"""{sql.METRIC_ROWS}, b AS (SELECT * FROM (VALUES {', '.join(f"('{m.name}', CAST({m.low} AS DOUBLE), CAST({m.high} AS DOUBLE))" for m in METRICS if m.low is not None)}) AS v(name, low, high))
