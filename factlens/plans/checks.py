@@ -9,7 +9,7 @@ from factlens.bindings import view, with_views
 from factlens.operators import facts as f
 from factlens.operators import quality as q
 from factlens.plans import evidence, rules, sql
-from factlens.plans.common import filings, latest, metrics, once, rounded
+from factlens.plans.common import filings, latest, metrics, once, rounded, values
 from factlens.sources import feeds
 
 
@@ -49,7 +49,7 @@ def lease_assumptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check 15: observations computed again, where the stored statements of one rule were changed; without that there is no difference."""
-    again = rules.r.metric_observations(metrics(spark, sf_dir), filings(spark, sf_dir))
+    again = rules.r.metric_observations(values(spark, sf_dir), filings(spark, sf_dir))
     keys = ["cik", "rule_name", "subject", "period_end", "accession_no"]
     stored = rules.observations(spark, sf_dir).filter("accession_no is not null")
     stored = stored.withColumn("statement", F.when(F.col("rule_name") == "metric_sigma_move", F.lower("rule_name")).otherwise(F.col("statement")))
@@ -58,7 +58,7 @@ def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observation_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check 16, against metrics of which one is gone; without that there are none."""
-    return q.orphan_references(rules.observations(spark, sf_dir), metrics(spark, sf_dir).filter("name <> 'roe'")).select("cik", "rule_name", "subject")
+    return q.orphan_references(rules.observations(spark, sf_dir), values(spark, sf_dir).filter("name <> 'roe'")).select("cik", "rule_name", "subject")
 
 
 def orphan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,5 +45,18 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "metrics", lambda: compute_metrics(facts(spark, sf_dir), filings(spark, sf_dir)))
 
 
+def values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of all metrics, without formulas and inputs: a third of the work where rules need no more."""
+    return once(spark, sf_dir, "values", lambda: compute_metrics(facts(spark, sf_dir), filings(spark, sf_dir), provenance=False))
+
+
+def metrics_of(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """Values of the metrics named, computed alone unless those of all are there."""
+    key = (spark.sparkContext.applicationId, sf_dir, modified(spark, sf_dir), "values")
+    if key in _KEPT:
+        return _KEPT[key].filter(F.col("name").isin(names))
+    return compute_metrics(facts(spark, sf_dir), filings(spark, sf_dir), names=names, provenance=False)
+
+
 def rounded(value, digits: int = 6):
     return F.round(value, digits) + 0.0

@@ -10,7 +10,7 @@ from factlens.operators import facts as f
 from factlens.operators.metrics import inputs_json
 from factlens.operators.periods import nearest_prior
 from factlens.plans import sql
-from factlens.plans.common import facts, filings, latest, metrics, rounded
+from factlens.plans.common import facts, filings, latest, metrics, metrics_of, rounded, values
 from factlens.registry import METRICS, metric_table
 from factlens.sources import feeds
 
@@ -28,7 +28,7 @@ CATEGORIES = {
 def category(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = [m.name for m in METRICS if m.category == name]
-        return metrics(spark, sf_dir).filter(F.col("name").isin(names)).select("cik", "cls", "period_start", "period_end", "name", rounded("value").alias("value"))
+        return metrics_of(spark, sf_dir, names).select("cik", "cls", "period_start", "period_end", "name", rounded("value").alias("value"))
 
     return query
 
@@ -100,7 +100,7 @@ def null_reasons_of_seven(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics(spark, sf_dir).groupBy("cik", "name").agg(F.count("value").alias("computed"), F.count("*").alias("total"), rounded(F.count("value") / F.count("*")).alias("coverage"))
+    return values(spark, sf_dir).groupBy("cik", "name").agg(F.count("value").alias("computed"), F.count("*").alias("total"), rounded(F.count("value") / F.count("*")).alias("coverage"))
 
 
 def metric_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def provenance_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check 1: values outside their declared range, by metric and direction."""
     bounds = metric_table(spark).select("name", "cls", "low", "high")
-    found = metrics(spark, sf_dir).join(F.broadcast(bounds), ["name", "cls"]).filter("value < low or value > high")
+    found = values(spark, sf_dir).join(F.broadcast(bounds), ["name", "cls"]).filter("value < low or value > high")
     side = F.when(F.col("value") < F.col("low"), "below").otherwise("above")
     return found.groupBy("name", side.alias("direction")).agg(F.count("*").alias("n"), rounded(F.min("value")).alias("least"), rounded(F.max("value")).alias("most"), F.array_join(F.array_sort(F.collect_set("cik")), ",").alias("ciks"))
 

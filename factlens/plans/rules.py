@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from factlens.operators import rules as r
 from factlens.plans import sql
-from factlens.plans.common import filings, metrics, once, rounded
+from factlens.plans.common import filings, once, rounded, values
 from factlens.registry import METRICS, RULES
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.metric_rows(metrics(spark, sf_dir), filings(spark, sf_dir))
+    return r.metric_rows(values(spark, sf_dir), filings(spark, sf_dir))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "observations", lambda: r.metric_observations(metrics(spark, sf_dir), filings(spark, sf_dir)))
+    return once(spark, sf_dir, "observations", lambda: r.metric_observations(values(spark, sf_dir), filings(spark, sf_dir)))
 
 
 def fired(name: str):
@@ -66,7 +66,7 @@ def dupont(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check 2: margin times turnover times multiplier against return on equity, more than one percent apart; every second
     company's return is given five percent too high."""
     names = ["net_margin", "asset_turnover", "equity_multiplier", "roe"]
-    wide = metrics(spark, sf_dir).filter(F.col("name").isin(names)).groupBy("cik", "period_start", "period_end").pivot("name", names).agg(F.first("value"))
+    wide = values(spark, sf_dir).filter(F.col("name").isin(names)).groupBy("cik", "period_start", "period_end").pivot("name", names).agg(F.first("value"))
     wide = wide.withColumn("roe", F.when(F.col("cik").cast("long") % 2 == 0, F.col("roe") * 1.05).otherwise(F.col("roe")))
     product = F.col("net_margin") * F.col("asset_turnover") * F.col("equity_multiplier")
     off = F.abs(product - F.col("roe")) / F.when(F.col("roe") != 0, F.abs("roe")).otherwise(1e-9)

@@ -17,7 +17,7 @@ from factlens.operators import sinks
 from factlens.operators.facts import resolve, tag_disagreements
 from factlens.plans import rules as plan_rules
 from factlens.plans import sql, texts
-from factlens.plans.common import latest, metrics, rounded
+from factlens.plans.common import latest, rounded, values
 from factlens.registry import METRICS, metric_table
 from factlens.sources import pages as p
 
@@ -129,7 +129,7 @@ def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks 1 and 1a: values out of range, hard unless registered for that metric, company and period (here those of annual roe)."""
     bounds = metric_table(spark).select("name", "cls", "low", "high")
-    found = metrics(spark, sf_dir).join(F.broadcast(bounds), ["name", "cls"]).filter("value < low or value > high")
+    found = values(spark, sf_dir).join(F.broadcast(bounds), ["name", "cls"]).filter("value < low or value > high")
     keys = ["name", "cik", "period_start", "period_end"]
     register = found.filter("name = 'roe' and cls = 'annual'").select(*keys, F.lit("equity close to zero").alias("reason"))
     return q.with_register(found, register, keys).groupBy("name", "hard").agg(F.count("*").alias("n"))
