@@ -179,7 +179,8 @@ def links(docs: DataFrame, found: DataFrame, size: int = SHINGLE) -> DataFrame:
 def similar(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Row number, doc_id and group of every document of ``docs`` (numbered rows): the texts linked, directly or over others.
 
-    Texts without a word are alike. Repeated rows come back as often as they are there.
+    Texts without a word, null ones too, are alike. Repeated rows come back as often as they are there; a null doc_id is
+    carried along; an empty table gives an empty result.
     """
     found = materialize(prefixes(docs, size), "prefixes")
     one = materialize(found.groupBy("digest").agg(F.min(ROW).alias("one")), "one")

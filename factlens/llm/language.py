@@ -21,6 +21,8 @@ from factlens.llm.common import read_table
 BITS = 13
 #: About so many labelled rows of each language are sampled for fitting.
 SAMPLE = 400
+#: Languages that are learned at most, those with the most rows; the model has a machine for each two of a family.
+LANGUAGES = 1_000
 UNKNOWN = "und"
 #: A document is rejected below this score (and without a language).
 LEAST_SCORE = 0.2
@@ -116,13 +118,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from text and non-null lang of rows that are not held out."""
+    """Learn from text and non-null lang of rows that are not held out.
+
+    About ``sample`` rows of each language are drawn by a hash of doc_id and text; of rows repeated in full one is drawn.
+    """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Model()
     rates = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, sample / n))) for k, n in counts.items()))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 20)) / float(1 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +136,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             arrays += [pa.array([r[k].astype(t).tobytes() for r in found], pa.binary()) for k, t in ((1, np.int32), (2, np.float32))]
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "at", "x"])
 
-    rows = usable.filter(draw < rates[F.col("lang")]).select("lang", "text").mapInArrow(run, "lang string, at binary, x binary").collect()
+    drawn = usable.filter(draw < rates[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"])
+    rows = drawn.select("lang", "text").mapInArrow(run, "lang string, at binary, x binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.x)))
     langs = sorted({r.lang for r in rows})
     if not langs:
@@ -176,7 +182,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without rows whose language isn't known or too unsure; all columns stay."""
+    """``docs`` without rows whose language isn't known or too unsure; all columns stay.
+
+    Null and empty texts and those without a letter go, as they have no language; repeated rows are judged alike; a null
+    lang or doc_id is only not learned from; an empty table, or one without any lang, gives no rows.
+    """
     model = fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -359,7 +359,11 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, vocabu
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that are rejected; all columns stay."""
+    """``docs`` without those that are rejected; all columns stay.
+
+    Null and empty texts go; repeated rows are judged alike; a null lang takes the threshold over all languages; without any
+    trusted text everything with words stays; an empty table stays empty (see ``judge``).
+    """
     rows = numbered(docs)
     return without_rows(rows, judge(rows, labels).filter(~F.col("kept")))
 

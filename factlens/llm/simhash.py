@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHI
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of similar texts: the smallest doc_id, of repeated rows one.
 
-    Similar are five-word shingles with a Jaccard similarity of at least 0.8, directly or over others; see ``jaccard``.
+    Similar are five-word shingles with a Jaccard similarity of at least 0.8, directly or over others; see ``jaccard``. All
+    texts without a word, null ones too, are one group; a null doc_id stays only in a group of such; an empty table stays empty.
     """
     rows = numbered(docs)
     found = materialize(similar(rows), "near")
