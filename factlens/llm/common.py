@@ -28,6 +28,7 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()  # a worker lives on, what its task needed shouldn't
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from factlens.llm.components import components
 SEED = 42
 SHINGLE = 5
 #: Documents and shingles that set the order; results don't depend on them.
-SAMPLE, COMMON, LEAST = 50_000, 200_000, 4
+SAMPLE, COMMON, LEAST = 20_000, 200_000, 3
 #: Texts at a prefix shingle beyond which leaders are compared first, and how often; results don't depend on them.
 CROWD, ROUNDS = 32, 2
 
