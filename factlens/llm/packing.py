@@ -30,7 +30,7 @@ END_ID = 1
 #: A rank is counted within at most about so many pieces; lengths with more are dealt over several groups.
 RANK_GROUP = 2_000
 #: Bytes of pre-tokens and ids that a worker remembers, and bytes of text that are tokenized at once.
-CACHE_BYTES, STRETCH = 32_000_000, 4_000_000
+CACHE_BYTES, STRETCH = 16_000_000, 2_000_000
 
 #: White space of the Unicode property; splitting words otherwise also cuts at U+001C to U+001F, which are not in it.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

@@ -36,7 +36,7 @@ START, UNKNOWN, FIRST = 0, 1, 2
 #: Pairs whose gains every task holds (12 bytes each); which pairs these are doesn't change results.
 COMMON_PAIRS = 65_536
 #: A block ends at so many words or documents.
-BLOCK_WORDS, BLOCK_DOCS = 2_000_000, 65_000
+BLOCK_WORDS, BLOCK_DOCS = 1_000_000, 65_000
 #: Characters of text for each shard.
 SHARD_CHARS = 16_000_000
 #: Share of trusted documents whose perplexity stays under the threshold, and how many a language (and a band of lengths
