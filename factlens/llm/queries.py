@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlens.llm import bpe, exact_dedup, fingerprints, html_blocks, language, licenses, packing, quality, simhash, token_counts
+from factlens.llm import alignment, bpe, exact_dedup, fingerprints, html_blocks, language, licenses, packing, quality, simhash, token_counts
 from factlens.llm.common import ROW, read_table
 
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": html_blocks.op8_html,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": quality.op10_quality,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE: dict[str, str] = {
