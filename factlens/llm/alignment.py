@@ -15,10 +15,10 @@ all others are joined by pair.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
-import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +31,16 @@ from factlens.llm.packing import byte_letters
 
 #: A single space between two other characters; what follows starts a unit.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Code points of a text that are worked on at once, at least.
+#: Texts without this, within or at their ends, have units between all their spaces.
+ODD = re.compile(r"\s | \s")
+#: How A's byte-level pre-tokeniser cuts texts (a fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points beyond which a text is worked on in stretches.
 STRETCH = 1 << 18
-#: Units that a task remembers, and the longest that it does.
-UNITS, UNIT_LEN = 200_000, 48
+#: Units that a task remembers, and their mean length, at most.
+UNITS, UNIT_LEN = 400_000, 32
+#: Units that B encodes at once, and texts whose units are learnt together.
+TOGETHER, SLICE = 64, 512
 #: Entries of a product that are made at once, unless one row has more.
 BLOCK = 1 << 20
 #: The most common pairs, which every task looks up by itself; all others are joined.
@@ -124,19 +130,18 @@ class Tokens:
     """Ids and bytes of both tokenizers; A takes a string that starts with a space, B the same without that space."""
 
     def __init__(self, byte_bpe: str, pieces: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(byte_bpe)
-        self.a.encode_special_tokens = True
         letters = {c: b for b, c in enumerate(byte_letters())}
         with open(byte_bpe, encoding="utf-8") as f:
-            entries = json.load(f)["model"]["vocab"]
-        names = [""] * (max(entries.values()) + 1)
-        for name, k in entries.items():
-            names[k] = name
-        self.bytes_a = [bytes(letters[c] for c in x) if all(c in letters for c in x) else x.encode() for x in names]
+            stored = json.load(f)
+        special = {x["content"] for x in stored["added_tokens"]}
+        ranks = {bytes(letters[c] for c in x): k for x, k in stored["model"]["vocab"].items() if x not in special}
+        self.bytes_a = [b""] * (max(stored["model"]["vocab"].values()) + 1)
+        for x, k in ranks.items():
+            self.bytes_a[k] = x
+        self.a = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         found = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(found)]
@@ -144,14 +149,15 @@ class Tokens:
             raise ValueError("a piece holds a space after another character, so texts don't fall apart at spaces")
         self.length_a, self.length_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
 
-    def encode(self, strings: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        ids_a = [x.ids for x in self.a.encode_batch(strings, add_special_tokens=False)]
-        return ids_a, self.b.encode([x[1:] for x in strings], num_threads=1)
-
-    def same(self, string: str, ids_a: list[int], ids_b: list[int]) -> bool:
-        """Whether the tokens of both have the string's bytes."""
-        wanted = string.encode()
-        return b"".join(map(self.bytes_a.__getitem__, ids_a)) == wanted == b"".join(map(self.bytes_b.__getitem__, ids_b))
+    def encode(self, units: list[str]) -> tuple[list[int], list[int]] | None:
+        """Ids of both for units, a space before each, one after the other; None if they don't give back the bytes or cross units."""
+        text = " ".join(units)
+        ids_a = self.a.encode_ordinary(" " + text)
+        ids_b = list(itertools.chain.from_iterable(self.b.encode([" ".join(units[k : k + TOGETHER]) for k in range(0, len(units), TOGETHER)], num_threads=1)))
+        wanted = (" " + text).encode()
+        if not b"".join(map(self.bytes_a.__getitem__, ids_a)) == wanted == b"".join(map(self.bytes_b.__getitem__, ids_b)):
+            return None
+        return ids_a, ids_b
 
 
 class Units:
@@ -163,42 +169,64 @@ class Units:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.size = 0
         self.counts = np.empty((0, 6), np.int64)  # valid, tokens of A and B, groups, links, pairs that share a group
         self.groups: list[bytes] = []
         self.pairs, self.starts = np.empty(0, np.int64), np.zeros(1, np.int64)
 
-    def learn(self, new: list[str]) -> None:
-        ids_a, ids_b = self.tokens.encode(new)
-        fine = [k for k, unit in enumerate(new) if self.tokens.same(unit, ids_a[k], ids_b[k])]
-        a, b = (np.fromiter((x for k in fine for x in ids[k]), np.int64) for ids in (ids_a, ids_b))
-        owner = np.array(fine, np.int64)
-        own_a, own_b = (np.repeat(owner, [len(ids[k]) for k in fine]) for ids in (ids_a, ids_b))
-        found = align(self.tokens.length_a[a], self.tokens.length_b[b])
-        counts = np.zeros((len(new), 6), np.int64)
-        counts[owner, 0] = 1
+    def trim(self) -> None:
+        if len(self.at) > UNITS or self.size > UNITS * UNIT_LEN:
+            self.forget()
+
+    def learn(self, units: list[str]) -> None:
+        """Units whose bytes come back are kept with what they have, the others as not valid.
+
+        Units that neither start nor end with white space are encoded together: a text of theirs falls apart into them.
+        """
+        plain = [x for x in units if x and not (x[0].isspace() or x[-1].isspace())]
+        ids = self.tokens.encode(plain) if plain else ([], [])
+        single = {x for x in units if ids is None or not x or x[0].isspace() or x[-1].isspace()}
+        order = ([] if ids is None else plain) + [x for x in units if x in single]
+        ids_a, ids_b = ([], []) if ids is None else ids
+        valid = [1] * len(order)
+        for k, x in enumerate(order):
+            if x in single:
+                own = self.tokens.encode([x])
+                if own is None:
+                    valid[k] = 0
+                else:
+                    ids_a, ids_b = ids_a + own[0], ids_b + own[1]
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        counts = np.zeros((len(order), 6), np.int64)
+        counts[:, 0] = valid
+        length_a, length_b = self.tokens.length_a[a], self.tokens.length_b[b]
+        fine = np.flatnonzero(counts[:, 0])
+        ends = np.cumsum([1 + len(order[k].encode()) for k in fine])
+        ends_a, ends_b = np.cumsum(length_a), np.cumsum(length_b)
+        own_a, own_b = (fine[np.searchsorted(ends, x)] for x in (ends_a, ends_b))
+        found = align(length_a, length_b)
         linked = own_a[found.link_a]
         own_group = np.empty(found.n_groups, np.int64)
         own_group[found.group_a] = own_a
         for column, of in ((1, own_a), (2, own_b), (3, own_group), (4, linked)):
-            counts[:, column] = np.bincount(of, minlength=len(new))
+            counts[:, column] = np.bincount(of, minlength=len(order))
         for at, _ in found.shared():
-            counts[:, 5] += np.bincount(own_a[at], minlength=len(new))
-        texts: list[list[str]] = [[] for _ in new]
-        ends_a, ends_b = (np.cumsum(np.bincount(x, minlength=found.n_groups)).tolist() for x in (found.group_a, found.group_b))
-        list_a, list_b, i, j = list(map(str, a.tolist())), list(map(str, b.tolist())), 0, 0
-        for unit, x, y in zip(own_group.tolist(), ends_a, ends_b, strict=True):
-            texts[unit].append(f"{','.join(list_a[i:x])}|{','.join(list_b[j:y])}")
-            i, j = x, y
-        self.at.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
-        self.groups += [";".join(x).encode() for x in texts]
+            counts[:, 5] += np.bincount(own_a[at], minlength=len(order))
+        self.at.update(zip(order, range(len(self.groups), len(self.groups) + len(order)), strict=True))
+        self.size += sum(map(len, order))
+        texts = iter(written_groups(a, b, found, own_group))
+        self.groups += [next(texts) if v else b"" for v in valid]
         self.counts = np.concatenate([self.counts, counts])
         self.pairs = np.concatenate([self.pairs, a[found.link_a] << ID_BITS | b[found.link_b]])
         self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(counts[:, 4])]
 
+    def meet(self, units: set[str]) -> None:
+        """Learn those that aren't known."""
+        if new := units.difference(self.at):
+            self.learn(list(new))
+
     def of(self, units: list[str]) -> np.ndarray:
-        """The numbers of the units, which are learnt if they aren't known."""
-        if new := [x for x in dict.fromkeys(units) if x not in self.at]:
-            self.learn(new)
+        """The numbers of units that are known."""
         return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
 
     def pairs_of(self, at: np.ndarray) -> np.ndarray:
@@ -207,13 +235,34 @@ class Units:
         return self.pairs[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
 
 
-def units_of(text: str) -> Iterator[list[str]]:
-    """The units of a text, each with the space before it, a stretch at a time."""
+def written_groups(a: np.ndarray, b: np.ndarray, found: Aligned, unit: np.ndarray) -> list[bytes]:
+    """The groups of each unit as text: ids of A, of B, and the next group's."""
+    group = np.concatenate([found.group_a, found.group_b])
+    of_b = np.r_[np.zeros(len(a), bool), np.ones(len(b), bool)]
+    order = np.lexsort((of_b, group))
+    group, of_b = group[order], of_b[order]
+    new_group = np.r_[True, group[1:] != group[:-1]][: len(group)]
+    new_unit = np.r_[True, unit[group[1:]] != unit[group[:-1]]][: len(group)]
+    turns = np.r_[False, of_b[1:] & ~of_b[:-1]][: len(group)]
+    before = np.where(new_unit, "\n", np.where(new_group, ";", np.where(turns, "|", ","))).tolist()
+    ids = map(str, np.concatenate([a, b])[order].tolist())
+    return "".join(itertools.chain.from_iterable(zip(before, ids, strict=True))).encode().split(b"\n")[1:]
+
+
+def units_of(text: str) -> list[str]:
+    """The units of a text, without the space before each."""
+    if ODD.search(text) or text[:1].isspace() or text[-1:].isspace():
+        return CUT.split(text)
+    return text.split(" ")
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A text in stretches that end where a unit does; the space between them is left out."""
     start = 0
     while start < len(text):
         cut = CUT.search(text, start + STRETCH)
         end = cut.start() if cut else len(text)
-        yield [" " + x for x in CUT.split(text[start:end])]
+        yield text[start:end]
         start = end + 1
 
 
@@ -222,42 +271,44 @@ def summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray,
     return distinct, np.bincount(at, np.concatenate([np.empty(0), *times]), len(distinct)).astype(np.int64)
 
 
-def measured(text: str | None, known: Units) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
-    """Counts, digest of the groups, distinct pairs and how often each is linked, of a whole text."""
+NOTHING = np.zeros(6, np.int64), "", np.empty(0, np.int64), np.empty(0, np.int64)
+
+
+def measured(parts: Iterable[list[str]], known: Units) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
+    """Counts, digest of the groups, distinct pairs and how often each is linked, of a whole text in lists of known units."""
     counts, digest = np.zeros(6, np.int64), hashlib.sha256()
     keys, times, before = [], [], b""
-    for units in units_of(text or ""):
-        if any(len(x) > UNIT_LEN for x in units):
-            long = Units(known.tokens)  # what isn't remembered
-            parts = [(known if len(x[0]) <= UNIT_LEN else long, x) for x in runs(units)]
-        else:
-            parts = [(known, units)]
-        for table, part in parts:
-            at = table.of(part)
-            if not table.counts[at, 0].all():
-                return np.zeros(6, np.int64), "", np.empty(0, np.int64), np.empty(0, np.int64)
-            counts += table.counts[at].sum(axis=0)
-            digest.update(before + b";".join(map(table.groups.__getitem__, at.tolist())))
-            before = b";"
-            distinct, n = np.unique(table.pairs_of(at), return_counts=True)
-            keys.append(distinct)
-            times.append(n)
+    for units in parts:
+        at = known.of(units)
+        sums = known.counts[at].sum(axis=0)
+        if sums[0] < len(at):
+            return NOTHING
+        counts += sums
+        digest.update(before + b";".join(map(known.groups.__getitem__, at.tolist())))
+        before = b";"
+        distinct, n = np.unique(known.pairs_of(at), return_counts=True)
+        keys.append(distinct)
+        times.append(n)
     if not keys:
-        return counts, "", np.empty(0, np.int64), np.empty(0, np.int64)
+        return NOTHING
     distinct, n = (keys[0], times[0]) if len(keys) == 1 else summed(keys, times)
     return counts, digest.hexdigest(), distinct, n
 
 
-def runs(units: list[str]) -> Iterator[list[str]]:
-    """Units in order, in lists of short ones or of long ones."""
-    held: list[str] = []
-    for x in units:
-        if held and (len(x) > UNIT_LEN) != (len(held[0]) > UNIT_LEN):
-            yield held
-            held = []
-        held.append(x)
-    if held:
-        yield held
+def measured_texts(texts: list[str], known: Units) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
+    """``measured`` of each text; units of short texts are learnt together, those of a long one stretch by stretch."""
+    cut = [units_of(x) if x and len(x) <= STRETCH else None for x in texts]
+    known.meet(set().union(*filter(None, cut)))
+
+    def pieces(text: str) -> Iterator[list[str]]:
+        for x in stretches(text):
+            units = units_of(x)
+            known.trim()
+            known.meet(set(units))
+            yield units
+
+    short = [measured([x], known) if x else None for x in cut]
+    return [done or measured(pieces(text), known) for done, text in zip(short, texts, strict=True)]
 
 
 def documents_aligned(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
@@ -265,10 +316,9 @@ def documents_aligned(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Units(Tokens(byte_bpe, pieces))
-        for batch in sliced(batches, 256):
-            if len(known.at) > UNITS:
-                known.forget()
-            rows = [measured(x.as_py(), known) for x in batch.column("text")]
+        for batch in sliced(batches, SLICE):
+            known.trim()
+            rows = measured_texts([x or "" for x in batch.column("text").to_pylist()], known)
             counts = np.array([x[0] for x in rows]).reshape(-1, 6)
             lists = [pa.array([x[k] for x in rows], pa.list_(pa.int64())) for k in (2, 3)]
             columns = [batch.column("doc_id"), *(pa.array(counts[:, k]) for k in range(1, 6)), pa.array([x[1] for x in rows], pa.string()), *lists]
