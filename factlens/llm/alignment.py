@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import ROW, materialize, read_table, sliced
+from factlens.llm.common import ROW, materialize, read_table, sliced, tidy
 from factlens.llm.packing import byte_letters
 
 #: A single space between two other characters; what follows starts a unit.
@@ -324,7 +324,7 @@ def documents_aligned(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
             columns = [batch.column("doc_id"), *(pa.array(counts[:, k]) for k in range(1, 6)), pa.array([x[1] for x in rows], pa.string()), *lists]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), RESULT)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def looked_up(rows: DataFrame, counts: DataFrame, common: int) -> DataFrame:
 
     kept_columns = [c for c in rows.columns if c not in ("pairs", "times")]
     schema = ", ".join([*(f"{c} {t}" for c, t in rows.dtypes if c in kept_columns), "n_best long, count_sum long, pairs array<long>, times array<long>"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def alignments(docs: DataFrame, byte_bpe: str, pieces: str, common: int = COMMON) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import ROW, numbered, read_table, sliced
+from factlens.llm.common import ROW, kept_in_task, numbered, read_table, sliced, tidy
 
 #: Code points of a chunk without its overlap, and of the overlap with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -34,7 +34,7 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class Codec:
     """Ids of pre-tokens by a rank file, with a cache, and the bytes of ids; a worker keeps its codec from task to task."""
 
-    kept: ClassVar[dict[tuple[str, str], Codec]] = {}
+    kept: ClassVar[dict[tuple[str, str], Codec]] = kept_in_task()
 
     @classmethod
     def of(cls, ranks: str, pattern: str) -> Codec:
@@ -174,9 +174,9 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str | N
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = f"{ROW} long, doc_id long, k int, text string"
-    chunks = rows.filter(long).select(ROW, "doc_id", "text").mapInArrow(split, fields).repartition(parts, ROW, "k").mapInArrow(match, fields + ", ends binary")
-    joined = chunks.repartition(parts, ROW).sortWithinPartitions(ROW, "k").mapInArrow(join, RESULT)
-    return rows.filter(~long).select("doc_id", "text").mapInArrow(whole, RESULT).union(joined)
+    chunks = rows.filter(long).select(ROW, "doc_id", "text").mapInArrow(tidy(split), fields).repartition(parts, ROW, "k").mapInArrow(tidy(match), fields + ", ends binary")
+    joined = chunks.repartition(parts, ROW).sortWithinPartitions(ROW, "k").mapInArrow(tidy(join), RESULT)
+    return rows.filter(~long).select("doc_id", "text").mapInArrow(tidy(whole), RESULT).union(joined)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -23,12 +26,43 @@ SLICE = 512
 BROADCAST_FILES = 200_000
 
 
+#: What a task keeps between its batches.
+_KEPT: list[dict] = []
+
+
+def kept_in_task() -> dict:
+    """A cache that is empty again when a task ends (see ``give_back``)."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def give_back() -> None:
+    """Forget what was kept, and return free memory: a worker lives on for later stages, what its task needed shouldn't."""
+    for cache in _KEPT:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a task, giving memory back at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of few rows, so that what is derived from one part stays small."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
-    pa.default_memory_pool().release_unused()  # a worker lives on, what its task needed shouldn't
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +104,4 @@ def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone, ROW, "left_anti").drop(ROW)
 
 
-__all__ = ["BROADCAST_KEYS", "ROW", "materialize", "numbered", "read_table", "scratch_path", "sliced", "without_rows"]
+__all__ = ["BROADCAST_KEYS", "ROW", "give_back", "kept_in_task", "materialize", "numbered", "read_table", "scratch_path", "sliced", "tidy", "without_rows"]

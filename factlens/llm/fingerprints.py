@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import read_table
+from factlens.llm.common import read_table, tidy
 
 TABLES = 3
 #: Cells in each table of a sketch that is stored, as a power of two, and how many powers each retry adds.
@@ -244,7 +244,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_heads(docs).repartition(n, "bucket").sortWithinPartitions("bucket", "head", F.col("doc_id").asc_nulls_first(), "tie")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.select("doc_id", "text", "bucket", "head").mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "bucket", "head").mapInArrow(tidy(run), schema)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

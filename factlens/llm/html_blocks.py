@@ -4,7 +4,8 @@ A page is cut into flat blocks at block-level tags. A block's features are its w
 blocks before and after it, what its surroundings' tags and names say, and word count and link density of the element that
 says so. A decision tree tells article blocks from the rest; it is grown from the blocks of a small table of labelled pages.
 Names only weigh in: an element that holds the title or the article and most of the page's words is the page's frame,
-whatever it is called, and blocks under a telling name are kept or dropped by counts and densities like all others.
+whatever it is called; a name that holds other words than those of page parts is a topic, and blocks under it are kept or
+dropped by counts and densities, as are those under names that articles' parts have as well.
 Pages are independent rows: there is no shuffle.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import read_table
+from factlens.llm.common import read_table, tidy
 
 TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -46,15 +47,29 @@ CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 #: what a long section of an article may be about, those of the third are names of parts of articles as well.
 TELLING = {
     1.0: frozenset(
-        "ad ads advert advertisement adverts breadcrumb breadcrumbs byline comment commentlist comments contentinfo "
-        "disclaimer disqus footer gdpr masthead modal nav navbar newsletter popup promo sidebar signup skip sponsored toolbar".split()
+        "ad ads advert advertisement adverts breadcrumb breadcrumbs byline comment commentlist comments contentinfo copyright "
+        "disclaimer discussion disqus footer gdpr masthead modal nav navbar newsletter popup promo responses sidebar signup skip sponsored toolbar".split()
     ),
     0.75: frozenset("banner banners consent cookie cookies menu navigation promotion sponsor subscribe subscription widget widgets".split()),
     0.5: frozenset("header login notice notices related replies reply respond search share sharing social".split()),
 }
+#: How telling a name is that holds other words besides, so that it names a topic.
+TOPIC = 0.5
+# Words of names of page parts that say nothing about what they hold, and words that turn a name around.
+PLAIN = frozenset(
+    "area article aside bar block body bottom box btn button card cell col column container content cta desktop div entry feed fixed form global "
+    "google grid group head header html inline inner item items js left link links list main message mobile module new outer overlay page panel "
+    "part post posts primary reader readers recent region right root row section secondary site slot small sticky story tab text thread top unit "
+    "user view web wrap wrapper zone".split()
+)
+TURNED = frozenset("no non not without".split())
+#: What a line about rights starts with.
+RIGHTS = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)", re.I)
 
 #: An element that holds the title or the article and this share of the page's words is its frame.
 FRAME_SHARE = 0.5
+#: A line about rights has no more words.
+RIGHTS_WORDS = 40
 #: Small labelled table: pages whose {n} stands for n words of the article and [n] for n words of anything else.
 LABELLED = (
     # article elements between menus, adverts and footers
@@ -71,6 +86,18 @@ LABELLED = (
     "<main><h1>{6}</h1><p>{50}<ul><li>{2}<li>{3}<li>{10}</ul><p>{14} <a>{9}</a> {20}<h2>{3}</h2><p>{40}<ul><li><a>{7}</a><li><a>{6}</a><li><a>{9}</a></ul><p>{30}</main>",
     "<article><h1>{7}</h1><p>{90}<blockquote>{12}</blockquote><p>{70}<p><a>{6}</a><p>{80}<ul><li><a>[1]</a><li><a>[2]</a><li><a>[2]</a><li><a>[1]</a></ul></article>",
     "<article><ul><li><a>[1]</a><li><a>[2]</a><li><a>[2]</a></ul><h1>{8}</h1><p>{45}<p>{60}<p><a>[2]</a><p><a>[2]</a><p><a>[1]</a></article>",
+    # linked titles and headings, people and sources
+    "<nav><a>[1]</a><a>[2]</a></nav><article><h1><a>{2}</a></h1><p>{60}<h2><a>{2}</a></h2><p>{90}<h2><a>{5}</a></h2><p>{30}<p><a>{5}</a><p>{45}</article><footer>[9]</footer>",
+    "<article><h1><a>{7}</a></h1><p>{25}<h3><a>{1}</a></h3><p>{40}<p><a>{2}</a> {2}<p>{70}<p><a>{3}</a> {1}<p><a>{4}</a> {9}<h2>{1}</h2><ul><li><a>{2}</a><li><a>{2}</a><li><a>{3}</a></ul></article>",
+    "<main><h1><a>{4}</a></h1><p><a>{1}</a><p>{12}<p><a>{8}</a><p>{50}<h2><a>{3}</a></h2><ol><li><a>{5}</a><li><a>{2}</a> {4}<li>{2}</ol></main><div><a>[2]</a> <a>[1]</a></div>",
+    "<div class=menu><a>[1]</a> <a>[1]</a></div><h1><a>{6}</a></h1><p>{70}<p>{25}<h2><a>{2}</a></h2><p>{40}<p>{60}<div class=footer>[10]</div>",
+    # topics by the name of page parts, and the parts themselves
+    "<article><h1>{6}</h1><p>{40}<section id=public-comments-on-rules><h2>{4}</h2><p>{60}<p>{12}<p>{90}</section><section id=modal-verbs><h2>{2}</h2><p>{70}<p>{30}</section><p class=share>{30}</article>",
+    "<main><h1>{3}</h1><section id=history-of-ads><h2>{4}</h2><p>{25}<p>{45}</section><section id=footer-notes-explained><p>{14}<p>{20}</section><div class=related>[2] <a>[5]</a></div></main>",
+    "<main><h1>{5}</h1><p>{60}<p>{45}<div id=responses><h3>[2]</h3><p>[40]<p>[12]<p>[70]</div></main>", "<main><article><h1>{5}</h1><p>{60}</article><div class=reader-responses><p>[30]<p>[9]<p>[110]</div></main>",
+    # rights
+    "<article><h1>{5}</h1><p>{60}<p>{20}</article><div>© [6]</div>", "<main><h1>{5}</h1><p>{60}<p>{90}<p>© [4]</main>", "<h1>{4}</h1><p>{70}<p>{30}<p>{9}<div>© [12]</div>",
+    "<main><h1>{5}</h1><p>{30}<div>© [9]</div></main><div>[4]</div>", "<p>{20}<p>{45}<p>© [3]",
     # notices and titles beside an article
     "<div>[18]</div><article><h1>{6}</h1><p>{60}<p>{30}</article><div>[25]</div>", "<div>[40]</div><div>[9]</div><article><p>{90}<p>{30}</article>",
     "<div>[18]</div><article><p>{26}<p>{50}</article><div>[110]</div><div>[3]</div>", "<p>[12]</p><article><p>{45}</article>", "<div><p>[70]</p></div><article><h1>{5}</h1><p>{200}</article>",
@@ -129,14 +156,22 @@ def decide(tree: tuple, row: tuple) -> bool:
     return tree[0] >= 0.5
 
 
+KNOWN = PLAIN.union(*TELLING.values())
+
+
+def strength(name: str) -> float:
+    """How tellingly one name marks boilerplate: less if it has words of its own, not at all if one turns it around."""
+    words = PART.findall(name.lower())
+    found = max(0.0 if names.isdisjoint(words) else telling for telling, names in TELLING.items())
+    if not found or not TURNED.isdisjoint(words):
+        return 0.0
+    return min(found, TOPIC) if any(len(w) > 2 and w not in KNOWN for w in words) else found
+
+
 def marked(attributes: str) -> float:
     """How tellingly a class, id or role marks boilerplate (0: not at all)."""
-    found = 0.0
-    for name, *values in ATTRIBUTE.findall(attributes):
-        if name.lower() in NAMING:
-            words = PART.findall("".join(values).lower())
-            found = max(found, *(0.0 if names.isdisjoint(words) else telling for telling, names in TELLING.items()))
-    return found
+    names = (x for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in NAMING for x in "".join(values).split())
+    return max(map(strength, names), default=0.0)
 
 
 @dataclass
@@ -262,7 +297,8 @@ def blocks(page: str) -> tuple[list[Block], list[Mark]]:
 def features(found: list[Block], marks: list[Mark]) -> list[tuple[float, ...]]:
     """Words and link density of each block, of the one before and the one after; what the most telling element around it
     that isn't the page's frame says, its words and link density; whether it stands in the article (a half if the page
-    has none); whether it is the title (a half: another heading)."""
+    has none); whether it is the title (a half: another heading); whether it is a line about rights; whether a heading leads to it, with
+    nothing but links between."""
     total = marks[0].words
     telling = list(range(len(marks)))  # by mark, the most telling one that it stands under
     for k, m in enumerate(marks[1:], 1):
@@ -270,12 +306,15 @@ def features(found: list[Block], marks: list[Mark]) -> list[tuple[float, ...]]:
         telling[k] = telling[m.above] if frame or marks[telling[m.above]].telling >= m.telling else k
     has_main = any(b.main and marks[telling[b.mark]].telling < 1 for b in found)
     sizes = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
-    out = []
+    out, led = [], 0.0
     for k, b in enumerate(found):
         m = marks[telling[b.mark]]
         around = (m.telling, m.words if m.telling else 0, m.linked / m.words if m.telling and m.words else 0.0)
         place = (1.0 if b.main else 0.0) if has_main else 0.5
-        out.append((*sizes[k + 1], *sizes[k], *sizes[k + 2], *around, place, 1.0 if b.level == 1 else 0.5 if b.level else 0.0))
+        rights = float(b.words <= RIGHTS_WORDS and RIGHTS.search(b.text) is not None)
+        out.append((*sizes[k + 1], *sizes[k], *sizes[k + 2], *around, place, 1.0 if b.level == 1 else 0.5 if b.level else 0.0, rights, led))
+        if b.level or 2 * b.linked < b.words:
+            led = 1.0 if b.level else 0.0
     return out
 
 
@@ -316,7 +355,7 @@ def extract(pages: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

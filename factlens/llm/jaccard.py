@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, sliced
+from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, sliced, tidy
 from factlens.llm.components import components
 
 SEED = 42
@@ -65,7 +65,7 @@ def common(docs: DataFrame, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["key"])
 
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    counts = docs.select("text").sample(share, SEED).mapInArrow(run, "key long").groupBy("key").count()
+    counts = docs.select("text").sample(share, SEED).mapInArrow(tidy(run), "key long").groupBy("key").count()
     found = sorted((r.key, r["count"]) for r in counts.filter(F.col("count") >= LEAST).orderBy(F.desc("count"), "key").limit(COMMON).collect())
     return np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
@@ -91,7 +91,7 @@ def prefixes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "doc_id", "digest", "n", "own", "prefix"])
 
     rows = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, f"{ROW} long, doc_id long, digest binary, n long, own long, prefix array<long>")
+    return rows.mapInArrow(tidy(run), f"{ROW} long, doc_id long, digest binary, n long, own long, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -104,7 +104,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     if rows.count() <= BROADCAST_KEYS:
         rows = F.broadcast(rows)
-    return docs.select(ROW, "text").join(rows, ROW, "left_semi").select(ROW, "text").mapInArrow(run, f"{ROW} long, shingles array<long>")
+    return docs.select(ROW, "text").join(rows, ROW, "left_semi").select(ROW, "text").mapInArrow(tidy(run), f"{ROW} long, shingles array<long>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:

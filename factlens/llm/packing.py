@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factlens.llm.common import ROW, SLICE, materialize, numbered, read_table, sliced
+from factlens.llm.common import ROW, SLICE, kept_in_task, materialize, numbered, read_table, sliced, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -87,7 +87,7 @@ class WordEncoder:
     before words are. A worker keeps its encoder, and so what it remembers, from task to task.
     """
 
-    kept: ClassVar[dict[str, WordEncoder]] = {}
+    kept: ClassVar[dict[str, WordEncoder]] = kept_in_task()
 
     def __init__(self, path: str, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
@@ -176,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names))
 
 
 def combinations(counts: dict[int, int], window: int, most: int = 20_000) -> np.ndarray:
@@ -311,7 +311,7 @@ def pack(found: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"])
-    return ranked(found, counts).select(*columns, "rank").mapInArrow(run, schema)
+    return ranked(found, counts).select(*columns, "rank").mapInArrow(tidy(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:

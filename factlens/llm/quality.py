@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, numbered, read_table, without_rows
+from factlens.llm.common import BROADCAST_KEYS, ROW, give_back, materialize, numbered, read_table, tidy, without_rows
 
 #: Known words at most; 0 is the start of a text and 1 the unknown word. Up to this many, ids take 16 bits, else 32.
 VOCABULARY = 65_534
@@ -112,7 +112,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     found = Counter()
         yield rows(found)
 
-    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_pairs(texts: DataFrame, words: list[str]) -> DataFrame:
@@ -138,7 +138,7 @@ def count_pairs(texts: DataFrame, words: list[str]) -> DataFrame:
                     held, size = [], 0
         yield rows()
 
-    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def train(texts: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Unigrams, DataFrame] | None:
@@ -185,7 +185,7 @@ def gains(found: DataFrame, model: Unigrams, shards: int) -> DataFrame:
             code, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("code", "n"))
             yield pa.RecordBatch.from_arrays([pa.array(mix(code, shards).astype(np.int32)), batch.column("code"), pa.array(gain(code, n, *shared.value))], names=["shard", "code", "gain"])
 
-    return found.select("code", "n").mapInArrow(run, "shard int, code long, gain double")
+    return found.select("code", "n").mapInArrow(tidy(run), "shard int, code long, gain double")
 
 
 def common_gains(found: DataFrame, model: Unigrams, most: int = COMMON_PAIRS) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +259,7 @@ def requests(rows: DataFrame, model: Unigrams, common: tuple[np.ndarray, np.ndar
         if numbers:
             yield flush()
 
-    return rows.select(ROW, "text").mapInArrow(run, REQUEST)
+    return rows.select(ROW, "text").mapInArrow(tidy(run), REQUEST)
 
 
 def answer(left: pa.Table, right: pa.Table, kind: type) -> pa.Table:
@@ -300,7 +300,10 @@ def score(rows: DataFrame, model: Unigrams, found: DataFrame, shards: int) -> Da
     kind = np.uint32 if model.bits == 16 else np.uint64
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        return answer(left, right, kind)
+        try:
+            return answer(left, right, kind)
+        finally:
+            give_back()
 
     parts = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answered, "block long, sums binary, header binary")
     return parts.groupBy("block").applyInArrow(add_up, f"{ROW} long, n_words long, log_p double")

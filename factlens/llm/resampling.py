@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import ROW, materialize, read_table, sliced
+from factlens.llm.common import ROW, materialize, read_table, sliced, tidy
 
 #: Words of bytes: digits, letters and everything beyond ASCII. A-Z are lower-cased before.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -59,7 +59,7 @@ def features(rows: DataFrame, run: int = RUN, buckets: int = BUCKETS) -> DataFra
             columns = [batch.column("doc_id"), pa.array([n for n, _ in each], pa.int64()), pa.array([len(x) // 4 for x in at], pa.int64()), pa.array(at, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_features", "buckets"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, FEATURES)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(found), FEATURES)
 
 
 def totals(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -73,7 +73,7 @@ def totals(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["bucket", "n"])
 
-    found = rows.select("buckets").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.select("buckets").mapInArrow(tidy(counted), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(buckets, np.int64)
     out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -95,7 +95,7 @@ def weighted(rows: DataFrame, gain: np.ndarray) -> DataFrame:
             kept = [batch.column(c) for c in ("doc_id", "n_words", "n_features")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(weight, pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
 
-    return rows.select("doc_id", "n_words", "n_features", "buckets").mapInArrow(summed, "doc_id long, n_words long, n_features long, weight long")
+    return rows.select("doc_id", "n_words", "n_features", "buckets").mapInArrow(tidy(summed), "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:

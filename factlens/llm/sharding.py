@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import PLACE_BITS, ROW, materialize, numbered, read_table, scratch_path
+from factlens.llm.common import PLACE_BITS, ROW, materialize, numbered, read_table, scratch_path, tidy
 
 SHARDS = 40
 #: Bytes that a row takes besides its text.
@@ -196,7 +196,7 @@ def positioned(rows: DataFrame, large: int) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "old", ROW).sortWithinPartitions("old", ROW).withColumn("part", F.spark_partition_id())
     schema = ", ".join(f"{c} {t}" for c, t in ordered.dtypes)
-    return ordered.mapInArrow(run, f"{schema}, before long, place long")
+    return ordered.mapInArrow(tidy(run), f"{schema}, before long, place long")
 
 
 def runs_of(plan: Plan, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,7 +267,7 @@ def solved(rows: DataFrame, shards: int, shares: list[float] | None = None, host
             keep = ~alone
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (run, place, batch.column(ROW).to_numpy())], names=["run", "place", "number"])
 
-    edges = placed.select("part", ROW, "before", "size", "place").mapInArrow(found, "run long, place long, number long")
+    edges = placed.select("part", ROW, "before", "size", "place").mapInArrow(tidy(found), "run long, place long, number long")
     edges = edges.groupBy("run").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.min("number").alias("number")).collect()  # a row for each run
     plan.first, plan.slot, plan.first_row = (np.full(len(middle), -1, np.int64) for _ in range(3))
     for r in sorted(edges):
@@ -290,7 +290,7 @@ def assigned(plan: Plan, placed: DataFrame) -> DataFrame:
             columns = [batch.column(c) for c in (ROW, "doc_id", "size", "text_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(shard.astype(np.int32)), pa.array(slot)], names=[ROW, "doc_id", "size", "text_crc32", "shard", "slot"])
 
-    return placed.mapInArrow(run, f"{ROW} long, doc_id long, size long, text_crc32 long, shard int, slot long")
+    return placed.mapInArrow(tidy(run), f"{ROW} long, doc_id long, size long, text_crc32 long, shard int, slot long")
 
 
 def with_shard(docs: DataFrame, plan: Plan, old: Column) -> DataFrame:

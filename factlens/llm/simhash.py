@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, numbered, sliced, without_rows
+from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, numbered, sliced, tidy, without_rows
 from factlens.llm.components import components
 from factlens.llm.jaccard import digests, similar
 
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(fps)], names=[ROW, "doc_id", "fp"])
 
     rows = numbered(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, f"{ROW} long, doc_id long, fp long")
+    return rows.mapInArrow(tidy(run), f"{ROW} long, doc_id long, fp long")
 
 
 def hamming_words() -> np.ndarray:
@@ -103,7 +103,7 @@ def replicate(fps: DataFrame) -> DataFrame:
                     key = anchor << 2 | part
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(at), at_home)), pa.array(fp[at])], names=["anchor", "home", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, home boolean, fp long")
+    return fps.select("fp").mapInArrow(tidy(run), "anchor long, home boolean, fp long")
 
 
 def forest(homes: np.ndarray, replicas: np.ndarray, threshold: int) -> tuple[list[int], list[int]]:
@@ -167,7 +167,7 @@ def compare(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if held:
             yield links(*held[0])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

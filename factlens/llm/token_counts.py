@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import materialize, read_table, sliced
+from factlens.llm.common import kept_in_task, materialize, read_table, sliced, tidy
 
 #: Pre-tokens of a leaf.
 LEAF = 16
@@ -32,7 +32,7 @@ EDITS = "array<struct<start:int,length:int,text:string>>"
 class Counter:
     """Tokens of pre-tokens, with a cache; a worker keeps its counter from task to task."""
 
-    kept: ClassVar[dict[tuple[str, str], Counter]] = {}
+    kept: ClassVar[dict[tuple[str, str], Counter]] = kept_in_task()
 
     @classmethod
     def of(cls, ranks: str, pattern: str) -> Counter:
@@ -164,7 +164,7 @@ def build_trees(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
             arrays = [pa.array([tree(x[k]) for x in leaves], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays, pa.array([len(x[0]) for x in leaves], pa.int32())], names=["doc_id", "text", "char_tree", "token_tree", "leaves"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, text string, {TREES}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), f"doc_id long, text string, {TREES}")
 
 
 def apply_edits(stored: DataFrame, edits: Column, ranks: str, pattern: str) -> DataFrame:
@@ -194,7 +194,7 @@ def apply_edits(stored: DataFrame, edits: Column, ranks: str, pattern: str) -> D
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
     fields = f"doc_id long, text string, {TREES}, " + ", ".join(f"{c} long" for c in names[5:])
-    return stored.select("doc_id", "text", "char_tree", "token_tree", "leaves", edits.cast(EDITS).alias("edits")).mapInArrow(run, fields)
+    return stored.select("doc_id", "text", "char_tree", "token_tree", "leaves", edits.cast(EDITS).alias("edits")).mapInArrow(tidy(run), fields)
 
 
 def count_edited(docs: DataFrame, edits: Column, ranks: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -24,5 +24,5 @@ def test_stages(spark, docs, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "exact_dedup", "near_dedup", "packing"]
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and set(ORACLE) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and set(ORACLE) <= set(QUERIES)
     assert quality.QUANTILE < 1
