@@ -114,7 +114,7 @@ VIEWS: dict[str, str] = {
         FROM documents CROSS JOIN (SELECT 2020 AS fiscal_year UNION ALL SELECT 2021 AS fiscal_year UNION ALL SELECT 2022 AS fiscal_year UNION ALL SELECT 2023 AS fiscal_year) y
         WHERE (doc_id + fiscal_year) % 4 <> 3""",
     "findings": """
-        SELECT d.doc_id AS finding_id, d.doc_id AS section_id, d.source AS accession_no, concat('c', CAST(d.doc_id % 6 AS STRING)) AS category,
+        SELECT d.doc_id AS finding_id, d.doc_id AS section_id, concat(d.source, '-', CAST(CAST(FLOOR(d.doc_id / 500) AS BIGINT) AS STRING)) AS accession_no, concat('c', CAST(d.doc_id % 6 AS STRING)) AS category,
                CASE WHEN l.toxic = 1 THEN 'high' WHEN l.quality = 0 THEN 'medium' ELSE 'low' END AS severity, concat('Case ', CAST(d.doc_id % 50 AS STRING)) AS headline,
                concat('It had ', CAST(d.doc_id AS STRING), ' units, of them ', CAST(d.doc_id % 7 AS STRING), ', and 57 in all.') AS detail,
                CASE WHEN d.doc_id % 5 = 0 THEN reverse(substr(d.text, 101, 60)) WHEN d.doc_id % 7 = 0 THEN substr(d.text, 101, 30)
@@ -159,7 +159,7 @@ VIEWS: dict[str, str] = {
     "verifications": """
         SELECT accession_no AS brief_id, CASE WHEN ascii(substr(accession_no, length(accession_no), 1)) % 4 = 0 THEN 'none'
             ELSE '{"verifications": [{"position": 0, "verdict": "supported"}, {"position": 1, "verdict": "supported"}, {"position": 2, "verdict": "unsupported"}, {"position": 4, "verdict": "supported"}]}' END AS body
-        FROM (SELECT DISTINCT source AS accession_no FROM documents WHERE source IS NOT NULL) x""",
+        FROM (SELECT DISTINCT concat(source, '-', CAST(CAST(FLOOR(doc_id / 500) AS BIGINT) AS STRING)) AS accession_no FROM documents WHERE source IS NOT NULL) x""",
 }
 
 #: Views that a view is made of.

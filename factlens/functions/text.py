@@ -82,21 +82,31 @@ def numeric_tokens(text: Column) -> Column:
 
 
 def ordinals_as_digits(text: Column) -> Column:
+    """Words for ordinals as digits; texts without any stay as they are."""
     out = text
     for k, word in enumerate(ORDINALS, 1):
         out = F.regexp_replace(out, rf"(?i)\b{word}\b", str(k))
-    return out
+    return F.when(F.rlike(text, F.lit(rf"(?i)\b(?:{'|'.join(ORDINALS)})\b")), out).otherwise(text)
 
 
-def number_in(number: Column, source: Column) -> Column:
-    """Whether a number stands in the source on its own, also without zeros that end its decimal part."""
-    plain = F.replace(source, F.lit(","), F.lit(""))
+def bounded_numbers(text: Column) -> Column:
+    """The distinct numbers that stand on their own in a text, without thousands separators.
+
+    Of a run of digits and points that starts with a digit that is at most one: what it starts with, unless more digits
+    follow after a second point.
+    """
+    return F.array_distinct(F.regexp_extract_all(F.replace(text, F.lit(","), F.lit("")), F.lit(r"(?<![\d.])\d++(?:\.\d++)?+(?!\.\d)"), F.lit(0)))
+
+
+def number_among(number: Column, numbers: Column) -> Column:
+    """Whether ``bounded_numbers`` have a number, also without zeros that end its decimal part."""
     short = F.when(F.contains(number, F.lit(".")), F.regexp_replace(number, r"\.?0+$", "")).otherwise(number)
+    return F.array_contains(numbers, number) | F.array_contains(numbers, short)
 
-    def bounded(n: Column) -> Column:
-        return F.rlike(plain, F.concat(F.lit(r"(?<![\d.,])"), F.replace(n, F.lit("."), F.lit("\\.")), F.lit(r"(?![\d,]|\.\d)")))
 
-    return bounded(number) | bounded(short)
+def number_in(number: Column, source: Column) -> Column:
+    """Whether a number stands in the source on its own, also without zeros that end its decimal part."""
+    return number_among(number, bounded_numbers(source))
 
 
 def numbers_with_units(text: Column) -> Column:

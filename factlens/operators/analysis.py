@@ -89,6 +89,32 @@ def ingested(parsed: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("response_id", "place", "f.category", "f.severity", "f.headline", quote_holds(F.col("f.quote"), F.col("source_text")).alias("kept"))
 
 
+def discard_rates(analyses: DataFrame, kept: DataFrame) -> DataFrame:
+    """By prompt version, findings that responses returned and that were kept, and the share discarded (zero where none came).
+
+    ``analyses`` has id, prompt_version and output_json, of which the list of findings is counted, whether or not they hold;
+    ``kept`` has the analysis_id of every stored finding.
+    """
+    stored = kept.groupBy(F.col("analysis_id").alias("id")).agg(F.count("*").alias("kept"))
+    returned = F.coalesce(F.json_array_length(F.get_json_object("output_json", "$.findings")), F.lit(0)).cast("long")
+    rows = analyses.select("id", "prompt_version", returned.alias("returned")).join(stored, "id", "left").na.fill(0, ["kept"])
+    totals = rows.groupBy("prompt_version").agg(F.sum("returned").alias("returned"), F.sum("kept").alias("kept"))
+    gone = F.col("returned") - F.col("kept")
+    return totals.withColumns({"discarded": gone, "discard_rate": F.coalesce(F.try_divide(gone, "returned"), F.lit(0.0))})
+
+
+def support_rates(tiers: DataFrame, versions: DataFrame) -> DataFrame:
+    """By prompt version, numbers of findings by where they are found, and how many findings have one that nothing supports.
+
+    ``tiers`` is what ``numeric_support`` gives, ``versions`` has finding_id and prompt_version.
+    """
+    n = {t: F.count_if(F.col("tier") == t) for t in ("in_quote", "in_note_only", "derived_verified")}
+    rows = tiers.join(versions, "finding_id").groupBy("prompt_version").agg(
+        F.count("*").alias("checked"), *[c.alias(t) for t, c in n.items()], F.count_distinct(F.when(F.col("tier") == "unsupported", F.col("finding_id"))).alias("findings_with_unsupported")
+    )
+    return rows.withColumn("support_rate", F.try_divide(F.col("in_quote") + F.col("in_note_only"), "checked"))
+
+
 def run_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Calls, cost, shares of those that went well and were refused, and the mean cost of the billed ones; null where there are none."""
     n, billed = F.count("*"), F.count_if(F.col("status").isin("ok", "error"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlens.functions.text import has_cause, has_prediction, number_in, numbers_with_units, numeric_tokens, ordinals_as_digits, quote_holds
+from factlens.functions.text import NUMBER, bounded_numbers, has_cause, has_prediction, number_among, numbers_with_units, numeric_tokens, ordinals_as_digits, quote_holds
 from factlens.registry import FINDING_CATEGORIES, SENTENCE_TYPES, SEVERITIES
 
 MOST_ADDENDS = 20
@@ -46,13 +46,17 @@ def check_quotes(findings: DataFrame) -> DataFrame:
 
 
 def numeric_support(findings: DataFrame) -> DataFrame:
-    """A row a number of each finding's headline and detail, with where it is found: in the quote, in the note, as a sum, nowhere."""
-    text = F.concat_ws(" ", "headline", "detail")
-    rows = findings.select("finding_id", F.coalesce("quote", F.lit("")).alias("quote"), "source_text", F.explode(numeric_tokens(text)).alias("number"))
-    found = rows.withColumns({"in_quote": number_in(F.col("number"), ordinals_as_digits(F.col("quote"))), "in_note": number_in(F.col("number"), ordinals_as_digits(F.col("source_text")))})
+    """A row a number of each finding's headline and detail, with where it is found: in the quote, in the note, as a sum, nowhere.
+
+    The numbers that stand on their own are taken out of quote and note once, before the finding's numbers meet them.
+    """
+    sets = {f"in_{k}": bounded_numbers(ordinals_as_digits(F.coalesce(c, F.lit("")))) for k, c in (("quote", F.col("quote")), ("note", F.col("source_text")))}
+    quoted = F.transform(F.regexp_extract_all("quote", F.lit(NUMBER), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
+    scanned = findings.select("finding_id", "headline", "detail", F.coalesce("quote", F.lit("")).alias("quote"), "source_text").withColumns(sets | {"quoted": quoted})
+    rows = scanned.select("finding_id", "in_quote", "in_note", "quoted", F.explode(numeric_tokens(F.concat_ws(" ", "headline", "detail"))).alias("number"))
+    found = rows.withColumns({c: number_among(F.col("number"), F.col(c)) for c in sets})
     open_ = ~F.col("in_quote") & ~F.col("in_note")
-    quoted = F.transform(F.regexp_extract_all("quote", F.lit(r"\d[\d,]*(?:\.\d+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
-    derived = F.when(open_, is_sum(F.when(open_, F.col("number").cast("double")), F.when(open_, quoted)))
+    derived = F.when(open_, is_sum(F.when(open_, F.col("number").cast("double")), F.when(open_, F.col("quoted"))))
     tier = F.when(F.col("in_quote"), "in_quote").when(F.col("in_note"), "in_note_only").when(derived, "derived_verified").otherwise("unsupported")
     return found.select("finding_id", "number", tier.alias("tier"))
 

@@ -30,13 +30,16 @@ def label_prior(df: DataFrame, identity: list[str], columns: list[str]) -> DataF
     return df.join(before, [*identity, "fiscal_year", "fiscal_period"], "left")
 
 
-def with_peer(rows: DataFrame, entity: str, keys: list[str], date: str, days: int = PEER_DAYS) -> DataFrame:
-    """Rows with peer: whether another entity has a row with the same keys within so many days.
+def with_peer(rows: DataFrame, entity: str, keys: list[str], date: str, days: int = PEER_DAYS, others: DataFrame | None = None) -> DataFrame:
+    """Rows with peer: whether another entity has a row with the same keys within so many days, among these or ``others``.
 
     Only the smallest and largest entity of each day count, so that the window holds a row a day however many entities
     share the keys.
     """
-    day = rows.groupBy(*keys, date).agg(F.min(entity).alias("_low"), F.max(entity).alias("_high"))
+    every = rows.select(entity, *keys, date)
+    if others is not None:
+        every = every.unionByName(others.select(entity, *keys, date).join(rows.select(*keys).distinct(), keys, "left_semi"))
+    day = every.groupBy(*keys, date).agg(F.min(entity).alias("_low"), F.max(entity).alias("_high"))
     near = Window.partitionBy(*keys).orderBy(F.unix_date(date)).rangeBetween(-days, days)
     peers = day.select(*keys, date, (F.min("_low").over(near) != F.max("_high").over(near)).alias("peer"))
     return rows.join(peers, [*keys, date])

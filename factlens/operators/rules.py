@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlens.functions.text import four_digits
 from factlens.operators.periods import with_peer
 from factlens.operators.sinks import upsert_changed
+from factlens.operators.stores import Snapshot
 from factlens.registry import (
     DIVERGENCES,
     EXTREME_LEAST,
@@ -27,6 +28,7 @@ from factlens.registry import (
     THRESHOLDS,
     metric_table,
 )
+from factlens.storage import materialize
 
 COLUMNS = ("cik", "accession_no", "period_end", "rule_name", "rule_version", "subject", "severity", "statement", "refs")
 
@@ -54,6 +56,10 @@ def ref(kind: str, id_: Column, period_end: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), id_.alias("id"), period_end.alias("period_end"))
 
 
+def refs_json(refs: Column) -> Column:
+    """References as JSON, in order: a list of objects with the table and the id that each names."""
+    return F.to_json(F.transform(refs, lambda r: F.struct(r["kind"].alias("table"), r["id"].alias("id"))))
+
 
 def multi_year_extreme(rows: DataFrame) -> DataFrame:
     """A value beyond all of the trailing window's, once there is enough history."""
@@ -73,17 +79,25 @@ def multi_year_extreme(rows: DataFrame) -> DataFrame:
     return out.select(*observation("metric_multi_year_extreme", severity, statement, refs))
 
 
-def sigma_move(rows: DataFrame) -> DataFrame:
-    """A quarterly value more than two population standard deviations from the mean of all before it."""
-    w = Window.partitionBy("cik", "name", "cls").orderBy("period_end", "period_start").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.filter(F.col("value").isNotNull() & F.col("headline") & (F.col("cls") == "quarterly"))
-    own = own.withColumns({"n": F.count("*").over(w), "mean": F.avg("value").over(w), "sd": F.stddev_pop("value").over(w)})
+def sigma_rows(rows: DataFrame) -> DataFrame:
+    """The rows that the rule on standard deviations looks at."""
+    return rows.filter(F.col("value").isNotNull() & F.col("headline") & (F.col("cls") == "quarterly"))
+
+
+def beyond_sigma(rows: DataFrame) -> DataFrame:
+    """Observations of rows whose value is more than two standard deviations from the mean of the ``n`` before (mean, sd)."""
     z = (F.col("value") - F.col("mean")) / F.nullif("sd", F.lit(0.0))
-    own = own.withColumn("z", F.when(F.col("n") >= SIGMA_LEAST, z)).filter(F.abs("z") > SIGMA_LIMIT)
+    own = rows.withColumn("z", F.when(F.col("n") >= SIGMA_LEAST, z)).filter(F.abs("z") > SIGMA_LIMIT)
     statement = F.concat(F.col("name"), F.lit(" of "), four_digits(F.col("value")), F.lit(" is "), four_digits(F.col("z")), F.lit(" standard deviations from its mean."))
     return own.select(*observation("metric_sigma_move", F.lit(None).cast("string"), statement, [ref("metrics", F.col("id"), F.col("period_end"))]))
 
 
+def sigma_move(rows: DataFrame) -> DataFrame:
+    """A quarterly value more than two population standard deviations from the mean of all before it."""
+    w = Window.partitionBy("cik", "name", "cls").orderBy("period_end", "period_start").rowsBetween(Window.unboundedPreceding, -1)
+    return beyond_sigma(sigma_rows(rows).withColumns({"n": F.count("*").over(w), "mean": F.avg("value").over(w), "sd": F.stddev_pop("value").over(w)}))
+
+
 def _previous(rows: DataFrame, by_class: bool) -> tuple[Window, DataFrame]:
     keys = ["cik", "name", "cls"] if by_class else ["cik", "name"]
     w = Window.partitionBy(*keys).orderBy("period_end", "period_start")
@@ -173,31 +187,54 @@ def eligible_counts(rows: DataFrame) -> DataFrame:
     return counts.join(stopped, "cik", "full_outer").unpivot("cik", list(METRIC_RULES), "rule_name", "eligible")
 
 
-def override_severities(observations: DataFrame, boilerplate: DataFrame, days: int = PEER_DAYS) -> DataFrame:
-    """Boilerplate subjects are low; else section rules with a peer company in a year are low and say so; metric rules stay."""
+def override_severities(observations: DataFrame, boilerplate: DataFrame, days: int = PEER_DAYS, stored: DataFrame | None = None) -> DataFrame:
+    """Boilerplate subjects are low; else section rules with a peer company in a year are low and say so; metric rules stay.
+
+    Peers are looked for in the batch and among observations ``stored`` before, of the same version of the rule.
+    """
     names = F.broadcast(boilerplate.select("subject").distinct().withColumn("plain", F.lit(True)))
     of_sections = F.col("rule_name").isin(*SECTION_RULES)
-    sections = with_peer(observations.filter(of_sections), "cik", ["rule_name", "subject"], "period_end", days)
-    out = sections.unionByName(observations.filter(~of_sections).withColumn("peer", F.lit(False))).join(names, "subject", "left")
+    sections = with_peer(observations.filter(of_sections), "cik", ["rule_name", "rule_version", "subject"], "period_end", days, None if stored is None else stored.filter(of_sections))
+    out = sections.unionByName(observations.filter(~of_sections).withColumn("peer", F.lit(False)), allowMissingColumns=True).join(names, "subject", "left")
     plain = F.coalesce("plain", F.lit(False))
     severity = F.when(plain | F.col("peer"), "low").otherwise(F.col("severity"))
     statement = F.when(~plain & F.col("peer"), F.concat(F.col("statement"), F.lit(" Other companies show the same within a year."))).otherwise(F.col("statement"))
     return out.withColumns({"severity": severity, "statement": statement}).select(*[F.col(c) for c in COLUMNS])
 
 
-def engine(found: list[DataFrame], boilerplate: DataFrame, written: DataFrame | None = None) -> DataFrame:
-    """The observations of all rules and companies in one batch: severities overridden once over all of them, the guard against
-    references to later periods, then what changes against those ``written`` before (_change: insert, update or same).
+#: What tells observations apart, and what an update may change.
+KEYS, PAYLOAD = ["cik", "accession_no", "period_end", "rule_name", "subject"], ["rule_version", "severity", "statement", "refs"]
+
+
+def store(spark: SparkSession, path: str, **options: int) -> Snapshot:
+    """Observations at ``path``, in buckets by company."""
+    return Snapshot(spark, path, KEYS, PAYLOAD, ["cik"], **options)
+
+
+def batch(found: list[DataFrame], boilerplate: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The observations of all rules and companies, computed once: severities overridden over all of them, and guarded.
 
     A batch with a reference to a later period is an error, and nothing of it is to be written.
     """
     raw = functools.reduce(DataFrame.unionByName, [f.select(*COLUMNS) for f in found])
-    out = override_severities(raw, boilerplate)
-    if not lookahead(out).isEmpty():
+    out = materialize(override_severities(raw, boilerplate, stored=stored), "observations")
+    if lookahead(out).limit(1).count():
         raise ValueError("an observation refers to a later period")
-    keys = ["cik", "accession_no", "period_end", "rule_name", "subject"]
-    old = out.limit(0) if written is None else written
-    return upsert_changed(old, out, keys, ["rule_version", "severity", "statement", "refs"])
+    return out
+
+
+def engine(found: list[DataFrame], boilerplate: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """A ``batch`` against those ``written`` before: what changes (_change: insert, update or same)."""
+    out = batch(found, boilerplate, written)
+    return upsert_changed(out.limit(0) if written is None else written, out, KEYS, PAYLOAD)
+
+
+def run(found: list[DataFrame], boilerplate: DataFrame, into: Snapshot) -> DataFrame:
+    """A ``batch`` merged into a store: only buckets of companies with something new or different are written.
+
+    Returns the rows of the buckets that the batch falls into, with _change. A batch that changes nothing writes nothing.
+    """
+    return into.merge(batch(found, boilerplate, into.read()))
 
 
 def lookahead(observations: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from factlens.functions.text import complex_word_count, fog_index, sentence_count, word_count, wording
 from factlens.operators.rules import COLUMNS
-from factlens.registry import LENGTH_CHANGE, READABILITY_CHANGE, READABILITY_LEAST_WORDS, RENAME_SIMILARITY, RULES, WORDING_SIMILARITY
+from factlens.registry import FLUCTUATING_NOTES, LENGTH_CHANGE, READABILITY_CHANGE, READABILITY_LEAST_WORDS, RENAME_SIMILARITY, RULES, WORDING_SIMILARITY
+from factlens.storage import materialize
 
 IDENTITY = ["company", "category", "short_name", "form_type", "fiscal_period"]
 FILING = ["company", "form_type", "fiscal_period", "fiscal_year"]
@@ -31,11 +32,22 @@ def similarity(a: str, b: str, beyond: float = 0.0) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def text_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def aligned(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         yield pd.Series([None if x is None or y is None else similarity(x, y, -1.0) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def text_similarity(now: Column, before: Column) -> Column:
+    """The matching-blocks ratio of two columns of texts.
+
+    Where one text begins with the other, the shorter is one matching block: of the longest runs that matching starts from,
+    the first lies at the same place in both, and is extended over all of it. So only other pairs are aligned.
+    """
+    n, m = F.length(now), F.length(before)
+    known = F.when(now.startswith(before) | before.startswith(now), F.when(n + m == 0, 1.0).otherwise(2.0 * F.least(n, m) / (n + m)))
+    return F.coalesce(known, aligned(F.when(known.isNull(), now), F.when(known.isNull(), before)))
+
+
 def similarity_beyond(threshold: float):
     """The similarity of two columns of texts; zero where it stays at the threshold."""
 
@@ -47,12 +59,13 @@ def similarity_beyond(threshold: float):
     return ratio
 
 
-def measured(sections: DataFrame) -> DataFrame:
-    """Sections with wording hash and counts, of one identity and year the last id.
+def measured(sections: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Sections under their canonical names, with wording hash and counts, of one identity and year the last id.
 
     Texts end here: only counts and hashes are shuffled. Rules that compare wordings get them by id, from ``worded``.
     """
     text = F.coalesce("text", F.lit(""))
+    sections = sections if aliases is None else canonical_names(sections, aliases)
     out = sections.withColumns({"wording_hash": F.sha2(wording(text), 256), "words": word_count(text), "sentences": sentence_count(text), "hard": complex_word_count(text)})
     out = out.withColumn("period_end", F.make_date("fiscal_year", F.lit(12), F.lit(31))).drop("text")
     last = Window.partitionBy(*IDENTITY, "fiscal_year").orderBy(F.desc("section_id"))
@@ -114,14 +127,17 @@ def with_wordings(pairs: DataFrame, words: DataFrame, now: str = "section_id", b
 
 
 def wording_changed(rows: DataFrame, words: DataFrame, threshold: float = WORDING_SIMILARITY) -> DataFrame:
-    pairs = with_wordings(changed_pairs(rows), words).withColumn("ratio", text_similarity("wording", "prior_wording")).filter(F.col("ratio") < threshold)
+    pairs = with_wordings(changed_pairs(rows), words).withColumn("ratio", text_similarity(F.col("wording"), F.col("prior_wording"))).filter(F.col("ratio") < threshold)
     statement = F.concat(F.lit("The "), F.col("short_name"), F.lit(" note was reworded ("), F.round(F.col("ratio") * 100).cast("int").cast("string"), F.lit(" percent alike)."))
     return pairs.select(*_observation("section_wording_changed", statement, _refs()))
 
 
-def presence_changes(rows: DataFrame, category: str = "Notes") -> DataFrame:
-    """Names that appeared (kind a) or disappeared (kind d) against the year before, where both years have any."""
-    notes = rows.filter(F.col("category") == category).select(*FILING, "short_name", "section_id", "accession_no", "period_end")
+def presence_changes(rows: DataFrame, category: str = "Notes", fluctuating: tuple[str, ...] = FLUCTUATING_NOTES) -> DataFrame:
+    """Names that appeared (kind a) or disappeared (kind d) against the year before, where both years have any.
+
+    Names of notes that come and go by their nature are left out.
+    """
+    notes = rows.filter((F.col("category") == category) & ~F.col("short_name").isin(*fluctuating)).select(*FILING, "short_name", "section_id", "accession_no", "period_end")
     years = notes.select(*FILING).distinct()
     shifted = notes.withColumn("fiscal_year", F.col("fiscal_year") + 1)
     appeared = notes.join(years.withColumn("fiscal_year", F.col("fiscal_year") + 1), FILING, "left_semi").join(shifted.select(*FILING, "short_name"), [*FILING, "short_name"], "left_anti")
@@ -152,27 +168,31 @@ def with_texts(changes: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def renames(changes: DataFrame, words: DataFrame, boilerplate: tuple[str, ...] = (), threshold: float = RENAME_SIMILARITY) -> DataFrame:
-    """Disappeared names paired greedily, in order of name, with the most similar appeared one beyond the threshold.
-
-    Each pick takes a candidate away, which is why the walk runs inside a group: that of a filing's scored pairs, which holds
-    names, ids and ratios but no texts.
-    """
-    schema = "company string, form_type string, fiscal_period string, fiscal_year int, accession_no string, period_end date, old_name string, new_name string, section_id string, prior_section_id string, ratio double"
-    scored = scored_renames(changes, words, boilerplate, threshold)
+    """Disappeared names paired greedily, in order of name, with the most similar appeared one beyond the threshold."""
+    return matched(scored_renames(changes, words, boilerplate, threshold))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        taken, keep = set(), []
-        for _, rows in group.sort_values(["old_name", "ratio", "new_name"], ascending=[True, False, True]).groupby("old_name", sort=True):
-            free = rows[~rows.new_name.isin(taken)]
-            if len(free):
-                keep.append(free.index[0])
-                taken.add(free.new_name.iloc[0])
-        return group.loc[keep]
 
-    return scored.groupBy(*FILING).applyInPandas(walk, schema)
+def matched(scored: DataFrame) -> DataFrame:
+    """The pairs that a walk over old names in order takes, each with the best new one left (of equal ones the first by name).
 
-
-def eligible_sections(rows: DataFrame, category: str = "Notes") -> DataFrame:
+    In rounds over all filings at once: an old name takes its best new one if no old name before it can still come to
+    that. The first old name that is left in a filing always can, so rounds end; a round takes what doesn't hang on others.
+    """
+    left, taken = materialize(scored, "scored"), None
+    while True:
+        best = F.min(F.struct((-F.col("ratio")).alias("less"), "new_name"))
+        wish = left.groupBy(*FILING, "old_name").agg(best.alias("best")).select(*FILING, "old_name", F.col("best.new_name").alias("new_name"))
+        first = left.groupBy(*FILING, "new_name").agg(F.min("old_name").alias("old_name"))
+        sure = materialize(wish.join(first, [*FILING, "new_name", "old_name"]), "sure")
+        rows = left.join(sure, [*FILING, "old_name", "new_name"], "left_semi")
+        taken = rows if taken is None else taken.unionByName(rows)
+        rest = left.join(sure.select(*FILING, "old_name"), [*FILING, "old_name"], "left_anti").join(sure.select(*FILING, "new_name"), [*FILING, "new_name"], "left_anti")
+        left = materialize(rest, "left")
+        if not left.limit(1).count():
+            return taken.select(scored.columns)
+
+
+def eligible_sections(rows: DataFrame, category: str = "Notes", fluctuating: tuple[str, ...] = FLUCTUATING_NOTES) -> DataFrame:
     """How often each section rule could have fired, by company: pairs a year apart with what the rule needs, and for notes that
     came or went every name of either year where both years have any."""
     pairs = with_year_before(rows, ["words"])
@@ -182,7 +202,7 @@ def eligible_sections(rows: DataFrame, category: str = "Notes") -> DataFrame:
         F.count_if((F.col("words") > 0) & (F.col("prior_words") > 0)).alias("section_length_change"),
         F.count_if(long_enough).alias("readability_change"),
     )
-    notes = rows.filter(F.col("category") == category).select(*FILING, "short_name").distinct()
+    notes = rows.filter((F.col("category") == category) & ~F.col("short_name").isin(*fluctuating)).select(*FILING, "short_name").distinct()
     shifted = notes.withColumn("fiscal_year", F.col("fiscal_year") + 1)
     both = notes.select(*FILING).distinct().join(shifted.select(*FILING).distinct(), FILING, "left_semi")
     names = notes.unionByName(shifted).distinct().join(both, FILING, "left_semi").groupBy("company").agg(F.count("*").alias("section_appeared"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from factlens.bindings import view, with_views
 from factlens.operators import facts as f
 from factlens.operators import quality as q
-from factlens.plans import evidence, rules, sql
+from factlens.operators import sections as s
+from factlens.operators.stores import differing_rows
+from factlens.plans import evidence, rules, sql, texts
 from factlens.plans.common import filings, latest, metrics, once, rounded, values
 from factlens.sources import feeds
 
@@ -53,7 +55,8 @@ def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["cik", "rule_name", "subject", "period_end", "accession_no"]
     stored = rules.observations(spark, sf_dir).filter("accession_no is not null")
     stored = stored.withColumn("statement", F.when(F.col("rule_name") == "metric_sigma_move", F.lower("rule_name")).otherwise(F.col("statement")))
-    return q.snapshot_differences(stored, again, keys, ["statement"]).select("cik", "rule_name", "subject")
+    found = differing_rows(stored, again.filter("accession_no is not null"), [*keys, "statement"], ["cik"])
+    return found.filter("stored > fresh").select("cik", "rule_name", "subject")
 
 
 def observation_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +64,19 @@ def observation_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.orphan_references(rules.observations(spark, sf_dir), values(spark, sf_dir).filter("name <> 'roe'")).select("cik", "rule_name", "subject")
 
 
+def section_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check 16 for sections: references of changes in length, against sections of which some are gone; without that there are none."""
+    rows = texts.rows(spark, sf_dir)
+    found = q.orphan_references(s.length_change(rows), sections=rows.filter("doc_id % 7 <> 0"))
+    return found.select("cik", "subject", F.col("ref.id").alias("ref"))
+
+
+def observation_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of standard deviations and of metrics that stopped, as JSON."""
+    rows = rules.observations(spark, sf_dir).filter("rule_name in ('metric_sigma_move', 'metric_stopped_computing')")
+    return rows.select("cik", "rule_name", "subject", F.col("period_end").cast("string").alias("period_end"), rules.r.refs_json(F.col("refs")).alias("refs"))
+
+
 def orphan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check 21 against the sections of documents that aren't toxic."""
     sections = view(spark, sf_dir, "findings").filter("severity <> 'high'").select("section_id")
@@ -112,7 +128,7 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     x.__name__: x
-    for x in (gross_profit_crosscheck, debt_reconciliation, period_mixing, unverified_yoy_drift, unresolved_concepts, lease_assumptions, determinism, observation_orphans, orphan_findings, budget_headroom, empty_briefs, manifests, exhibits, quality_summary)
+    for x in (gross_profit_crosscheck, debt_reconciliation, period_mixing, unverified_yoy_drift, unresolved_concepts, lease_assumptions, determinism, observation_orphans, section_orphans, observation_refs, orphan_findings, budget_headroom, empty_briefs, manifests, exhibits, quality_summary)
 }
 
 GROSS = "SELECT cik, period_start, period_end, gross_profit AS tagged, revenue - cogs AS derived FROM base WHERE cls <> 'other' AND abs(gross_profit - (revenue - cogs)) / CASE WHEN gross_profit <> 0 THEN abs(gross_profit) ELSE 1e-9 END > 0.01"
@@ -133,6 +149,10 @@ ORACLE = {
         SELECT cik, count(*) FILTER (b AND (finance_lease_liability_noncurrent IS NULL OR finance_lease_liability_current IS NULL)) AS assumed, count(*) FILTER (b) AS periods FROM i GROUP BY cik""",
     "determinism": f"{rules.M} SELECT cik, rule_name, subject FROM observed WHERE rule_name = 'metric_sigma_move' AND accession_no IS NOT NULL",
     "observation_orphans": f"{rules.M} SELECT cik, rule_name, subject FROM (SELECT cik, rule_name, subject, unnest(range(n_refs)) AS k FROM observed WHERE subject = 'roe')",
+    "section_orphans": f"""{texts.S} SELECT company AS cik, short_name AS subject, unnest([section_id, prior_section_id]) AS ref FROM pairs WHERE words > 0 AND prior_words > 0 AND abs(words / prior_words - 1) > 0.25 AND doc_id % 7 = 0""",
+    "observation_refs": f"""{rules.M}, before AS (SELECT a.cik, a.name, a.cls, a.period_end, b.period_end AS prior_end FROM mrows a JOIN mrows b ON b.cik = a.cik AND b.name = a.name AND b.cls = a.cls AND b.fiscal_year = a.fiscal_year - 1 AND b.fiscal_period = a.fiscal_period AND a.value IS NULL AND b.value IS NOT NULL)
+        SELECT cik, rule_name, subject, CAST(period_end AS VARCHAR) AS period_end, '[{{"table":"metrics","id":"' || cik || '|' || subject || '|quarterly|' || period_end || '"}}]' AS refs FROM observed WHERE rule_name = 'metric_sigma_move'
+        UNION ALL SELECT cik, 'metric_stopped_computing', name, CAST(period_end AS VARCHAR), '[{{"table":"metrics","id":"' || cik || '|' || name || '|' || cls || '|' || period_end || '"}},{{"table":"metrics","id":"' || cik || '|' || name || '|' || cls || '|' || prior_end || '"}}]' FROM before""",
     "empty_briefs": f"""{evidence.VERIFIED} SELECT brief_id || '-' || (position % 100) AS brief_id, 'all dropped' AS reason FROM verified GROUP BY 1 HAVING count(*) FILTER (drop_reason IS NULL) = 0""",
     "orphan_findings": f"{with_views('findings')} SELECT finding_id FROM findings WHERE severity = 'high'",
     "budget_headroom": f"{with_views('ledger')} SELECT round(CAST(sum(cost_usd) AS DOUBLE), 4) + 0.0 AS spent, round(CAST(8.5 - sum(cost_usd) AS DOUBLE), 4) + 0.0 AS remaining, sum(cost_usd) > 8.5 AS over FROM ledger",

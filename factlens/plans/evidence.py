@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from factlens.bindings import table, view, with_views
 from factlens.functions.text import numbers_with_units as with_units
 from factlens.functions.text import parse_ref
+from factlens.operators import analysis, briefs, ledger, selection
 from factlens.operators import grounding as g
-from factlens.operators import ledger, selection
 from factlens.plans import rules as plan_rules
 from factlens.plans.common import once, rounded
 from factlens.plans.rules import M
 from factlens.registry import METRICS, ORDINALS
+from factlens.sources import tables
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,21 @@ def numeric_support_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.groupBy("severity").agg(F.count("*").alias("numbers"), F.count_if(F.col("tier") == "in_quote").alias("in_quote"), F.count_if(F.col("tier") == "in_note_only").alias("in_note"), F.count_if(F.col("tier").isin("derived_verified", "unsupported")).alias("others"))
 
 
+def support_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check 24 by prompt version: that of a finding goes by its number, here."""
+    f = view(spark, sf_dir, "findings")
+    found = analysis.support_rates(g.numeric_support(f), f.select("finding_id", F.concat(F.lit("v"), (F.col("finding_id") % 3).cast("string")).alias("prompt_version")))
+    return found.withColumn("support_rate", rounded("support_rate"))
+
+
+def evidence_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of all sentences with the finding that each names; some findings are gone, and observations have no such number here."""
+    findings = view(spark, sf_dir, "findings").filter("finding_id % 17 <> 3").select("finding_id", "headline", "severity")
+    observations = spark.createDataFrame([(-1, "none")], "id long, statement string")
+    rows = briefs.resolved_references(view(spark, sf_dir, "sentences"), findings, observations)
+    return rows.select("brief_id", "position", F.col("k").cast("int").alias("k"), "ref", "kind", F.col("finding.headline").alias("headline"), F.col("finding.severity").alias("severity"))
+
+
 def numbers_with_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "findings").select("finding_id", F.concat(F.lit("$"), "detail", F.lit(" and 5%")).alias("t"))
     return rows.select("finding_id", F.posexplode(with_units(F.col("t"))).alias("k", "x")).select("finding_id", "k", rounded("x.value").alias("value"), "x.unit")
@@ -49,6 +65,15 @@ def number_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(units, "").alias("units"))
 
 
+def number_units_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table function, joined laterally in SQL."""
+    tables.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return spark.sql("""
+        SELECT d.doc_id, concat_ws('', transform(array_sort(collect_list(struct(n.place, n.unit))), x -> CASE WHEN x.unit = '' THEN '-' ELSE x.unit END)) AS units
+        FROM documents d LEFT JOIN LATERAL numbers_with_units('$5% $ 5 of €1,234.50 or 7 % and 8%. ' || d.text) n GROUP BY d.doc_id""")
+
+
 def select_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_observations(numbered(spark, sf_dir)).select("accession_no", "id", "rule_name", "subject", "severity")
 
@@ -117,7 +142,7 @@ def discard_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (quote_check, numeric_support, numeric_support_by_severity, numbers_with_units, number_units, select_observations, select_findings, verify_sentences, sentence_reasons, brief_drop_rates, brief_assembly, orphan_refs, cross_filing_refs, sentence_types, parse_responses, discard_rate)
+    for q in (quote_check, numeric_support, numeric_support_by_severity, support_by_version, evidence_view, numbers_with_units, number_units, number_units_sql, select_observations, select_findings, verify_sentences, sentence_reasons, brief_drop_rates, brief_assembly, orphan_refs, cross_filing_refs, sentence_types, parse_responses, discard_rate)
 }
 
 F_ = with_views("findings")
@@ -185,6 +210,10 @@ ORACLE = {
     "numeric_support": f"{SUPPORT} SELECT finding_id, number, tier FROM support",
     "numeric_support_by_severity": f"""{SUPPORT} SELECT severity, count(*) AS numbers, count(*) FILTER (tier = 'in_quote') AS in_quote, count(*) FILTER (tier = 'in_note_only') AS in_note, count(*) FILTER (tier IN ('derived_verified', 'unsupported')) AS others
         FROM support GROUP BY 1""",
+    "support_by_version": f"""{SUPPORT} SELECT 'v' || (finding_id % 3) AS prompt_version, count(*) AS checked, count(*) FILTER (tier = 'in_quote') AS in_quote, count(*) FILTER (tier = 'in_note_only') AS in_note_only, count(*) FILTER (tier = 'derived_verified') AS derived_verified,
+        count(DISTINCT finding_id) FILTER (tier = 'unsupported') AS findings_with_unsupported, round(count(*) FILTER (tier IN ('in_quote', 'in_note_only')) / count(*), 6) + 0.0 AS support_rate FROM support GROUP BY 1""",
+    "evidence_view": f"""{FS}, r AS (SELECT brief_id, position, string_split(refs, ',') AS refs FROM sentences), x AS (SELECT brief_id, position, CAST(k AS INT) AS k, refs[k + 1] AS ref FROM (SELECT *, unnest(range(len(refs))) AS k FROM r))
+        SELECT brief_id, position, k, ref, CASE WHEN regexp_matches(ref, '^finding:[0-9]+$') THEN 'finding' END AS kind, headline, severity FROM x LEFT JOIN (SELECT * FROM findings WHERE finding_id % 17 <> 3) f ON ref = 'finding:' || f.finding_id""",
     "number_units": r"""SELECT doc_id, coalesce(array_to_string(list_transform(regexp_extract_all(t, '([$€£]?)[0-9][0-9,]*(\.[0-9]+)?(%?)'), lambda x: CASE WHEN substr(x, 1, 1) IN ('$', '€', '£') THEN substr(x, 1, 1) WHEN right(x, 1) = '%' THEN '%' ELSE '-' END), ''), '') AS units
         FROM (SELECT doc_id, '$5% $ 5 of €1,234.50 or 7 % and 8%. ' || text AS t FROM documents)""",
     "orphan_refs": f"""{FS}, r AS (SELECT brief_id, position, unnest(string_split(refs, ',')) AS ref FROM sentences)
@@ -200,4 +229,5 @@ ORACLE = {
         SELECT response_id, invalid_reason, CASE WHEN stop_reason = 'max_tokens' THEN 'truncated' WHEN invalid_reason IS NULL THEN 'ok' WHEN turn % 3 < 2 THEN 'retry' ELSE 'error' END AS outcome, CASE WHEN invalid_reason IS NULL THEN nf END AS findings FROM r""",
     "discard_rate": f"{F_} SELECT severity, count(*) AS returned, count(*) FILTER ({QUOTE_OK}) AS kept, round(1 - count(*) FILTER ({QUOTE_OK}) / count(*), 6) + 0.0 AS discarded FROM findings GROUP BY 1",
 }
+ORACLE["number_units_sql"] = ORACLE["number_units"]
 DATED: dict[str, str] = {}

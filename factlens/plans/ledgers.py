@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlens.bindings import table, view, with_views
 from factlens.operators import ledger as l
-from factlens.plans.common import rounded
+from factlens.operators.facts import latest_filed
+from factlens.plans.common import facts, once, rounded
 from factlens.streaming import discovery
 
 CAP, MOST_CALLS = 0.25, 40
@@ -77,14 +78,44 @@ def stream_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.discover_once(spark, view(spark, sf_dir, "feed")).select("accession_no", "form_type", "filing_date")
 
 
+def restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "restated", lambda: discovery.restate_once(spark, facts(spark, sf_dir)))
+
+
 def stream_restatements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filed versions arriving as a stream, appended once each: the latest wins at read."""
-    return discovery.restate_once(spark, view(spark, sf_dir, "facts")).select("cik", "concept", "unit", "period_start", "period_end", rounded("value").alias("value"))
+    """Filed versions arriving as streams, the second with all of the first again: each is appended once, and the latest wins at read."""
+    return latest_filed(restated(spark, sf_dir)).select("cik", "concept", "unit", "period_start", "period_end", rounded("value").alias("value"))
+
+
+def restatement_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each version of these streams did to the value known when it came, by concept."""
+    return restated(spark, sf_dir).groupBy("concept", "effect").agg(F.count("*").alias("n"))
+
+
+#: Points in time at which the stream of parts is stopped and started again.
+RESTARTS = ["2024-01-08 00:00:00", "2024-01-20 00:00:00"]
+
+
+def part_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user on a day as the parts of a filing, of which it has one to three; errors are parts that failed."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", F.to_date("ts").cast("string")).alias("accession_no"), "event_id", "event_type", "user_id", F.timestamp_millis(F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")).alias("at"), "ts")
+    place = F.row_number().over(Window.partitionBy("accession_no").orderBy("ts", "event_id"))
+    rows = e.select("accession_no", place.alias("part"), (F.col("user_id") % 3 + 1).cast("int").alias("parts"), (F.col("event_type") != "error").alias("ok"), "at")
+    return rows.unionByName(rows.filter("part = 1").withColumns({"part": F.lit(0), "ok": F.lit(True)}))
+
+
+def filing_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "outcomes", lambda: discovery.status_once(spark, once(spark, sf_dir, "parts", lambda: part_events(spark, sf_dir)), RESTARTS))
+
+
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings whose parts arrive as a stream: done, or to be tried again as a part failed or didn't come in time."""
+    return filing_outcomes(spark, sf_dir).select("accession_no", "status", "reason", F.unix_millis("at").alias("at_ms"))
 
 
 QUERIES = {
     q.__name__: q
-    for q in (price_as_of, ledger_cost, cost_recomputation, stale_prices, price_reviews, spend_breakdown, ledger_reconciliation, budget_admission, cache_split, status_counts, pending_filings, stream_discovery, stream_restatements)
+    for q in (price_as_of, ledger_cost, cost_recomputation, stale_prices, price_reviews, spend_breakdown, ledger_reconciliation, budget_admission, cache_split, status_counts, pending_filings, stream_discovery, stream_restatements, restatement_effects, stream_status)
 }
 
 from factlens.plans import sql  # noqa: E402
@@ -107,6 +138,11 @@ ORACLE = {
     "status_counts": f"{with_views('filings')} SELECT cik, form_type, status, count(*) AS n FROM filings GROUP BY ALL",
     "pending_filings": f"{with_views('filings')} SELECT accession_no, status, filing_date FROM filings WHERE status IN ('discovered', 'failed')",
     "stream_discovery": f"{with_views('feed')} SELECT DISTINCT accession_no, form_type, filing_date FROM feed WHERE form_type IN ('10-K', '10-Q', '8-K')",
+    "restatement_effects": f"""{with_views('facts')}, x AS (SELECT *, count(*) OVER (PARTITION BY cik, concept, unit, period_start, period_end) AS n FROM facts)
+        SELECT concept, CASE WHEN n = 1 OR version = CASE WHEN CAST(cik AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END THEN 'first' WHEN version = 0 THEN 'late' ELSE 'restates' END AS effect, count(*) AS n FROM x GROUP BY ALL""",
+    "stream_status": """WITH e AS (SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS accession_no, user_id % 3 + 1 AS parts, event_type <> 'error' AS ok, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS part FROM events),
+        s AS (SELECT accession_no, parts, ms AS started FROM e WHERE part = 1), c AS (SELECT accession_no, count(*) AS n, bool_and(ok) AS well, max(ms) AS last FROM e JOIN s USING (accession_no, parts) WHERE part <= parts AND ms <= started + 14400000 GROUP BY 1)
+        SELECT accession_no, CASE WHEN n = parts AND well THEN 'done' ELSE 'retry' END AS status, CASE WHEN n < parts THEN 'timed out' WHEN well THEN 'complete' ELSE 'failed part' END AS reason, CASE WHEN n = parts THEN last ELSE started + 14400000 END AS at_ms FROM s JOIN c USING (accession_no)""",
     "stream_restatements": f"{sql.LATEST} SELECT cik, concept, unit, period_start, period_end, round(value, 6) + 0.0 AS value FROM latest",
 }
 DATED = {"price_as_of": "call_date valid_from", "pending_filings": "filing_date", "stream_discovery": "filing_date", "stream_restatements": "period_start period_end"}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.plans import briefs, checks, evidence, filings, ledgers, rules
+from factlens.plans import briefs, checks, evidence, filings, ledgers, rules, runs
+from factlens.storage import materialize
 
-#: Check number and severity by query.
+#: Check number and severity by query, and which of its rows count if not all do.
 CHECKS = {
     "range_violations": ("01", "hard"),
     "dupont": ("02", "hard"),
@@ -25,11 +26,12 @@ CHECKS = {
     "determinism": ("15", "hard"),
     "observation_orphans": ("16", "hard"),
     "stale_prices": ("18", "warning"),
-    "ledger_reconciliation": ("19", "info"),
+    "ledger_reconciliation": ("19", "hard", "NOT ok"),
     "budget_headroom": ("20", "info"),
     "orphan_findings": ("21", "hard"),
-    "discard_rate": ("23", "info"),
-    "numeric_support_by_severity": ("24", "info"),
+    "quote_check": ("22", "hard", "NOT quote_ok"),
+    "discard_by_version": ("23", "info"),
+    "support_by_version": ("24", "info"),
     "cost_recomputation": ("25", "hard"),
     "price_reviews": ("26", "warning"),
     "orphan_refs": ("27", "hard"),
@@ -39,19 +41,24 @@ CHECKS = {
     "empty_briefs": ("31", "warning"),
     "brief_rates": ("32", "info"),
 }
-MODULES = (filings, rules, evidence, briefs, ledgers, checks)
+MODULES = (filings, rules, evidence, briefs, ledgers, checks, runs)
 FOUND = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a check, and one for all hard failures."""
     out = None
-    for name, (number, severity) in CHECKS.items():
-        row = FOUND[name](spark, sf_dir).agg(F.count("*").alias("n")).select(F.lit(number).alias("number"), F.lit(name).alias("check"), F.lit(severity).alias("severity"), "n")
+    for name, (number, severity, *where) in CHECKS.items():
+        rows = FOUND[name](spark, sf_dir)
+        rows = rows.filter(where[0]) if where else rows
+        row = rows.agg(F.count("*").alias("n")).select(F.lit(number).alias("number"), F.lit(name).alias("check"), F.lit(severity).alias("severity"), "n")
         out = row if out is None else out.unionByName(row)
-    return out
+    out = materialize(out, "report")
+    return out.unionByName(out.filter("severity = 'hard'").agg(F.lit("all").alias("number"), F.lit("hard failures").alias("check"), F.lit("hard").alias("severity"), F.sum("n").alias("n")))
 
 
 QUERIES = {"quality_report": quality_report}
-ORACLE = {"quality_report": " UNION ALL ".join(f"""SELECT '{number}' AS number, '{name}' AS "check", '{severity}' AS severity, count(*) AS n FROM ({SQL[name]}) AS t{number}""" for name, (number, severity) in CHECKS.items())}
+REPORT = " UNION ALL ".join(f"""SELECT '{number}' AS number, '{name}' AS "check", '{severity}' AS severity, count(*) AS n FROM ({SQL[name]}) AS t{number}{' WHERE ' + where[0] if where else ''}""" for name, (number, severity, *where) in CHECKS.items())
+ORACLE = {"quality_report": f"""WITH report AS MATERIALIZED ({REPORT}) SELECT * FROM report UNION ALL SELECT 'all', 'hard failures', 'hard', CAST(sum(n) AS BIGINT) FROM report WHERE severity = 'hard'"""}
 DATED: dict[str, str] = {}

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.operators import rules as r
+from factlens.operators.incremental import Kept
 from factlens.plans import sql
-from factlens.plans.common import filings, once, rounded, values
+from factlens.plans.common import facts, filings, once, rounded, values
 from factlens.registry import METRICS, RULES
+from factlens.storage import scratch_path
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +75,34 @@ def dupont(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.filter(off > 0.01).select("cik", "period_start", "period_end", rounded(product).alias("product"), rounded("roe").alias("roe"))
 
 
+#: Periods of every tenth company from this day on are added to all others.
+ADDED = "1998-06-30"
+
+
+def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and observations of standard deviations, kept up to date as the late periods of every tenth company are added."""
+
+    def make() -> DataFrame:
+        all_facts, reports = facts(spark, sf_dir), filings(spark, sf_dir)
+        late = (F.col("cik").cast("long") % 10 == 3) & (F.col("period_end") >= F.lit(ADDED).cast("date"))
+        kept = Kept(spark, scratch_path(spark, "kept"), all_facts.columns)
+        kept.add(all_facts.filter(~late), reports)
+        found = kept.add(all_facts.filter(late), reports).select(F.lit("sigma").alias("kind"), "cik", F.lit("quarterly").alias("cls"), F.lit(None).cast("date").alias("period_start"), "period_end", F.col("subject").alias("name"), F.lit(None).cast("double").alias("value"))
+        return found.unionByName(kept.metrics.read().select(F.lit("metric").alias("kind"), "cik", "cls", "period_start", "period_end", "name", "value"))
+
+    return once(spark, sf_dir, "grown", make)
+
+
+def incremental_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics after facts were added: those of a full run."""
+    return grown(spark, sf_dir).filter("kind = 'metric'").select("cik", "cls", "period_start", "period_end", "name", rounded("value").alias("value"))
+
+
+def incremental_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations that the added facts made, judged by the moments of the histories before."""
+    return grown(spark, sf_dir).filter("kind = 'sigma'").select("cik", "name", "period_end")
+
+
 NAMES = {
     "rule_extreme": "metric_multi_year_extreme",
     "rule_sigma": "metric_sigma_move",
@@ -80,7 +110,7 @@ NAMES = {
     "rule_divergence": "metric_divergence",
     "rule_stopped": "metric_stopped_computing",
 }
-QUERIES = {k: fired(v) for k, v in NAMES.items()} | {q.__name__: q for q in (rule_eligibility, dead_rules, severity_overrides, observation_lookahead, observation_counts, filing_contribution, dupont)}
+QUERIES = {k: fired(v) for k, v in NAMES.items()} | {q.__name__: q for q in (rule_eligibility, dead_rules, severity_overrides, observation_lookahead, observation_counts, filing_contribution, dupont, incremental_metrics, incremental_sigma)}
 
 M = f"""{sql.METRIC_ROWS},
 registry AS (SELECT * FROM (VALUES {', '.join(f"('{m.name}', '{m.category}', {str(m.extreme).lower()}, {str(m.headline).lower()})" for m in METRICS)}) AS v(name, category, extreme, headline)),
@@ -113,7 +143,10 @@ ELIGIBLE = """
     UNION ALL SELECT cik, 'metric_divergence', count(*) FILTER (name IN ('inventory_growth_less_revenue_growth', 'capex_to_depreciation', 'depreciation_rate') AND k > 1) FROM (SELECT *, row_number() OVER (PARTITION BY cik, name ORDER BY period_end, period_start) AS k FROM mrows WHERE value IS NOT NULL) GROUP BY cik
     UNION ALL SELECT cik, 'metric_stopped_computing', count(*) FILTER (prior_value IS NOT NULL) FROM labelled GROUP BY cik"""
 VERSIONS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, (v, _) in RULES.items())
-ORACLE = {k: f"{M} SELECT cik, accession_no, period_end, rule_name, CASE rule_name {VERSIONS} END AS rule_version, subject, severity, n_refs FROM observed WHERE rule_name = '{v}'" for k, v in NAMES.items()} | {
+ORACLE = {
+    "incremental_metrics": f"{sql.METRIC_ROWS} SELECT cik, cls, period_start, period_end, name, round(value, 6) + 0.0 AS value FROM metrics",
+    "incremental_sigma": f"{M} SELECT cik, subject AS name, period_end FROM observed WHERE rule_name = 'metric_sigma_move' AND CAST(cik AS BIGINT) % 10 = 3 AND period_end >= DATE '{ADDED}'",
+} | {k: f"{M} SELECT cik, accession_no, period_end, rule_name, CASE rule_name {VERSIONS} END AS rule_version, subject, severity, n_refs FROM observed WHERE rule_name = '{v}'" for k, v in NAMES.items()} | {
     "rule_eligibility": f"{M} {ELIGIBLE}",
     "dead_rules": f"{M}, e AS ({ELIGIBLE}) SELECT rule_name, sum(eligible) AS eligible FROM e WHERE rule_name NOT IN (SELECT rule_name FROM observed WHERE rule_name <> 'metric_sigma_move') GROUP BY 1",
     "severity_overrides": f"{M} SELECT rule_name, subject, CASE WHEN subject IN ('gross_margin', 'roe') THEN 'low' ELSE severity END AS severity, count(*) AS n FROM observed GROUP BY ALL",
@@ -123,4 +156,4 @@ ORACLE = {k: f"{M} SELECT cik, accession_no, period_end, rule_name, CASE rule_na
     "dupont": f"""{sql.METRIC_ROWS}, w AS (SELECT cik, period_start, period_end, max(value) FILTER (name = 'net_margin') AS a, max(value) FILTER (name = 'asset_turnover') AS b, max(value) FILTER (name = 'equity_multiplier') AS c, max(CASE WHEN CAST(cik AS BIGINT) % 2 = 0 THEN value * 1.05 ELSE value END) FILTER (name = 'roe') AS r FROM metrics GROUP BY ALL)
         SELECT cik, period_start, period_end, round(a * b * c, 6) + 0.0 AS product, round(r, 6) + 0.0 AS roe FROM w WHERE abs(a * b * c - r) / CASE WHEN r <> 0 THEN abs(r) ELSE 1e-9 END > 0.01""",
 }
-DATED = dict.fromkeys(NAMES, "period_end") | {"dupont": "period_start period_end"}
+DATED = dict.fromkeys(NAMES, "period_end") | {"incremental_metrics": "period_start period_end", "incremental_sigma": "period_end"} | {"dupont": "period_start period_end"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.bindings import table, view, with_views
@@ -20,6 +20,8 @@ from factlens.plans import sql, texts
 from factlens.plans.common import latest, rounded, values
 from factlens.registry import METRICS, metric_table
 from factlens.sources import pages as p
+from factlens.sources import tables
+from factlens.storage import scratch_path
 
 START = "2022-06-01"
 MOST_TOKENS = 2_000
@@ -55,8 +57,7 @@ def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of the ledger as requests of daily runs; runs of even days are scheduled ones."""
     day = F.to_date("created_at")
     calls = view(spark, sf_dir, "ledger").withColumns({"run": day.cast("string"), "cost": F.round(F.col("cost_usd") * 1e6).cast("long"), "scheduled": F.dayofmonth(day) % 2 == 0})
-    calls = calls.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy("created_at", "call_id")).cast("long"))
-    return l.admit_all(calls.select("run", "place", "scheduled", "cost", "call_id"), 0, 3_000_000, 600_000, 60, 250_000)
+    return l.admit_all(calls.select("run", "created_at", "scheduled", "cost", "call_id"), 0, 3_000_000, 600_000, 60, 250_000, ("created_at", "call_id"))
 
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,14 @@ def finding_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingested(spark, sf_dir).groupBy("category", "severity").agg(F.count("*").alias("returned"), F.count_if("kept").alias("kept"))
 
 
+def discard_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check 23 by prompt version (by conversation, here): findings that stored responses returned, and those that were kept."""
+    rows = g.parse_responses(view(spark, sf_dir, "responses")).filter("invalid_reason is null and stop_reason <> 'max_tokens'")
+    analyses = rows.select(F.col("response_id").alias("id"), F.concat(F.lit("v"), (F.col("conv_id") % 3).cast("string")).alias("prompt_version"), F.col("body").alias("output_json"))
+    kept = ingested(spark, sf_dir).filter("kept").select(F.col("response_id").alias("analysis_id"))
+    return a.discard_rates(analyses, kept).withColumn("discard_rate", rounded("discard_rate"))
+
+
 def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = a.run_statistics(view(spark, sf_dir, "ledger"), ["prompt_name", "model"])
     return found.select("prompt_name", "model", "calls", *[rounded(c).alias(c) for c in ("cost", "ok_rate", "refused_rate", "mean_cost")])
@@ -109,21 +118,35 @@ def support_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.eligible_sections(texts.rows(spark, sf_dir))
+    return s.eligible_sections(texts.rows(spark, sf_dir), fluctuating=texts.FLUCTUATING)
 
 
-def engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All metric rules and the section rules on counts in one batch, against a store that lacks high ones and has another statement for some."""
-    rows = texts.rows(spark, sf_dir)
-    found = [plan_rules.observations(spark, sf_dir), s.length_change(rows), s.readability_change(rows)]
-    plain = spark.createDataFrame([("gross_margin",), ("Note 7",)], "subject string")
-    new = r.engine(found, plain).drop("_change")
-    written = new.filter("severity <> 'high'").withColumn("statement", F.when(F.col("subject") == "roe", "as it was").otherwise(F.col("statement")))
-    return r.engine(found, plain, written)
+#: Subjects taken for boilerplate.
+PLAIN = [("gross_margin",), ("Note 7",)]
+
+
+def stored_engine(spark: SparkSession, sf_dir: str, found: list[DataFrame]) -> DataFrame:
+    """A run of the engine into a store that lacks high observations and has another statement for some."""
+    plain, path = spark.createDataFrame(PLAIN, "subject string"), scratch_path(spark, "observations")
+    store, new = r.store(spark, path), r.batch(found, plain)
+    store.merge(new.filter("severity <> 'high'").withColumn("statement", F.when(F.col("subject") == "roe", "as it was").otherwise(F.col("statement"))))
+    return r.run(found, plain, store)
 
 
 def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir).groupBy("rule_name", "subject", "severity", F.col("_change").alias("change")).agg(F.count("*").alias("n"))
+    """All metric rules and the section rules on wording, length and readability in one run."""
+    rows = texts.rows(spark, sf_dir)
+    sections = [s.wording_changed(rows, texts.words(spark, sf_dir)), s.length_change(rows), s.readability_change(rows)]
+    out = stored_engine(spark, sf_dir, [plan_rules.observations(spark, sf_dir), *sections])
+    return out.groupBy("rule_name", "subject", "severity", F.col("_change").alias("change")).agg(F.count("*").alias("n"))
+
+
+def rule_engine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eleven rules in one run: those of ``rule_engine`` and notes that were renamed, came or went."""
+    rows, (changes, found) = texts.rows(spark, sf_dir), texts.found(spark, sf_dir)
+    sections = [s.wording_changed(rows, texts.words(spark, sf_dir)), s.length_change(rows), s.readability_change(rows), s.renamed(found), s.appeared_or_gone(changes, found, "a"), s.appeared_or_gone(changes, found, "d")]
+    out = stored_engine(spark, sf_dir, [plan_rules.observations(spark, sf_dir), *sections])
+    return out.groupBy("rule_name", "subject", "severity", F.col("_change").alias("change")).agg(F.count("*").alias("n"))
 
 
 def range_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,13 +172,25 @@ def debt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*[F.col(n).isNotNull().alias(n) for n in names]).agg(F.count("*").alias("n"))
 
 
-def doc_type_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index pages made of filings' documents, with a second table that doesn't count and a row that is too short, parsed again."""
+def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index pages made of filings' documents, with a second table that doesn't count and a row that is too short."""
     feed = view(spark, sf_dir, "feed").filter("primary_doc <> ''")
     head = '<html><body><table summary="Other"><tr><td>a</td><td>b</td><td>c</td><td>d</td></tr></table><table class="t" summary="Document Format Files"><tr><th>Seq</th><th>Description</th><th>Document</th><th>Type</th></tr>'
     row = F.concat(F.lit("<tr><td>1</td><td>Report &amp; notes</td><td><a href='x'>"), "primary_doc", F.lit("</a> &nbsp;iXBRL</td><td>"), "form_type", F.lit("</td><td>9</td></tr><tr><td>short</td></tr>"))
     html = F.concat(F.lit(head), row, F.lit("<tr><td></td><td>Complete text</td><td>"), "accession_no", F.lit(".txt</td><td></td></tr></table></body></html>"))
-    return p.with_document_types(feed.select("accession_no", html.alias("html"))).select("accession_no", "filename", "type", "description")
+    return feed.select("accession_no", html.alias("html"))
+
+
+def doc_type_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Such pages, parsed again."""
+    return p.with_document_types(index_pages(spark, sf_dir)).select("accession_no", "filename", "type", "description")
+
+
+def doc_type_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of such pages by a table function, joined laterally in SQL."""
+    tables.register(spark)
+    index_pages(spark, sf_dir).createOrReplaceTempView("index_pages")
+    return spark.sql("SELECT p.accession_no, d.filename, d.type, d.description FROM index_pages p, LATERAL document_rows(p.html) d")
 
 
 def merge_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,12 +203,12 @@ def merge_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     x.__name__: x
-    for x in (candidate_sections, candidate_filings, plain_ids, request_table, admission, refusal_rows, billed_attempts, cache_impact, finding_ingestion, run_statistics, support_examples, section_eligibility, rule_engine, range_exceptions, alias_exceptions, debt_parts, doc_type_table, merge_companies)
+    for x in (candidate_sections, candidate_filings, plain_ids, request_table, admission, refusal_rows, billed_attempts, cache_impact, finding_ingestion, discard_by_version, run_statistics, support_examples, section_eligibility, rule_engine, rule_engine_all, range_exceptions, alias_exceptions, debt_parts, doc_type_table, doc_type_sql, merge_companies)
 }
 
 from factlens.plans.evidence import SUPPORT  # noqa: E402
 from factlens.plans.rules import M  # noqa: E402
-from factlens.plans.texts import FOG, FOG_BEFORE, S  # noqa: E402
+from factlens.plans.texts import FOG, FOG_BEFORE, PREFIX_RATIO, S  # noqa: E402
 
 ADMITTED = f"""{with_views('ledger')}, q AS (SELECT call_id, CAST(CAST(created_at AS DATE) AS VARCHAR) AS run, CAST(round(cost_usd * 1e6) AS BIGINT) AS cost, day(CAST(created_at AS DATE)) % 2 = 0 AS scheduled, row_number() OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY created_at, call_id) AS nth FROM ledger),
     u AS (SELECT *, sum(cost) OVER (PARTITION BY run ORDER BY nth) AS running FROM q), st AS (SELECT *, CASE WHEN nth > 60 THEN 'calls' WHEN running > CASE WHEN scheduled THEN 250000 ELSE 600000 END THEN 'run cost' END AS stop FROM u),
@@ -181,6 +216,7 @@ ADMITTED = f"""{with_views('ledger')}, q AS (SELECT call_id, CAST(CAST(created_a
     bef AS (SELECT run, coalesce(sum(total) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tot),
     admitted AS (SELECT call_id, run, CASE WHEN nth >= ended THEN coalesce(stop, 'run ended') WHEN before + running > 3000000 THEN 'lifetime budget' END AS refusal FROM en LEFT JOIN bef USING (run))"""
 ENGINE = f"""{M}, sec AS ({S}, f AS (SELECT company AS cik, accession_no, make_date(fiscal_year, 12, 31) AS period_end, 'section_length_change' AS rule_name, short_name AS subject, 'medium' AS severity FROM pairs WHERE words > 0 AND prior_words > 0 AND abs(words / prior_words - 1) > 0.25
+        UNION ALL SELECT company, accession_no, make_date(fiscal_year, 12, 31), 'section_wording_changed', short_name, 'high' FROM pairs WHERE wording_hash <> prior_hash AND {PREFIX_RATIO} < 0.60
         UNION ALL SELECT company, accession_no, make_date(fiscal_year, 12, 31), 'readability_change', short_name, 'low' FROM pairs WHERE words >= 50 AND prior_words >= 50 AND {FOG_BEFORE} > 0 AND abs(({FOG}) / ({FOG_BEFORE}) - 1) > 0.15) SELECT * FROM f),
     allof AS (SELECT cik, accession_no, period_end, rule_name, subject, severity, false AS peer FROM observed UNION ALL
         SELECT cik, accession_no, period_end, rule_name, subject, severity, EXISTS (SELECT 1 FROM sec o WHERE o.rule_name = sec.rule_name AND o.subject = sec.subject AND o.cik <> sec.cik AND abs(o.period_end - sec.period_end) <= 365) FROM sec),
@@ -204,11 +240,14 @@ ORACLE = {
     "finding_ingestion": f"""{with_views('responses')}, g AS (SELECT response_id, text, substr(regexp_replace(text, '["\\\\\\s]+', ' ', 'g'), 1, 45) AS q, body FROM responses WHERE stop_reason <> 'max_tokens' AND body LIKE '%"litigation"%'),
         f AS (SELECT 'liquidity' AS category, 'low' AS severity, q, text FROM g UNION ALL SELECT 'litigation', 'medium', 'q2', text FROM g)
         SELECT category, severity, count(*) AS returned, count(*) FILTER (length(trim(q)) >= 40 AND contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(q, '\\s+', ' ', 'g')))) AS kept FROM f GROUP BY ALL""",
+    "discard_by_version": f"""{with_views('responses')}, g AS (SELECT conv_id, text, substr(regexp_replace(text, '["\\\\\\s]+', ' ', 'g'), 1, 45) AS q FROM responses WHERE stop_reason <> 'max_tokens' AND body LIKE '%"litigation"%'),
+        v AS (SELECT 'v' || (conv_id % 3) AS prompt_version, length(trim(q)) >= 40 AND contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(q, '\\s+', ' ', 'g'))) AS kept FROM g)
+        SELECT prompt_version, 2 * count(*) AS returned, count(*) FILTER (kept) AS kept, 2 * count(*) - count(*) FILTER (kept) AS discarded, round((2 * count(*) - count(*) FILTER (kept)) / (2 * count(*)), 6) + 0.0 AS discard_rate FROM v GROUP BY 1""",
     "run_statistics": f"""{with_views('ledger')} SELECT prompt_name, model, count(*) AS calls, round(CAST(sum(cost_usd) AS DOUBLE), 6) + 0.0 AS cost, round(count(*) FILTER (status = 'ok') / nullif(count(*) FILTER (status IN ('ok', 'error')), 0), 6) + 0.0 AS ok_rate,
         round(count(*) FILTER (status = 'refused') / count(*), 6) + 0.0 AS refused_rate, round(CAST(sum(cost_usd) FILTER (status IN ('ok', 'error')) AS DOUBLE) / nullif(count(*) FILTER (status IN ('ok', 'error')), 0), 6) + 0.0 AS mean_cost FROM ledger GROUP BY ALL""",
     "support_examples": f"""{SUPPORT}, x AS (SELECT severity, lpad(CAST(finding_id AS VARCHAR), 9, '0') || ':' || number AS example FROM support WHERE tier = 'unsupported' QUALIFY row_number() OVER (PARTITION BY severity ORDER BY lpad(CAST(finding_id AS VARCHAR), 9, '0') || ':' || number) <= 5)
         SELECT s.severity, count(*) AS n, count(*) FILTER (tier = 'unsupported') AS bad, round(count(*) FILTER (tier = 'unsupported') / count(*), 6) + 0.0 AS rate, (SELECT string_agg(example, ' | ' ORDER BY example) FROM x WHERE x.severity = s.severity) AS examples FROM support s GROUP BY s.severity""",
-    "section_eligibility": f"""{S}, n AS (SELECT DISTINCT company, fiscal_year, short_name FROM sections WHERE category = 'Notes'), y AS (SELECT DISTINCT company, fiscal_year FROM n), b AS (SELECT company, fiscal_year FROM y WHERE (company, fiscal_year - 1) IN (SELECT (company, fiscal_year) FROM y)),
+    "section_eligibility": f"""{S}, n AS (SELECT DISTINCT company, fiscal_year, short_name FROM notes), y AS (SELECT DISTINCT company, fiscal_year FROM n), b AS (SELECT company, fiscal_year FROM y WHERE (company, fiscal_year - 1) IN (SELECT (company, fiscal_year) FROM y)),
         w AS (SELECT company, fiscal_year, short_name FROM n UNION SELECT company, fiscal_year + 1, short_name FROM n), k AS (SELECT w.company, count(*) AS n FROM w JOIN b USING (company, fiscal_year) GROUP BY 1),
         c AS (SELECT company, count(*) AS a, count(*) FILTER (words > 0 AND prior_words > 0) AS b, count(*) FILTER (words >= 50 AND prior_words >= 50) AS c FROM pairs GROUP BY 1),
         z AS (SELECT coalesce(c.company, k.company) AS cik, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, coalesce(n, 0) AS n FROM c FULL JOIN k ON c.company = k.company)
@@ -225,4 +264,5 @@ ORACLE = {
         UNION ALL SELECT accession_no, accession_no || '.txt', '', 'Complete text' FROM feed WHERE primary_doc <> ''""",
     "merge_companies": f"{with_views('companies')} SELECT cik, name, CASE WHEN CAST(cik AS BIGINT) % 5 = 2 THEN 'insert' WHEN CAST(cik AS BIGINT) % 3 = 0 AND lower(name) <> name THEN 'update' ELSE 'same' END AS change FROM companies",
 }
+ORACLE["doc_type_sql"] = ORACLE["doc_type_table"]
 DATED: dict[str, str] = {}

@@ -9,12 +9,20 @@ from factlens.bindings import table, view, with_views
 from factlens.functions import text as t
 from factlens.operators import sections as s
 from factlens.operators import sinks
+from factlens.operators.stores import ContentStore
 from factlens.plans.common import once, rounded
 from factlens.sources import pages as p
+from factlens.storage import scratch_path
+
+
+#: Names that notes went by since, and names of notes taken for such as come and go.
+ALIASES = {f"Renamed {k}": f"Note {k}" for k in (8, 13, 52, 65, 99)}
+FLUCTUATING = ("Note 91", "Renamed 91", "Note 104", "Renamed 104")
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "sections", lambda: s.measured(view(spark, sf_dir, "sections")))
+    aliases = spark.createDataFrame(list(ALIASES.items()), "alias string, canonical string")
+    return once(spark, sf_dir, "sections", lambda: s.measured(view(spark, sf_dir, "sections"), aliases))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,24 +81,24 @@ def rule_wording_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_appeared_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that came or went, before renames are taken out."""
-    return s.presence_changes(rows(spark, sf_dir)).select("company", "fiscal_year", "short_name", "kind")
+    return s.presence_changes(rows(spark, sf_dir), fluctuating=FLUCTUATING).select("company", "fiscal_year", "short_name", "kind")
 
 
-def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    changes = once(spark, sf_dir, "changes", lambda: s.presence_changes(rows(spark, sf_dir)))
+def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    changes = once(spark, sf_dir, "changes", lambda: s.presence_changes(rows(spark, sf_dir), fluctuating=FLUCTUATING))
     return changes, once(spark, sf_dir, "renames", lambda: s.renames(changes, words(spark, sf_dir), BOILERPLATE))
 
 
 def rule_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.renamed(_found(spark, sf_dir)[1]).select("cik", "accession_no", "period_end", "rule_name", "subject", "severity")
+    return s.renamed(found(spark, sf_dir)[1]).select("cik", "accession_no", "period_end", "rule_name", "subject", "severity")
 
 
 def rule_appeared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.appeared_or_gone(*_found(spark, sf_dir), "a").select("cik", "accession_no", "period_end", "rule_name", "subject", "severity")
+    return s.appeared_or_gone(*found(spark, sf_dir), "a").select("cik", "accession_no", "period_end", "rule_name", "subject", "severity")
 
 
 def rule_disappeared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.appeared_or_gone(*_found(spark, sf_dir), "d").select("cik", "accession_no", "period_end", "rule_name", "subject", "severity")
+    return s.appeared_or_gone(*found(spark, sf_dir), "d").select("cik", "accession_no", "period_end", "rule_name", "subject", "severity")
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +110,14 @@ def dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.content_copies(table(spark, sf_dir, "documents"), "doc_id").select("text_hash", "first_id", "copies")
 
 
+def content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents loaded into a content store, half of them before: each text once, with how many documents refer to it."""
+    docs, store = table(spark, sf_dir, "documents").select("doc_id", "text"), ContentStore(spark, scratch_path(spark, "contents"))
+    store.add(docs.filter("doc_id % 2 = 0"))
+    refs = store.add(docs).filter("text_hash is not null").groupBy("text_hash").agg(F.count("*").alias("copies"))
+    return store.read().select("text_hash", F.length("text").cast("long").alias("n_chars")).join(refs, "text_hash")
+
+
 def hash_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose stored hash (here wrong or missing for some) isn't that of their text."""
     d = table(spark, sf_dir, "documents")
@@ -119,7 +135,7 @@ def upsert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"rule_length": section_rule(s.length_change), "rule_readability": section_rule(s.readability_change)} | {
     q.__name__: q
-    for q in (text_counts, fog, wording_hash, numeric_tokens, lexicons, token_estimates, rule_wording, rule_wording_pairs, rule_appeared_all, rule_renamed, rule_appeared, rule_disappeared, html_text, dedup_content, hash_integrity, upsert_changes)
+    for q in (text_counts, fog, wording_hash, numeric_tokens, lexicons, token_estimates, rule_wording, rule_wording_pairs, rule_appeared_all, rule_renamed, rule_appeared, rule_disappeared, html_text, dedup_content, content_store, hash_integrity, upsert_changes)
 }
 
 WORD = "[A-Za-z]+(?:[''-][A-Za-z]+)*"
@@ -128,8 +144,10 @@ COUNTS = f"""len(regexp_extract_all(text, '{WORD}')) AS words,
     len(list_filter(list_transform(regexp_extract_all(lower(text), '{WORD.replace('A-Z', '')}'), lambda x: regexp_replace(x, '[^a-z]', '', 'g')), lambda w:
         len(regexp_extract_all(w, '[aeiouy]+')) - CASE WHEN w LIKE '%e' AND len(regexp_extract_all(w, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(w, '[^aeiouy]le$') THEN 1 ELSE 0 END >= 3)) AS hard"""
 MASK = "regexp_replace(regexp_replace(text, '\\Av\\d+(?:\\.\\d+)+[ \\t]*\\n?', ''), '\\d[\\d,]*\\.?\\d*', '<NUM>', 'g')"
-S = f"""{with_views('sections')}, m AS (SELECT *, {COUNTS}, sha256({MASK}) AS wording_hash FROM sections),
-pairs AS (SELECT a.*, b.section_id AS prior_section_id, b.words AS prior_words, b.sentences AS prior_sentences, b.hard AS prior_hard, b.wording_hash AS prior_hash FROM m a
+NAMED = f"""{with_views('sections')}, named AS (SELECT * REPLACE (CASE short_name {' '.join(f"WHEN '{a}' THEN '{c}'" for a, c in ALIASES.items())} ELSE short_name END AS short_name) FROM sections),
+notes AS (SELECT * FROM named WHERE category = 'Notes' AND short_name NOT IN {FLUCTUATING})"""
+S = f"""{NAMED}, m AS (SELECT *, {COUNTS}, {MASK} AS wording, sha256({MASK}) AS wording_hash FROM named),
+pairs AS (SELECT a.*, b.section_id AS prior_section_id, b.wording AS prior_wording, b.words AS prior_words, b.sentences AS prior_sentences, b.hard AS prior_hard, b.wording_hash AS prior_hash FROM m a
     JOIN m b ON a.company = b.company AND a.category = b.category AND a.short_name = b.short_name AND a.fiscal_year = b.fiscal_year + 1)"""
 
 
@@ -138,6 +156,8 @@ def _fired(rule: str, severity: str, where: str) -> str:
 
 
 FOG, FOG_BEFORE = "0.4 * (words / nullif(sentences, 0) + 100 * hard / nullif(words, 0))", "0.4 * (prior_words / nullif(prior_sentences, 0) + 100 * prior_hard / nullif(prior_words, 0))"
+#: The ratio of wordings of which one begins with the other, as all pairs of the view do.
+PREFIX_RATIO = "2.0 * least(length(wording), length(prior_wording)) / (length(wording) + length(prior_wording))"
 ORACLE = {
     "text_counts": f"SELECT doc_id, {COUNTS} FROM documents",
     "fog": f"SELECT doc_id, CASE WHEN words > 0 AND sentences > 0 THEN round({FOG}, 6) + 0.0 END AS fog FROM (SELECT doc_id, {COUNTS} FROM documents)",
@@ -150,11 +170,13 @@ ORACLE = {
     "token_estimates": "SELECT doc_id, greatest(1, CAST(round_even(length(text) / 4, 0) AS BIGINT)) AS tokens, sha256('model-a|v1|Company ' || source || ': ' || text) AS input_hash FROM documents",
     "rule_length": _fired("section_length_change", "medium", "words > 0 AND prior_words > 0 AND abs(words / prior_words - 1) > 0.25"),
     "rule_readability": _fired("readability_change", "low", f"words >= 50 AND prior_words >= 50 AND {FOG_BEFORE} > 0 AND abs(({FOG}) / ({FOG_BEFORE}) - 1) > 0.15"),
+    "rule_wording": _fired("section_wording_changed", "high", f"wording_hash <> prior_hash AND {PREFIX_RATIO} < 0.60"),
     "rule_wording_pairs": f"{S} SELECT section_id, prior_section_id FROM pairs WHERE wording_hash <> prior_hash",
-    "rule_appeared_all": f"""{with_views('sections')}, n AS (SELECT company, fiscal_year, short_name FROM sections WHERE category = 'Notes'), y AS (SELECT DISTINCT company, fiscal_year FROM n)
+    "rule_appeared_all": f"""{NAMED}, n AS (SELECT company, fiscal_year, short_name FROM notes), y AS (SELECT DISTINCT company, fiscal_year FROM n)
         SELECT company, fiscal_year, short_name, 'a' AS kind FROM n WHERE (company, fiscal_year - 1) IN (SELECT (company, fiscal_year) FROM y) AND (company, fiscal_year - 1, short_name) NOT IN (SELECT (company, fiscal_year, short_name) FROM n)
         UNION ALL SELECT company, fiscal_year + 1, short_name, 'd' FROM n WHERE (company, fiscal_year + 1) IN (SELECT (company, fiscal_year) FROM y) AND (company, fiscal_year + 1, short_name) NOT IN (SELECT (company, fiscal_year, short_name) FROM n)""",
     "dedup_content": "SELECT sha256(text) AS text_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",
+    "content_store": "SELECT sha256(text) AS text_hash, length(text) AS n_chars, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY ALL",
     "hash_integrity": "SELECT doc_id, CASE WHEN doc_id % 50 = 9 THEN 'missing' ELSE 'mismatch' END AS problem FROM documents WHERE doc_id % 50 = 9 OR (doc_id % 50 = 7 AND text <> reverse(text))",
     "upsert_changes": """SELECT c_custkey, round(c_acctbal, 2) + 0.0 AS c_acctbal, CASE WHEN c_custkey % 7 = 3 THEN 'insert' WHEN c_custkey % 5 = 0 THEN 'update' ELSE 'same' END AS change FROM customer""",
 }

@@ -177,6 +177,8 @@ RULES = {
     "section_renamed": ("v3", "low"),
 }
 SECTION_RULES = tuple(r for r in RULES if r.startswith("section") or r == "readability_change")
+# Notes that come and go by their nature.
+FLUCTUATING_NOTES = ("Recently Issued Accounting Standards Not Yet Adopted",)
 HIGH_CATEGORIES = ("margins", "returns", "working_capital")
 
 # History that extremes need and look back on, by class.

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,18 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    files, where = _place(spark, path)
+    return files.exists(where)
+
+
+def move_scratch(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a folder to a place where nothing is yet."""
+    files, where = _place(spark, path)
+    if not files.rename(where, _place(spark, target)[1]):
+        raise OSError(f"{path} can't be moved to {target}")
+
+
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Write ``df`` to ``path`` and read it back."""
     df.write.options(**options).parquet(path)
@@ -60,3 +73,50 @@ def modified(spark: SparkSession, folder: str) -> int:
     while found.hasNext():
         latest = max(latest, found.next().getModificationTime())
     return latest
+
+
+class Folders:
+    """A table in folders by an integer column, of which a write replaces some and leaves the others' files alone.
+
+    Each write is a version that holds the folders it wrote; a list of the version in which each folder lies is written
+    last, and readers go by the latest complete list. So a write takes effect at once or not at all, readers keep what they
+    began with, and of two writers that start from the same version one fails.
+    """
+
+    VERSION = "__version"
+
+    def __init__(self, spark: SparkSession, path: str, column: str):
+        self.spark, self.path, self.column = spark, path.rstrip("/"), column
+
+    def version(self) -> int:
+        """The latest complete version, 0 before the first."""
+        files, where = _place(self.spark, f"{self.path}/lists")
+        if not files.exists(where):
+            return 0
+        done = [int(x.getPath().getName()) for x in files.listStatus(where) if files.exists(_place(self.spark, f"{x.getPath()}/_SUCCESS")[1])]
+        return max(done, default=0)
+
+    def places(self) -> dict[int, int]:
+        """The version in which each folder lies."""
+        latest = self.version()
+        return {r.folder: r.version for r in self.spark.read.parquet(f"{self.path}/lists/{latest}").collect()} if latest else {}
+
+    def read(self, only: set[int] | None = None) -> DataFrame | None:
+        """The rows of all folders, or of some, with the column and __version; None if there are none."""
+        found = [f"{self.path}/{self.VERSION}={v}/{self.column}={k}" for k, v in sorted(self.places().items()) if only is None or k in only]
+        return self.spark.read.option("basePath", self.path).parquet(*found) if found else None
+
+    def write(self, rows: DataFrame, only: set[int] | None = None) -> dict[int, int]:
+        """Replace the folders named, or all, by ``rows``, whose column names each row's folder; one that gets no rows is gone."""
+        before, version = self.places(), self.version() + 1
+        if only is not None:
+            rows = rows.filter(F.col(self.column).isin(sorted(only)))
+        target = f"{self.path}/{self.VERSION}={version}"
+        rows.write.partitionBy(self.column).parquet(target)
+        files, where = _place(self.spark, target)
+        names = [x.getPath().getName() for x in files.listStatus(where)]
+        new = {int(x.split("=")[1]): version for x in names if x.startswith(f"{self.column}=")}
+        after = ({} if only is None else {k: v for k, v in before.items() if k not in only}) | new
+        listed = self.spark.createDataFrame(sorted(after.items()), "folder int, version int")
+        listed.coalesce(1).write.parquet(f"{self.path}/lists/{version}")
+        return after
