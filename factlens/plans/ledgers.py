@@ -140,7 +140,7 @@ ORACLE = {
     "stream_discovery": f"{with_views('feed')} SELECT DISTINCT accession_no, form_type, filing_date FROM feed WHERE form_type IN ('10-K', '10-Q', '8-K')",
     "restatement_effects": f"""{with_views('facts')}, x AS (SELECT *, count(*) OVER (PARTITION BY cik, concept, unit, period_start, period_end) AS n FROM facts)
         SELECT concept, CASE WHEN n = 1 OR version = CASE WHEN CAST(cik AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END THEN 'first' WHEN version = 0 THEN 'late' ELSE 'restates' END AS effect, count(*) AS n FROM x GROUP BY ALL""",
-    "stream_status": """WITH e AS (SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS accession_no, user_id % 3 + 1 AS parts, event_type <> 'error' AS ok, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS part FROM events),
+    "stream_status": """WITH e AS (SELECT CAST(user_id AS VARCHAR) || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS accession_no, user_id % 3 + 1 AS parts, event_type <> 'error' AS ok, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS part FROM events),
         s AS (SELECT accession_no, parts, ms AS started FROM e WHERE part = 1), c AS (SELECT accession_no, count(*) AS n, bool_and(ok) AS well, max(ms) AS last FROM e JOIN s USING (accession_no, parts) WHERE part <= parts AND ms <= started + 14400000 GROUP BY 1)
         SELECT accession_no, CASE WHEN n = parts AND well THEN 'done' ELSE 'retry' END AS status, CASE WHEN n < parts THEN 'timed out' WHEN well THEN 'complete' ELSE 'failed part' END AS reason, CASE WHEN n = parts THEN last ELSE started + 14400000 END AS at_ms FROM s JOIN c USING (accession_no)""",
     "stream_restatements": f"{sql.LATEST} SELECT cik, concept, unit, period_start, period_end, round(value, 6) + 0.0 AS value FROM latest",
