@@ -53,6 +53,18 @@ def evidence_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("brief_id", "position", F.col("k").cast("int").alias("k"), "ref", "kind", F.col("finding.headline").alias("headline"), F.col("finding.severity").alias("severity"))
 
 
+def evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of each filing as a block of text; filings of which none is severe have none."""
+    f = view(spark, sf_dir, "findings")
+    rows = f.filter("severity <> 'low'").select("accession_no", F.col("finding_id").alias("id"), "severity", F.col("headline").alias("statement"))
+    return selection.evidence_block(rows, "accession_no", "finding", f)
+
+
+def sampled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty findings drawn by a seed."""
+    return selection.sample(view(spark, sf_dir, "findings").select("finding_id", "severity"), "finding_id", 40, 7)
+
+
 def numbers_with_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "findings").select("finding_id", F.concat(F.lit("$"), "detail", F.lit(" and 5%")).alias("t"))
     return rows.select("finding_id", F.posexplode(with_units(F.col("t"))).alias("k", "x")).select("finding_id", "k", rounded("x.value").alias("value"), "x.unit")
@@ -142,7 +154,7 @@ def discard_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (quote_check, numeric_support, numeric_support_by_severity, support_by_version, evidence_view, numbers_with_units, number_units, number_units_sql, select_observations, select_findings, verify_sentences, sentence_reasons, brief_drop_rates, brief_assembly, orphan_refs, cross_filing_refs, sentence_types, parse_responses, discard_rate)
+    for q in (quote_check, numeric_support, numeric_support_by_severity, support_by_version, evidence_view, evidence_blocks, sampled_findings, numbers_with_units, number_units, number_units_sql, select_observations, select_findings, verify_sentences, sentence_reasons, brief_drop_rates, brief_assembly, orphan_refs, cross_filing_refs, sentence_types, parse_responses, discard_rate)
 }
 
 F_ = with_views("findings")
@@ -210,6 +222,8 @@ ORACLE = {
     "numeric_support": f"{SUPPORT} SELECT finding_id, number, tier FROM support",
     "numeric_support_by_severity": f"""{SUPPORT} SELECT severity, count(*) AS numbers, count(*) FILTER (tier = 'in_quote') AS in_quote, count(*) FILTER (tier = 'in_note_only') AS in_note, count(*) FILTER (tier IN ('derived_verified', 'unsupported')) AS others
         FROM support GROUP BY 1""",
+    "evidence_blocks": f"""{F_} SELECT accession_no, coalesce(string_agg('- finding:' || finding_id || ' [' || severity || '] ' || headline, chr(10) ORDER BY finding_id) FILTER (severity <> 'low'), '(none)') AS block FROM findings GROUP BY 1""",
+    "sampled_findings": f"{F_} SELECT finding_id, severity FROM findings ORDER BY sha256(CAST(finding_id AS VARCHAR) || '|7'), finding_id LIMIT 40",
     "support_by_version": f"""{SUPPORT} SELECT 'v' || (finding_id % 3) AS prompt_version, count(*) AS checked, count(*) FILTER (tier = 'in_quote') AS in_quote, count(*) FILTER (tier = 'in_note_only') AS in_note_only, count(*) FILTER (tier = 'derived_verified') AS derived_verified,
         count(DISTINCT finding_id) FILTER (tier = 'unsupported') AS findings_with_unsupported, round(count(*) FILTER (tier IN ('in_quote', 'in_note_only')) / count(*), 6) + 0.0 AS support_rate FROM support GROUP BY 1""",
     "evidence_view": f"""{FS}, r AS (SELECT brief_id, position, string_split(refs, ',') AS refs FROM sentences), x AS (SELECT brief_id, position, CAST(k AS INT) AS k, refs[k + 1] AS ref FROM (SELECT *, unnest(range(len(refs))) AS k FROM r))

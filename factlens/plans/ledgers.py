@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from factlens.bindings import table, view, with_views
 from factlens.operators import ledger as l
 from factlens.operators.facts import latest_filed
+from factlens.operators.sinks import pending
 from factlens.plans.common import facts, once, rounded
+from factlens.sources import feeds
 from factlens.streaming import discovery
 
 CAP, MOST_CALLS = 0.25, 40
@@ -68,11 +70,27 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factlens.operators.sinks import pending
-
     return pending(view(spark, sf_dir, "filings"), ["discovered", "failed"]).select("accession_no", "status", "filing_date")
 
 
+def next_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 25 filings to be worked on."""
+    return pending(view(spark, sf_dir, "filings"), ["discovered", "failed"], 25).select("accession_no", "status", "filing_date")
+
+
+def item_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the feed's filings; where it has none, those that a page names."""
+    rows = view(spark, sf_dir, "feed").withColumn("page", F.when(F.col("accession_no").cast("long") % 2 == 0, F.concat(F.lit("<p>Item 9.01 Exhibits Item  2.02 of "), "filing_date", F.lit(" Item 9.01</p>"))))
+    return rows.select("accession_no", F.array_join(feeds.item_list(F.col("items"), F.col("page")), "|").alias("items"))
+
+
+def archived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files of a filing are kept, of its document, its summary and its full text."""
+    names = F.explode(F.array("primary_doc", F.lit("FilingSummary.xml"), F.concat("accession_no", F.lit(".txt"))))
+    rows = view(spark, sf_dir, "feed").select("accession_no", "form_type", "primary_doc", names.alias("filename"))
+    return feeds.to_archive(rows.filter("filename <> ''")).select("accession_no", "filename")
+
+
 def stream_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed as a stream with replayed rows: each filing comes once."""
     return discovery.discover_once(spark, view(spark, sf_dir, "feed")).select("accession_no", "form_type", "filing_date")
@@ -115,7 +133,7 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (price_as_of, ledger_cost, cost_recomputation, stale_prices, price_reviews, spend_breakdown, ledger_reconciliation, budget_admission, cache_split, status_counts, pending_filings, stream_discovery, stream_restatements, restatement_effects, stream_status)
+    for q in (price_as_of, ledger_cost, cost_recomputation, stale_prices, price_reviews, spend_breakdown, ledger_reconciliation, budget_admission, cache_split, status_counts, pending_filings, next_filings, item_lists, archived_files, stream_discovery, stream_restatements, restatement_effects, stream_status)
 }
 
 from factlens.plans import sql  # noqa: E402
@@ -137,6 +155,10 @@ ORACLE = {
     "cache_split": "SELECT role, text IN (SELECT text FROM conversations WHERE conv_id % 2 = 0) AS hit, count(*) AS n FROM conversations GROUP BY ALL",
     "status_counts": f"{with_views('filings')} SELECT cik, form_type, status, count(*) AS n FROM filings GROUP BY ALL",
     "pending_filings": f"{with_views('filings')} SELECT accession_no, status, filing_date FROM filings WHERE status IN ('discovered', 'failed')",
+    "next_filings": f"{with_views('filings')} SELECT accession_no, status, filing_date FROM filings WHERE status IN ('discovered', 'failed') ORDER BY filing_date, accession_no LIMIT 25",
+    "item_lists": f"""{with_views('feed')} SELECT accession_no, CASE WHEN trim(items) <> '' THEN array_to_string(list_transform(string_split(trim(items), ','), lambda x: trim(x)), '|') WHEN CAST(accession_no AS BIGINT) % 2 = 0 THEN '9.01|2.02' END AS items FROM feed""",
+    "archived_files": f"""{with_views('feed')}, f AS (SELECT accession_no, form_type, primary_doc, unnest([primary_doc, 'FilingSummary.xml', accession_no || '.txt']) AS filename FROM feed)
+        SELECT accession_no, filename FROM f WHERE filename <> '' AND (form_type = '8-K' OR filename = primary_doc OR filename = 'FilingSummary.xml')""",
     "stream_discovery": f"{with_views('feed')} SELECT DISTINCT accession_no, form_type, filing_date FROM feed WHERE form_type IN ('10-K', '10-Q', '8-K')",
     "restatement_effects": f"""{with_views('facts')}, x AS (SELECT *, count(*) OVER (PARTITION BY cik, concept, unit, period_start, period_end) AS n FROM facts)
         SELECT concept, CASE WHEN n = 1 OR version = CASE WHEN CAST(cik AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END THEN 'first' WHEN version = 0 THEN 'late' ELSE 'restates' END AS effect, count(*) AS n FROM x GROUP BY ALL""",
@@ -145,4 +167,4 @@ ORACLE = {
         SELECT accession_no, CASE WHEN n = parts AND well THEN 'done' ELSE 'retry' END AS status, CASE WHEN n < parts THEN 'timed out' WHEN well THEN 'complete' ELSE 'failed part' END AS reason, CASE WHEN n = parts THEN last ELSE started + 14400000 END AS at_ms FROM s JOIN c USING (accession_no)""",
     "stream_restatements": f"{sql.LATEST} SELECT cik, concept, unit, period_start, period_end, round(value, 6) + 0.0 AS value FROM latest",
 }
-DATED = {"price_as_of": "call_date valid_from", "pending_filings": "filing_date", "stream_discovery": "filing_date", "stream_restatements": "period_start period_end"}
+DATED = {"price_as_of": "call_date valid_from", "pending_filings": "filing_date", "next_filings": "filing_date", "stream_discovery": "filing_date", "stream_restatements": "period_start period_end"}
