@@ -23,13 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.llm.common import PLACE_BITS, ROW, materialize, numbered, read_table, scratch_path, tidy
+from factlens.storage import Folders
 
 SHARDS = 40
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
 #: A row is placed by itself if it has over 1/LARGE of a shard's share; so there are at most LARGE for each shard.
 LARGE = 200
-SHARD, VERSION = "__shard", "__version"
+SHARD, VERSION = "__shard", Folders.VERSION
 
 
 @dataclass
@@ -307,45 +308,11 @@ def with_shard(docs: DataFrame, plan: Plan, old: Column) -> DataFrame:
     return rows.withColumn(SHARD, F.coalesce("__lone", own)).drop("__old", "__runs", "__lone")
 
 
-class ShardedTable:
-    """Documents in folders of shards. A version holds the shards that it rewrote; a list of where each shard lies is written last, and readers go by the latest."""
+class ShardedTable(Folders):
+    """Documents in folders of shards; a write replaces the shards that it names and leaves the others' files where they are."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def lists(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/lists")
-        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
-            return []
-        done = [x.getPath() for x in files.listStatus(hadoop)]
-        return sorted(int(p.getName()) for p in done if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def places(self) -> dict[int, int]:
-        """The version that each shard lies in."""
-        found = self.lists()
-        return {r.shard: r.version for r in self.spark.read.parquet(f"{self.path}/lists/{found[-1]}").collect()} if found else {}
-
-    def read(self) -> DataFrame:
-        """All rows, with __shard and __version."""
-        return self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/{VERSION}={v}/{SHARD}={k}" for k, v in sorted(self.places().items())])
-
-    def write(self, rows: DataFrame, shards: set[int] | None = None) -> None:
-        """Write ``rows`` (with __shard) of the shards named, or of all, as a new version; other shards stay where they are.
-
-        A shard named that gets no rows is gone. Until the list is written, readers see the version before.
-        """
-        version = (self.lists() or [0])[-1] + 1
-        before = self.places()
-        if shards is not None:
-            rows = rows.filter(F.col(SHARD).isin(sorted(shards)))
-        target = f"{self.path}/{VERSION}={version}"
-        rows.write.partitionBy(SHARD).parquet(target)
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(target)
-        names = [x.getPath().getName() for x in hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)]
-        new = {int(x.split("=")[1]): version for x in names if x.startswith(f"{SHARD}=")}
-        kept = {} if shards is None else {k: v for k, v in before.items() if k not in shards}
-        self.spark.createDataFrame(sorted((kept | new).items()), "shard int, version int").coalesce(1).write.parquet(f"{self.path}/lists/{version}")
+        super().__init__(spark, path, SHARD)
 
 
 def reshard(table: ShardedTable, shards: int, shares: list[float] | None = None, hosts: list[int] | None = None) -> Plan:
