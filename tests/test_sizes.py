@@ -3,6 +3,7 @@
 import datetime as dt
 
 from factlens.operators import facts, quality, rules
+from factlens.streaming import keyed
 
 
 def test_ids_are_never_broadcast(spark, tmp_path):
@@ -40,3 +41,22 @@ def test_year_before_without_a_join(spark):
     got = sorted((str(r.period_end), str(r.year_before and (r.year_before.id, r.year_before.value))) for r in found.collect())
     assert got == sorted((p, str(b)) for p, b in [("2020", None), ("2021", ("1|m|annual|2020", 1.0)), ("2021b", ("1|m|annual|2020", 1.0)), ("2022", ("1|m|annual|2021", None)), ("2022", ("1|m|annual|2021b", 5.0)), ("x", None), ("y", None), ("2021", None), ("2020", None)])
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streams_call_for_companies_and_buckets(spark, tmp_path):
+    """State has a row a company, however many periods it has, and a row a bucket of filings; each period is still judged by itself."""
+    day = dt.date(2020, 3, 31)
+    given = spark.createDataFrame([("1", "Revenues", "USD", None, day + dt.timedelta(days=k), v, float(k), dt.date(2022, 1, 2 - v)) for k in range(50) for v in (0, 1)], "cik string, concept string, unit string, period_start date, period_end date, version long, value double, filed_date date")
+    begun = spark.createDataFrame([(f"f{k}", n, 2, n > 0, dt.datetime(2024, 1, 1)) for k in range(50) for n in (0, 1)], "accession_no string, part int, parts int, ok boolean, at timestamp")
+    rows = {}
+    for name, table, stream in (("facts", given, keyed.restatements), ("parts", begun, lambda x: keyed.statuses(x, buckets=4))):
+        table.write.parquet(str(tmp_path / name))
+        with keyed.rocksdb(spark):
+            source = spark.readStream.schema(table.schema).parquet(str(tmp_path / name))
+            query = stream(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-state")).option("path", str(tmp_path / f"{name}-out"))
+            query = query.trigger(availableNow=True).start()
+            query.awaitTermination()
+        rows[name] = query.recentProgress[0].stateOperators[0].numRowsTotal
+    assert rows["facts"] == 1 and rows["parts"] <= 4, rows
+    found = spark.read.parquet(str(tmp_path / "facts-out")).groupBy("effect").count().collect()
+    assert {(r.effect, r["count"]) for r in found} == {("first", 50), ("late", 50)}
