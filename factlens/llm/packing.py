@@ -30,7 +30,7 @@ END_ID = 1
 #: A rank is counted within at most about so many pieces; lengths with more are dealt over several groups.
 RANK_GROUP = 2_000
 #: Bytes of pre-tokens and ids that a worker remembers, and bytes of text that are tokenized at once.
-CACHE_BYTES, STRETCH = 16_000_000, 2_000_000
+CACHE_BYTES, STRETCH = 4_000_000, 500_000
 
 #: White space of the Unicode property; splitting words otherwise also cuts at U+001C to U+001F, which are not in it.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -167,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in sliced(batches, 2 * SLICE):
+        for batch in sliced(batches, SLICE // 2):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 ids += end
