@@ -11,7 +11,7 @@ one of them reaches the whole group, and a copy too far from it has so many shin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,18 +122,18 @@ def grouped(at: DataFrame, edges: DataFrame | None) -> DataFrame:
     return at.join(nodes, "a", "left").withColumns({"group": F.coalesce("component", "a"), "alone": F.col("component").isNull()}).drop("component")
 
 
-def led(docs: DataFrame, at: DataFrame, size: int) -> DataFrame | None:
+def led(docs: DataFrame, at: DataFrame, size: int, edges: DataFrame | None = None) -> DataFrame | None:
     """Links of the members of crowded prefix shingles to leaders, so that large groups are joined by few comparisons.
 
     Every round takes as leader of each shingle and size band the text with the fewest shingles of its own, from the second
-    round on among those that nothing is linked to yet; what leaders miss is left to the pairs.
+    round on among those that nothing is linked to yet; what leaders miss is left to the pairs. ``edges`` are links that
+    are known before, and come back with the new ones.
     """
     crowd = at.groupBy("key").count().filter(F.col("count") > CROWD).select("key")
     many = materialize(at.join(crowd, "key", "left_semi").withColumn("band", F.floor(F.log("na") / F.log(F.lit(1.25)))), "crowd")
     if not many.limit(1).count():
-        return None
+        return edges
     sets = materialize(sets_of(docs, materialize(many.select(F.col("a").alias(ROW)).distinct(), "rows"), size), "sets")
-    edges = None
     for k in range(ROUNDS):
         now = materialize(grouped(many, edges), "crowd")
         free = F.struct("own", F.xxhash64("a").alias("tie"))
@@ -148,16 +148,17 @@ def led(docs: DataFrame, at: DataFrame, size: int) -> DataFrame | None:
     return edges
 
 
-def links(docs: DataFrame, found: DataFrame, size: int = SHINGLE) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, size: int = SHINGLE, edges: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of row numbers in ``found(row number, n, own, prefix)``, enough to connect all whose texts are alike.
 
     The first shingle that two alike sets share, in the order of prefixes, has so few before it in either that what follows
     can still be enough; of the smaller set it is among the first ninth. So only those rows meet that pass both. Then the
-    shingles that the two prefixes share are counted, and what can still be alike is compared in full.
+    shingles that the two prefixes share are counted, and what can still be alike is compared in full. What ``edges``
+    connect isn't compared again.
     """
     place = F.posexplode("prefix").alias("i", "key")
     at = materialize(found.select(F.col(ROW).alias("a"), F.col("n").alias("na"), "own", place), "at")
-    edges = led(docs, at, size)
+    edges = led(docs, at, size, edges)
     at = grouped(at, edges)
     apart = at.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("key")
     at = materialize(at.join(apart, "key", "left_semi").select("key", "a", "na", "i", "group"), "apart")
@@ -176,15 +177,23 @@ def links(docs: DataFrame, found: DataFrame, size: int = SHINGLE) -> DataFrame:
     return rest_links if edges is None else edges.union(rest_links)
 
 
-def similar(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def checked(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Links (a, b): those of ``pairs(a, b, na, nb)`` that are alike."""
+    pairs = materialize(pairs, "pairs")
+    rows = materialize(pairs.select(F.col("a").alias(ROW)).union(pairs.select("b")).distinct(), "rows")
+    return materialize(alike(pairs, materialize(sets_of(docs, rows, size), "sets")), "links")
+
+
+def similar(docs: DataFrame, size: int = SHINGLE, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Row number, doc_id and group of every document of ``docs`` (numbered rows): the texts linked, directly or over others.
 
     Texts without a word, null ones too, are alike. Repeated rows come back as often as they are there; a null doc_id is
-    carried along; an empty table gives an empty result.
+    carried along; an empty table gives an empty result. Pairs that ``first`` makes of the distinct sets are compared before all others.
     """
     found = materialize(prefixes(docs, size), "prefixes")
     one = materialize(found.groupBy("digest").agg(F.min(ROW).alias("one")), "one")
     alone = found.join(one.select(F.col("one").alias(ROW)), ROW, "left_semi")
-    nodes = components(links(docs, alone, size)).withColumnRenamed("node", "one")
+    edges = None if first is None else checked(docs, first(alone), size)
+    nodes = components(links(docs, alone, size, edges)).withColumnRenamed("node", "one")
     named = materialize(one.join(nodes, "one", "left").select("digest", F.coalesce("component", "one").alias("group")), "groups")
     return found.select(ROW, "doc_id", "digest").join(named, "digest").select(ROW, "doc_id", "group")

@@ -217,13 +217,27 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHI
     return prints.join(groups, "fp").select(ROW, "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def led_by_fingerprints(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of the rows of ``found(row number, n, own)`` with the leader of the group that fingerprints put them into.
+
+    A leader is the text with the fewest shingles of its own, as in ``jaccard``; what is too far from it is no pair.
+    """
+    groups = near_duplicates(docs).select(ROW, "component_id").filter("component_id is not null")
+    members = materialize(found.select(ROW, "n", "own").join(groups, ROW), "members")
+    lead = members.groupBy("component_id").agg(F.min_by(F.struct(F.col(ROW).alias("b"), F.col("n").alias("nb")), F.struct("own", ROW)).alias("lead"), F.count("*").alias("members"))
+    pairs = members.join(lead.filter("members > 1").select("component_id", "lead.*"), "component_id").select(F.col(ROW).alias("a"), "b", F.col("n").alias("na"), "nb")
+    return pairs.filter("a <> b and 5 * least(na, nb) >= 4 * greatest(na, nb)")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of similar texts: the smallest doc_id, of repeated rows one.
 
-    Similar are five-word shingles with a Jaccard similarity of at least 0.8, directly or over others; see ``jaccard``. All
+    Fingerprints group texts first, by anchor points as for ``near_duplicates``, and an exact check follows: similar are
+    five-word shingles with a Jaccard similarity of at least 0.8, directly or over others. Similar texts whose fingerprints are
+    further apart are found by the join in ``jaccard``, which leaves out what is connected by then. All
     texts without a word, null ones too, are one group; a null doc_id stays only in a group of such; an empty table stays empty.
     """
     rows = numbered(docs)
-    found = materialize(similar(rows), "near")
+    found = materialize(similar(rows, first=lambda alone: led_by_fingerprints(rows, alone)), "near")
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
     return without_rows(rows, found.join(first, ROW, "left_anti"))

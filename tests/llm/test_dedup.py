@@ -199,3 +199,17 @@ def test_large_group_of_near_copies_is_joined_by_leaders(spark, tmp_path, monkey
     monkeypatch.setattr(jaccard, "alike", lambda pairs, sets: compared.append(pairs.count()) or alike(pairs, sets))
     found = simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect()
     assert sorted(r.doc_id for r in found) == [0, 300] and sum(compared) < 300 * 299 / 4
+
+
+def test_keep_one_goes_by_fingerprints_first(spark, tmp_path, monkeypatch):
+    """What anchors group is checked before the join on shingles and isn't compared there again; what they group wrongly is kept apart."""
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*base, f"x{k}"])) for k in range(5)] + [(9, "another text altogether")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert simhash.near_duplicates(docs).select("component_id").distinct().count() == 2
+    compared, alike = [], jaccard.alike
+    monkeypatch.setattr(jaccard, "alike", lambda pairs, sets: compared.append(pairs.count()) or alike(pairs, sets))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 9] and compared == [4, 0]
+    monkeypatch.setattr(simhash, "near_duplicates", lambda d: numbered(d).selectExpr("__row", "0L AS component_id"))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 9]
