@@ -1,7 +1,8 @@
 """Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-Every term weighs by its inverse document frequency among all files: those of templates and the most frequent others by their
-own, all rarer ones as the rarest of these. A file is cut into segments: lines (comment marks cut off), paragraphs (wrapped lines joined), runs of up to three sentences
+Every term weighs by its inverse document frequency among all files. Tasks know those of templates and of the most frequent
+others; as rarer terms weigh at least as much as the rarest of these, that gives the least norm of a segment, so the candidates
+that reach the threshold by it are all there can be. Their other terms are looked up by a shuffle, and exact scores decide. A file is cut into segments: lines (comment marks cut off), paragraphs (wrapped lines joined), runs of up to three sentences
 of a paragraph and runs of up to eight paragraphs, so that notices on one line, wrapped headers and whole licence texts all
 meet their template. Terms of lines and sentences are counted once and added up for runs. An SPDX expression is read id by id.
 Of the segments that reach the threshold, the one that shares most weight with its template names the licence. A segment
@@ -24,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm.common import materialize, read_table, tidy
+from factlens.llm.common import materialize, read_table, sliced, tidy
 
 THRESHOLD = 0.8
-#: Terms besides the templates' whose document frequency is known; all others are in fewer files than any of these.
+#: Terms besides the templates' whose document frequency every task knows; results don't depend on it.
 COMMON = 20_000
 #: Terms that a task holds before it sends on their counts.
 HELD = 200_000
@@ -169,13 +170,13 @@ def added(counts: list[Counter]) -> Counter:
 class Templates:
     """Weighted term vectors of the templates."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], frequency: dict[str, int], files: int, threshold: float):
+    def __init__(self, templates: tuple[tuple[str, str], ...], frequency: dict[str, int], files: int, threshold: float, common: int = COMMON):
         self.threshold = threshold
         vocabulary = {t for _, text in templates for t in terms(text)}
         idf = lambda n: math.log((1 + files) / (1 + n)) + 1
         others = [n for t, n in frequency.items() if t not in vocabulary]
-        #: What a term weighs that isn't known: no other is in more files than the rarest of a full list, and none is left out of a short one.
-        self.other = idf(min(others) if len(others) >= COMMON else 0)
+        #: What a term weighs at least that isn't known: no other is in more files than the rarest of a full list, and none is left out of a short one.
+        self.other = idf(min(others) if others and len(others) >= common else 0)
         self.weight = {t: idf(n) for t, n in frequency.items()} | {t: idf(frequency.get(t, 0)) for t in vocabulary}
         self.postings: dict[str, list[tuple[int, float]]] = {}
         self.names, self.markers = [], set()
@@ -230,6 +231,48 @@ class Templates:
     def marked(self, counts: Counter) -> bool:
         return not self.markers.isdisjoint(counts)
 
+    def parts(self, counts: Counter) -> tuple[float, dict[str, int]]:
+        """The squared norm of a segment's terms that are known, and how often each other one occurs."""
+        other = {t: n for t, n in counts.items() if t not in self.weight}
+        return sum((n * self.weight[t]) ** 2 for t, n in counts.items() if t not in other), other
+
+    def headers(self, written: str) -> tuple[float, str, list[tuple[float, Counter]]] | None:
+        """What an SPDX expression shares in all, how it reads, and what each of its ids shares, with its terms; null as for ``expression``."""
+        found = self.expression(written)
+        if not found:
+            return None
+        parts, after = [], ""
+        for x in SPDX_TERM.findall(MARK.sub("", written)):
+            if x not in ("(", ")") and x.upper() not in ("AND", "OR", "WITH") and after != "WITH":
+                counts = Counter(["spdx-license-identifier", *terms(f"{x[:-1]}-or-later" if x.endswith("+") else x)])
+                parts.append((self.best(counts)[0], counts))
+            after = x.upper()
+        return found[0], found[2], parts
+
+    def candidates(self, text: str | None) -> list[tuple[float, str, str, list[tuple[float, float, dict[str, int]]]]]:
+        """(shared, licence, segment, parts of shared, known squared norm and other terms) of all that may reach the threshold, in order.
+
+        Nothing comes after the first of those that share most whose score is exact: what shares less can't be chosen.
+        """
+        if not text or not self.markers or next(self.finder.iter(text.lower()), None) is None:
+            return []
+        found = []
+        for m in SPDX.finditer(text):
+            if named := self.headers(m[1]):
+                found.append((named[0], named[1], m.group, named[2]))
+        for counts, words in counted_segments(text, self.marked):
+            if best := self.best(counts):
+                found.append((best[0], best[2], words, [(best[0], counts)]))
+        out: list = []
+        sure = -math.inf
+        for dot, name, words, parts in found:
+            if dot + 2e-9 >= sure:
+                known = [(share, *self.parts(counts)) for share, counts in parts]
+                if all(not other for *_, other in known):
+                    sure = max(sure, dot)
+                out.append((dot, name, words, known))
+        return [(dot, name, words(), known) for dot, name, words, known in out if dot + 2e-9 >= sure]
+
     def scan(self, text: str | None) -> tuple[str, float, str] | None:
         """The licence of a whole text, its score and the segment: the one that shares most, then the higher score, then the first."""
         if not text or not self.markers or next(self.finder.iter(text.lower()), None) is None:
@@ -238,13 +281,13 @@ class Templates:
         plain = ((self.best(counts), words) for counts, words in counted_segments(text, self.marked))
         found = None
         for best, words in itertools.chain(named, plain):
-            if best and (found is None or (best[0], best[1]) > (found[0] + 1e-9, found[1])):
+            if best and (found is None or (round(best[0], 9), best[1]) > (round(found[0], 9), found[1])):
                 found = (*best, words)
         return (found[2], found[1], found[3]()) if found else None
 
 
-def frequencies(files: DataFrame, vocabulary: set[str], common: int = COMMON) -> tuple[dict[str, int], int]:
-    """In how many files each term of the vocabulary and each of the most frequent others occurs, and how many files there are."""
+def counted(files: DataFrame) -> DataFrame:
+    """(term, n): in how many files each term occurs; that of the empty term is the number of files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
@@ -260,28 +303,57 @@ def frequencies(files: DataFrame, vocabulary: set[str], common: int = COMMON) ->
                     found.clear()
         yield sent()
 
-    counts = materialize(files.select("text").mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    return materialize(files.select("text").mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+
+
+def known_frequencies(counts: DataFrame, vocabulary: set[str], common: int = COMMON) -> tuple[dict[str, int], int]:
+    """In how many files each term of the vocabulary and each of the most frequent others occurs, and how many files there are."""
     own = counts.join(F.broadcast(counts.sparkSession.createDataFrame([("",), *((t,) for t in sorted(vocabulary))], "term string")), "term")
     others = counts.filter("term <> ''").join(own.select("term"), "term", "left_anti").orderBy(F.desc("n"), "term").limit(common)
     found = {r.term: r.n for r in own.unionByName(others).collect()}  # a row for each term of the templates, and ``common``
     return found, found.pop("", 0)
 
 
-def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def frequencies(files: DataFrame, vocabulary: set[str], common: int = COMMON) -> tuple[dict[str, int], int]:
+    """``known_frequencies`` of files."""
+    return known_frequencies(counted(files), vocabulary, common)
+
+
+def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, common: int = COMMON) -> DataFrame:
     """(doc_id, path, license, score, evidence) of every file (doc_id, path, text); license is null where no segment comes close."""
     vocabulary = {t for _, text in templates for t in terms(text)}
-    counts = frequencies(files, vocabulary)
+    counts = counted(files)
+    known = known_frequencies(counts, vocabulary, common)
+    schema = "doc_id long, path string, found array<struct<dot: double, license: string, evidence: string, parts: array<struct<dot: double, norm: double, other: map<string,int>>>>>"
+    part = pa.struct([("dot", pa.float64()), ("norm", pa.float64()), ("other", pa.map_(pa.string(), pa.int32()))])
+    kind = pa.list_(pa.struct([("dot", pa.float64()), ("license", pa.string()), ("evidence", pa.string()), ("parts", pa.list_(part))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Templates(templates, *counts, threshold)
-        for batch in batches:
+        model = Templates(templates, *known, threshold, common)
+        for batch in sliced(batches):
             text = batch.column("text")
             maybe = pc.match_substring_regex(text, model.pattern, ignore_case=True) if model.markers else pa.nulls(len(text), pa.bool_())
-            found = [(model.scan(x.as_py()) if y else None) or (None, None, None) for x, y in zip(text, maybe.to_pylist(), strict=True)]
-            arrays = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), *arrays], names=["doc_id", "path", "license", "score", "evidence"])
-
-    return files.select("doc_id", "path", "text").mapInArrow(tidy(run), "doc_id long, path string, license string, score double, evidence string")
+            found = [model.candidates(x.as_py()) if y else [] for x, y in zip(text, maybe.to_pylist(), strict=True)]
+            rows = [[{"dot": d, "license": name, "evidence": words, "parts": [{"dot": p, "norm": n, "other": list(other.items())} for p, n, other in parts]} for d, name, words, parts in x] for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), pa.array(rows, kind)], names=["doc_id", "path", "found"])
+
+    found = files.select("doc_id", "path", "text").mapInArrow(tidy(run), schema)
+    found = materialize(found.withColumn("file", F.monotonically_increasing_id()), "candidates")
+    return decided(found, counts, known[1], threshold)
+
+
+def decided(found: DataFrame, counts: DataFrame, files: int, threshold: float) -> DataFrame:
+    """The choice among the candidates of each file by exact scores: most shared, then the higher score, then the first."""
+    idf = F.log((1.0 + files) / (1.0 + F.coalesce("n", F.lit(0)))) + 1
+    each = found.select("file", F.posexplode("found").alias("k", "c")).select("file", "k", F.posexplode("c.parts").alias("part", "p"))
+    other = each.select("file", "k", "part", F.explode("p.other").alias("term", "times"))
+    heavy = other.join(counts, "term", "left").groupBy("file", "k", "part").agg(F.sum(F.pow(F.col("times") * idf, F.lit(2.0))).alias("rest"))
+    cosine = F.least(F.lit(1.0), F.col("p.dot") / F.sqrt(F.col("p.norm") + F.coalesce("rest", F.lit(0.0))))
+    scores = each.join(heavy, ["file", "k", "part"], "left").groupBy("file", "k").agg(F.min(cosine).alias("score")).filter(F.col("score") >= threshold)
+    scores = scores.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "score"))).alias("scores"))
+    ranked = F.transform("found", lambda c, k: F.struct((-F.round(c["dot"], 9)).alias("dot"), (-F.col("scores")[k]).alias("less"), k.alias("k"), c["license"].alias("license"), c["evidence"].alias("evidence")))
+    best = F.array_min(F.filter(ranked, lambda c: c["less"].isNotNull()))
+    return found.join(scores, "file", "left").withColumn("best", best).select("doc_id", "path", "best.license", (-F.col("best.less")).alias("score"), "best.evidence")
 
 
 def parent(path: Column) -> Column:

@@ -252,6 +252,22 @@ def test_frequencies_of_all_terms(spark, monkeypatch):
     assert licenses.frequencies(files, {"a", "zz"}, 2) == ({"a": 1, "d": 3, "b": 2}, 5)
 
 
+def test_rare_terms_weigh_by_their_own_frequencies(spark):
+    """With one term known besides the templates', the scan gives what full frequencies give, and not what that term's weight gives."""
+    notice = "Released under the MIT License"
+    texts = [f"{notice} zyzzyva quuxly blorb." if k < 3 else f"often seen text number{k % 7}" for k in range(400)]
+    texts += [f"often {notice}.", f"once. {notice}. twice.", "SPDX-License-Identifier: MIT AND zyzzyva-1.0\nx", "SPDX-License-Identifier: MIT OR ISC\n" + notice, f"{notice} number1 number2.", None, ""]
+    files = spark.createDataFrame([(k, f"/{k}", x) for k, x in enumerate(texts)], "doc_id long, path string, text string").repartition(3)
+    every = Counter(t for x in texts for t in set(licenses.terms(x or "")))
+    full = licenses.Templates(licenses.TEMPLATES, every, len(texts), licenses.THRESHOLD)
+    few = licenses.Templates(licenses.TEMPLATES, *licenses.frequencies(files, {t for _, x in licenses.TEMPLATES for t in licenses.terms(x)}, 1), licenses.THRESHOLD, 1)
+    want = [full.scan(x) or (None, None, None) for x in texts]
+    found = sorted(licenses.scan(files, common=1).collect(), key=lambda r: r.doc_id)
+    assert [(r.license, r.evidence) for r in found] == [(w[0], w[2]) for w in want]
+    assert all(r.score == pytest.approx(w[1]) for r, w in zip(found, want, strict=True) if w[0])
+    assert few.scan(texts[0]) and not full.scan(texts[0]) and sum(w[0] is not None for w in want) >= 3
+
+
 def test_scan_against_cosines_of_all_segments():
     """No markers, no postings: every segment against every template, by the definition of the cosine."""
     model, rng = licenses.Templates(licenses.TEMPLATES, FREQUENT, 1000, licenses.THRESHOLD), random.Random(4)
