@@ -60,3 +60,16 @@ def test_streams_call_for_companies_and_buckets(spark, tmp_path):
     assert rows["facts"] == 1 and rows["parts"] <= 4, rows
     found = spark.read.parquet(str(tmp_path / "facts-out")).groupBy("effect").count().collect()
     assert {(r.effect, r["count"]) for r in found} == {("first", 50), ("late", 50)}
+
+
+def test_texts_are_dealt_out_however_files_lie(spark, monkeypatch):
+    """Documents of one row group are measured in many tasks, and sections are those of the plain view."""
+    from factlens.bindings import view
+    from factlens.plans import texts
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(texts, "DOCUMENTS_A_TASK", 20)
+    assert spark.read.parquet(f"{folder}/documents.parquet").rdd.getNumPartitions() == 1
+    assert texts.documents(spark, folder).rdd.getNumPartitions() >= 10 and texts.words(spark, folder).rdd.getNumPartitions() >= 10
+    plain = view(spark, folder, "sections")
+    assert sorted(texts.sections(spark, folder).select(plain.columns).collect()) == sorted(plain.collect())
