@@ -12,7 +12,7 @@ PERIOD = ["cik", "period_start", "period_end"]
 #: Days since 1970 that stand for no date: below every date there is.
 NO_DATE = -1_000_000_000
 #: Facts that a task is dealt.
-FACTS_A_TASK = 150_000
+FACTS_A_TASK = 600_000
 
 
 def duration_class(start: Column, end: Column) -> Column:
@@ -24,13 +24,22 @@ def duration_class(start: Column, end: Column) -> Column:
     return out.otherwise(OTHER)
 
 
+def fact_tasks(facts: DataFrame) -> int:
+    """Tasks that facts are dealt out to by company: as many as there are facts for."""
+    return tasks_for(facts, FACTS_A_TASK)
+
+
+def filing_rank(order: str = "version") -> Column:
+    """Date of filing and ``order`` in one long."""
+    return F.coalesce(F.unix_date("filed_date"), F.lit(NO_DATE)).cast("long") * (1 << 32) + F.coalesce(F.col(order), F.lit(0)).cast("long")
+
+
 def latest_filed(facts: DataFrame, order: str = "version") -> DataFrame:
     """Of all filed versions of a fact the one filed last; no date counts lowest, then the larger ``order`` wins.
 
     One long carries date and order, so that the aggregation keeps a fixed-width buffer and stays a hash aggregation.
     """
-    rank = F.coalesce(F.unix_date("filed_date"), F.lit(NO_DATE)).cast("long") * (1 << 32) + F.coalesce(F.col(order), F.lit(0)).cast("long")
-    return facts.groupBy("cik", "concept", "unit", "period_start", "period_end").agg(F.max_by("value", rank).alias("value"))
+    return facts.groupBy("cik", "concept", "unit", "period_start", "period_end").agg(F.max_by("value", filing_rank(order)).alias("value"))
 
 
 def with_canonical(latest: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -68,16 +77,41 @@ def wide(resolved: DataFrame, spine: DataFrame) -> DataFrame:
     return spine.join(durations, PERIOD, "left").join(instants, ["cik", "period_end"], "left")
 
 
+def by_period(facts: DataFrame, tasks: int) -> DataFrame:
+    """Value (name_v) and priority (name_p) of each concept, as ``resolve`` of ``latest_filed`` gives them, by company and exact period.
+
+    Registered tags are numbered before facts are dealt out by company to ``tasks``, and one aggregation keeps the value filed
+    last of each number, in fixed-width buffers, with a bit for each tag that was filed at all. Instants and durations are
+    numbered apart, as a period has only one kind: so there are few enough buffers for generated code.
+    """
+    tags, out = {True: [], False: []}, []
+    for c in CONCEPTS:
+        value, priority, own = F.lit(None).cast("double"), F.lit(None).cast("int"), tags[c.instant]
+        first, kind = len(own), F.col("period_start").isNull() == c.instant
+        own += [(t, c.unit, c.instant, first + k) for k, t in enumerate(c.tags)]
+        for *_, k in reversed(own[first:]):  # the first priority is asked first
+            there = kind & (F.col(f"_bits{k // 62}").bitwiseAND(F.lit(1 << (k % 62)).cast("long")) != 0)
+            value, priority = F.when(there, F.col(f"_v{k}")).otherwise(value), F.when(there, F.lit(k - first)).otherwise(priority)
+        out += [value.alias(f"{c.name}_v"), priority.alias(f"{c.name}_p")]
+    most = max(map(len, tags.values()))
+    numbers = facts.sparkSession.createDataFrame(tags[True] + tags[False], "concept string, unit string, instant boolean, _tag int")
+    found = facts.join(F.broadcast(numbers), ["concept", "unit"]).filter(F.col("instant") == F.col("period_start").isNull())  # a row a registered tag
+    found = found.select(*PERIOD, "_tag", "value", filing_rank().alias("_rank")).repartition(tasks, "cik")
+    last = [F.expr(f"max_by(value, _rank) FILTER (WHERE _tag = {k})").alias(f"_v{k}") for k in range(most)]
+    bits = [F.expr(f"bit_or(shiftleft(1L, _tag % 62)) FILTER (WHERE _tag DIV 62 = {k})").alias(f"_bits{k}") for k in range(-(-most // 62))]
+    return found.groupBy(*PERIOD).agg(*last, *bits).select(*PERIOD, *out)
+
+
 def wide_periods(facts: DataFrame, filings: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
     """``wide`` of all facts of companies, by one shuffle: dealt out by company, all the rest happens where a company's facts lie.
 
     Also filed: the filings of that form that end with an annual or quarterly period, as an array of structs of the ``labels``.
     Facts without a company or a period's end give no rows.
     """
-    tasks = tasks_for(facts, FACTS_A_TASK)
+    tasks = fact_tasks(facts)
     known = F.col("cik").isNotNull() & F.col("period_end").isNotNull()
     durations, instants = ([c.name for c in CONCEPTS if c.instant == instant] for instant in (False, True))
-    every = with_canonical(latest_filed(facts.filter(known).repartition(tasks, "cik"))).groupBy(*PERIOD).pivot("canonical", [*durations, *instants]).agg(F.min_by("value", "priority").alias("v"), F.min("priority").alias("p"))
+    every = by_period(facts.filter(known), tasks)
     held = [f"{n}_{x}" for n in instants for x in ("v", "p")]
     every = every.withColumn("_end", F.when(F.col("period_start").isNull(), F.struct(*held)))
     form = F.when(F.col("form_type") == "10-K", "annual").when(F.col("form_type") == "10-Q", "quarterly").alias("cls")

@@ -42,6 +42,8 @@ class Layers:
 
     provenance: bool = True
     columns: list[dict[str, Column]] = field(default_factory=list)
+    #: Columns of the prior year's and prior quarter's rows that quantities read.
+    earlier: dict[str, set[str]] = field(default_factory=lambda: {"y": set(), "q": set()})
 
     def name(self, name: str, q: Quantity) -> Quantity:
         while len(self.columns) <= q.depth:
@@ -89,6 +91,8 @@ class Period:
 
     def concept(self, name: str) -> Quantity:
         value, priority = F.col(f"{self.prefix}{name}_v"), F.col(f"{self.prefix}{name}_p")
+        if self.prefix:
+            self.layers.earlier[self.prefix[0]] |= {f"{name}_v", *([f"{name}_p"] if self.layers.provenance else [])}
         tag = F.element_at(F.array(*map(F.lit, TAGS[name])), priority + 1)
         entry = F.when(value.isNotNull(), F.create_map(F.concat(tag, F.lit(self.suffix)), value))
         return Quantity(value, fails(value.isNull(), f"{name} missing"), F.array(entry), F.concat(F.coalesce(tag, F.lit(name)), F.lit(self.suffix)))
@@ -280,13 +284,15 @@ def m_score(built: dict[str, Quantity]) -> Quantity:
     return derived(value, [reason], parts, [f"{M_SCORE_INTERCEPT:g}", *terms])
 
 
-def with_priors(rows: DataFrame) -> DataFrame:
-    """Wide rows with those of the prior year (y_*) and prior quarter (q_*) of the same class, carried by the window that finds them."""
+def with_priors(rows: DataFrame, needed: dict[str, set[str]] | None = None) -> DataFrame:
+    """Wide rows with those of the prior year (y_*) and prior quarter (q_*) of the same class, carried by the window that finds them.
+
+    Only the columns ``needed`` of each (by y and q) are carried, all of them if that isn't given.
+    """
     prior = {"y": ("prior", *PRIOR["yoy"]), "q": ("prior_q", *PRIOR["qoq"])}
-    values = [f"{c.name}_{x}" for c in CONCEPTS for x in ("v", "p")]
-    row = F.struct(*values)
-    found = {name: nearest_prior(rows, ["cik", "cls"], "period_start", "period_end", offset, tolerance, row) for name, offset, tolerance in prior.values()}
-    earlier = {f"{prefix}_{v}": F.col(f"{name}.carried.{v}") for prefix, (name, *_) in prior.items() for v in values}
+    values = {p: [v for c in CONCEPTS for x in ("v", "p") if (v := f"{c.name}_{x}") and (needed is None or v in needed[p])] for p in prior}
+    found = {name: nearest_prior(rows, ["cik", "cls"], "period_start", "period_end", offset, tolerance, F.struct(*values[p]) if values[p] else None) for p, (name, offset, tolerance) in prior.items()}
+    earlier = {f"{prefix}_{v}": F.col(f"{name}.carried.{v}") for prefix, (name, *_) in prior.items() for v in values[prefix]}
     ends = {f"{name}_{x}": F.col(f"{name}.{x}") for name in found for x in ("end", "start")}
     return rows.withColumns(found).withColumns(ends | earlier).drop(*found)
 
@@ -308,23 +314,22 @@ def compute_metrics(facts: DataFrame, filings: DataFrame, names: list[str] | Non
     """
     if entities is not None:
         facts, filings = (d.filter(F.col("cik").isin(entities)) for d in (facts, filings))
-    rows = with_priors(wide_periods(facts, filings, labels))
     layers = Layers(provenance)
     built = build(layers)
     built["beneish_m_score"] = m_score(built)
-    rows = layers.add_to(rows)
+    rows = layers.add_to(with_priors(wide_periods(facts, filings, labels), layers.earlier))
     structs = []
     for m in METRICS:
         if names is None or m.name in names:
             q = built[m.name]
-            fields = [F.lit(m.name).alias("name"), F.array(*map(F.lit, CLASSES_OF_BASIS[m.basis])).alias("classes"), q.value.alias("value"), q.reason.alias("null_reason")]
+            fields = [F.lit(m.name).alias("name"), F.col("cls").isin(*CLASSES_OF_BASIS[m.basis]).alias("applies"), q.value.alias("value"), q.reason.alias("null_reason")]
             if provenance:
                 entries = F.array_distinct(F.flatten(F.transform(F.array_compact(q.inputs), F.map_entries)))
                 fields += [q.formula.alias("formula"), F.map_from_entries(entries).alias("inputs")]
             structs.append(F.struct(*fields))
     columns = [F.col(c) for c in ("cik", "cls", "period_start", "period_end", *(["filed"] if labels else []))]
     long = rows.select(*columns, F.inline(F.array(*structs)))
-    return long.filter(F.array_contains("classes", F.col("cls"))).drop("classes").withColumn("calc_version", F.lit(CALC_VERSION))
+    return long.filter("applies").drop("applies").withColumn("calc_version", F.lit(CALC_VERSION))
 
 
 __all__ = ["PERIOD", "compute_metrics", "inputs_json", "with_priors"]

@@ -11,18 +11,21 @@ from factlens.registry import PEER_DAYS
 def nearest_prior(df: DataFrame, keys: list[str], start: str, end: str, offset: int, tolerance: int, carried: Column | None = None) -> Column:
     """Struct (end, start) of the period, and what its row has ``carried`` if that is given, whose end is closest to ``offset`` days before, within ``tolerance``; else null.
 
-    Of equally close ones the later end, then the later start wins. A range frame over days finds the few candidates, so
-    there is no join; the frame never reaches the row itself as long as the offset is the larger one.
+    Of equally close ones the later end, then the later start wins. Two range frames over days give the last row up to the day
+    looked for and the first one from it on, so there is no join, and no list of candidates; the frames never reach the row
+    itself as long as the offset is the larger one.
     """
     if tolerance >= offset:
         raise ValueError("the tolerance must stay below the offset")
-    day = F.unix_date(end)
-    w = Window.partitionBy(*keys).orderBy(day).rangeBetween(-(offset + tolerance), -(offset - tolerance))
-    more = [] if carried is None else ["carried"]
-    near = F.collect_list(F.struct(F.unix_date(end).alias("e"), F.unix_date(start).alias("s"), *([] if carried is None else [carried.alias("carried")]))).over(w)
-    ranked = F.transform(near, lambda x: F.struct(F.abs(x["e"] - (day - offset)).alias("d"), (-x["e"]).alias("e"), (-x["s"]).alias("s"), *[x[c].alias(c) for c in more]))
-    best = F.array_min(ranked)
-    return F.when(best.isNotNull(), F.struct(F.date_from_unix_date(-best["e"]).alias("end"), F.date_from_unix_date(-best["s"]).alias("start"), *[best[c].alias(c) for c in more]))
+    day, began = F.unix_date(end), F.unix_date(start)
+    w = Window.partitionBy(*keys).orderBy(day)
+    more = [] if carried is None else [carried.alias("carried")]
+    low = F.max(F.struct(day.alias("e"), began.alias("s"), *more)).over(w.rangeBetween(-(offset + tolerance), -offset))
+    high = F.min(F.struct(day.alias("e"), (-began).alias("s"), *more)).over(w.rangeBetween(-offset, -(offset - tolerance)))
+    later = low.isNull() | (high["e"] - (day - offset) <= (day - offset) - low["e"])
+    out = F.struct(F.date_from_unix_date(low["e"]).alias("end"), F.date_from_unix_date(low["s"]).alias("start"), *([] if carried is None else [low["carried"].alias("carried")]))
+    other = F.struct(F.date_from_unix_date(high["e"]).alias("end"), F.date_from_unix_date(-high["s"]).alias("start"), *([] if carried is None else [high["carried"].alias("carried")]))
+    return F.when(high.isNotNull() & later, other).when(low.isNotNull(), out)
 
 
 def label_prior(df: DataFrame, identity: list[str], columns: list[str]) -> DataFrame:

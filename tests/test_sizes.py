@@ -73,3 +73,20 @@ def test_texts_are_dealt_out_however_files_lie(spark, monkeypatch):
     assert texts.documents(spark, folder).rdd.getNumPartitions() >= 10 and texts.words(spark, folder).rdd.getNumPartitions() >= 10
     plain = view(spark, folder, "sections")
     assert sorted(texts.sections(spark, folder).select(plain.columns).collect()) == sorted(plain.collect())
+
+
+def test_latest_values_of_tags_in_few_buffers(spark):
+    """Of each tag the version filed last, of tags the first priority, null values included, by one aggregation that keeps no list."""
+    day = dt.date
+    f = "cik string, concept string, unit string, period_start date, period_end date, version int, value double, filed_date date"
+    start, end = day(2020, 1, 1), day(2020, 3, 31)
+    second = "RevenueFromContractWithCustomerExcludingAssessedTax"
+    rows = [("1", "Revenues", "USD", start, end, 0, 1.0, day(2020, 5, 1)), ("1", "Revenues", "USD", start, end, 1, 2.0, None), ("1", second, "USD", start, end, 0, 3.0, None), ("2", second, "USD", start, end, 0, 4.0, None), ("2", second, "USD", start, end, 1, 5.0, None)]
+    rows += [("3", "Revenues", "USD", start, end, 0, 6.0, day(2020, 5, 1)), ("3", "Revenues", "USD", start, end, 0, None, day(2020, 6, 1)), ("1", "Assets", "USD", None, end, 0, 7.0, None), ("1", "Assets", "USD", start, end, 0, 8.0, None), ("1", "Revenues", "EUR", start, end, 9, 9.0, None)]
+    found = facts.by_period(spark.createDataFrame(rows, f), 3)
+    want = facts.resolve(facts.latest_filed(spark.createDataFrame(rows, f)))
+    wanted = {(r.cik, r.period_start, r.canonical): (r.value, r.priority) for r in want.collect()}
+    got = {(r.cik, r.period_start, c.name): (r[f"{c.name}_v"], r[f"{c.name}_p"]) for r in found.collect() for c in facts.CONCEPTS if r[f"{c.name}_p"] is not None}
+    assert got == wanted and len(got) == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan and found.rdd.getNumPartitions() == 3
