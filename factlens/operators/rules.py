@@ -184,21 +184,36 @@ def metric_observations(metrics: DataFrame, filings: DataFrame, names: list[str]
 
 
 def eligible_counts(rows: DataFrame) -> DataFrame:
-    """How often each metric rule could have fired, by company."""
-    w = Window.partitionBy("cik", "name", "cls").orderBy("period_end", "period_start").rowsBetween(Window.unboundedPreceding, -1)
-    mixed = Window.partitionBy("cik", "name").orderBy("period_end", "period_start")
-    own = with_label_prior(rows)
-    full = own.filter(F.col("value").isNotNull()).withColumns({"n": F.count("*").over(w), "k": F.row_number().over(mixed)})
+    """How often each metric rule could have fired, by company; rules on values only for companies that have some.
+
+    Sums over counts say all of it, so that nothing is sorted: of n values of a history all but the first few have as many before
+    them, and a row meets the values of the fiscal year before, which are counted a year ahead as well.
+    """
+    known = F.col("cik").isNotNull() & F.col("fiscal_year").isNotNull() & F.col("fiscal_period").isNotNull()
+    year, has, zero = F.when(known, F.col("fiscal_year")), F.col("value").isNotNull().cast("long"), F.lit(0).cast("long")
+    own = F.struct(year.alias("year"), F.lit(1).cast("long").alias("rows"), has.alias("n"), zero.alias("before"))
+    ahead = F.struct((year + 1).alias("year"), zero.alias("rows"), zero.alias("n"), F.when(known, has).otherwise(zero).alias("before"))
+    each = rows.select("cik", "name", "cls", "fiscal_period", "extreme", "headline", F.inline(F.array(own, ahead))).filter("rows + before > 0")
+    flags = [F.bool_or(c).alias(c) for c in ("extreme", "headline")]
+    years = each.groupBy("cik", "name", "cls", "fiscal_period", "year").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("before").alias("before"), *flags)
+    histories = years.groupBy("cik", "name", "cls").agg(F.sum("n").alias("n"), F.sum(F.col("rows") * F.col("before")).alias("stopped"), *flags)
+
+    def beyond(n: str, least: Column | int) -> Column:
+        return F.greatest(F.col(n) - least, F.lit(0))
+
     least = F.create_map(*[x for k, v in EXTREME_LEAST.items() for x in (F.lit(k), F.lit(v))])[F.col("cls")]
-    thresholds, levels = [t[0] for t in THRESHOLDS], [d[0] for d in DIVERGENCES]
-    counts = full.groupBy("cik").agg(
-        F.count_if(F.col("extreme") & F.col("headline") & (F.col("n") >= least)).alias("metric_multi_year_extreme"),
-        F.count_if(F.col("headline") & (F.col("cls") == "quarterly") & (F.col("n") >= SIGMA_LEAST)).alias("metric_sigma_move"),
-        F.count_if(F.col("name").isin(*thresholds) & (F.col("k") > 1)).alias("metric_threshold_cross"),
-        F.count_if(F.col("name").isin(*levels) & (F.col("k") > 1)).alias("metric_divergence"),
+    extreme, quarterly = F.col("extreme") & F.col("headline"), F.col("headline") & (F.col("cls") == "quarterly")
+    names = histories.groupBy("cik", "name").agg(
+        F.sum("n").alias("n"), F.sum("stopped").alias("stopped"), F.sum(F.when(extreme, beyond("n", least)).otherwise(0)).alias("extreme"), F.sum(F.when(quarterly, beyond("n", SIGMA_LEAST)).otherwise(0)).alias("sigma")
     )
-    stopped = own.groupBy("cik").agg(F.count_if(F.col("year_before.value").isNotNull()).alias("metric_stopped_computing"))
-    return counts.join(stopped, "cik", "full_outer").unpivot("cik", list(METRIC_RULES), "rule_name", "eligible")
+    counts = {
+        "metric_multi_year_extreme": F.sum("extreme"),
+        "metric_sigma_move": F.sum("sigma"),
+        "metric_threshold_cross": F.sum(F.when(F.col("name").isin(*[t[0] for t in THRESHOLDS]), beyond("n", 1)).otherwise(0)),
+        "metric_divergence": F.sum(F.when(F.col("name").isin(*[d[0] for d in DIVERGENCES]), beyond("n", 1)).otherwise(0)),
+    }
+    found = names.groupBy("cik").agg(*[F.when(F.sum("n") > 0, c).alias(k) for k, c in counts.items()], F.sum("stopped").alias("metric_stopped_computing"))
+    return found.unpivot("cik", list(METRIC_RULES), "rule_name", "eligible").filter("eligible is not null")
 
 
 def override_severities(observations: DataFrame, boilerplate: DataFrame, days: int = PEER_DAYS, stored: DataFrame | None = None) -> DataFrame:

@@ -90,3 +90,15 @@ def test_latest_values_of_tags_in_few_buffers(spark):
     assert got == wanted and len(got) == 4
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan and found.rdd.getNumPartitions() == 3
+
+
+def test_eligible_without_sorting(spark):
+    """Counts of what rules could have said are sums: no window, no join, nothing held by history."""
+    row = "cik string, name string, cls string, period_start date, period_end date, fiscal_year int, fiscal_period string, value double, extreme boolean, headline boolean"
+    rows = [("1", "current_ratio", "annual", None, dt.date(2000 + k, 12, 31), 2000 + k, "FY", None if k == 3 else float(k), True, True) for k in range(7)]
+    rows += [("1", "current_ratio", "quarterly", None, dt.date(2000 + k, 3, 31), 2000 + k, "Q1" if k else None, 1.0, True, True) for k in range(9)] + [("2", "roe", "annual", None, dt.date(2000, 12, 31), 2000, "FY", None, True, True)]
+    found = rules.eligible_counts(spark.createDataFrame(rows, row))
+    got = {(r.cik, r.rule_name): r.eligible for r in found.collect()}
+    assert got == {("1", "metric_multi_year_extreme"): 3, ("1", "metric_sigma_move"): 1, ("1", "metric_threshold_cross"): 14, ("1", "metric_divergence"): 0, ("1", "metric_stopped_computing"): 12, ("2", "metric_stopped_computing"): 0}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan, plan
