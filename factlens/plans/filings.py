@@ -88,15 +88,19 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.ingest_report(facts(spark, sf_dir), view(spark, sf_dir, "companies"))
 
 
+def null_reasons(rows: DataFrame) -> DataFrame:
+    return rows.filter("null_reason is not null").groupBy("name", "null_reason").agg(F.count("*").alias("n"))
+
+
 def metric_null_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null reasons of all metrics, counted."""
-    return metrics(spark, sf_dir).filter("null_reason is not null").groupBy("name", "null_reason").agg(F.count("*").alias("n"))
+    return null_reasons(values(spark, sf_dir))
 
 
 def null_reasons_of_seven(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for metrics that need a prior period, a denominator or a component, as SQL says them."""
     names = ["revenue_yoy", "gross_margin", "roe", "net_debt", "fcf_conversion", "days_inventory", "beneish_dsri"]
-    return metric_null_reasons(spark, sf_dir).filter(F.col("name").isin(names))
+    return null_reasons(metrics_of(spark, sf_dir, names))
 
 
 def metric_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

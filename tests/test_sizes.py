@@ -102,3 +102,15 @@ def test_eligible_without_sorting(spark):
     assert got == {("1", "metric_multi_year_extreme"): 3, ("1", "metric_sigma_move"): 1, ("1", "metric_threshold_cross"): 14, ("1", "metric_divergence"): 0, ("1", "metric_stopped_computing"): 12, ("2", "metric_stopped_computing"): 0}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan, plan
+
+
+def test_null_reasons_need_no_provenance(spark, monkeypatch):
+    """Reasons are counted from values alone: formulas and inputs of all metrics are not made for them."""
+    from factlens.plans import common, filings
+
+    def never(*_):
+        raise AssertionError("metrics with formulas and inputs were asked for")
+
+    monkeypatch.setattr(common, "metrics", never)
+    monkeypatch.setattr(filings, "metrics", never)
+    assert filings.null_reasons_of_seven(spark, "/root/testdata/sf0.001").count() and filings.metric_null_reasons(spark, "/root/testdata/sf0.001").count()
