@@ -104,6 +104,17 @@ def test_eligible_without_sorting(spark):
     assert "Window" not in plan and "Join" not in plan, plan
 
 
+def test_tags_are_compared_where_facts_lie(spark):
+    """Facts that were dealt out by company are not shuffled again to compare tags, and their tasks are those of facts."""
+    f = "cik string, concept string, unit string, period_start date, period_end date, value double"
+    start, end = dt.date(2020, 1, 1), dt.date(2020, 3, 31)
+    second = "RevenueFromContractWithCustomerExcludingAssessedTax"
+    rows = [(c, t, "USD", start, e, v) for c, e in (("1", end), ("2", end), (None, end), ("1", None)) for t, v in (("Revenues", 1.0), (second, 2.0 if c == "1" else 1.001))]
+    found = facts.tag_disagreements(spark.createDataFrame(rows, f).repartition(3, "cik"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") == 1
+    assert [(r.cik, r.tag_a, r.tag_b, r.value_a, r.value_b) for r in found.collect()] == [("1", second, "Revenues", 2.0, 1.0)]
+
+
 def test_null_reasons_need_no_provenance(spark, monkeypatch):
     """Reasons are counted from values alone: formulas and inputs of all metrics are not made for them."""
     from factlens.plans import common, filings
