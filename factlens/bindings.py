@@ -184,7 +184,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame
     """A view over the tables in ``sf_dir``; views that it is made of may be ``given``."""
     given = given or {}
     if name == "facts":
-        given = given | {"fact_values": fact_values(spark, sf_dir, given)}
+        return filed_facts(spark, sf_dir, given)
     text = f"{with_views(name, given=given)} SELECT * FROM {name}"
     for table in TABLES:
         if table in text:
@@ -194,15 +194,37 @@ def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame
     return spark.sql(text)
 
 
-def fact_values(spark: SparkSession, sf_dir: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The view of that name, with an expression for each concept: a row is met once, and not once for every concept by all of them."""
+#: What all facts of a row share.
+SHARED = {
+    "cik": CIK.format("nk"),
+    "accession_no": f"CASE WHEN form_type = 'none' THEN NULL ELSE concat({CIK.format('nk')}, '-', CAST(pk AS STRING), '-', form_type) END",
+    "fiscal_period": "CASE WHEN form_type = '10-K' THEN 'FY' ELSE concat('Q', CAST((pk - 1) % 4 + 1 AS STRING)) END",
+    "year": "CAST(FLOOR((pk - 1) / 4) AS INT)",
+    "ahead": "CASE WHEN (nk * 31 + pk) % 37 = 0 THEN 1 ELSE 0 END",
+    "twice": "(nk + pk) % 3 = 0",
+    "first_filed": "CAST(period_end + INTERVAL '30' DAY AS DATE)",
+    "last_filed": "CAST(period_end + INTERVAL '60' DAY AS DATE)",
+}
+
+
+def filed_facts(spark: SparkSession, sf_dir: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The view ``facts``, with an expression for each concept: a row is met once, and not once for every concept by all of them.
+
+    What the facts of a row share (company, filing, dates of versions) is made once a row, before concepts and versions unfold.
+    """
+    names = ["cik", "period_start", "period_end", "form_type", "accession_no", "fiscal_period", "year", "ahead", "twice", "first_filed", "last_filed"]
+    versions = "inline(array(named_struct('version', 0, 'value', v * 0.97, 'filed_date', first_filed), named_struct('version', 1, 'value', v, 'filed_date', last_filed)))"
 
     def values(source: str, facts: list[tuple[str, str, str, str]], start: str) -> DataFrame:
         each = ", ".join(f"named_struct('concept', '{tag}', 'unit', '{unit}', 'v', ROUND(CASE WHEN {where} THEN {value} END, 6))" for tag, unit, where, value in facts)
-        rows = view(spark, sf_dir, source, given).selectExpr("nk", f"{start} AS period_start", "period_end", "pk", "form_type", f"inline(array({each}))")
-        return rows.filter("v IS NOT NULL").select("nk", "concept", "unit", "period_start", "period_end", "pk", "form_type", "v")
-
-    return values("flow", list(DURATION_FACTS), "period_start").unionByName(values("stock", [(t, "USD", w, v) for t, w, v in INSTANT_FACTS], "CAST(NULL AS DATE)"))
+        rows = view(spark, sf_dir, source, given)
+        rows = rows.selectExpr(*[c for c in rows.columns if c != "period_start"], f"{start} AS period_start", *[f"{e} AS {n}" for n, e in SHARED.items()])
+        return rows.selectExpr(*names, f"inline(array({each}))").filter("v IS NOT NULL")
+
+    every = values("flow", list(DURATION_FACTS), "period_start").unionByName(values("stock", [(t, "USD", w, v) for t, w, v in INSTANT_FACTS], "CAST(NULL AS DATE)"))
+    filed = every.selectExpr(*names, "concept", "unit", versions).filter("version = 1 OR twice")
+    year = "year + (CASE WHEN concept = 'Revenues' THEN ahead ELSE 0 END) AS fiscal_year"
+    return filed.selectExpr("cik", "concept", "unit", "period_start", "period_end", "version", "value", "accession_no", "form_type", "fiscal_period", year, "filed_date")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
