@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from factlens.llm.common import BROADCAST_KEYS, ROW, materialize, sliced, tidy
 from factlens.llm.components import components
+from factlens.storage import drop_scratch, scratch_path, written
 
 SEED = 42
 SHINGLE = 5
@@ -28,6 +29,8 @@ SHINGLE = 5
 SAMPLE, COMMON, LEAST = 20_000, 200_000, 3
 #: Texts at a prefix shingle beyond which leaders are compared first, and how often; results don't depend on them.
 CROWD, ROUNDS = 32, 2
+#: Shingles that several texts share may be broadcast up to this number, some 50 MB in memory.
+BROADCAST_SHARED = BROADCAST_KEYS // 4
 
 
 def digests(text: str | None, size: int) -> list[bytes]:
@@ -122,6 +125,27 @@ def grouped(at: DataFrame, edges: DataFrame | None) -> DataFrame:
     return at.join(nodes, "a", "left").withColumns({"group": F.coalesce("component", "a"), "alone": F.col("component").isNull()}).drop("component")
 
 
+def met_at(found: DataFrame) -> DataFrame:
+    """(key, a, na, own, i): the prefixes of ``found(row number, n, own, prefix)`` unfolded, without shingles that only one prefix has.
+
+    Most are such, so shingles are counted by themselves before anything wider is shuffled or written.
+    """
+    every = found.select(F.col(ROW).alias("a"), F.col("n").alias("na"), "own", F.posexplode("prefix").alias("i", "key"))
+    shared = materialize(every.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1").select("key"), "shared")
+    if shared.count() <= BROADCAST_SHARED:
+        shared = F.broadcast(shared)
+    return every.join(shared, "key", "left_semi").select("key", "a", "na", "own", "i")
+
+
+def compared(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Links (a, b): those of ``pairs(a, b, na, nb)``, a written table, that are alike. The sets of their texts are written for this, and removed."""
+    rows = materialize(pairs.select(F.col("a").alias(ROW)).union(pairs.select("b")).distinct(), "rows")
+    path = scratch_path(docs.sparkSession, "sets")
+    out = materialize(alike(pairs, written(sets_of(docs, rows, size), path)), "links")
+    drop_scratch(docs.sparkSession, path)
+    return out
+
+
 def led(docs: DataFrame, at: DataFrame, size: int, edges: DataFrame | None = None) -> DataFrame | None:
     """Links of the members of crowded prefix shingles to leaders, so that large groups are joined by few comparisons.
 
@@ -133,7 +157,8 @@ def led(docs: DataFrame, at: DataFrame, size: int, edges: DataFrame | None = Non
     many = materialize(at.join(crowd, "key", "left_semi").withColumn("band", F.floor(F.log("na") / F.log(F.lit(1.25)))), "crowd")
     if not many.limit(1).count():
         return edges
-    sets = materialize(sets_of(docs, materialize(many.select(F.col("a").alias(ROW)).distinct(), "rows"), size), "sets")
+    path = scratch_path(docs.sparkSession, "sets")
+    sets = written(sets_of(docs, materialize(many.select(F.col("a").alias(ROW)).distinct(), "rows"), size), path)
     for k in range(ROUNDS):
         now = materialize(grouped(many, edges), "crowd")
         free = F.struct("own", F.xxhash64("a").alias("tie"))
@@ -145,6 +170,7 @@ def led(docs: DataFrame, at: DataFrame, size: int, edges: DataFrame | None = Non
         pairs = materialize(pairs.select("a", F.col("lead.a").alias("b"), "na", F.col("lead.na").alias("nb")).distinct(), "pairs")
         new = materialize(alike(pairs, sets), "links")
         edges = new if edges is None else edges.union(new)
+    drop_scratch(docs.sparkSession, path)
     return edges
 
 
@@ -156,8 +182,7 @@ def links(docs: DataFrame, found: DataFrame, size: int = SHINGLE, edges: DataFra
     shingles that the two prefixes share are counted, and what can still be alike is compared in full. What ``edges``
     connect isn't compared again.
     """
-    place = F.posexplode("prefix").alias("i", "key")
-    at = materialize(found.select(F.col(ROW).alias("a"), F.col("n").alias("na"), "own", place), "at")
+    at = materialize(met_at(found), "at")
     edges = led(docs, at, size, edges)
     at = grouped(at, edges)
     apart = at.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("key")
@@ -171,19 +196,10 @@ def links(docs: DataFrame, found: DataFrame, size: int = SHINGLE, edges: DataFra
     left, right = found.select(F.col(ROW).alias("a"), F.col("prefix").alias("p")), found.select(F.col(ROW).alias("b"), F.col("prefix").alias("q"))
     shared = F.size(F.array_intersect("p", "q"))
     pairs = met.join(left, "a").join(right, "b").filter(enough(shared + F.greatest(rest(na), rest(nb)), na, nb)).select("a", "b", "na", "nb")
-    pairs = materialize(pairs, "pairs")
-    rows = materialize(pairs.select(F.col("a").alias(ROW)).union(pairs.select("b")).distinct(), "rows")
-    rest_links = alike(pairs, materialize(sets_of(docs, rows, size), "sets"))
+    rest_links = compared(docs, materialize(pairs, "pairs"), size)
     return rest_links if edges is None else edges.union(rest_links)
 
 
-def checked(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Links (a, b): those of ``pairs(a, b, na, nb)`` that are alike."""
-    pairs = materialize(pairs, "pairs")
-    rows = materialize(pairs.select(F.col("a").alias(ROW)).union(pairs.select("b")).distinct(), "rows")
-    return materialize(alike(pairs, materialize(sets_of(docs, rows, size), "sets")), "links")
-
-
 def similar(docs: DataFrame, size: int = SHINGLE, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Row number, doc_id and group of every document of ``docs`` (numbered rows): the texts linked, directly or over others.
 
@@ -193,7 +209,7 @@ def similar(docs: DataFrame, size: int = SHINGLE, first: Callable[[DataFrame], D
     found = materialize(prefixes(docs, size), "prefixes")
     one = materialize(found.groupBy("digest").agg(F.min(ROW).alias("one")), "one")
     alone = found.join(one.select(F.col("one").alias(ROW)), ROW, "left_semi")
-    edges = None if first is None else checked(docs, first(alone), size)
+    edges = None if first is None else compared(docs, materialize(first(alone), "pairs"), size)
     nodes = components(links(docs, alone, size, edges)).withColumnRenamed("node", "one")
     named = materialize(one.join(nodes, "one", "left").select("digest", F.coalesce("component", "one").alias("group")), "groups")
     return found.select(ROW, "doc_id", "digest").join(named, "digest").select(ROW, "doc_id", "group")

@@ -213,3 +213,22 @@ def test_keep_one_goes_by_fingerprints_first(spark, tmp_path, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 9] and compared == [4, 0]
     monkeypatch.setattr(simhash, "near_duplicates", lambda d: numbered(d).selectExpr("__row", "0L AS component_id"))
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 9]
+
+
+def test_shingles_of_one_text_are_dropped_before_anything_is_joined(spark):
+    rows = [(1, 10, 2, [5, 6, 7]), (2, 12, 3, [6, 8]), (3, 4, 4, [9]), (4, 0, 0, [])]
+    found = spark.createDataFrame(rows, "__row long, n long, own long, prefix array<long>")
+    assert sorted(tuple(r) for r in jaccard.met_at(found).collect()) == [(6, 1, 10, 2, 1), (6, 2, 12, 3, 0)]
+
+
+def test_sets_of_shingles_go_once_they_are_compared(spark, tmp_path):
+    from pathlib import Path
+
+    from factlens.storage import shared_dir
+
+    rows = [(k, " ".join([*(f"w{n}" for n in range(60 + k % 2)), f"x{k}"])) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(top.rglob("factlens-sets-*"))
+    assert [r.doc_id for r in simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect()] == [0]
+    assert set(top.rglob("factlens-sets-*")) <= before

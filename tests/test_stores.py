@@ -1,12 +1,13 @@
 """Snapshots that change bucket by bucket, the content store, and digests of buckets."""
 
 import pathlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from factlens.operators import rules, stores
-from factlens.storage import Folders
+from factlens.storage import Folders, materialize
 
 
 def files(path):
@@ -176,3 +177,18 @@ def test_added_facts_read_only_their_companies(spark, tmp_path, monkeypatch):
     assert moments == {(r.cik, r.name): (r.n, round(r.mean, 6), round(r.m2, 3)) for r in incremental.moments(rules.sigma_rows(rules.metric_rows(full, filings))).collect()}
     version = kept.metrics.folders.version()
     assert kept.add(past, filings).count() == 0 and kept.metrics.folders.version() == version
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(k).getName() for k in range(blocks.size()) if blocks.apply(k).getName().startswith("shuffle_")}
+
+    before = files()
+    rows = materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "rows")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and rows.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
