@@ -192,3 +192,26 @@ def test_what_is_written_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert files() <= before and rows.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_merge_joins_only_what_shares_its_place_with_an_update(spark, tmp_path, monkeypatch):
+    store = stores.Snapshot(spark, str(tmp_path / "s"), ["k", "sub"], ["v"], ["k"], buckets=2)
+    joined, changes_of = [], stores.null_safe_changes
+    monkeypatch.setattr(stores, "null_safe_changes", lambda old, new, *more: joined.append(old.count()) or changes_of(old, new, *more))
+    first = rows(spark, *[(k, s, 1.0) for k in [None, *range(20)] for s in ("a", None)])
+    assert {r._change for r in store.merge(first).collect()} == {"insert"} and not joined  # nothing was there to be joined
+    found = store.merge(rows(spark, (3, "a", 2.0), (None, None, 2.0), (99, None, 1.0))).collect()
+    assert joined == [4] and {(r.k, r.sub, r.v, r._change) for r in found if r._change != "same"} == {(3, "a", 2.0, "update"), (None, None, 2.0, "update"), (99, None, 1.0, "insert")}
+    after = {(r.k, r.sub): r.v for r in store.read().collect()}
+    assert len(after) == 43 and sum(v == 2.0 for v in after.values()) == 2 and len(found) <= 43
+
+
+def test_a_refused_first_merge_leaves_the_store_empty(spark, tmp_path):
+    store = stores.Snapshot(spark, str(tmp_path / "s"), ["k", "sub"], ["v"], ["k"], buckets=2)
+    with pytest.raises(ValueError, match="key twice"):
+        store.merge(rows(spark, (1, None, 1.0), (1, None, 2.0), (2, "a", 1.0)))
+    assert store.read() is None and not store.folders.version()
+    store.merge(rows(spark).limit(0))
+    assert store.read() is None and not store.folders.version()
+    store.merge(rows(spark, (1, None, 1.0)))
+    assert [tuple(r) for r in store.read().collect()] == [(1, None, 1.0)]
