@@ -1,5 +1,6 @@
 """Snapshots that change bucket by bucket, the content store, and digests of buckets."""
 
+import datetime
 import pathlib
 import time
 
@@ -215,3 +216,21 @@ def test_a_refused_first_merge_leaves_the_store_empty(spark, tmp_path):
     assert store.read() is None and not store.folders.version()
     store.merge(rows(spark, (1, None, 1.0)))
     assert [tuple(r) for r in store.read().collect()] == [(1, None, 1.0)]
+
+
+def test_engine_computes_what_section_rules_found_once(spark):
+    from factlens.plans import runs
+
+    looked = spark.sparkContext.accumulator(0)
+
+    def statement(subject):
+        looked.add(1)
+        return f"about {subject}"
+
+    schema = "cik string, accession_no string, period_end date, rule_name string, rule_version string, subject string, severity string, refs array<struct<kind:string,id:string,period_end:date>>"
+    day = datetime.date(2022, 12, 31)
+    none = spark.createDataFrame([], schema).withColumn("statement", F.lit("s"))
+    found = spark.createDataFrame([(f"c{k}", f"a{k}", day, "section_length_change", "v1", f"Note {k}", "medium", []) for k in range(5)], schema)
+    found = found.repartition(2, "cik").withColumn("statement", F.udf(statement)("subject"))
+    out = runs.stored_engine(spark, "", [none, found, none.limit(0)]).collect()
+    assert {(r.subject, r.statement, r._change) for r in out} == {(f"Note {k}", f"about Note {k}", "same") for k in range(5)} and looked.value == 5
