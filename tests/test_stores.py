@@ -234,3 +234,13 @@ def test_engine_computes_what_section_rules_found_once(spark):
     found = found.repartition(2, "cik").withColumn("statement", F.udf(statement)("subject"))
     out = runs.stored_engine(spark, "", [none, found, none.limit(0)]).collect()
     assert {(r.subject, r.statement, r._change) for r in out} == {(f"Note {k}", f"about Note {k}", "same") for k in range(5)} and looked.value == 5
+
+
+def test_period_mixing_writes_no_table_of_metrics(spark, monkeypatch):
+    from factlens.plans import checks, common
+
+    common.forget()
+    written = []
+    monkeypatch.setattr(common, "materialize", lambda rows, name: written.append(name) or materialize(rows, name))
+    checks.period_mixing(spark, "/root/testdata/sf0.001").schema  # noqa: B018
+    assert "facts" in written and "metrics" not in written
